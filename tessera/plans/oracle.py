@@ -69,3 +69,271 @@ SELECT job_id, record_id, CAST(i AS INTEGER) AS part_idx, n_parts,
        substring(text, CAST(i * 200 + 1 AS BIGINT), 200) AS part
 FROM p, range(0, n_parts) AS r(i)
 WHERE n_parts > 0"""
+
+# --- shared pieces -----------------------------------------------------------
+
+from ..schema import (ERROR_CLASSES, MODEL_CATALOG, MSG_AZURE_KEY, MSG_COHERE_TOKEN,  # noqa: E402
+                      MSG_FINISHED, MSG_INITIALIZING, MSG_OPENAI_KEY, MSG_RUNTIME, MSG_STARTED,
+                      PLATFORMS, WARNING_TEMPLATES)
+from ..sources.jobs import EXTRA_REQUESTS  # noqa: E402
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _arr(xs) -> str:
+    return "[" + ", ".join(_q(x) for x in xs) + "]"
+
+
+HASH_POS = "CAST(CAST(('0x' || substr(md5(term), 1, 8)) AS BIGINT) % 256 AS INTEGER)"
+HASH_SIGN = ("CASE WHEN CAST(('0x' || substr(md5(term), 9, 1)) AS INTEGER) < 8 "
+             "THEN CAST(1 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END")
+WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
+
+EVENTS = f"""ev AS (
+  SELECT event_id, CAST(user_id AS VARCHAR) AS job_id, ts,
+         CASE event_type WHEN 'view' THEN 'INITIALIZING' WHEN 'click' THEN 'WAITING'
+              WHEN 'signup' THEN 'ENCODING' WHEN 'purchase' THEN 'FINISHED' WHEN 'error' THEN 'FAILED' END AS state,
+         ({_arr(PLATFORMS)})[CAST(((user_id % 5) + 5) % 5 + 1 AS BIGINT)] AS platform,
+         ({_arr(ERROR_CLASSES)})[CAST(((CAST(json_extract_string(props, '$.k') AS INTEGER) % 5) + 5) % 5 + 1 AS BIGINT)]
+           AS error_class
+  FROM events)"""
+
+FAIL_MSG = f"""CASE WHEN error_class = 'connection' THEN 'connection failed at event ' || CAST(event_id AS VARCHAR)
+     WHEN error_class IN ('invalid_key', 'not_found') AND platform = 'openai' THEN {_q(MSG_OPENAI_KEY)}
+     WHEN error_class IN ('invalid_key', 'not_found') AND platform = 'azure' THEN {_q(MSG_AZURE_KEY)}
+     WHEN error_class = 'invalid_token' THEN {_q(MSG_COHERE_TOKEN)}
+     ELSE {_q(MSG_RUNTIME)} END"""
+
+LABELLED = "doc_id IN (SELECT doc_id FROM labels)"
+
+SQL["hashed_embed"] = "WITH " + DOC_UNITS + f""",
+occ AS (SELECT job_id, record_id, unnest({WORDS.format('text')}) AS term FROM units),
+h AS (SELECT job_id, record_id, {HASH_POS} AS position, {HASH_SIGN} AS s FROM occ),
+b AS (SELECT job_id, record_id, position, sum(s) AS v FROM h GROUP BY job_id, record_id, position),
+n AS (SELECT *, sum(v * v) OVER (PARTITION BY job_id, record_id) AS ss FROM b)
+SELECT job_id, record_id, position, round(CASE WHEN ss > 0 THEN v / sqrt(ss) ELSE 0.0 END, 6) + 0.0 AS value FROM n"""
+
+SQL["model_embed"] = f"""
+WITH p AS (SELECT source AS job_id, CAST(doc_id AS VARCHAR) AS record_id, text, length(text) AS total,
+                  CAST(ceil(length(text) / 200.0) AS BIGINT) AS n_parts FROM documents),
+parts AS (SELECT job_id, record_id, total, i, substring(text, CAST(i * 200 + 1 AS BIGINT), 200) AS part
+          FROM (SELECT *, unnest(range(0, n_parts)) AS i FROM p WHERE n_parts > 0)),
+occ AS (SELECT job_id, record_id, total, i, length(part) AS plen, unnest({WORDS.format('part')}) AS term FROM parts),
+h AS (SELECT job_id, record_id, total, i, plen, {HASH_POS} AS position, {HASH_SIGN} AS s FROM occ),
+b AS (SELECT job_id, record_id, total, i, plen, position, sum(s) AS v FROM h
+      GROUP BY job_id, record_id, total, i, plen, position),
+n AS (SELECT *, sum(v * v) OVER (PARTITION BY job_id, record_id, i) AS ss FROM b),
+c AS (SELECT job_id, record_id, position,
+             sum(plen * CASE WHEN ss > 0 THEN v / sqrt(ss) ELSE 0.0 END) / max(total) AS value
+      FROM n GROUP BY job_id, record_id, position),
+grid AS (SELECT job_id, record_id, CAST(unnest(range(0, 256)) AS INTEGER) AS position FROM p)
+SELECT g.job_id, g.record_id, g.position, round(coalesce(c.value, 0.0), 6) + 0.0 AS value
+FROM grid g LEFT JOIN c USING (job_id, record_id, position)"""
+
+SQL["token_boc_embed"] = f"""
+WITH l AS (SELECT source AS job_id, CAST(doc_id AS VARCHAR) AS record_id, {WORDS.format('text')} AS toks FROM documents),
+t AS (SELECT job_id, record_id, CAST(generate_subscripts(toks, 1) - 1 AS INTEGER) AS token_idx,
+             unnest(toks) AS token FROM l),
+occ AS (SELECT job_id, record_id, token_idx, unnest(regexp_extract_all(lower(token), '(?s).')) AS term FROM t),
+tf AS (SELECT job_id, record_id, token_idx, term, count(*) AS n FROM occ GROUP BY job_id, record_id, token_idx, term),
+{VOCAB}
+SELECT tf.job_id, tf.record_id, tf.token_idx, vocab.position, round(CAST(tf.n AS DOUBLE), 6) + 0.0 AS value
+FROM tf JOIN vocab USING (job_id, term)"""
+
+_REQS = [(p, m) for (m, _, _, _, p) in MODEL_CATALOG] + EXTRA_REQUESTS
+_REQ_VALUES = ", ".join(f"({_q(t)}, {_q(p)}, {_q(m)})" for t in ("ON_ATTRIBUTE", "ON_TOKEN") for (p, m) in _REQS)
+
+SQL["job_resolve"] = f"""
+WITH pc AS (SELECT source AS project_id, count(*) AS n_records FROM documents GROUP BY source),
+req(type, platform, model) AS (VALUES {_REQ_VALUES}),
+j AS (SELECT project_id || ':' || type || ':' || platform || ':' || model AS job_id, type, platform, model,
+             n_records, type = 'ON_ATTRIBUTE' AS attr, n_records >= 64 AS big FROM pc, req),
+k AS (SELECT *,
+  CASE WHEN attr AND platform = 'python' AND model NOT IN ('bag-of-characters', 'bag-of-words', 'tf-idf')
+         THEN 'Unknown model ' || model
+       WHEN attr AND platform NOT IN ('python', 'openai', 'azure', 'huggingface', 'cohere')
+         THEN 'Unknown platform ' || platform
+       WHEN NOT attr AND model IN ('bag-of-words', 'tf-idf')
+         THEN 'couldn''t find matching embedder for requested embedding with type ' || type || ' model ' || model
+              || ' and platform ' || platform
+  END AS error FROM j),
+m AS (SELECT *,
+  CASE WHEN attr AND platform = 'python' AND model = 'bag-of-characters' THEN 'bag_of_characters'
+       WHEN attr AND platform = 'python' AND model = 'bag-of-words' THEN 'bag_of_words'
+       WHEN attr AND platform = 'python' AND model = 'tf-idf' THEN 'tfidf'
+       WHEN attr AND platform = 'python' THEN NULL
+       WHEN attr AND platform IN ('openai', 'azure') THEN 'openai'
+       WHEN attr AND platform = 'huggingface' THEN 'huggingface'
+       WHEN attr AND platform = 'cohere' THEN 'cohere'
+       WHEN attr THEN NULL
+       WHEN model = 'bag-of-characters' THEN 'token_bag_of_characters'
+       WHEN model IN ('bag-of-words', 'tf-idf') THEN NULL
+       ELSE 'token_transformer' END AS embedder,
+  CASE WHEN error IS NOT NULL THEN false
+       WHEN attr AND platform = 'python' AND model IN ('bag-of-characters', 'tf-idf') THEN false
+       WHEN attr THEN big
+       WHEN model = 'bag-of-characters' THEN false
+       ELSE true END AS reduce FROM k)
+SELECT job_id, embedder,
+       CAST(CASE WHEN error IS NOT NULL THEN NULL WHEN attr THEN 128 ELSE 32 END AS INTEGER) AS batch_size,
+       CAST(CASE WHEN reduce AND attr THEN 64 WHEN reduce THEN 16 END AS INTEGER) AS n_components,
+       reduce, error
+FROM m"""
+
+_CAT_VALUES = ", ".join(f"({_q(c)}, {_q(p)}, {str(a).lower()}, {str(k).lower()}, {_q(tok)})"
+                        for (c, _, toks, (a, k), p) in MODEL_CATALOG for tok in toks)
+
+SQL["model_recommend"] = f"""
+WITH pl AS (SELECT source AS project_id, lang, count(*) AS n FROM documents GROUP BY source, lang),
+pc AS (SELECT project_id, lang FROM (
+        SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY n DESC, lang DESC) AS rn FROM pl) WHERE rn = 1),
+cat(config_string, platform, attribute_level, token_level, tokenizer) AS (VALUES {_CAT_VALUES}),
+wanted AS (SELECT project_id, lang, 'all' AS tokenizer FROM pc
+           UNION ALL
+           SELECT project_id, lang, CASE lang WHEN 'en' THEN 'en_core_web_sm' WHEN 'de' THEN 'de_core_news_sm' END
+           FROM pc WHERE lang IN ('en', 'de'))
+SELECT project_id, lang, config_string, platform, attribute_level, token_level FROM wanted JOIN cat USING (tokenizer)"""
+
+SQL["unit_count"] = """
+SELECT project_id, count(*) AS expected FROM (
+  SELECT source AS project_id FROM documents UNION ALL SELECT 'conversations' AS project_id FROM conversations)
+GROUP BY project_id"""
+
+SQL["vector_count"] = "SELECT source AS job_id, count(*) AS n_vectors FROM documents GROUP BY source"
+
+SQL["progress"] = """
+WITH e AS (SELECT source AS job_id, count(*) AS expected FROM documents GROUP BY source),
+b AS (SELECT job_id, expected, unnest(range(-1, CAST(ceil(expected / 128.0) AS BIGINT))) AS batch FROM e),
+n AS (SELECT job_id, expected, batch, least((batch + 1) * 128, expected) AS nv FROM b)
+SELECT job_id, CAST(batch AS INTEGER) AS batch, CAST(nv AS BIGINT) AS n_vectors,
+       round(least(CAST(0.99 AS DOUBLE), CAST(0.1 AS DOUBLE)
+             + CASE WHEN expected > 0 THEN nv / expected * CAST(0.9 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6)
+         AS progress
+FROM n"""
+
+SQL["tokenization_progress"] = f"""
+WITH r AS (SELECT source AS project_id, CAST(doc_id AS VARCHAR) AS record_id, text FROM documents),
+s AS (SELECT project_id, count(*) AS n_records,
+             count(*) FILTER (WHERE len({WORDS.format('text')}) > 0) AS n_tokenized FROM r GROUP BY project_id)
+SELECT project_id, n_records, n_tokenized,
+       CASE WHEN n_tokenized / n_records < 1 THEN round(n_tokenized / n_records, 6) END AS progress,
+       n_tokenized / n_records >= 1 AS ready
+FROM s"""
+
+SQL["batch_plan"] = """
+SELECT job_id, record_id, pos, CAST(pos // 128 AS BIGINT) AS batch FROM (
+  SELECT source AS job_id, CAST(doc_id AS VARCHAR) AS record_id,
+         row_number() OVER (PARTITION BY source ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS pos
+  FROM documents)"""
+
+SQL["token_mismatch"] = f"""
+SELECT project_id, record_id, n_tokens, n_vectors FROM (
+  SELECT source AS project_id, CAST(doc_id AS VARCHAR) AS record_id,
+         CAST(len({WORDS.format('text')}) AS BIGINT) AS n_tokens,
+         CAST(len(regexp_extract_all(text, '\\S+')) AS BIGINT) AS n_vectors
+  FROM documents)
+WHERE n_tokens <> n_vectors"""
+
+
+def _warning_sql(wtype: str) -> str:
+    t = _q(WARNING_TEMPLATES[wtype])
+    return (t.replace("{record_number}", "' || CAST(record_number AS VARCHAR) || '")
+             .replace("{example_record_msg}", "' || ex || '"))
+
+
+SQL["warning_report"] = f"""
+WITH r AS (SELECT source AS project_id, CAST(doc_id AS VARCHAR) AS record_id, text FROM documents),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY record_id) - 1 AS pos FROM r),
+w AS (SELECT project_id, record_id, 'DOCUMENT_IS_SPLITTED' AS warning_type, pos FROM ranked WHERE length(text) > 200
+      UNION ALL
+      SELECT project_id, record_id, 'TOKEN_MISMATCHING' AS warning_type, pos FROM ranked
+      WHERE len({WORDS.format('text')}) <> len(regexp_extract_all(text, '\\S+'))),
+a AS (SELECT project_id, warning_type, count(DISTINCT record_id) AS record_number,
+             arg_max(record_id, pos) AS example_record_id FROM w GROUP BY project_id, warning_type),
+e AS (SELECT *, 'with primary key: ' || example_record_id AS ex FROM a)
+SELECT project_id, warning_type, record_number, example_record_id,
+       CASE warning_type WHEN 'DOCUMENT_IS_SPLITTED' THEN {_warning_sql('DOCUMENT_IS_SPLITTED')}
+                         ELSE {_warning_sql('TOKEN_MISMATCHING')} END AS message
+FROM e"""
+
+SQL["job_latest_state"] = f"""
+WITH {EVENTS}
+SELECT job_id, state, ts FROM (
+  SELECT job_id, state, max(ts) OVER (PARTITION BY job_id) AS ts,
+         row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS rn FROM ev)
+WHERE rn = 1"""
+
+SQL["failure_report"] = f"""
+WITH {EVENTS},
+l AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS rn FROM ev)
+SELECT job_id, platform, error_class, {FAIL_MSG} AS message, ts AS failed_at
+FROM l WHERE rn = 1 AND state = 'FAILED'"""
+
+SQL["cancel_cut"] = f"""
+WITH {EVENTS},
+ff AS (SELECT job_id, min(ts) AS first_failed FROM ev WHERE state = 'FAILED' GROUP BY job_id),
+w AS (SELECT job_id, ts FROM ev WHERE state = 'ENCODING')
+SELECT w.job_id,
+       CAST(sum(CASE WHEN ff.first_failed IS NULL OR w.ts < ff.first_failed THEN 1 ELSE 0 END) AS BIGINT) AS kept_batches,
+       CAST(sum(CASE WHEN ff.first_failed IS NULL OR w.ts < ff.first_failed THEN 0 ELSE 1 END) AS BIGINT) AS cut_batches,
+       min(ff.first_failed) AS first_failed
+FROM w LEFT JOIN ff USING (job_id) GROUP BY w.job_id"""
+
+SQL["vector_count_check"] = f"""
+SELECT source AS job_id, count(*) AS n_changes, count(*) AS n_vectors, true AS ok
+FROM documents WHERE {LABELLED} GROUP BY source"""
+
+SQL["job_event_append"] = f"""
+WITH {EVENTS}
+SELECT event_id, CAST(0 AS INTEGER) AS seq, 'events:embedding:' || job_id || ':state:' || state AS message FROM ev
+UNION ALL
+SELECT event_id, CAST(1 AS INTEGER) AS seq, 'GLOBAL:notification_created:' || job_id AS message FROM ev
+WHERE state <> 'WAITING'"""
+
+
+def _fmt(t: str) -> str:
+    return _q(t).replace("{model}", "' || platform || '").replace("{attribute}", "' || 'text' || '")
+
+
+SQL["notification_append"] = f"""
+WITH {EVENTS}
+SELECT event_id, job_id,
+       CASE WHEN state IN ('INITIALIZING', 'ENCODING') THEN 'INFO' WHEN state = 'FINISHED' THEN 'SUCCESS'
+            ELSE 'ERROR' END AS level,
+       CASE WHEN state IN ('INITIALIZING', 'ENCODING') THEN 'EMBEDDING_CREATION_STARTED'
+            WHEN state = 'FINISHED' THEN 'EMBEDDING_CREATION_DONE' ELSE 'EMBEDDING_CREATION_FAILED' END AS type,
+       CASE WHEN state = 'INITIALIZING' THEN {_fmt(MSG_INITIALIZING)}
+            WHEN state = 'ENCODING' THEN {_fmt(MSG_STARTED)}
+            WHEN state = 'FINISHED' THEN {_fmt(MSG_FINISHED)}
+            ELSE {FAIL_MSG} END AS message
+FROM ev WHERE state <> 'WAITING'"""
+
+SQL["change_scan"] = f"""
+SELECT source AS job_id, CAST(doc_id AS VARCHAR) AS record_id, 'text' AS attribute_name,
+       CAST(NULL AS INTEGER) AS sub_key
+FROM documents WHERE {LABELLED}"""
+
+SQL["change_filter"] = SQL["change_scan"]
+
+SQL["record_lookup"] = f"""
+SELECT source AS project_id, CAST(doc_id AS VARCHAR) AS record_id, reverse(text) AS text
+FROM documents WHERE {LABELLED}"""
+
+SQL["order_preserving_lookup"] = f"""
+SELECT source AS job_id, CAST(doc_id AS VARCHAR) AS record_id, reverse(text) AS text
+FROM documents WHERE {LABELLED}"""
+
+SQL["list_entry_project"] = """
+SELECT record_id, sub_key, text FROM (
+  SELECT CAST(conv_id AS VARCHAR) AS record_id, role, text,
+         CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS sub_key
+  FROM conversations)
+WHERE role = 'assistant'"""
+
+SQL["token_scan"] = f"""
+WITH l AS (SELECT source AS project_id, CAST(doc_id AS VARCHAR) AS record_id, {WORDS.format('text')} AS toks
+           FROM documents WHERE {LABELLED})
+SELECT project_id, record_id, CAST(generate_subscripts(toks, 1) - 1 AS INTEGER) AS token_idx, unnest(toks) AS token
+FROM l"""

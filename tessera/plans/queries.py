@@ -11,10 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.indexing import ordinal_within
 from ..functions.text import split_parts
 from ..functions.vectors import r6
-from ..operators import count_embed
-from ..schema import BOC, BOW, TFIDF
+from ..operators import count_embed, dispatch, metrics
+from ..operators.hashed import hashed_embed
+from ..operators.model_embed import model_embed
+from ..schema import (BOC, BOW, DOCUMENT_IS_SPLITTED, MSG_FINISHED, MSG_INITIALIZING,
+                      MSG_STARTED, SPLIT_CHARS, TFIDF, TOKEN_MISMATCHING)
+from ..sources import jobs as jsrc
 from ..sources import records as src
 
 
@@ -63,6 +68,204 @@ def q_split_long_text(spark, sf_dir):
         "job_id", "record_id", F.col("part_idx").cast("int").alias("part_idx"), "n_parts", "part_len", "part")
 
 
+def q_hashed_embed(spark, sf_dir):
+    return _long_out(hashed_embed(_doc_units(spark, sf_dir)))
+
+
+def q_model_embed(spark, sf_dir):
+    v = model_embed(_doc_units(spark, sf_dir))
+    return v.select("job_id", "record_id", F.posexplode("vector").alias("position", "value")) \
+            .select("job_id", "record_id", F.col("position").cast("int").alias("position"),
+                    r6(F.col("value")).alias("value"))
+
+
+def _token_units(spark, sf_dir):
+    toks = src.tokens_table(src.documents_records(spark, sf_dir))
+    return toks.select(F.col("project_id").alias("job_id"), "record_id",
+                       F.col("token_idx").alias("sub_key"), F.col("token").alias("text"))
+
+
+def q_token_boc_embed(spark, sf_dir):
+    units = _token_units(spark, sf_dir)
+    out = count_embed.fit(units, BOC).transform(units)
+    return out.select("job_id", "record_id", F.col("sub_key").alias("token_idx"), "position",
+                      r6(F.col("value")).alias("value"))
+
+
+# --- 2.6 dispatch, 2.3 recommendations --------------------------------------
+
+def q_job_resolve(spark, sf_dir):
+    return dispatch.job_resolve(jsrc.jobs_table(spark, sf_dir), jsrc.project_counts(spark, sf_dir))
+
+
+def q_model_recommend(spark, sf_dir):
+    return dispatch.model_recommend(spark, jsrc.project_counts(spark, sf_dir))
+
+
+# --- 2.5 counts and reports -------------------------------------------------
+
+def q_unit_count(spark, sf_dir):
+    docs = src.documents_records(spark, sf_dir)
+    conv = src.load(spark, sf_dir, "conversations").select(F.lit(src.CONVERSATION_PROJECT).alias("project_id"))
+    return metrics.unit_count(docs.select("project_id").unionByName(conv))
+
+
+def q_vector_count(spark, sf_dir):
+    units = _doc_units(spark, sf_dir)
+    vectors = count_embed.fit(units, BOC).dense(units)
+    return metrics.vector_count(vectors)
+
+
+def q_progress(spark, sf_dir):
+    expected = metrics.unit_count(_doc_units(spark, sf_dir), "job_id")
+    return metrics.progress_by_batch(expected)
+
+
+def q_tokenization_progress(spark, sf_dir):
+    docs = src.documents_records(spark, sf_dir)
+    return metrics.tokenization_progress(docs, src.tokens_table(docs))
+
+
+def q_batch_plan(spark, sf_dir):
+    return metrics.batch_plan(_doc_units(spark, sf_dir)).select("job_id", "record_id", "pos", "batch")
+
+
+def _model_tokens(docs):
+    """Tokens as a model's own tokenizer sees them: whitespace-separated pieces."""
+    return docs.select("project_id", "record_id",
+                       F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+"), 0)).alias("token_idx", "token"))
+
+
+def q_token_mismatch(spark, sf_dir):
+    docs = src.documents_records(spark, sf_dir)
+    return metrics.token_mismatch(src.tokens_table(docs), _model_tokens(docs))
+
+
+def _warnings(spark, sf_dir):
+    docs = src.documents_records(spark, sf_dir)
+    ranked = ordinal_within(docs.select("project_id", "record_id", "text"), ["project_id"], ["record_id"], "pos")
+    split = ranked.filter(F.length("text") > SPLIT_CHARS).select(
+        "project_id", "record_id", F.lit(DOCUMENT_IS_SPLITTED).alias("warning_type"), "pos")
+    mism = metrics.token_mismatch(src.tokens_table(docs), _model_tokens(docs)).select("project_id", "record_id")
+    mism = ranked.join(mism, ["project_id", "record_id"], "left_semi").select(
+        "project_id", "record_id", F.lit(TOKEN_MISMATCHING).alias("warning_type"), "pos")
+    return docs, split.unionByName(mism)
+
+
+def q_warning_report(spark, sf_dir):
+    docs, warnings = _warnings(spark, sf_dir)
+    data = docs.select("project_id", "record_id",
+                       F.create_map(F.lit("doc_id"), F.col("record_id"), F.lit("lang"), F.col("lang")).alias("data"))
+    return metrics.warning_report(warnings, data, jsrc.attributes_table(spark, sf_dir))
+
+
+def q_job_latest_state(spark, sf_dir):
+    return metrics.job_latest_state(jsrc.job_events(spark, sf_dir))
+
+
+def q_failure_report(spark, sf_dir):
+    return metrics.failure_report(jsrc.job_events(spark, sf_dir))
+
+
+def q_cancel_cut(spark, sf_dir):
+    return metrics.cancel_cut(jsrc.job_events(spark, sf_dir))
+
+
+def _changes(spark, sf_dir):
+    return src.change_scan(src.changes_from_labels(spark, sf_dir)).dropDuplicates(
+        ["job_id", "record_id", "sub_key"])
+
+
+def q_vector_count_check(spark, sf_dir):
+    changes = _changes(spark, sf_dir)
+    edited = src.edited_documents(spark, sf_dir)
+    units = edited.join(changes.select(F.col("job_id").alias("project_id"), "record_id"),
+                        ["project_id", "record_id"], "left_semi")
+    new = model_embed(src.job_units(units)).filter(F.col("error_class").isNull())
+    return metrics.vector_count_check(changes, new)
+
+
+# --- 2.2 event and notification rows ----------------------------------------
+
+def q_job_event_append(spark, sf_dir):
+    ev = jsrc.job_events(spark, sf_dir)
+    state_msg = F.concat_ws(":", F.lit("events"), F.lit("embedding"), "job_id", F.lit("state"), "state")
+    note_msg = F.concat_ws(":", F.lit("GLOBAL"), F.lit("notification_created"), "job_id")
+    msgs = F.when(F.col("state") == "WAITING", F.array(state_msg)).otherwise(F.array(state_msg, note_msg))
+    return ev.select("event_id", F.posexplode(msgs).alias("seq", "message")) \
+             .withColumn("seq", F.col("seq").cast("int"))
+
+
+def q_notification_append(spark, sf_dir):
+    ev = jsrc.job_events(spark, sf_dir).filter(F.col("state") != "WAITING")
+    model, attr = F.col("platform"), F.lit("text")
+    fmt = lambda t: t.replace("{model}", "%2$s").replace("{attribute}", "%1$s")
+    msg = (F.when(F.col("state") == "INITIALIZING", F.format_string(fmt(MSG_INITIALIZING), attr, model))
+           .when(F.col("state") == "ENCODING", F.format_string(fmt(MSG_STARTED), attr, model))
+           .when(F.col("state") == "FINISHED", F.format_string(fmt(MSG_FINISHED), attr, model))
+           .otherwise(metrics.failure_message(F.col("platform"), F.col("error_class"),
+                                              F.concat(F.lit("connection failed at event "),
+                                                       F.col("event_id").cast("string")))))
+    level = (F.when(F.col("state").isin("INITIALIZING", "ENCODING"), "INFO")
+             .when(F.col("state") == "FINISHED", "SUCCESS").otherwise("ERROR"))
+    ntype = (F.when(F.col("state").isin("INITIALIZING", "ENCODING"), "EMBEDDING_CREATION_STARTED")
+             .when(F.col("state") == "FINISHED", "EMBEDDING_CREATION_DONE").otherwise("EMBEDDING_CREATION_FAILED"))
+    return ev.select("event_id", "job_id", level.alias("level"), ntype.alias("type"), msg.alias("message"))
+
+
+# --- 2.1 / 2.3 / 2.4 change handling ------------------------------------------
+
+def q_change_scan(spark, sf_dir):
+    return src.change_scan(src.changes_from_labels(spark, sf_dir))
+
+
+def q_change_filter(spark, sf_dir):
+    changes = _changes(spark, sf_dir)
+    jobs = src.documents_records(spark, sf_dir).select(F.col("project_id").alias("job_id")).distinct()
+    return changes.join(jobs, "job_id", "inner")
+
+
+def q_record_lookup(spark, sf_dir):
+    ids = _changes(spark, sf_dir).select(F.col("job_id").alias("project_id"), "record_id")
+    return src.record_lookup(src.edited_documents(spark, sf_dir), ids).select("project_id", "record_id", "text")
+
+
+def q_order_preserving_lookup(spark, sf_dir):
+    changes = _changes(spark, sf_dir)
+    recs = src.edited_documents(spark, sf_dir).withColumnRenamed("project_id", "job_id")
+    missing = src.require_all_found(changes, recs, ["job_id", "record_id"])
+    if missing.limit(1).count() > 0:
+        raise KeyError("changed records not found")
+    return changes.join(recs, ["job_id", "record_id"]).select("job_id", "record_id", "text")
+
+
+def _conversation_lists(spark, sf_dir):
+    """records_list(project_id, record_id, texts): turns in order (one record's list)."""
+    conv = src.load(spark, sf_dir, "conversations")
+    return conv.groupBy(F.col("conv_id").cast("string").alias("record_id")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("texts")) \
+        .withColumn("project_id", F.lit(src.CONVERSATION_PROJECT))
+
+
+def q_list_entry_project(spark, sf_dir):
+    """Changed list entries (assistant turns) resolved to their text with ``get(list, sub_key)``."""
+    conv = src.load(spark, sf_dir, "conversations").select(
+        F.lit(src.CONVERSATION_PROJECT).alias("project_id"),
+        F.col("conv_id").cast("string").alias("record_id"), "turn", "role")
+    pos = ordinal_within(conv, ["project_id", "record_id"], ["turn"], "sub_key")
+    changed = pos.filter(F.col("role") == "assistant").select("record_id", F.col("sub_key").cast("int"))
+    j = changed.join(_conversation_lists(spark, sf_dir), "record_id")
+    return j.select("record_id", "sub_key",
+                    F.when(F.col("sub_key").isNull(), F.col("texts").cast("string"))
+                    .otherwise(F.get("texts", F.col("sub_key"))).alias("text"))
+
+
+def q_token_scan(spark, sf_dir):
+    docs = src.documents_records(spark, sf_dir)
+    ids = _changes(spark, sf_dir).select(F.col("job_id").alias("project_id"), "record_id")
+    return src.token_scan(src.tokens_table(docs), "text", ids).select("project_id", "record_id", "token_idx", "token")
+
+
 QUERIES = {
     "attribute_scan": q_attribute_scan,
     "list_attribute_units": q_list_attribute_units,
@@ -71,4 +274,28 @@ QUERIES = {
     "bow_embed": q_bow_embed,
     "tfidf_embed": q_tfidf_embed,
     "split_long_text": q_split_long_text,
+    "hashed_embed": q_hashed_embed,
+    "model_embed": q_model_embed,
+    "token_boc_embed": q_token_boc_embed,
+    "job_resolve": q_job_resolve,
+    "model_recommend": q_model_recommend,
+    "unit_count": q_unit_count,
+    "vector_count": q_vector_count,
+    "progress": q_progress,
+    "tokenization_progress": q_tokenization_progress,
+    "batch_plan": q_batch_plan,
+    "token_mismatch": q_token_mismatch,
+    "warning_report": q_warning_report,
+    "job_latest_state": q_job_latest_state,
+    "failure_report": q_failure_report,
+    "cancel_cut": q_cancel_cut,
+    "vector_count_check": q_vector_count_check,
+    "job_event_append": q_job_event_append,
+    "notification_append": q_notification_append,
+    "change_scan": q_change_scan,
+    "change_filter": q_change_filter,
+    "record_lookup": q_record_lookup,
+    "order_preserving_lookup": q_order_preserving_lookup,
+    "list_entry_project": q_list_entry_project,
+    "token_scan": q_token_scan,
 }
