@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import ROUND_PLACES
 
@@ -23,10 +26,13 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def normalize(a: Column) -> Column:
-    """L2-normalised array; an all-zero vector stays zero."""
-    n = norm(a)
-    return F.transform(a.cast("array<double>"), lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
+def normalize_df(df: DataFrame, col: str, out: str) -> DataFrame:
+    """``out`` = L2-normalised ``col`` (the norm is computed once per row); zero stays zero."""
+    tmp = f"_{out}_norm"
+    df = df.withColumn(tmp, norm(F.col(col)))
+    return df.withColumn(out, F.transform(F.col(col).cast("array<double>"),
+                                          lambda x: F.when(F.col(tmp) > 0, x / F.col(tmp)).otherwise(F.lit(0.0)))
+                         ).drop(tmp)
 
 
 def to_long(df: DataFrame, keys: list[str], vec_col: str = "vector") -> DataFrame:
@@ -38,13 +44,23 @@ def to_dense(long_df: DataFrame, keys: list[str], width: Column | int,
              pos_col: str = "position", val_col: str = "value", out: str = "vector") -> DataFrame:
     """Dense ``array<float>`` per key from sparse (keys, position, value) rows.
 
-    A unit's entries are bounded by its own distinct terms, so the per-key
-    collect is bounded by the text, not by the corpus.
+    Entries are gathered per key (bounded by the unit's own distinct terms) and
+    scattered into a zero vector with numpy in the Python workers.
     """
     w = F.lit(width) if isinstance(width, int) else width
-    g = long_df.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col(pos_col).cast("int"), F.col(val_col).cast("double"))))
-        .alias("_m"), F.first(w).alias("_w"))
-    dense = F.transform(F.sequence(F.lit(0), F.col("_w") - 1),
-                        lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0)).cast("float"))
-    return g.select(*keys, F.when(F.col("_w") > 0, dense).otherwise(F.array().cast("array<float>")).alias(out))
+    g = long_df.groupBy(*keys).agg(F.collect_list(F.col(pos_col).cast("int")).alias("_p"),
+                                   F.collect_list(F.col(val_col).cast("double")).alias("_v"),
+                                   F.first(w).cast("int").alias("_w"))
+    schema = T.StructType([g.schema[k] for k in keys] + [T.StructField(out, T.ArrayType(T.FloatType()))])
+
+    def scatter(batches):
+        for pdf in batches:
+            vecs = []
+            for p, v, n in zip(pdf["_p"], pdf["_v"], pdf["_w"]):
+                a = np.zeros(int(n), dtype=np.float32)
+                a[np.asarray(p, dtype=np.int64)] = np.asarray(v, dtype=np.float64)
+                vecs.append(a)
+            res = pdf[keys].copy()
+            res[out] = vecs
+            yield res
+    return g.mapInPandas(scatter, schema)

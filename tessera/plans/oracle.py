@@ -337,3 +337,149 @@ WITH l AS (SELECT source AS project_id, CAST(doc_id AS VARCHAR) AS record_id, {W
            FROM documents WHERE {LABELLED})
 SELECT project_id, record_id, CAST(generate_subscripts(toks, 1) - 1 AS INTEGER) AS token_idx, unnest(toks) AS token
 FROM l"""
+
+# --- sinks read back -------------------------------------------------------------
+
+CHARS = "regexp_extract_all(lower({0}), '(?s).')"
+DOCS_LAB = f"""d AS (SELECT source AS job_id, CAST(doc_id AS VARCHAR) AS record_id, text,
+                  {LABELLED} AS lab FROM documents)"""
+
+SQL["vector_append"] = f"""
+WITH {DOCS_LAB},
+occ AS (SELECT job_id, unnest({CHARS.format('text')}) AS ch FROM d),
+w AS (SELECT job_id, count(DISTINCT ch) AS n_dims FROM occ GROUP BY job_id)
+SELECT d.job_id, d.record_id, w.n_dims, CAST(len({CHARS.format('d.text')}) AS BIGINT) AS vsum
+FROM d JOIN w USING (job_id)"""
+
+SQL["vector_replace_job"] = f"""
+WITH {DOCS_LAB},
+jl AS (SELECT job_id, bool_or(lab) AS has FROM d GROUP BY job_id)
+SELECT d.job_id, d.record_id, CAST(len({CHARS.format('d.text')}) AS BIGINT) AS vsum
+FROM d JOIN jl USING (job_id) WHERE d.lab OR NOT jl.has"""
+
+SQL["vector_delete_records"] = f"""
+WITH {DOCS_LAB}
+SELECT job_id, record_id, CAST(len({CHARS.format('text')}) AS BIGINT) AS vsum FROM d WHERE NOT lab"""
+
+SQL["vector_delete_subkeys"] = f"""
+SELECT job_id, record_id, sub_key, vsum FROM (
+  SELECT 'conversations' AS job_id, CAST(conv_id AS VARCHAR) AS record_id, role,
+         CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS sub_key,
+         CAST(len({CHARS.format('text')}) AS BIGINT) AS vsum
+  FROM conversations)
+WHERE role <> 'assistant'"""
+
+SQL["vector_upsert"] = f"""
+SELECT source AS job_id, CAST(doc_id AS VARCHAR) AS record_id, CAST(len({CHARS.format('text')}) AS BIGINT) AS vsum
+FROM documents"""
+
+SQL["vector_export"] = SQL["vector_upsert"]
+
+SQL["export_policy"] = "SELECT source AS job_id, count(*) AS n_rows FROM documents GROUP BY source"
+
+SQL["search_collection_build"] = f"""
+WITH {DOCS_LAB},
+occ AS (SELECT job_id, record_id, unnest({CHARS.format('text')}) AS ch FROM d),
+tf AS (SELECT job_id, record_id, ch, count(*) AS n FROM occ GROUP BY job_id, record_id, ch),
+s AS (SELECT job_id, record_id, sum(n) AS s1, sum(n * n) AS s2 FROM tf GROUP BY job_id, record_id)
+SELECT d.job_id, d.record_id,
+       round(CASE WHEN coalesce(s.s2, 0) > 0 THEN s.s1 / sqrt(s.s2) ELSE 0.0 END, 6) + 0.0 AS unit_sum
+FROM d LEFT JOIN s USING (job_id, record_id)"""
+
+SQL["search_collection_drop"] = SQL["export_policy"]
+
+SQL["job_delete"] = """
+SELECT 'vectors' AS kind, source AS job_id, count(*) AS n_rows FROM documents GROUP BY source
+UNION ALL SELECT 'vectors', 'conversations', count(*) FROM conversations
+UNION ALL SELECT 'exports', source, count(*) FROM documents GROUP BY source
+UNION ALL SELECT 'collection', source, count(*) FROM documents GROUP BY source"""
+
+SQL["model_save_load"] = SQL["tfidf_embed"]
+
+SQL["transform"] = "WITH " + WORD_TF + ",\n" + VOCAB + f""",
+ed AS (SELECT source AS job_id, CAST(doc_id AS VARCHAR) AS record_id, reverse(text) AS text
+       FROM documents WHERE {LABELLED}),
+occ2 AS (SELECT job_id, record_id, unnest({WORDS.format('text')}) AS term FROM ed),
+tf2 AS (SELECT job_id, record_id, term, count(*) AS n FROM occ2 GROUP BY job_id, record_id, term)
+SELECT tf2.job_id, tf2.record_id, vocab.position, round(CAST(tf2.n AS DOUBLE), 6) + 0.0 AS value
+FROM tf2 JOIN vocab USING (job_id, term)"""
+
+SQL["score_texts"] = f"""
+WITH units AS (SELECT CAST(doc_id AS VARCHAR) AS record_id, text FROM documents),
+occ AS (SELECT record_id, unnest({WORDS.format('text')}) AS term FROM units),
+tf AS (SELECT record_id, term, count(*) AS n FROM occ GROUP BY record_id, term),
+nu AS (SELECT count(*) AS n_units FROM units),
+dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+voc AS (SELECT term, dense_rank() OVER (ORDER BY term) - 1 AS position,
+               ln((1.0 + n_units) / (1.0 + df)) + 1.0 AS idf FROM dfs, nu),
+b AS (SELECT CAST(item_id AS VARCHAR) AS record_id, unnest({WORDS.format('text')}) AS term FROM benchmark),
+btf AS (SELECT record_id, term, count(*) AS n FROM b GROUP BY record_id, term),
+w AS (SELECT record_id, position, n * idf AS w FROM btf JOIN voc USING (term))
+SELECT record_id, position, round(w / sqrt(sum(w * w) OVER (PARTITION BY record_id)), 6) + 0.0 AS value FROM w"""
+
+SQL["fit_transform"] = f"""
+WITH u AS (SELECT 'conversations' AS job_id, CAST(conv_id AS VARCHAR) AS record_id,
+                  CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS sub_key, text
+           FROM conversations),
+occ AS (SELECT job_id, record_id, sub_key, unnest({WORDS.format('text')}) AS term FROM u),
+tf AS (SELECT job_id, record_id, sub_key, term, count(*) AS n FROM occ GROUP BY job_id, record_id, sub_key, term),
+{VOCAB}
+SELECT tf.job_id, tf.record_id, tf.sub_key, vocab.position, round(CAST(tf.n AS DOUBLE), 6) + 0.0 AS value
+FROM tf JOIN vocab USING (job_id, term)"""
+
+SQL["encode_job"] = """
+SELECT source AS job_id, count(*) AS n_vectors, count(*) AS n_exported, count(*) AS n_indexed,
+       'FINISHED' AS state
+FROM documents GROUP BY source"""
+
+SQL["re_embed"] = f"""
+WITH {DOCS_LAB},
+vocab AS (SELECT DISTINCT job_id, unnest({WORDS.format('text')}) AS term FROM d),
+cur AS (SELECT job_id, record_id, CASE WHEN lab THEN reverse(text) ELSE text END AS text FROM d),
+occ AS (SELECT job_id, record_id, unnest({WORDS.format('text')}) AS term FROM cur),
+hits AS (SELECT occ.job_id, occ.record_id, count(*) AS n FROM occ JOIN vocab USING (job_id, term)
+         GROUP BY occ.job_id, occ.record_id)
+SELECT cur.job_id, cur.record_id, CAST(coalesce(hits.n, 0) AS BIGINT) AS vsum
+FROM cur LEFT JOIN hits USING (job_id, record_id)"""
+
+# --- PCA, sketch, k-NN ----------------------------------------------------------------
+
+EMB = """e AS (SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS i,
+                  unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings)"""
+
+SQL["pca_fit"] = f"""
+WITH {EMB},
+p AS (SELECT a.i AS i, b.i AS j, a.x AS xa, b.x AS xb FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i <= b.i)
+SELECT i, j, round(covar_samp(xa, xb), 6) + 0.0 AS cov FROM p GROUP BY i, j"""
+
+SQL["pca_transform"] = f"""
+WITH {EMB},
+m AS (SELECT i, avg(x) AS mu FROM e GROUP BY i)
+SELECT CAST(vec_id AS VARCHAR) AS record_id, round(sum((x - mu) * (x - mu)), 4) AS sq_norm
+FROM e JOIN m USING (i) GROUP BY vec_id"""
+
+SQL["seeded_projection"] = "WITH " + WORD_TF + """,
+jobs AS (SELECT DISTINCT job_id FROM units),
+jb AS (SELECT job_id, length(job_id) AS n, i, unicode(substr(job_id, CAST(i + 1 AS BIGINT), 1)) AS b
+       FROM (SELECT job_id, unnest(range(length(job_id))) AS i FROM jobs)),
+seeds AS (SELECT job_id, ((max(n) + sum((n - i) * b)) % 65521) * 65536 + ((1 + sum(b)) % 65521) AS seed
+          FROM jb GROUP BY job_id),
+hx AS (SELECT DISTINCT tf.job_id, tf.term, md5(CAST(seeds.seed AS VARCHAR) || ':' || tf.term) AS hex
+       FROM tf JOIN seeds USING (job_id)),
+sk AS (SELECT tf.job_id, tf.record_id, CAST(r.j AS INTEGER) AS j,
+              sum(tf.n * (1 - 2 * ((CAST(('0x' || substr(hx.hex, CAST(r.j // 4 + 1 AS BIGINT), 1)) AS INTEGER)
+                                    >> CAST(3 - r.j % 4 AS INTEGER)) & 1))) AS v
+       FROM tf JOIN hx USING (job_id, term), range(0, 80) AS r(j)
+       GROUP BY tf.job_id, tf.record_id, r.j),
+grid AS (SELECT job_id, record_id, CAST(unnest(range(0, 80)) AS INTEGER) AS j FROM units)
+SELECT g.job_id, g.record_id, g.j, round(CAST(coalesce(sk.v, 0) AS DOUBLE), 6) + 0.0 AS value
+FROM grid g LEFT JOIN sk USING (job_id, record_id, j)"""
+
+SQL["knn_topk"] = """
+WITH e AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT a.id AS query_id, b.id AS neighbor_id,
+             round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6)
+               AS score
+      FROM e a JOIN e b ON a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, score + 0.0 AS score FROM r WHERE rank <= 10"""

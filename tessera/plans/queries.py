@@ -17,6 +17,10 @@ from ..functions.vectors import r6
 from ..operators import count_embed, dispatch, metrics
 from ..operators.hashed import hashed_embed
 from ..operators.model_embed import model_embed
+from ..operators import knn, pca
+from ..sinks.vector_store import VectorStore
+from . import jobs as plans
+from . import reduce as rplans
 from ..schema import (BOC, BOW, DOCUMENT_IS_SPLITTED, MSG_FINISHED, MSG_INITIALIZING,
                       MSG_STARTED, SPLIT_CHARS, TFIDF, TOKEN_MISMATCHING)
 from ..sources import jobs as jsrc
@@ -266,6 +270,239 @@ def q_token_scan(spark, sf_dir):
     return src.token_scan(src.tokens_table(docs), "text", ids).select("project_id", "record_id", "token_idx", "token")
 
 
+# --- 2.2 sinks, read back ---------------------------------------------------------
+
+def _boc_doc_vectors(spark, sf_dir):
+    docs = src.documents_records(spark, sf_dir)
+    units = src.job_units(docs)
+    model = count_embed.fit(units, BOC)
+    return model, model.dense(units).withColumn("project_id", F.col("job_id"))
+
+
+def _vsum(df):
+    return F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda a, x: a + x).cast("long")
+
+
+def _read_back(store, with_sub=False):
+    v = store.vectors()
+    cols = ["job_id", "record_id"] + (["sub_key"] if with_sub else [])
+    return v.select(*cols, _vsum(v).alias("vsum"))
+
+
+def q_vector_append(spark, sf_dir):
+    _, vecs = _boc_doc_vectors(spark, sf_dir)
+    store = VectorStore(spark)
+    store.append(vecs)
+    v = store.vectors()
+    return v.select("job_id", "record_id", F.size("vector").cast("long").alias("n_dims"), _vsum(v).alias("vsum"))
+
+
+def q_vector_replace_job(spark, sf_dir):
+    model, vecs = _boc_doc_vectors(spark, sf_dir)
+    store = VectorStore(spark)
+    store.append(vecs)
+    edited = src.job_units(src.edited_documents(spark, sf_dir))
+    store.replace_jobs(model.dense(edited).withColumn("project_id", F.col("job_id")))
+    return _read_back(store)
+
+
+def q_vector_delete_records(spark, sf_dir):
+    _, vecs = _boc_doc_vectors(spark, sf_dir)
+    store = VectorStore(spark)
+    store.append(vecs)
+    store.delete_records(_changes(spark, sf_dir).select("job_id", "record_id"))
+    return _read_back(store)
+
+
+def _conversation_units(spark, sf_dir):
+    u = src.list_units_from_rows(spark, sf_dir)
+    return u.select(F.col("project_id").alias("job_id"), "record_id", "sub_key", "text")
+
+
+def q_vector_delete_subkeys(spark, sf_dir):
+    units = _conversation_units(spark, sf_dir)
+    model = count_embed.fit(units, BOC)
+    store = VectorStore(spark)
+    store.append(model.dense(units).withColumn("project_id", F.col("job_id")))
+    conv = src.load(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("record_id"), "turn", "role")
+    ranked = ordinal_within(conv.withColumn("job_id", F.lit(src.CONVERSATION_PROJECT)),
+                            ["job_id", "record_id"], ["turn"], "sub_key")
+    keys = ranked.filter(F.col("role") == "assistant").select("job_id", "record_id", F.col("sub_key").cast("int"))
+    store.delete_subkeys(keys)
+    return _read_back(store, with_sub=True)
+
+
+def q_vector_upsert(spark, sf_dir):
+    model, vecs = _boc_doc_vectors(spark, sf_dir)
+    store = VectorStore(spark)
+    store.append(vecs)
+    changes = _changes(spark, sf_dir)
+    edited = src.job_units(src.edited_documents(spark, sf_dir)).join(
+        changes.select("job_id", "record_id"), ["job_id", "record_id"], "left_semi")
+    store.upsert(model.dense(edited).withColumn("project_id", F.col("job_id")))
+    return _read_back(store)
+
+
+def q_vector_export(spark, sf_dir):
+    _, vecs = _boc_doc_vectors(spark, sf_dir)
+    store = VectorStore(spark)
+    store.append(vecs)
+    store.export()
+    e = store.read_export()
+    return e.select("job_id", "record_id", _vsum(e).alias("vsum"))
+
+
+def q_export_policy(spark, sf_dir):
+    _, vecs = _boc_doc_vectors(spark, sf_dir)
+    store = VectorStore(spark)
+    store.append(vecs)
+    store.export()
+    store.delete_records(_changes(spark, sf_dir).select("job_id", "record_id"))
+    store.export(force=False)        # an existing export is kept
+    return store.read_export().groupBy("job_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def q_search_collection_build(spark, sf_dir):
+    _, vecs = _boc_doc_vectors(spark, sf_dir)
+    store = VectorStore(spark)
+    store.append(vecs)
+    store.build_collection(lsh_buckets=4)
+    c = store.collection()
+    s = F.aggregate("unit", F.lit(0.0), lambda a, x: a + x)
+    return c.select("job_id", "record_id", r6(s).alias("unit_sum"))
+
+
+def _store_docs_and_conversations(spark, sf_dir):
+    _, vecs = _boc_doc_vectors(spark, sf_dir)
+    units = _conversation_units(spark, sf_dir)
+    cm = count_embed.fit(units, BOC)
+    store = VectorStore(spark)
+    store.append(vecs)
+    store.append(cm.dense(units).withColumn("project_id", F.col("job_id")))
+    store.export()
+    store.build_collection()
+    return store
+
+
+def q_search_collection_drop(spark, sf_dir):
+    store = _store_docs_and_conversations(spark, sf_dir)
+    store.drop_collection(src.CONVERSATION_PROJECT)
+    return store.collection().groupBy("job_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def q_job_delete(spark, sf_dir):
+    store = _store_docs_and_conversations(spark, sf_dir)
+    store.delete_job(src.CONVERSATION_PROJECT)
+    n = lambda df, kind: df.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_rows")) \
+        .withColumn("kind", F.lit(kind))
+    return n(store.vectors(), "vectors").unionByName(n(store.read_export(), "exports")) \
+        .unionByName(n(store.collection(), "collection")).select("kind", "job_id", "n_rows")
+
+
+# --- 2.6 model lifecycle and composed jobs --------------------------------------------
+
+def q_model_save_load(spark, sf_dir):
+    units = _doc_units(spark, sf_dir)
+    store = VectorStore(spark)
+    plans.encode_job(store, units, TFIDF, build_collection=False)
+    reloaded = plans.load_model(store, TFIDF)
+    return _long_out(reloaded.transform(units))
+
+
+def q_transform(spark, sf_dir):
+    units = _doc_units(spark, sf_dir)
+    model = count_embed.fit(units, BOW)
+    edited = src.job_units(src.edited_documents(spark, sf_dir))
+    return _long_out(model.transform(edited))
+
+
+def q_score_texts(spark, sf_dir):
+    docs = src.documents_records(spark, sf_dir)
+    units = docs.select(F.lit("corpus").alias("job_id"), "record_id", F.lit(None).cast("int").alias("sub_key"),
+                        "text")
+    model = count_embed.fit(units, TFIDF)
+    out = plans.score_texts(model, src.load(spark, sf_dir, "benchmark"), "corpus")
+    return out.select("record_id", "position", r6(F.col("value")).alias("value"))
+
+
+def q_fit_transform(spark, sf_dir):
+    units = _conversation_units(spark, sf_dir)
+    model, out = count_embed.fit_transform(units, BOW)
+    return out.select("job_id", "record_id", "sub_key", "position", r6(F.col("value")).alias("value"))
+
+
+def q_encode_job(spark, sf_dir):
+    units = _doc_units(spark, sf_dir)
+    store = VectorStore(spark)
+    plans.encode_job(store, units, BOC)
+    cnt = lambda df, name: df.groupBy("job_id").agg(F.count(F.lit(1)).alias(name))
+    return (cnt(store.vectors(), "n_vectors").join(cnt(store.read_export(), "n_exported"), "job_id")
+            .join(cnt(store.collection(), "n_indexed"), "job_id").join(plans.job_states(store), "job_id"))
+
+
+def q_re_embed(spark, sf_dir):
+    units = _doc_units(spark, sf_dir)
+    store = VectorStore(spark)
+    plans.encode_job(store, units, BOW, build_collection=False)
+    edited = src.edited_documents(spark, sf_dir)
+    current = src.documents_records(spark, sf_dir).join(edited.select("project_id", "record_id"),
+                                                         ["project_id", "record_id"], "left_anti") \
+        .select("project_id", "record_id", "text").unionByName(edited.select("project_id", "record_id", "text"))
+    plans.re_embed(store, src.changes_from_labels(spark, sf_dir), current, BOW)
+    return _read_back(store)
+
+
+# --- PCA, sketches, k-NN ----------------------------------------------------------------
+
+def _embeddings(spark, sf_dir):
+    return src.load(spark, sf_dir, "embeddings").select(
+        F.lit("embeddings").alias("job_id"), F.col("vec_id").cast("string").alias("record_id"),
+        F.lit(None).cast("int").alias("sub_key"), F.col("embedding").cast("array<double>").alias("vector"))
+
+
+def q_pca_fit(spark, sf_dir):
+    fitted = pca.narrow_fit(_embeddings(spark, sf_dir), 64)["embeddings"]
+    cov = fitted["cov"]
+    d = cov.shape[0]
+    rows = [(i, j, float(round(cov[i, j], 6)) + 0.0) for i in range(d) for j in range(i, d)]
+    return spark.createDataFrame(rows, "i int, j int, cov double")
+
+
+def q_pca_transform(spark, sf_dir):
+    emb = _embeddings(spark, sf_dir)
+    fitted = pca.narrow_fit(emb, 64)
+    out = pca.narrow_transform(emb, fitted, ["job_id", "record_id", "sub_key"])
+    sq = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    return out.select("record_id", F.round(sq, 4).alias("sq_norm"))
+
+
+def q_seeded_projection(spark, sf_dir):
+    y = rplans.seeded_projection(_doc_units(spark, sf_dir))
+    return y.select("job_id", "record_id", F.posexplode("y").alias("j", "value")).select(
+        "job_id", "record_id", F.col("j").cast("int").alias("j"), r6(F.col("value")).alias("value"))
+
+
+def q_bow_pca_embed(spark, sf_dir):
+    units = _doc_units(spark, sf_dir)
+    counts = jsrc.project_counts(spark, sf_dir).select(F.col("project_id").alias("job_id"), "n_records")
+    return _long_out(rplans.bow_pca_embed(units, counts))
+
+
+def q_token_model_embed(spark, sf_dir):
+    out = rplans.token_model_embed(_token_units(spark, sf_dir))
+    return out.select("job_id", "record_id", F.col("sub_key").alias("token_idx"),
+                      F.posexplode("vector").alias("position", "value")) \
+        .select("job_id", "record_id", "token_idx", "position", r6(F.col("value")).alias("value"))
+
+
+def q_knn_topk(spark, sf_dir):
+    emb = src.load(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"),
+                                                        F.col("embedding").alias("vector"))
+    return knn.knn_topk(emb, emb, k=10, exclude_self=True).select(
+        "query_id", F.col("rank").cast("int").alias("rank"), "neighbor_id", (F.col("score") + 0.0).alias("score"))
+
+
 QUERIES = {
     "attribute_scan": q_attribute_scan,
     "list_attribute_units": q_list_attribute_units,
@@ -298,4 +535,26 @@ QUERIES = {
     "order_preserving_lookup": q_order_preserving_lookup,
     "list_entry_project": q_list_entry_project,
     "token_scan": q_token_scan,
+    "vector_append": q_vector_append,
+    "vector_replace_job": q_vector_replace_job,
+    "vector_delete_records": q_vector_delete_records,
+    "vector_delete_subkeys": q_vector_delete_subkeys,
+    "vector_upsert": q_vector_upsert,
+    "vector_export": q_vector_export,
+    "export_policy": q_export_policy,
+    "search_collection_build": q_search_collection_build,
+    "search_collection_drop": q_search_collection_drop,
+    "job_delete": q_job_delete,
+    "model_save_load": q_model_save_load,
+    "transform": q_transform,
+    "score_texts": q_score_texts,
+    "fit_transform": q_fit_transform,
+    "encode_job": q_encode_job,
+    "re_embed": q_re_embed,
+    "pca_fit": q_pca_fit,
+    "pca_transform": q_pca_transform,
+    "seeded_projection": q_seeded_projection,
+    "bow_pca_embed": q_bow_pca_embed,
+    "token_model_embed": q_token_model_embed,
+    "knn_topk": q_knn_topk,
 }

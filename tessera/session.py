@@ -102,3 +102,16 @@ def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
     from pyspark.sql import functions as F
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def list_partitions(spark: SparkSession, path: str, column: str) -> list[str]:
+    """Values of a partition column present under ``path`` (directory listing only)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    if not fs.exists(p):
+        return []
+    prefix = f"{column}="
+    return [st.getPath().getName()[len(prefix):] for st in fs.listStatus(p)
+            if st.isDirectory() and st.getPath().getName().startswith(prefix)]
