@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import normalize_df
-from ..session import delete_path, fresh_path, list_partitions, path_exists
+from ..session import default_parallelism, delete_path, fresh_path, list_partitions, path_exists
 
 VECTOR_COLS = ["project_id", "job_id", "record_id", "sub_key", "vector"]
 
@@ -113,11 +113,15 @@ class VectorStore:
         self._rewrite(kept.unionByName(new), jobs)
 
     # --- exports -----------------------------------------------------------
-    def export(self, job_ids: list[str] | None = None, force: bool = True) -> None:
+    def export(self, job_ids: list[str] | None = None, force: bool = True, compression: str = "bzip2",
+               partitions: int | None = None) -> None:
         """bzip2 CSV of each job's vectors, ordered by (record_id, sub_key).
 
         ``force`` replaces an existing export; otherwise an existing one is kept.
+        The explicit range-partition count keeps compression spread over many
+        tasks (AQE would otherwise fold a small export into one).
         """
+        n = partitions or max(default_parallelism(self.spark), 1)
         v = self.vectors()
         if job_ids is not None:
             v = v.filter(F.col("job_id").isin(job_ids))
@@ -125,14 +129,14 @@ class VectorStore:
         # split a large job over many tasks instead of one
         keys = ["job_id", "record_id", F.col("sub_key").asc_nulls_first()]
         out = (v.select("job_id", "record_id", "sub_key", F.to_json("vector").alias("vector"))
-               .repartitionByRange(*keys).sortWithinPartitions(*keys))
-        w = out.write.option("header", True).option("compression", "bzip2").partitionBy("job_id")
+               .repartitionByRange(n, *keys).sortWithinPartitions(*keys))
+        w = out.write.option("header", True).option("compression", compression).partitionBy("job_id")
         if force:
             w.mode("overwrite").option("partitionOverwriteMode", "dynamic").csv(self.exports_path)
         else:
             existing = set(list_partitions(self.spark, self.exports_path, "job_id"))
             fresh = out.filter(~F.col("job_id").isin(list(existing))) if existing else out
-            (fresh.write.option("header", True).option("compression", "bzip2").partitionBy("job_id")
+            (fresh.write.option("header", True).option("compression", compression).partitionBy("job_id")
              .mode("append").csv(self.exports_path))
 
     def read_export(self) -> DataFrame:
