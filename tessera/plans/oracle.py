@@ -483,3 +483,42 @@ s AS (SELECT a.id AS query_id, b.id AS neighbor_id,
       FROM e a JOIN e b ON a.id <> b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, score + 0.0 AS score FROM r WHERE rank <= 10"""
+
+# --- streams --------------------------------------------------------------------------
+
+SQL["throttle_by_key"] = """
+WITH RECURSIVE ev AS (
+  SELECT event_id, user_id, ts,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+pass(event_id, user_id, ts) AS (
+  SELECT event_id, user_id, ts FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT event_id, user_id, ts FROM (
+    SELECT e.event_id, e.user_id, e.ts,
+           row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS r
+    FROM pass p JOIN ev e ON e.user_id = p.user_id AND e.ts > p.ts + INTERVAL 1 HOUR)
+  WHERE r = 1)
+SELECT event_id, user_id, ts FROM pass"""
+
+SQL["throttle_stream"] = SQL["throttle_by_key"]
+
+SQL["job_state_stream"] = SQL["job_latest_state"]
+
+SQL["token_gate_timeout"] = f"""
+WITH {EVENTS},
+w AS (SELECT job_id, min(ts) AS t0 FROM ev WHERE state = 'WAITING' GROUP BY job_id),
+r AS (SELECT ev.job_id, min(ev.ts) AS ready_at FROM ev JOIN w USING (job_id)
+      WHERE ev.state = 'ENCODING' AND ev.ts > w.t0 GROUP BY ev.job_id),
+j AS (SELECT w.job_id, w.t0, r.ready_at,
+             CAST(ceil((epoch_us(r.ready_at) - epoch_us(w.t0)) / 30000000.0) AS BIGINT) AS c
+      FROM w LEFT JOIN r USING (job_id))
+SELECT job_id, t0, ready_at,
+       CASE WHEN ready_at IS NOT NULL AND c < 40 THEN 'ENCODING' ELSE 'FAILED' END AS outcome,
+       CASE WHEN ready_at IS NOT NULL AND c < 40 THEN c ELSE 40 END AS checks,
+       make_timestamp(CASE WHEN ready_at IS NOT NULL AND c < 40 THEN epoch_us(t0) + c * 30000000
+                           ELSE epoch_us(t0) + 40 * 30000000 END) AS decided_at
+FROM j"""
+
+SQL["re_embed_stream"] = SQL["re_embed"]
+
+SQL["score_stream"] = SQL["score_texts"]

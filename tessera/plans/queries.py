@@ -20,6 +20,9 @@ from ..operators.model_embed import model_embed
 from ..operators import knn, pca
 from ..sinks.vector_store import VectorStore
 from . import jobs as plans
+from ..streaming import jobs as sjobs
+from ..streaming.throttle import throttle_by_key, throttle_stream
+from ..session import fresh_path
 from . import reduce as rplans
 from ..schema import (BOC, BOW, DOCUMENT_IS_SPLITTED, MSG_FINISHED, MSG_INITIALIZING,
                       MSG_STARTED, SPLIT_CHARS, TFIDF, TOKEN_MISMATCHING)
@@ -503,6 +506,68 @@ def q_knn_topk(spark, sf_dir):
         "query_id", F.col("rank").cast("int").alias("rank"), "neighbor_id", (F.col("score") + 0.0).alias("score"))
 
 
+# --- 2.8 streams ---------------------------------------------------------------------
+
+def _table_stream(spark, sf_dir, name):
+    """A file stream over one table of the folder (new files matching it are new data)."""
+    schema = src.load(spark, sf_dir, name).schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+            .parquet(sf_dir.rstrip("/")))
+
+
+def _events_stream(spark, sf_dir):
+    return _table_stream(spark, sf_dir, "events")
+
+
+def q_throttle_by_key(spark, sf_dir):
+    ev = src.load(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return throttle_by_key(ev, "user_id", "ts", "event_id", 3600)
+
+
+def q_throttle_stream(spark, sf_dir):
+    out = fresh_path(spark, "throttle-out")
+    s = throttle_stream(_events_stream(spark, sf_dir).select("event_id", "user_id", "ts"),
+                        "user_id", "ts", "event_id", 3600)
+    sjobs.run_available(s.writeStream.format("parquet").option("path", out).outputMode("append"),
+                        fresh_path(spark, "ckpt-throttle"))
+    return spark.read.parquet(out).select("event_id", "user_id", "ts")
+
+
+def q_job_state_stream(spark, sf_dir):
+    out = fresh_path(spark, "job-state")
+    sjobs.job_state_stream(spark, jsrc.job_events_from(_events_stream(spark, sf_dir)), out)
+    return spark.read.parquet(out).select("job_id", "state", "ts")
+
+
+def q_token_gate_timeout(spark, sf_dir):
+    return sjobs.token_gate(jsrc.job_events(spark, sf_dir))
+
+
+def q_re_embed_stream(spark, sf_dir):
+    units = _doc_units(spark, sf_dir)
+    store = VectorStore(spark)
+    plans.encode_job(store, units, BOW, build_collection=False)
+    change_dir = fresh_path(spark, "incoming-changes")
+    src.changes_from_labels(spark, sf_dir).write.text(change_dir)
+    edited = src.edited_documents(spark, sf_dir)
+    current = src.documents_records(spark, sf_dir).join(edited.select("project_id", "record_id"),
+                                                         ["project_id", "record_id"], "left_anti") \
+        .select("project_id", "record_id", "text").unionByName(edited.select("project_id", "record_id", "text"))
+    sjobs.re_embed_stream(spark, store, change_dir, current, BOW)
+    return _read_back(store)
+
+
+def q_score_stream(spark, sf_dir):
+    docs = src.documents_records(spark, sf_dir)
+    units = docs.select(F.lit("corpus").alias("job_id"), "record_id", F.lit(None).cast("int").alias("sub_key"),
+                        "text")
+    model = count_embed.fit(units, TFIDF)
+    stream = _table_stream(spark, sf_dir, "benchmark")
+    out = fresh_path(spark, "scores")
+    sjobs.score_stream(spark, model, stream, "corpus", out)
+    return spark.read.parquet(out).select("record_id", "position", r6(F.col("value")).alias("value"))
+
+
 QUERIES = {
     "attribute_scan": q_attribute_scan,
     "list_attribute_units": q_list_attribute_units,
@@ -557,4 +622,10 @@ QUERIES = {
     "bow_pca_embed": q_bow_pca_embed,
     "token_model_embed": q_token_model_embed,
     "knn_topk": q_knn_topk,
+    "throttle_by_key": q_throttle_by_key,
+    "throttle_stream": q_throttle_stream,
+    "job_state_stream": q_job_state_stream,
+    "token_gate_timeout": q_token_gate_timeout,
+    "re_embed_stream": q_re_embed_stream,
+    "score_stream": q_score_stream,
 }

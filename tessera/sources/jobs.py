@@ -74,7 +74,11 @@ def state_of(event_type):
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """job_events(event_id, job_id, ts, state, platform, error_class)."""
-    ev = load(spark, sf_dir, "events")
+    return job_events_from(load(spark, sf_dir, "events"))
+
+
+def job_events_from(ev: DataFrame) -> DataFrame:
+    """The job-event view of an ``events`` frame (batch or stream)."""
     k = F.get_json_object("props", "$.k").cast("int")
     err = F.element_at(F.array(*[F.lit(c) for c in ERROR_CLASSES]), F.pmod(k, F.lit(len(ERROR_CLASSES))) + 1)
     plat = F.element_at(F.array(*[F.lit(p) for p in PLATFORMS]),
