@@ -18,8 +18,13 @@ Wide (sparse rows ``(job, unit, positions[], values[], signs_hex[])``):
   3. ``Q = Yc L⁻ᵀ`` with ``LLᵀ = YcᵀYc`` (Cholesky of an ℓ×ℓ matrix);
   4. ``B = QᵀXc`` accumulated per term position in the tasks, summed per
      (job, position) after one shuffle;
-  5. ``BBᵀ = ŨS²Ũᵀ`` (ℓ×ℓ) gives components ``V = BᵀŨS⁻¹`` as rows
+  5. one power step (``POWER_ITERS``): ``Y ← X·B`` by a join of the sparse
+     entries with B's rows on (job, position), then steps 2–4 again;
+  6. ``BBᵀ = ŨS²Ũᵀ`` (ℓ×ℓ) gives components ``V = BᵀŨS⁻¹`` as rows
      ``(job, position, k values)`` and unit coordinates ``QŨS``.
+
+Every intermediate (sparse rows, sketches, B) is written to the shared work
+folder, so a lost executor recomputes one stage, not the whole chain.
 """
 
 from __future__ import annotations
@@ -35,6 +40,27 @@ from pyspark.sql import types as T
 
 NARROW_MAX = 4096
 OVERSAMPLE = 16
+POWER_ITERS = 1
+UNIT_KEYS = ["job_id", "record_id", "sub_key"]
+
+
+def power_y(rows: DataFrame, bcols: DataFrame) -> DataFrame:
+    """Y = X·B per unit: sparse entries joined to B's rows on (job, position), summed per unit.
+
+    The join is on (job, position); hot positions (frequent words) are split by
+    AQE's skew handling. Units without terms get a zero row.
+    """
+    ent = rows.select(*UNIT_KEYS, F.explode(F.arrays_zip("positions", "values")).alias("e")) \
+        .select(*UNIT_KEYS, F.col("e.positions").cast("long").alias("position"), F.col("e.values").alias("v"))
+    j = ent.join(bcols, ["job_id", "position"])
+    summed = (j.select(*UNIT_KEYS, F.transform("b", lambda x: x * F.col("v")).alias("c"))
+              .groupBy(*UNIT_KEYS).agg(F.array_agg("c").alias("cs"))
+              .select(*UNIT_KEYS, F.aggregate("cs", F.array_repeat(F.lit(0.0), F.size(F.element_at("cs", 1))),
+                                              lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b)).alias("y")))
+    ell = bcols.select(F.size("b")).first()[0] if bcols.limit(1).count() else 0
+    empty = rows.filter(F.size("positions") == 0).select(
+        *UNIT_KEYS, F.array_repeat(F.lit(0.0), F.lit(ell)).alias("y"))
+    return summed.unionByName(empty)
 
 
 # --- helpers -----------------------------------------------------------------
@@ -210,7 +236,8 @@ def _sum_partials(df: DataFrame, n_units: dict[str, int]) -> dict[str, tuple]:
 
 
 def randomized_fit_transform(spark: SparkSession, rows: DataFrame, n_units: dict[str, int], k: int,
-                             oversample: int = OVERSAMPLE) -> tuple[DataFrame, DataFrame]:
+                             oversample: int = OVERSAMPLE, power_iters: int = POWER_ITERS
+                             ) -> tuple[DataFrame, DataFrame]:
     """Wide PCA per job. Returns (unit coordinates, component rows).
 
     ``rows``: sparse unit rows from :func:`sparse_rows`; ``n_units``: units per
@@ -219,8 +246,12 @@ def randomized_fit_transform(spark: SparkSession, rows: DataFrame, n_units: dict
     (job_id, position, loadings array<double>).
     """
     width = min(k + oversample, 128)
-    rows = rows.persist()
-    y = sketch(rows, width)
+    rows_path = _fresh(spark, "pca-rows")
+    rows.write.parquet(rows_path)
+    rows = spark.read.parquet(rows_path)
+    y_path = _fresh(spark, "pca-y")
+    sketch(rows, width).write.parquet(y_path)
+    y = spark.read.parquet(y_path)
     stats = _sum_partials(y.mapInPandas(_gram_partials, MOMENTS), n_units)
     factors = {}
     for job, (n, s, ss) in stats.items():
@@ -234,22 +265,18 @@ def randomized_fit_transform(spark: SparkSession, rows: DataFrame, n_units: dict
     bc = spark.sparkContext.broadcast(factors)
 
     def b_partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = bc.value
+        f = bc_holder["bc"].value
         acc: dict[tuple, np.ndarray] = {}
         for pdf in batches:
             for job, g in pdf.groupby("job_id", sort=False):
                 ybar, r = f[job]
-                hexes = g["hexes"]
                 lens = g["positions"].map(len).to_numpy()
                 if lens.sum() == 0:
                     continue
-                yv = np.zeros((len(g), len(ybar)))
                 pos = np.concatenate([np.asarray(p, dtype=np.int64) for p in g["positions"]])
                 vals = np.concatenate([np.asarray(v, dtype=np.float64) for v in g["values"]])
-                hx = np.concatenate([np.asarray(h, dtype=object) for h in hexes])
                 owner = np.repeat(np.arange(len(g)), lens)
-                np.add.at(yv, owner, sign_bits(hx, len(ybar)) * vals[:, None])
-                q = (yv - ybar) @ r
+                q = (np.vstack(g["y"].to_numpy()) - ybar) @ r
                 contrib = q[owner] * vals[:, None]
                 upos, inv = np.unique(pos, return_inverse=True)
                 part = np.zeros((len(upos), q.shape[1]))
@@ -260,16 +287,43 @@ def randomized_fit_transform(spark: SparkSession, rows: DataFrame, n_units: dict
         yield pd.DataFrame([(j, p, v.tolist()) for (j, p), v in acc.items()],
                            columns=["job_id", "position", "b"])
 
-    bpart = rows.mapInPandas(b_partials, "job_id string, position long, b array<double>")
-    b_path = _fresh(spark, "pca-b")
-    (bpart.repartition("job_id", "position")
-     .groupBy("job_id", "position")
-     .agg(F.array_agg("b").alias("bs"))
-     .select("job_id", "position",
-             F.aggregate("bs", F.array_repeat(F.lit(0.0), F.size(F.element_at("bs", 1))),
-                         lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b)).alias("b"))
-     .write.parquet(b_path))
-    bcols = spark.read.parquet(b_path)
+    def b_table(y_rows: DataFrame) -> DataFrame:
+        """B = QᵀXc as rows (job, position, ℓ values), written to the work folder."""
+        keyed = rows.join(y_rows.select(*[F.col(c).alias(f"y_{c}") for c in UNIT_KEYS], "y"),
+                          [rows[c].eqNullSafe(F.col(f"y_{c}")) for c in UNIT_KEYS]) \
+            .select("job_id", "record_id", "sub_key", "positions", "values", "y")
+        bpart = keyed.mapInPandas(b_partials, "job_id string, position long, b array<double>")
+        path = _fresh(spark, "pca-b")
+        (bpart.groupBy("job_id", "position")
+         .agg(F.array_agg("b").alias("bs"))
+         .select("job_id", "position",
+                 F.aggregate("bs", F.array_repeat(F.lit(0.0), F.size(F.element_at("bs", 1))),
+                             lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b)).alias("b"))
+         .write.parquet(path))
+        return spark.read.parquet(path)
+
+    def factorize(y_rows: DataFrame):
+        st = _sum_partials(y_rows.mapInPandas(_gram_partials, MOMENTS), n_units)
+        out = {}
+        for job, (n, s_, ss) in st.items():
+            ybar = s_ / max(n, 1)
+            g = ss - n * np.outer(ybar, ybar)
+            w, v = np.linalg.eigh(g)
+            keep = w > max(w.max(initial=0.0), 0) * 1e-10
+            out[job] = (ybar, v[:, keep] / np.sqrt(w[keep]))
+        return out
+
+    bc_holder = {"bc": bc}
+    bcols = b_table(y)
+    for it in range(power_iters):
+        # power step: Y ← X·B (Xc·B up to the mean, removed again by the factorisation)
+        y_path = _fresh(spark, f"pca-y{it}")
+        power_y(rows, bcols).write.parquet(y_path)
+        y = spark.read.parquet(y_path)
+        bc_holder["bc"] = spark.sparkContext.broadcast(factorize(y))
+        bcols = b_table(y)
+    bc = bc_holder["bc"]
+
 
     def bbt_partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[str, np.ndarray] = {}

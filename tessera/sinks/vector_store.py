@@ -23,6 +23,7 @@ from ..functions.vectors import normalize_df
 from ..session import default_parallelism, delete_path, fresh_path, list_partitions, path_exists
 
 VECTOR_COLS = ["project_id", "job_id", "record_id", "sub_key", "vector"]
+STORED_SCHEMA = "project_id string, record_id string, sub_key int, vector array<float>, job_id string"
 
 
 class VectorStore:
@@ -48,10 +49,9 @@ class VectorStore:
 
     # --- reads -------------------------------------------------------------
     def vectors(self, job_id: str | None = None) -> DataFrame:
-        if not path_exists(self.spark, self.vectors_path):
-            return self.spark.createDataFrame([], "project_id string, record_id string, sub_key int, "
-                                                  "vector array<float>, job_id string").select(*VECTOR_COLS)
-        v = self.spark.read.parquet(self.vectors_path).select(*VECTOR_COLS)
+        if not list_partitions(self.spark, self.vectors_path, "job_id"):
+            return self.spark.createDataFrame([], STORED_SCHEMA).select(*VECTOR_COLS)
+        v = self.spark.read.schema(STORED_SCHEMA).parquet(self.vectors_path).select(*VECTOR_COLS)
         return v if job_id is None else v.filter(F.col("job_id") == job_id)
 
     # --- writes ------------------------------------------------------------
@@ -72,11 +72,9 @@ class VectorStore:
     def _rewrite(self, new_contents: DataFrame, touched_jobs: list[str]) -> None:
         staging = fresh_path(self.spark, "staging")
         self._shape(new_contents).write.partitionBy("job_id").parquet(staging)
-        staged = self.spark.read.parquet(staging) if path_exists(self.spark, staging) else None
-        present = set()
-        if staged is not None:
-            present = {r[0] for r in staged.select("job_id").distinct().collect()}
-            self.replace_jobs(staged.select(*VECTOR_COLS))
+        present = set(list_partitions(self.spark, staging, "job_id"))
+        if present:
+            self.replace_jobs(self.spark.read.schema(STORED_SCHEMA).parquet(staging).select(*VECTOR_COLS))
         for job in touched_jobs:  # jobs left without any row: drop their partition
             if job not in present:
                 delete_path(self.spark, f"{self.vectors_path}/job_id={job}")
