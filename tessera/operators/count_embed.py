@@ -74,7 +74,10 @@ class CountModel:
 
     def transform(self, units: DataFrame) -> DataFrame:
         """Sparse vectors (job_id, record_id, sub_key, position, value) of ``units``."""
-        tf = term_counts(units.select(*UNIT_KEYS, "text"), self.kind, UNIT_KEYS)
+        return self.transform_counts(term_counts(units.select(*UNIT_KEYS, "text"), self.kind, UNIT_KEYS))
+
+    def transform_counts(self, tf: DataFrame) -> DataFrame:
+        """Vectors from per-unit term counts (job_id, record_id, sub_key, term, n)."""
         joined = tf.join(self._vocab_side(), ["job_id", "term"])
         if self.weighting == "count":
             return joined.select(*UNIT_KEYS, "position", F.col("n").cast("double").alias("value"))
@@ -100,13 +103,16 @@ def dense_vectors(long_df: DataFrame, units: DataFrame, stats: DataFrame) -> Dat
     return out.select(*[keys[k] for k in UNIT_KEYS], F.coalesce(dense["vector"], zeros).alias("vector"))
 
 
-def fit(units: DataFrame, model: str) -> CountModel:
-    """Fit the vocabulary of ``model`` ('bag-of-characters' | 'bag-of-words' | 'tf-idf') per job."""
+def fit(units: DataFrame, model: str, tf: DataFrame | None = None) -> CountModel:
+    """Fit the vocabulary of ``model`` ('bag-of-characters' | 'bag-of-words' | 'tf-idf') per job.
+
+    ``tf`` may pass already counted terms of ``units`` (see :func:`fit_transform`).
+    """
     kind, weighting = KIND_OF_MODEL[model]
     spark = units.sparkSession
     path = fresh_path(spark, f"model-{kind}-{weighting}")
     u = units.select(*UNIT_KEYS, "text")
-    tf = term_counts(u, kind, UNIT_KEYS)
+    tf = tf if tf is not None else term_counts(u, kind, UNIT_KEYS)
     u.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_units")).write.parquet(f"{path}/units")
     n_units = broadcast_if_small(spark.read.parquet(f"{path}/units"))
     df_terms = tf.groupBy("job_id", "term").agg(F.count(F.lit(1)).alias("df"))
@@ -126,5 +132,15 @@ def fit(units: DataFrame, model: str) -> CountModel:
 
 
 def fit_transform(units: DataFrame, model: str) -> tuple[CountModel, DataFrame]:
-    m = fit(units, model)
-    return m, m.transform(units)
+    """Fit and transform the same units, exploding and counting their terms only once.
+
+    The per-unit counts are written to the work folder; both the vocabulary and
+    the vectors are computed from that table.
+    """
+    spark = units.sparkSession
+    kind, _ = KIND_OF_MODEL[model]
+    tf_path = fresh_path(spark, "term-counts")
+    term_counts(units.select(*UNIT_KEYS, "text"), kind, UNIT_KEYS).write.parquet(tf_path)
+    tf = spark.read.parquet(tf_path)
+    m = fit(units, model, tf)
+    return m, m.transform_counts(tf)

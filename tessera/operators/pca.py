@@ -44,6 +44,58 @@ POWER_ITERS = 1
 UNIT_KEYS = ["job_id", "record_id", "sub_key"]
 
 
+def _tick(label: str, t0: list) -> None:
+    """Step timer, printed only when TESSERA_PROFILE is set."""
+    import os
+    import time
+    if os.environ.get("TESSERA_PROFILE"):
+        now = time.time()
+        print(f"[pca] {label} {now - t0[0]:.1f}s", flush=True)
+        t0[0] = now
+
+
+B_SCHEMA = "job_id string, position long, b array<double>"
+
+
+def _reduce_by_position(job: str, pos: np.ndarray, contrib: np.ndarray, col: str) -> pd.DataFrame:
+    upos, inv = np.unique(pos, return_inverse=True)
+    part = np.zeros((len(upos), contrib.shape[1]))
+    np.add.at(part, inv, contrib)
+    return pd.DataFrame({"job_id": job, "position": upos, col: list(part)})
+
+
+def _sum_by_position(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sum the ``b`` arrays of equal (job, position) inside a hash partition (numpy, no per-key loop)."""
+    acc: dict[str, list] = {}
+    for pdf in batches:
+        for job, g in pdf.groupby("job_id", sort=False):
+            acc.setdefault(job, []).append((g["position"].to_numpy(np.int64), np.vstack(g["b"].to_numpy())))
+    for job, parts in acc.items():
+        yield _reduce_by_position(job, np.concatenate([p for p, _ in parts]),
+                                  np.concatenate([c for _, c in parts]), "b")
+
+
+def _sum_by_unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sum v·b per unit inside a hash partition on the unit key."""
+    keys, vecs = [], []
+    for pdf in batches:
+        if len(pdf):
+            keys.append(pdf[UNIT_KEYS])
+            vecs.append(np.vstack(pdf["b"].to_numpy()) * pdf["v"].to_numpy()[:, None])
+    if not keys:
+        return
+    k = pd.concat(keys, ignore_index=True)
+    m = np.concatenate(vecs)
+    codes, uniq = pd.factorize(pd.MultiIndex.from_frame(k.astype(object).where(k.notna(), None)))
+    out = np.zeros((len(uniq), m.shape[1]))
+    np.add.at(out, codes, m)
+    first = k.groupby(codes, sort=True).head(1).sort_index()
+    order = codes[first.index.to_numpy()]
+    res = first.reset_index(drop=True).copy()
+    res["y"] = list(out[order])
+    yield res
+
+
 def power_y(rows: DataFrame, bcols: DataFrame) -> DataFrame:
     """Y = X·B per unit: sparse entries joined to B's rows on (job, position), summed per unit.
 
@@ -52,11 +104,10 @@ def power_y(rows: DataFrame, bcols: DataFrame) -> DataFrame:
     """
     ent = rows.select(*UNIT_KEYS, F.explode(F.arrays_zip("positions", "values")).alias("e")) \
         .select(*UNIT_KEYS, F.col("e.positions").cast("long").alias("position"), F.col("e.values").alias("v"))
-    j = ent.join(bcols, ["job_id", "position"])
-    summed = (j.select(*UNIT_KEYS, F.transform("b", lambda x: x * F.col("v")).alias("c"))
-              .groupBy(*UNIT_KEYS).agg(F.array_agg("c").alias("cs"))
-              .select(*UNIT_KEYS, F.aggregate("cs", F.array_repeat(F.lit(0.0), F.size(F.element_at("cs", 1))),
-                                              lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b)).alias("y")))
+    j = ent.join(bcols, ["job_id", "position"]).select(*UNIT_KEYS, "v", "b")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    summed = j.repartition(n, *UNIT_KEYS).mapInPandas(
+        _sum_by_unit, "job_id string, record_id string, sub_key int, y array<double>")
     ell = bcols.select(F.size("b")).first()[0] if bcols.limit(1).count() else 0
     empty = rows.filter(F.size("positions") == 0).select(
         *UNIT_KEYS, F.array_repeat(F.lit(0.0), F.lit(ell)).alias("y"))
@@ -245,6 +296,8 @@ def randomized_fit_transform(spark: SparkSession, rows: DataFrame, n_units: dict
     (job_id, record_id, sub_key, vector array<double> of k values). Components:
     (job_id, position, loadings array<double>).
     """
+    import time
+    t0 = [time.time()]
     width = min(k + oversample, 128)
     rows_path = _fresh(spark, "pca-rows")
     rows.write.parquet(rows_path)
@@ -252,7 +305,9 @@ def randomized_fit_transform(spark: SparkSession, rows: DataFrame, n_units: dict
     y_path = _fresh(spark, "pca-y")
     sketch(rows, width).write.parquet(y_path)
     y = spark.read.parquet(y_path)
+    _tick("rows+sketch", t0)
     stats = _sum_partials(y.mapInPandas(_gram_partials, MOMENTS), n_units)
+    _tick("gram", t0)
     factors = {}
     for job, (n, s, ss) in stats.items():
         ybar = s / max(n, 1)
@@ -266,7 +321,7 @@ def randomized_fit_transform(spark: SparkSession, rows: DataFrame, n_units: dict
 
     def b_partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = bc_holder["bc"].value
-        acc: dict[tuple, np.ndarray] = {}
+        acc: dict[str, list] = {}
         for pdf in batches:
             for job, g in pdf.groupby("job_id", sort=False):
                 ybar, r = f[job]
@@ -277,29 +332,21 @@ def randomized_fit_transform(spark: SparkSession, rows: DataFrame, n_units: dict
                 vals = np.concatenate([np.asarray(v, dtype=np.float64) for v in g["values"]])
                 owner = np.repeat(np.arange(len(g)), lens)
                 q = (np.vstack(g["y"].to_numpy()) - ybar) @ r
-                contrib = q[owner] * vals[:, None]
-                upos, inv = np.unique(pos, return_inverse=True)
-                part = np.zeros((len(upos), q.shape[1]))
-                np.add.at(part, inv, contrib)
-                for p_, row in zip(upos.tolist(), part):
-                    key = (job, p_)
-                    acc[key] = acc[key] + row if key in acc else row
-        yield pd.DataFrame([(j, p, v.tolist()) for (j, p), v in acc.items()],
-                           columns=["job_id", "position", "b"])
+                acc.setdefault(job, []).append((pos, q[owner] * vals[:, None]))
+        for job, parts in acc.items():
+            yield _reduce_by_position(job, np.concatenate([p for p, _ in parts]),
+                                      np.concatenate([c for _, c in parts]), "b")
 
     def b_table(y_rows: DataFrame) -> DataFrame:
         """B = QᵀXc as rows (job, position, ℓ values), written to the work folder."""
-        keyed = rows.join(y_rows.select(*[F.col(c).alias(f"y_{c}") for c in UNIT_KEYS], "y"),
-                          [rows[c].eqNullSafe(F.col(f"y_{c}")) for c in UNIT_KEYS]) \
+        slim = rows.select(*UNIT_KEYS, "positions", "values")      # the hex strings are not needed here
+        keyed = slim.join(y_rows.select(*[F.col(c).alias(f"y_{c}") for c in UNIT_KEYS], "y"),
+                          [slim[c].eqNullSafe(F.col(f"y_{c}")) for c in UNIT_KEYS]) \
             .select("job_id", "record_id", "sub_key", "positions", "values", "y")
-        bpart = keyed.mapInPandas(b_partials, "job_id string, position long, b array<double>")
+        bpart = keyed.mapInPandas(b_partials, B_SCHEMA)
         path = _fresh(spark, "pca-b")
-        (bpart.groupBy("job_id", "position")
-         .agg(F.array_agg("b").alias("bs"))
-         .select("job_id", "position",
-                 F.aggregate("bs", F.array_repeat(F.lit(0.0), F.size(F.element_at("bs", 1))),
-                             lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b)).alias("b"))
-         .write.parquet(path))
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        bpart.repartition(n, "job_id", "position").mapInPandas(_sum_by_position, B_SCHEMA).write.parquet(path)
         return spark.read.parquet(path)
 
     def factorize(y_rows: DataFrame):
@@ -315,13 +362,17 @@ def randomized_fit_transform(spark: SparkSession, rows: DataFrame, n_units: dict
 
     bc_holder = {"bc": bc}
     bcols = b_table(y)
+    _tick("b", t0)
     for it in range(power_iters):
         # power step: Y ← X·B (Xc·B up to the mean, removed again by the factorisation)
         y_path = _fresh(spark, f"pca-y{it}")
         power_y(rows, bcols).write.parquet(y_path)
         y = spark.read.parquet(y_path)
+        _tick("power y", t0)
         bc_holder["bc"] = spark.sparkContext.broadcast(factorize(y))
+        _tick("factorize", t0)
         bcols = b_table(y)
+        _tick("b again", t0)
     bc = bc_holder["bc"]
 
 

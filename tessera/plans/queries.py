@@ -56,17 +56,17 @@ def q_tokenize(spark, sf_dir):
 
 def q_boc_embed(spark, sf_dir):
     units = _doc_units(spark, sf_dir)
-    return _long_out(count_embed.fit(units, BOC).transform(units))
+    return _long_out(count_embed.fit_transform(units, BOC)[1])
 
 
 def q_bow_embed(spark, sf_dir):
     units = _doc_units(spark, sf_dir)
-    return _long_out(count_embed.fit(units, BOW).transform(units))
+    return _long_out(count_embed.fit_transform(units, BOW)[1])
 
 
 def q_tfidf_embed(spark, sf_dir):
     units = _doc_units(spark, sf_dir)
-    return _long_out(count_embed.fit(units, TFIDF).transform(units))
+    return _long_out(count_embed.fit_transform(units, TFIDF)[1])
 
 
 def q_split_long_text(spark, sf_dir):

@@ -35,8 +35,7 @@ def unit_rows(units: DataFrame, long_df: DataFrame, vocab_hex: DataFrame) -> Dat
 
 def seeded_projection(units: DataFrame, width: int = DOC_COMPONENTS + pca.OVERSAMPLE) -> DataFrame:
     """The random-projection step of wide PCA on bag-of-words counts: (job, unit, Y = XΩ)."""
-    model = count_embed.fit(units, BOW)
-    long_df = model.transform(units)
+    model, long_df = count_embed.fit_transform(units, BOW)
     rows = unit_rows(units, long_df, vocab_with_hex(model, job_seeds(units)))
     return pca.sketch(rows, width)
 
@@ -47,8 +46,7 @@ def bow_pca_embed(units: DataFrame, records_per_job: DataFrame, k: int = DOC_COM
     Output is long form (job_id, record_id, sub_key, position, value).
     """
     spark = units.sparkSession
-    model = count_embed.fit(units, BOW)
-    long_df = model.transform(units)
+    model, long_df = count_embed.fit_transform(units, BOW)
     big_jobs = [r[0] for r in records_per_job.filter(F.col("n_records") >= k).select("job_id").collect()]
     small = long_df.filter(~F.col("job_id").isin(big_jobs)) if big_jobs else long_df
     if not big_jobs:
