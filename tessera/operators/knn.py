@@ -54,29 +54,49 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return m / n
 
 
+def _topk_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row, the k best by (score desc, id asc), vectorised.
+
+    ``scores`` are already rounded to integers (score · 10^places); ids are
+    ranked once per call so one int64 key orders both.
+    """
+    n, m = scores.shape
+    kk = min(k, m)
+    if kk == 0:
+        return np.zeros((n, 0)), np.empty((n, 0), dtype=object)
+    uniq, rank = np.unique(ids.astype(str), return_inverse=True)
+    rank = rank.reshape(ids.shape)
+    key = (-scores) * np.int64(len(uniq) + 1) + rank          # smaller is better
+    part = np.argpartition(key, kk - 1, axis=1)[:, :kk]
+    pk = np.take_along_axis(key, part, axis=1)
+    order = np.take_along_axis(part, np.argsort(pk, axis=1), axis=1)
+    return np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
+
+
+NEG = np.int64(-(1 << 40))   # below any rounded cosine; marks excluded pairs
+
+
 def _local_topk(q_ids: np.ndarray, q_mat: np.ndarray, k: int, exclude_self: bool, places: int):
+    scale = 10 ** places
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_s = np.full((len(q_ids), 0), -np.inf)
+        best_s = np.zeros((len(q_ids), 0), dtype=np.int64)
         best_i = np.empty((len(q_ids), 0), dtype=object)
         for pdf in batches:
-            if len(pdf) == 0:
+            if len(pdf) == 0 or len(q_ids) == 0:
                 continue
             ids = pdf["id"].to_numpy(dtype=object)
             mat = _unit_rows(np.vstack(pdf["vector"].to_numpy()).astype(np.float64))
-            s = np.round(q_mat @ mat.T, places)
+            s = np.rint(np.round(q_mat @ mat.T, places) * scale).astype(np.int64)
             if exclude_self:
-                s[q_ids[:, None] == ids[None, :]] = -np.inf
+                s[q_ids[:, None] == ids[None, :]] = NEG
             all_s = np.concatenate([best_s, s], axis=1)
             all_i = np.concatenate([best_i, np.broadcast_to(ids, s.shape)], axis=1)
-            keep_s = np.empty((len(q_ids), min(k, all_s.shape[1])))
-            keep_i = np.empty(keep_s.shape, dtype=object)
-            for r in range(len(q_ids)):
-                order = np.lexsort((all_i[r].astype(str), -all_s[r]))[:keep_s.shape[1]]
-                keep_s[r], keep_i[r] = all_s[r, order], all_i[r, order]
-            best_s, best_i = keep_s, keep_i
-        rows = [(q_ids[r], best_i[r, c], float(best_s[r, c]))
-                for r in range(len(q_ids)) for c in range(best_s.shape[1]) if np.isfinite(best_s[r, c])]
-        yield pd.DataFrame(rows, columns=["query_id", "neighbor_id", "score"])
+            best_s, best_i = _topk_rows(all_s, all_i, k)
+        r, c = np.nonzero(best_s > NEG)
+        yield pd.DataFrame({"query_id": q_ids[r] if len(r) else np.array([], dtype=object),
+                            "neighbor_id": best_i[r, c] if len(r) else np.array([], dtype=object),
+                            "score": best_s[r, c] / scale if len(r) else np.array([], dtype=np.float64)})
     return run
 
 
