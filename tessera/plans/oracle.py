@@ -522,3 +522,18 @@ FROM j"""
 SQL["re_embed_stream"] = SQL["re_embed"]
 
 SQL["score_stream"] = SQL["score_texts"]
+
+SQL["vector_scan_ordered"] = SQL["vector_upsert"]
+
+SQL["changes_x_records"] = SQL["order_preserving_lookup"]
+
+SQL["warnings_x_records"] = f"""
+WITH r AS (SELECT source AS project_id, CAST(doc_id AS VARCHAR) AS record_id, text FROM documents),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY record_id) - 1 AS pos FROM r),
+w AS (SELECT project_id, record_id, 'DOCUMENT_IS_SPLITTED' AS warning_type, pos FROM ranked WHERE length(text) > 200
+      UNION ALL
+      SELECT project_id, record_id, 'TOKEN_MISMATCHING' AS warning_type, pos FROM ranked
+      WHERE len({WORDS.format('text')}) <> len(regexp_extract_all(text, '\\S+')))
+SELECT project_id, warning_type, arg_max(record_id, pos) AS example_record_id,
+       arg_max(record_id, pos) AS pk_values
+FROM w GROUP BY project_id, warning_type"""

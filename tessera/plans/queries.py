@@ -506,6 +506,40 @@ def q_knn_topk(spark, sf_dir):
         "query_id", F.col("rank").cast("int").alias("rank"), "neighbor_id", (F.col("score") + 0.0).alias("score"))
 
 
+# --- explicit registrations of joined / ordered scans ---------------------------------
+
+def q_vector_scan_ordered(spark, sf_dir):
+    _, vecs = _boc_doc_vectors(spark, sf_dir)
+    store = VectorStore(spark)
+    store.append(vecs)
+    v = src.vector_scan_ordered(store.vectors())
+    return v.select("job_id", "record_id", _vsum(v).alias("vsum"))
+
+
+def q_changes_x_records(spark, sf_dir):
+    """Changed records joined to their current contents (semi-join of ids, then an equi join)."""
+    changes = _changes(spark, sf_dir).select("job_id", "record_id")
+    recs = src.record_lookup(src.edited_documents(spark, sf_dir),
+                             changes.select(F.col("job_id").alias("project_id"), "record_id"))
+    return changes.join(recs.select(F.col("project_id").alias("job_id"), "record_id", "text"),
+                        ["job_id", "record_id"])
+
+
+def q_warnings_x_records(spark, sf_dir):
+    """Last warned record per (project, type) joined to its primary-key field values."""
+    docs, warnings = _warnings(spark, sf_dir)
+    last = warnings.groupBy("project_id", "warning_type").agg(
+        F.max_by("record_id", F.struct("pos", "record_id")).alias("record_id"))
+    pk = jsrc.attributes_table(spark, sf_dir).filter(F.col("is_primary_key")).groupBy("project_id").agg(
+        F.array_sort(F.collect_list("name")).alias("pk_names"))
+    data = docs.select("project_id", "record_id",
+                       F.create_map(F.lit("doc_id"), F.col("record_id"), F.lit("lang"), F.col("lang")).alias("data"))
+    j = last.join(pk, "project_id", "left").join(data, ["project_id", "record_id"], "left")
+    return j.select("project_id", "warning_type", F.col("record_id").alias("example_record_id"),
+                    F.array_join(F.transform("pk_names", lambda n: F.element_at(F.col("data"), n)), ", ")
+                    .alias("pk_values"))
+
+
 # --- 2.8 streams ---------------------------------------------------------------------
 
 def _table_stream(spark, sf_dir, name):
@@ -622,6 +656,9 @@ QUERIES = {
     "bow_pca_embed": q_bow_pca_embed,
     "token_model_embed": q_token_model_embed,
     "knn_topk": q_knn_topk,
+    "vector_scan_ordered": q_vector_scan_ordered,
+    "changes_x_records": q_changes_x_records,
+    "warnings_x_records": q_warnings_x_records,
     "throttle_by_key": q_throttle_by_key,
     "throttle_stream": q_throttle_stream,
     "job_state_stream": q_job_state_stream,
