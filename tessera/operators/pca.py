@@ -57,10 +57,20 @@ def _tick(label: str, t0: list) -> None:
 B_SCHEMA = "job_id string, position long, b array<double>"
 
 
+def scatter_add(index: np.ndarray, weights: np.ndarray, rows: np.ndarray, n_out: int) -> np.ndarray:
+    """out[index[e], :] += weights[e] * rows[e, :] via one ``bincount`` per column.
+
+    Avoids np.add.at (unbuffered) and never builds the full entries × width product at once.
+    """
+    out = np.empty((n_out, rows.shape[1]))
+    for j in range(rows.shape[1]):
+        out[:, j] = np.bincount(index, weights=weights * rows[:, j], minlength=n_out)
+    return out
+
+
 def _reduce_by_position(job: str, pos: np.ndarray, contrib: np.ndarray, col: str) -> pd.DataFrame:
     upos, inv = np.unique(pos, return_inverse=True)
-    part = np.zeros((len(upos), contrib.shape[1]))
-    np.add.at(part, inv, contrib)
+    part = scatter_add(inv, np.ones(len(inv)), contrib, len(upos))
     return pd.DataFrame({"job_id": job, "position": upos, col: list(part)})
 
 
@@ -87,8 +97,7 @@ def _sum_by_unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     k = pd.concat(keys, ignore_index=True)
     m = np.concatenate(vecs)
     codes, uniq = pd.factorize(pd.MultiIndex.from_frame(k.astype(object).where(k.notna(), None)))
-    out = np.zeros((len(uniq), m.shape[1]))
-    np.add.at(out, codes, m)
+    out = scatter_add(codes, np.ones(len(codes)), m, len(uniq))
     first = k.groupby(codes, sort=True).head(1).sort_index()
     order = codes[first.index.to_numpy()]
     res = first.reset_index(drop=True).copy()
@@ -241,9 +250,8 @@ def _sketch(width: int):
             if lens.sum() > 0:
                 hexes = np.concatenate([np.asarray(h, dtype=object) for h in pdf["hexes"]])
                 vals = np.concatenate([np.asarray(v, dtype=np.float64) for v in pdf["values"]])
-                contrib = sign_bits(hexes, width) * vals[:, None]
                 owner = np.repeat(np.arange(len(pdf)), lens)
-                np.add.at(y, owner, contrib)
+                y = scatter_add(owner, vals, sign_bits(hexes, width), len(pdf))
             yield pd.DataFrame({"job_id": pdf["job_id"], "record_id": pdf["record_id"],
                                 "sub_key": pdf["sub_key"], "y": list(y)})
     return run
@@ -332,7 +340,11 @@ def randomized_fit_transform(spark: SparkSession, rows: DataFrame, n_units: dict
                 vals = np.concatenate([np.asarray(v, dtype=np.float64) for v in g["values"]])
                 owner = np.repeat(np.arange(len(g)), lens)
                 q = (np.vstack(g["y"].to_numpy()) - ybar) @ r
-                acc.setdefault(job, []).append((pos, q[owner] * vals[:, None]))
+                upos, inv = np.unique(pos, return_inverse=True)
+                part = np.empty((len(upos), q.shape[1]))
+                for j in range(q.shape[1]):
+                    part[:, j] = np.bincount(inv, weights=vals * q[owner, j], minlength=len(upos))
+                acc.setdefault(job, []).append((upos, part))
         for job, parts in acc.items():
             yield _reduce_by_position(job, np.concatenate([p for p, _ in parts]),
                                       np.concatenate([c for _, c in parts]), "b")

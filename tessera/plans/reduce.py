@@ -46,7 +46,9 @@ def bow_pca_embed(units: DataFrame, records_per_job: DataFrame, k: int = DOC_COM
     Output is long form (job_id, record_id, sub_key, position, value).
     """
     spark = units.sparkSession
+    t0 = [__import__("time").time()]
     model, long_df = count_embed.fit_transform(units, BOW)
+    pca._tick("bow fit", t0)
     big_jobs = [r[0] for r in records_per_job.filter(F.col("n_records") >= k).select("job_id").collect()]
     small = long_df.filter(~F.col("job_id").isin(big_jobs)) if big_jobs else long_df
     if not big_jobs:

@@ -78,6 +78,8 @@ class VectorStore:
         for job in touched_jobs:  # jobs left without any row: drop their partition
             if job not in present:
                 delete_path(self.spark, f"{self.vectors_path}/job_id={job}")
+        # the replace has committed; the staged copy is no longer read by anything
+        delete_path(self.spark, staging)
 
     def delete_records(self, ids: DataFrame) -> None:
         """Delete every vector of the given (job_id, record_id) pairs."""
