@@ -91,3 +91,16 @@ def test_model_embed_batches_errors_and_split(spark):
     assert np.allclose(got["a"]["vector"], [(10 * 10 + 10 * 10 + 5 * 5) / 25, 1.0])  # length-weighted mean
     assert got["b"]["error_class"] == "connection" and got["b"]["vector"] is None
     assert got["c"]["vector"] == [0.0, 0.0] and got["c"]["n_parts"] == 0
+
+
+def test_token_model_embed_reduces_to_16_centred(spark):
+    from tessera.plans.reduce import token_model_embed
+    texts = ["the quick brown fox jumps over the lazy dog", "a stitch in time saves nine",
+             "to be or not to be that is the question", "all that glitters is not gold"] * 5
+    rows = [("j", str(i), t_idx, tok) for i, t in enumerate(texts) for t_idx, tok in enumerate(t.split())]
+    toks = spark.createDataFrame(rows, "job_id string, record_id string, sub_key int, text string")
+    out = token_model_embed(toks).collect()
+    assert len(out) == len(rows)                                  # one vector per token
+    y = np.vstack([np.asarray(r["vector"]) for r in out])
+    assert 0 < y.shape[1] <= 16
+    assert np.allclose(y.mean(axis=0), 0, atol=1e-9)
