@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.time import from_micros, micros
 from ..operators import count_embed
 from ..schema import TOKEN_WAIT_CHECKS, TOKEN_WAIT_SECONDS
 from ..session import fresh_path
@@ -54,7 +55,7 @@ def token_gate(events: DataFrame, wait_seconds: int = TOKEN_WAIT_SECONDS,
              .join(w, "job_id").filter(F.col("rts") > F.col("t0"))
              .groupBy("job_id").agg(F.min("rts").alias("ready_at")))
     j = w.join(ready, "job_id", "left")
-    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    us = micros
     step = wait_seconds * 1_000_000
     c = F.ceil((us("ready_at") - us("t0")) / F.lit(step)).cast("long")
     ok = F.col("ready_at").isNotNull() & (c < checks)
@@ -62,7 +63,7 @@ def token_gate(events: DataFrame, wait_seconds: int = TOKEN_WAIT_SECONDS,
     return j.select("job_id", "t0", "ready_at",
                     F.when(ok, F.lit("ENCODING")).otherwise(F.lit("FAILED")).alias("outcome"),
                     F.when(ok, c).otherwise(F.lit(checks).cast("long")).alias("checks"),
-                    F.timestamp_micros(decided_us).cast("timestamp_ntz").alias("decided_at"))
+                    from_micros(decided_us).alias("decided_at"))
 
 
 def re_embed_stream(spark: SparkSession, store: VectorStore, change_dir: str, records: DataFrame,

@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.time import micros
+
 
 def _to_micros(col: str):
-    return F.unix_micros(F.col(col).cast("timestamp"))
+    return micros(col)
 
 
 def _scan(key: str, period_us: int):
