@@ -2,6 +2,7 @@
 
 Buckets and signs come from ``md5(term)`` hex digits, so the same numbers can
 be recomputed by any SQL engine (and by ``hashlib`` inside a Python worker).
+The PCA sketch signs use the bits of ``md5(seed:term)`` (see operators.pca).
 """
 
 from __future__ import annotations
@@ -35,16 +36,3 @@ def py_bucket_sign(term: str, dim: int = HASH_DIM) -> tuple[int, float]:
     """The same bucket and sign, for Python workers."""
     h = hashlib.md5(term.encode("utf-8")).hexdigest()
     return int(h[:8], 16) % dim, (1.0 if int(h[8], 16) < 8 else -1.0)
-
-
-def rademacher(seed: int, key: Column, width: int) -> Column:
-    """Array of ``width`` values in {+1, -1} derived from xxhash64(seed, key, j).
-
-    Used as rows of the random test matrix of randomized PCA: the matrix is
-    never stored or broadcast, every task derives the rows it needs.
-    """
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)),
-        lambda j: F.when(F.pmod(F.xxhash64(F.lit(seed), key, j), F.lit(2)) == 0, F.lit(1.0))
-        .otherwise(F.lit(-1.0)),
-    )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.indexing import ordinal_within
-from ..schema import (DOC_BATCH, ERR_NOT_FOUND, EXAMPLE_WITH_ID, EXAMPLE_WITH_PK, MSG_AZURE_KEY,
+from ..schema import (DOC_BATCH, EXAMPLE_WITH_ID, EXAMPLE_WITH_PK, MSG_AZURE_KEY,
                       MSG_COHERE_TOKEN, MSG_OPENAI_KEY, MSG_RUNTIME, WARNING_TEMPLATES)
 
 
@@ -162,4 +162,4 @@ def warning_report(warnings: DataFrame, records_data: DataFrame, attributes: Dat
 
 __all__ = ["unit_count", "unit_count_arrays", "vector_count", "progress_value", "progress_by_batch",
            "tokenization_progress", "batch_plan", "job_latest_state", "failure_report", "cancel_cut",
-           "vector_count_check", "token_mismatch", "warning_report", "ERR_NOT_FOUND"]
+           "vector_count_check", "token_mismatch", "warning_report"]

@@ -29,7 +29,6 @@ folder, so a lost executor recomputes one stage, not the whole chain.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,17 +135,15 @@ def fix_signs(v: np.ndarray) -> np.ndarray:
 
 
 def sign_bits(hexes: np.ndarray, width: int) -> np.ndarray:
-    """(n, width) matrix of ±1 from the first ``width`` bits of each 32-hex-digit md5."""
+    """(n, width) matrix of ±1 from the first ``width`` bits of each 32-hex-digit md5.
+
+    Bit j is bit (3 - j % 4) of hex digit j // 4 (big-endian), so SQL can read it too.
+    """
     raw = np.frombuffer(b"".join(bytes.fromhex(h) for h in hexes), dtype=np.uint8).reshape(len(hexes), 16)
     bits = np.unpackbits(raw, axis=1, bitorder="big")[:, :width]
     return 1.0 - 2.0 * bits.astype(np.float64)
 
 
-def sign_column_sql(width: int):
-    """Not used by Spark; documents the bit order: bit j = bit (3 - j % 4) of hex digit j // 4."""
-    return [(j // 4, 3 - j % 4) for j in range(width)]
-
-
 def adler32_expr(name_col):
     """adler32 of a string column's UTF-8 bytes as a JVM expression (matches ``zlib.adler32``)."""
     b = F.encode(name_col, "UTF-8")
@@ -470,7 +467,3 @@ def randomized_fit_transform(spark: SparkSession, rows: DataFrame, n_units: dict
 def _fresh(spark: SparkSession, tag: str) -> str:
     from ..session import fresh_path
     return fresh_path(spark, tag)
-
-
-def md5_hex(s: str) -> str:
-    return hashlib.md5(s.encode("utf-8")).hexdigest()

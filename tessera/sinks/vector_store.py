@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import normalize_df
-from ..session import default_parallelism, delete_path, fresh_path, list_partitions, path_exists
+from ..session import default_parallelism, delete_path, fresh_path, list_partitions
 
 VECTOR_COLS = ["project_id", "job_id", "record_id", "sub_key", "vector"]
 STORED_SCHEMA = "project_id string, record_id string, sub_key int, vector array<float>, job_id string"
