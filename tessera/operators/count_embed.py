@@ -73,8 +73,14 @@ class CountModel:
         return F.broadcast(v) if self.vocab_rows <= BROADCAST_VOCAB_ROWS else v
 
     def transform(self, units: DataFrame) -> DataFrame:
-        """Sparse vectors (job_id, record_id, sub_key, position, value) of ``units``."""
-        return self.transform_counts(term_counts(units.select(*UNIT_KEYS, "text"), self.kind, UNIT_KEYS))
+        """Sparse vectors (job_id, record_id, sub_key, position, value) of ``units``.
+
+        Units are hash-partitioned by (job_id, record_id) before the explode, so
+        the texts cross one shuffle and the term count, the broadcast vocabulary
+        join and the per-unit norm window all reuse that partitioning (one
+        exchange in the plan instead of two exchanges of term rows).
+        """
+        return self.transform_counts(term_counts(by_unit(units), self.kind, UNIT_KEYS))
 
     def transform_counts(self, tf: DataFrame) -> DataFrame:
         """Vectors from per-unit term counts (job_id, record_id, sub_key, term, n)."""
@@ -91,6 +97,12 @@ class CountModel:
         return dense_vectors(self.transform(units), units, self.stats())
 
 
+def by_unit(units: DataFrame) -> DataFrame:
+    """Units hash-partitioned by record (every list entry of a record lands in the same task)."""
+    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return units.select(*UNIT_KEYS, "text").repartition(n, "job_id", "record_id")
+
+
 def dense_vectors(long_df: DataFrame, units: DataFrame, stats: DataFrame) -> DataFrame:
     """Dense ``array<float>`` of the job width for each unit; units without terms get zeros."""
     widths = broadcast_if_small(stats.select("job_id", "width"))
@@ -140,7 +152,7 @@ def fit_transform(units: DataFrame, model: str) -> tuple[CountModel, DataFrame]:
     spark = units.sparkSession
     kind, _ = KIND_OF_MODEL[model]
     tf_path = fresh_path(spark, "term-counts")
-    term_counts(units.select(*UNIT_KEYS, "text"), kind, UNIT_KEYS).write.parquet(tf_path)
+    term_counts(by_unit(units), kind, UNIT_KEYS).write.parquet(tf_path)
     tf = spark.read.parquet(tf_path)
     m = fit(units, model, tf)
     return m, m.transform_counts(tf)
