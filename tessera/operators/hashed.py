@@ -16,14 +16,19 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_bucket, hash_sign, py_bucket_sign
 from ..functions.text import explode_terms
+from .count_embed import by_unit
 from ..schema import HASH_DIM, WORD_PATTERN
 
 UNIT_KEYS = ["job_id", "record_id", "sub_key"]
 
 
 def hashed_embed(units: DataFrame, dim: int = HASH_DIM) -> DataFrame:
-    """Sparse (job_id, record_id, sub_key, position, value) of hashed, normalised word counts."""
-    occ = explode_terms(units.select(*UNIT_KEYS, "text"), "words", UNIT_KEYS)
+    """Sparse (job_id, record_id, sub_key, position, value) of hashed, normalised word counts.
+
+    Units are partitioned by record first, so the bucket sums and the per-unit
+    norm share one exchange (of the texts).
+    """
+    occ = explode_terms(by_unit(units), "words", UNIT_KEYS)
     summed = (occ.select(*UNIT_KEYS, hash_bucket(F.col("term"), dim).alias("position"),
                          hash_sign(F.col("term")).alias("s"))
               .groupBy(*UNIT_KEYS, "position").agg(F.sum("s").alias("v")))
