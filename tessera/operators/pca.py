@@ -237,9 +237,11 @@ def term_signs_hex(seed_col, term_col):
 
 
 SKETCH_SCHEMA = "job_id string, record_id string, sub_key int, y array<double>"
+SKETCH_ROWS_SCHEMA = ("job_id string, record_id string, sub_key int, positions array<int>, "
+                      "values array<double>, y array<double>")
 
 
-def _sketch(width: int):
+def _sketch(width: int, keep_rows: bool = False):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             lens = pdf["positions"].map(len).to_numpy()
@@ -249,8 +251,12 @@ def _sketch(width: int):
                 vals = np.concatenate([np.asarray(v, dtype=np.float64) for v in pdf["values"]])
                 owner = np.repeat(np.arange(len(pdf)), lens)
                 y = scatter_add(owner, vals, sign_bits(hexes, width), len(pdf))
-            yield pd.DataFrame({"job_id": pdf["job_id"], "record_id": pdf["record_id"],
-                                "sub_key": pdf["sub_key"], "y": list(y)})
+            out = {"job_id": pdf["job_id"], "record_id": pdf["record_id"], "sub_key": pdf["sub_key"]}
+            if keep_rows:
+                out["positions"] = pdf["positions"]
+                out["values"] = pdf["values"]
+            out["y"] = list(y)
+            yield pd.DataFrame(out)
     return run
 
 
@@ -308,8 +314,11 @@ def randomized_fit_transform(spark: SparkSession, rows: DataFrame, n_units: dict
     rows.write.parquet(rows_path)
     rows = spark.read.parquet(rows_path)
     y_path = _fresh(spark, "pca-y")
-    sketch(rows, width).write.parquet(y_path)
-    y = spark.read.parquet(y_path)
+    # the sketch is written next to the sparse rows it came from, so the first
+    # B pass needs no join back to the rows
+    rows.mapInPandas(_sketch(width, keep_rows=True), SKETCH_ROWS_SCHEMA).write.parquet(y_path)
+    rows_y = spark.read.parquet(y_path)
+    y = rows_y.select(*UNIT_KEYS, "y")
     _tick("rows+sketch", t0)
     stats = _sum_partials(y.mapInPandas(_gram_partials, MOMENTS), n_units)
     _tick("gram", t0)
@@ -346,12 +355,13 @@ def randomized_fit_transform(spark: SparkSession, rows: DataFrame, n_units: dict
             yield _reduce_by_position(job, np.concatenate([p for p, _ in parts]),
                                       np.concatenate([c for _, c in parts]), "b")
 
-    def b_table(y_rows: DataFrame) -> DataFrame:
+    def b_table(y_rows: DataFrame, keyed: DataFrame | None = None) -> DataFrame:
         """B = QᵀXc as rows (job, position, ℓ values), written to the work folder."""
-        slim = rows.select(*UNIT_KEYS, "positions", "values")      # the hex strings are not needed here
-        keyed = slim.join(y_rows.select(*[F.col(c).alias(f"y_{c}") for c in UNIT_KEYS], "y"),
-                          [slim[c].eqNullSafe(F.col(f"y_{c}")) for c in UNIT_KEYS]) \
-            .select("job_id", "record_id", "sub_key", "positions", "values", "y")
+        if keyed is None:
+            slim = rows.select(*UNIT_KEYS, "positions", "values")      # the hex strings are not needed here
+            keyed = slim.join(y_rows.select(*[F.col(c).alias(f"y_{c}") for c in UNIT_KEYS], "y"),
+                              [slim[c].eqNullSafe(F.col(f"y_{c}")) for c in UNIT_KEYS]) \
+                .select("job_id", "record_id", "sub_key", "positions", "values", "y")
         bpart = keyed.mapInPandas(b_partials, B_SCHEMA)
         path = _fresh(spark, "pca-b")
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -370,7 +380,7 @@ def randomized_fit_transform(spark: SparkSession, rows: DataFrame, n_units: dict
         return out
 
     bc_holder = {"bc": bc}
-    bcols = b_table(y)
+    bcols = b_table(y, rows_y)
     _tick("b", t0)
     for it in range(power_iters):
         # power step: Y ← X·B (Xc·B up to the mean, removed again by the factorisation)
