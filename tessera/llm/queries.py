@@ -2,26 +2,43 @@
 
 from __future__ import annotations
 
-from . import decontaminate as _decontaminate
-from . import simhash as _simhash
-from . import suffixes as _suffixes
+from . import decontaminate, language, packing, sharding, simhash, suffixes
 from .frames import table
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file; every worker has them at the same place."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op1_language_id(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_benchmark_decontamination(spark, sf_dir):
-    return _decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_suffix_array_dedup(spark, sf_dir):
-    return _suffixes.digest(table(spark, sf_dir, "documents"))
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op9_simhash_near_dedup(spark, sf_dir):
-    return _simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_benchmark_decontamination, op4_suffix_array_dedup, op9_simhash_near_dedup,
+    op1_language_id, op3_benchmark_decontamination, op4_suffix_array_dedup,
+    op6_packing, op9_simhash_near_dedup, op10_sharding,
 )}
 
 # DuckDB SQL by query name, where SQL can express the operator over whole tables.
