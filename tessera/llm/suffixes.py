@@ -50,7 +50,8 @@ from .frames import nullable, shuffle_width, text_bytes
 
 MIN_BYTES = 200
 PACK_BYTES = 1 << 20
-BUCKETS_PER_TASK = 16
+BUCKETS_PER_TASK = 4
+LEAST_BUCKETS = 256
 TASK_BYTES = 32 << 20
 
 # A perfect difference set modulo 133.
@@ -238,7 +239,7 @@ def _compare_pairs(core: np.ndarray, block: np.ndarray) -> np.ndarray:
 
 def _round(packs: DataFrame, tasks: int, make, width: str, pairs: bool) -> DataFrame:
     """Deal the names of all packs by their leading bits, compare, and bring each pack its answers."""
-    buckets = tasks * BUCKETS_PER_TASK
+    buckets = max(LEAST_BUCKETS, tasks * BUCKETS_PER_TASK)
     dtype = np.dtype(width)
 
     def send(batches):
