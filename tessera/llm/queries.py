@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, packing, sharding, simhash, suffixes
+from . import decontaminate, language, packing, sharding, simhash, suffixes, tokencount, topk
 from .frames import table
 
 
@@ -16,6 +16,10 @@ def op1_language_id(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark, sf_dir):
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op3_benchmark_decontamination(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -28,6 +32,10 @@ def op6_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_exact_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,8 +45,8 @@ def op10_sharding(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op3_benchmark_decontamination, op4_suffix_array_dedup,
-    op6_packing, op9_simhash_near_dedup, op10_sharding,
+    op1_language_id, op2_token_counts, op3_benchmark_decontamination, op4_suffix_array_dedup,
+    op6_packing, op8_exact_top_k, op9_simhash_near_dedup, op10_sharding,
 )}
 
 # DuckDB SQL by query name, where SQL can express the operator over whole tables.
