@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, packing, sharding, simhash, suffixes, tokencount, topk
+from . import decontaminate, html, language, packing, sharding, simhash, suffixes, tokencount, topk, toxicity
 from .frames import table
 
 
@@ -28,10 +28,18 @@ def op4_suffix_array_dedup(spark, sf_dir):
     return suffixes.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_top_k(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -46,7 +54,7 @@ def op10_sharding(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_token_counts, op3_benchmark_decontamination, op4_suffix_array_dedup,
-    op6_packing, op8_exact_top_k, op9_simhash_near_dedup, op10_sharding,
+    op5_html_text, op6_packing, op7_toxicity, op8_exact_top_k, op9_simhash_near_dedup, op10_sharding,
 )}
 
 # DuckDB SQL by query name, where SQL can express the operator over whole tables.
