@@ -46,7 +46,9 @@ def ordinal_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
              .agg(F.count(F.lit(1)).alias("_cnt"), F.min("_pos").alias("_first")))
     before = Window.partitionBy(*group_cols).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
-    out = (staged.join(spans.select("_task", *group_cols, "_off", "_first"), ["_task", *group_cols])
+    spans = spans.select(F.col("_task").alias("_span_task"), *[F.col(c).alias(f"_span_{c}") for c in group_cols], "_off", "_first")
+    same = [F.col("_task") == F.col("_span_task"), *[staged[c].eqNullSafe(F.col(f"_span_{c}")) for c in group_cols]]
+    out = (staged.join(spans, same)
            .withColumn(out_col, F.col("_off") + F.col("_pos") - F.col("_first"))
-           .drop("_mid", "_task", "_pos", "_off", "_first"))
+           .drop("_mid", "_task", "_pos", "_off", "_first", "_span_task", *[f"_span_{c}" for c in group_cols]))
     return out

@@ -60,11 +60,8 @@ def split_parts(units: DataFrame, keys: list[str], max_chars: int = SPLIT_CHARS)
     character lands in exactly one part. Empty or null texts give no part.
     """
     n_parts = F.ceil(F.length("text") / F.lit(max_chars)).cast("int")
+    # one pass over the text; the part rows carry their part only
+    parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{max_chars}}}"), F.lit(0))
     return (units
-            .withColumn("n_parts", n_parts)
-            .filter(F.col("n_parts") > 0)
-            .select(*keys, "n_parts", "text",
-                    F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part_idx"))
-            .withColumn("part", F.substring(F.col("text"), F.col("part_idx") * max_chars + 1, max_chars))
-            .withColumn("part_len", F.length("part"))
-            .drop("text"))
+            .select(*keys, n_parts.alias("n_parts"), F.posexplode(parts).alias("part_idx", "part"))
+            .withColumn("part_len", F.length("part")))

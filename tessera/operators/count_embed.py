@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.indexing import ordinal_within
 from ..functions.text import term_counts
@@ -52,10 +53,17 @@ class CountModel:
         return SparkSession.getActiveSession()
 
     def vocab(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/vocab")
+        return self._table("vocab")
 
     def stats(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/stats")
+        return self._table("stats")
+
+    def _table(self, name: str) -> DataFrame:
+        """A model table; its job_id may be a partition column, whose values must stay strings."""
+        raw = self.spark.read.parquet(f"{self.path}/{name}")
+        fields = [f for f in raw.schema.fields if f.name != "job_id"]
+        schema = T.StructType([*fields, T.StructField("job_id", T.StringType())])
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def save_meta(self) -> None:
         self.spark.createDataFrame(

@@ -29,6 +29,7 @@ folder, so a lost executor recomputes one stage, not the whole chain.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,8 @@ from pyspark.sql import types as T
 
 NARROW_MAX = 4096
 OVERSAMPLE = 16
-POWER_ITERS = 1
+POWER_ITERS = 2
+CHUNK_ROWS = 50_000
 UNIT_KEYS = ["job_id", "record_id", "sub_key"]
 
 
@@ -67,41 +69,60 @@ def scatter_add(index: np.ndarray, weights: np.ndarray, rows: np.ndarray, n_out:
     return out
 
 
-def _reduce_by_position(job: str, pos: np.ndarray, contrib: np.ndarray, col: str) -> pd.DataFrame:
-    upos, inv = np.unique(pos, return_inverse=True)
-    part = scatter_add(inv, np.ones(len(inv)), contrib, len(upos))
-    return pd.DataFrame({"job_id": job, "position": upos, col: list(part)})
+def _sum_sorted(keys: list[str], col: str):
+    """Sum the arrays ``col`` of equal keys in rows sorted by the keys (job first); holds one batch and one open key."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: tuple | None = None  # (key, array) of the last key, which may go on in the next batch
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            done_keys, done = [], []
+            marks = pdf[keys].astype(object).where(pdf[keys].notna(), None)
+            for job, at in pdf.groupby("job_id", sort=False).indices.items():  # widths differ between jobs
+                at = np.sort(at)
+                part = list(map(tuple, marks.iloc[at].itertuples(index=False)))
+                first = np.array([0] + [x for x in range(1, len(part)) if part[x] != part[x - 1]])
+                sums = np.add.reduceat(np.vstack(pdf[col].to_numpy()[at]), first, axis=0)
+                for key, value in zip((part[x] for x in first), sums):
+                    if held is not None and held[0] == key:
+                        held = (key, held[1] + value)
+                        continue
+                    if held is not None:
+                        done_keys.append(held[0])
+                        done.append(held[1])
+                    held = (key, value)
+            if done:
+                out = pd.DataFrame(done_keys, columns=keys)
+                out[col] = done
+                yield out
+        if held is not None:
+            out = pd.DataFrame([held[0]], columns=keys)
+            out[col] = [held[1]]
+            yield out
+    return run
 
 
-def _sum_by_position(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sum the ``b`` arrays of equal (job, position) inside a hash partition (numpy, no per-key loop)."""
-    acc: dict[str, list] = {}
-    for pdf in batches:
+def _weighted_by_unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """v * b of joined entries, added up per unit in chunks: a shuffle row per unit and block of positions, not per entry."""
+    def flush(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(parts, ignore_index=True)
         for job, g in pdf.groupby("job_id", sort=False):
-            acc.setdefault(job, []).append((g["position"].to_numpy(np.int64), np.vstack(g["b"].to_numpy())))
-    for job, parts in acc.items():
-        yield _reduce_by_position(job, np.concatenate([p for p, _ in parts]),
-                                  np.concatenate([c for _, c in parts]), "b")
-
+            _, order, codes = np.unique(g["unit"].to_numpy(), return_index=True, return_inverse=True)
+            y = scatter_add(codes, g["v"].to_numpy(), np.vstack(g["b"].to_numpy()), len(order))
+            out = g.iloc[order][UNIT_KEYS].reset_index(drop=True)
+            out["y"] = list(y)
+            yield out
 
-def _sum_by_unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sum v·b per unit inside a hash partition on the unit key."""
-    keys, vecs = [], []
+    parts, rows = [], 0
     for pdf in batches:
         if len(pdf):
-            keys.append(pdf[UNIT_KEYS])
-            vecs.append(np.vstack(pdf["b"].to_numpy()) * pdf["v"].to_numpy()[:, None])
-    if not keys:
-        return
-    k = pd.concat(keys, ignore_index=True)
-    m = np.concatenate(vecs)
-    codes, uniq = pd.factorize(pd.MultiIndex.from_frame(k.astype(object).where(k.notna(), None)))
-    out = scatter_add(codes, np.ones(len(codes)), m, len(uniq))
-    first = k.groupby(codes, sort=True).head(1).sort_index()
-    order = codes[first.index.to_numpy()]
-    res = first.reset_index(drop=True).copy()
-    res["y"] = list(out[order])
-    yield res
+            parts.append(pdf)
+            rows += len(pdf)
+        if rows >= CHUNK_ROWS:
+            yield from flush(parts)
+            parts, rows = [], 0
+    if parts:
+        yield from flush(parts)
 
 
 def power_y(rows: DataFrame, bcols: DataFrame) -> DataFrame:
@@ -112,16 +133,21 @@ def power_y(rows: DataFrame, bcols: DataFrame) -> DataFrame:
     """
     ent = rows.select(*UNIT_KEYS, F.explode(F.arrays_zip("positions", "values")).alias("e")) \
         .select(*UNIT_KEYS, F.col("e.positions").cast("long").alias("position"), F.col("e.values").alias("v"))
-    j = ent.join(bcols, ["job_id", "position"]).select(*UNIT_KEYS, "v", "b")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    summed = j.repartition(n, *UNIT_KEYS).mapInPandas(
-        _sum_by_unit, "job_id string, record_id string, sub_key int, y array<double>")
-    ell = bcols.select(F.size("b")).first()[0] if bcols.limit(1).count() else 0
-    empty = rows.filter(F.size("positions") == 0).select(
-        *UNIT_KEYS, F.array_repeat(F.lit(0.0), F.lit(ell)).alias("y"))
+    unit = F.xxhash64(*UNIT_KEYS, F.col("sub_key").isNull()).alias("unit")
+    joined = ent.join(bcols, ["job_id", "position"]).select(*UNIT_KEYS, unit, "v", "b")
+    partial = joined.mapInPandas(_weighted_by_unit, Y_SCHEMA)
+    summed = partial.repartition(*[F.col(c) for c in UNIT_KEYS]).sortWithinPartitions(*UNIT_KEYS).mapInPandas(
+        _sum_sorted(UNIT_KEYS, "y"), Y_SCHEMA)
+    widths = bcols.groupBy("job_id").agg(F.max(F.size("b")).alias("width"))
+    # units without terms, and all units of jobs in which B has no direction
+    empty = rows.join(widths, "job_id", "left").filter((F.size("positions") == 0) | F.col("width").isNull()).select(
+        *UNIT_KEYS, F.array_repeat(F.lit(0.0), F.coalesce("width", F.lit(0))).alias("y"))
     return summed.unionByName(empty)
 
 
+Y_SCHEMA = "job_id string, record_id string, sub_key int, y array<double>"
+
+
 # --- helpers -----------------------------------------------------------------
 
 def fix_signs(v: np.ndarray) -> np.ndarray:
@@ -138,9 +164,14 @@ def sign_bits(hexes: np.ndarray, width: int) -> np.ndarray:
     """(n, width) matrix of ±1 from the first ``width`` bits of each 32-hex-digit md5.
 
     Bit j is bit (3 - j % 4) of hex digit j // 4 (big-endian), so SQL can read it too.
+    Beyond 128 bits each further 128 come from the md5 of the hex digits before.
     """
-    raw = np.frombuffer(b"".join(bytes.fromhex(h) for h in hexes), dtype=np.uint8).reshape(len(hexes), 16)
-    bits = np.unpackbits(raw, axis=1, bitorder="big")[:, :width]
+    blocks, current = [], [str(h) for h in hexes]
+    for _ in range(max(1, -(-width // 128))):
+        blocks.append(np.frombuffer(b"".join(map(bytes.fromhex, current)), dtype=np.uint8).reshape(len(hexes), 16))
+        if 128 * len(blocks) < width:
+            current = [hashlib.md5(h.encode()).hexdigest() for h in current]
+    bits = np.unpackbits(np.concatenate(blocks, axis=1), axis=1, bitorder="big")[:, :width]
     return 1.0 - 2.0 * bits.astype(np.float64)
 
 
@@ -160,20 +191,42 @@ def adler32_expr(name_col):
 
 # --- narrow, exact -----------------------------------------------------------
 
-def _partial_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    acc: dict[str, list] = {}
-    for pdf in batches:
-        for job, g in pdf.groupby("job_id", sort=False):
-            x = np.vstack(g["vector"].to_numpy()).astype(np.float64)
-            a = acc.setdefault(job, [0, np.zeros(x.shape[1]), np.zeros((x.shape[1], x.shape[1]))])
-            a[0] += len(x)
-            a[1] = a[1] + x.sum(axis=0)
-            a[2] = a[2] + x.T @ x
-    yield pd.DataFrame([(j, a[0], a[1].tolist(), a[2].ravel().tolist()) for j, a in acc.items()],
-                       columns=["job_id", "n", "s", "ss"])
+def _moments(column: str):
+    """Per task and job: sums, and the upper triangle of sums of products, one row per entry (i = -1: the sum)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc: dict[str, list] = {}
+        for pdf in batches:
+            for job, g in pdf.groupby("job_id", sort=False):
+                x = np.vstack(g[column].to_numpy()).astype(np.float64)
+                a = acc.setdefault(job, [0, np.zeros(x.shape[1]), np.zeros((x.shape[1], x.shape[1]))])
+                a[0] += len(x)
+                a[1] += x.sum(axis=0)
+                a[2] += x.T @ x
+        for job, (n, s, ss) in acc.items():
+            d = len(s)
+            i, j = np.triu_indices(d)
+            yield pd.DataFrame({"job_id": job, "i": np.concatenate([[-2], np.full(d, -1), i]),
+                                "j": np.concatenate([[0], np.arange(d), j]), "v": np.concatenate([[float(n)], s, ss[i, j]])})
+    return run
+
 
+MOMENTS = "job_id string, i long, j long, v double"
 
-MOMENTS = "job_id string, n long, s array<double>, ss array<double>"
+
+def _sum_moments(df: DataFrame) -> dict[str, tuple]:
+    """job -> (n, sums, sums of products); added up by Spark, so the driver gets one triangle a job."""
+    rows = df.groupBy("job_id", "i", "j").agg(F.sum("v").alias("v")).toPandas()
+    out = {}
+    for job, g in rows.groupby("job_id", sort=False):
+        i, j, v = g["i"].to_numpy(), g["j"].to_numpy(), g["v"].to_numpy()
+        s = np.zeros(int((i == -1).sum()))
+        s[j[i == -1]] = v[i == -1]
+        ss = np.zeros((len(s), len(s)))
+        part = i >= 0
+        ss[i[part], j[part]] = v[part]
+        ss[j[part], i[part]] = v[part]
+        out[job] = (int(v[i == -2][0]), s, ss)
+    return out
 
 
 def narrow_fit(vectors: DataFrame, k: int) -> dict[str, dict]:
@@ -182,19 +235,13 @@ def narrow_fit(vectors: DataFrame, k: int) -> dict[str, dict]:
     ``vectors(job_id, vector array)`` of width ≤ NARROW_MAX. The result per job
     is O(d²), bounded by the width limit.
     """
-    parts = vectors.select("job_id", F.col("vector").cast("array<double>")).mapInPandas(_partial_moments, MOMENTS)
-    sums = parts.groupBy("job_id").agg(
-        F.sum("n").alias("n"),
-        F.array_agg(F.struct("s", "ss")).alias("p"))
+    widest = vectors.agg(F.max(F.size("vector"))).first()[0] or 0
+    if widest > NARROW_MAX:  # before any d x d table is built
+        raise ValueError(f"width {widest} over the narrow PCA limit {NARROW_MAX}")
+    vectors = vectors.select("job_id", F.col("vector").cast("array<double>"))
     out = {}
-    for r in sums.toLocalIterator():  # one row per job; each bounded by NARROW_MAX²
-        n = int(r["n"])
-        s = np.sum([np.asarray(p["s"]) for p in r["p"]], axis=0)
-        ss = np.sum([np.asarray(p["ss"]) for p in r["p"]], axis=0)
+    for job, (n, s, ss) in _sum_moments(vectors.mapInPandas(_moments("vector"), MOMENTS)).items():
         d = len(s)
-        if d > NARROW_MAX:
-            raise ValueError(f"width {d} over the narrow PCA limit {NARROW_MAX}")
-        ss = ss.reshape(d, d)
         mean = s / max(n, 1)
         cov = (ss - n * np.outer(mean, mean)) / max(n - 1, 1)
         w, v = np.linalg.eigh(cov)
@@ -202,7 +249,7 @@ def narrow_fit(vectors: DataFrame, k: int) -> dict[str, dict]:
         w, v = w[order], v[:, order]
         rank = int(np.sum(w > max(w[0], 0) * 1e-10)) if len(w) else 0
         kk = max(0, min(k, rank, n - 1 if n > 1 else 0))
-        out[r["job_id"]] = {"n": n, "mean": mean, "cov": cov, "components": fix_signs(v[:, :kk]),
+        out[job] = {"n": n, "mean": mean, "cov": cov, "components": fix_signs(v[:, :kk]),
                             "explained": w[:kk]}
     return out
 
@@ -274,27 +321,12 @@ def sketch(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInPandas(_sketch(width), SKETCH_SCHEMA)
 
 
-def _gram_partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    acc: dict[str, list] = {}
-    for pdf in batches:
-        for job, g in pdf.groupby("job_id", sort=False):
-            y = np.vstack(g["y"].to_numpy())
-            a = acc.setdefault(job, [0, np.zeros(y.shape[1]), np.zeros((y.shape[1], y.shape[1]))])
-            a[0] += len(y)
-            a[1] = a[1] + y.sum(axis=0)
-            a[2] = a[2] + y.T @ y
-    yield pd.DataFrame([(j, a[0], a[1].tolist(), a[2].ravel().tolist()) for j, a in acc.items()],
-                       columns=["job_id", "n", "s", "ss"])
-
-
-def _sum_partials(df: DataFrame, n_units: dict[str, int]) -> dict[str, tuple]:
-    sums = df.groupBy("job_id").agg(F.array_agg(F.struct("n", "s", "ss")).alias("p"))
-    out = {}
-    for r in sums.toLocalIterator():  # one row per job, each ℓ² doubles
-        s = np.sum([np.asarray(p["s"]) for p in r["p"]], axis=0)
-        ss = np.sum([np.asarray(p["ss"]) for p in r["p"]], axis=0)
-        out[r["job_id"]] = (n_units.get(r["job_id"], 0), s, ss.reshape(len(s), len(s)))
-    return out
+def _orthonormaliser(n: int, s: np.ndarray, ss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, R) with (Y - mean) R orthonormal on the directions above rounding noise."""
+    mean = s / max(n, 1)
+    w, v = np.linalg.eigh(ss - n * np.outer(mean, mean))
+    keep = w > max(w.max(initial=0.0) * 1e-10, np.trace(ss) * 1e-12, 0.0)
+    return mean, v[:, keep] / np.sqrt(w[keep])
 
 
 def randomized_fit_transform(spark: SparkSession, rows: DataFrame, n_units: dict[str, int], k: int,
@@ -309,7 +341,7 @@ def randomized_fit_transform(spark: SparkSession, rows: DataFrame, n_units: dict
     """
     import time
     t0 = [time.time()]
-    width = min(k + oversample, 128)
+    width = k + oversample
     rows_path = _fresh(spark, "pca-rows")
     rows.write.parquet(rows_path)
     rows = spark.read.parquet(rows_path)
@@ -320,40 +352,29 @@ def randomized_fit_transform(spark: SparkSession, rows: DataFrame, n_units: dict
     rows_y = spark.read.parquet(y_path)
     y = rows_y.select(*UNIT_KEYS, "y")
     _tick("rows+sketch", t0)
-    stats = _sum_partials(y.mapInPandas(_gram_partials, MOMENTS), n_units)
+    def factorize(y_rows: DataFrame) -> dict:
+        sums = _sum_moments(y_rows.mapInPandas(_moments("y"), MOMENTS))
+        # n counts the units of the sketch, which holds every unit of the job
+        return {job: _orthonormaliser(n, s, ss) for job, (n, s, ss) in sums.items()}
+
+    factors = factorize(y)
     _tick("gram", t0)
-    factors = {}
-    for job, (n, s, ss) in stats.items():
-        ybar = s / max(n, 1)
-        g = ss - n * np.outer(ybar, ybar)
-        w, v = np.linalg.eigh(g)
-        keep = w > max(w.max(initial=0.0), 0) * 1e-10
-        # orthonormaliser for Yc: Q = Yc R with R = V diag(w^-1/2) on the kept directions
-        r = v[:, keep] / np.sqrt(w[keep])
-        factors[job] = (ybar, r)
     bc = spark.sparkContext.broadcast(factors)
 
     def b_partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = bc_holder["bc"].value
-        acc: dict[str, list] = {}
         for pdf in batches:
             for job, g in pdf.groupby("job_id", sort=False):
                 ybar, r = f[job]
                 lens = g["positions"].map(len).to_numpy()
-                if lens.sum() == 0:
+                if lens.sum() == 0 or r.shape[1] == 0:
                     continue
                 pos = np.concatenate([np.asarray(p, dtype=np.int64) for p in g["positions"]])
                 vals = np.concatenate([np.asarray(v, dtype=np.float64) for v in g["values"]])
                 owner = np.repeat(np.arange(len(g)), lens)
                 q = (np.vstack(g["y"].to_numpy()) - ybar) @ r
                 upos, inv = np.unique(pos, return_inverse=True)
-                part = np.empty((len(upos), q.shape[1]))
-                for j in range(q.shape[1]):
-                    part[:, j] = np.bincount(inv, weights=vals * q[owner, j], minlength=len(upos))
-                acc.setdefault(job, []).append((upos, part))
-        for job, parts in acc.items():
-            yield _reduce_by_position(job, np.concatenate([p for p, _ in parts]),
-                                      np.concatenate([c for _, c in parts]), "b")
+                yield pd.DataFrame({"job_id": job, "position": upos, "b": list(scatter_add(inv, vals, q[owner], len(upos)))})
 
     def b_table(y_rows: DataFrame, keyed: DataFrame | None = None) -> DataFrame:
         """B = QᵀXc as rows (job, position, ℓ values), written to the work folder."""
@@ -364,21 +385,10 @@ def randomized_fit_transform(spark: SparkSession, rows: DataFrame, n_units: dict
                 .select("job_id", "record_id", "sub_key", "positions", "values", "y")
         bpart = keyed.mapInPandas(b_partials, B_SCHEMA)
         path = _fresh(spark, "pca-b")
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        bpart.repartition(n, "job_id", "position").mapInPandas(_sum_by_position, B_SCHEMA).write.parquet(path)
+        (bpart.repartition("job_id", "position").sortWithinPartitions("job_id", "position")
+         .mapInPandas(_sum_sorted(["job_id", "position"], "b"), B_SCHEMA).write.parquet(path))
         return spark.read.parquet(path)
 
-    def factorize(y_rows: DataFrame):
-        st = _sum_partials(y_rows.mapInPandas(_gram_partials, MOMENTS), n_units)
-        out = {}
-        for job, (n, s_, ss) in st.items():
-            ybar = s_ / max(n, 1)
-            g = ss - n * np.outer(ybar, ybar)
-            w, v = np.linalg.eigh(g)
-            keep = w > max(w.max(initial=0.0), 0) * 1e-10
-            out[job] = (ybar, v[:, keep] / np.sqrt(w[keep]))
-        return out
-
     bc_holder = {"bc": bc}
     bcols = b_table(y, rows_y)
     _tick("b", t0)
@@ -395,21 +405,7 @@ def randomized_fit_transform(spark: SparkSession, rows: DataFrame, n_units: dict
     bc = bc_holder["bc"]
 
 
-    def bbt_partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc: dict[str, np.ndarray] = {}
-        for pdf in batches:
-            for job, g in pdf.groupby("job_id", sort=False):
-                b = np.vstack(g["b"].to_numpy())
-                acc[job] = acc.get(job, 0) + b.T @ b
-        yield pd.DataFrame([(j, 0, [0.0], m.ravel().tolist()) for j, m in acc.items()],
-                           columns=["job_id", "n", "s", "ss"])
-
-    bbt = {}
-    for r in bcols.mapInPandas(bbt_partials, MOMENTS).groupBy("job_id") \
-            .agg(F.array_agg("ss").alias("p")).toLocalIterator():
-        m = np.sum([np.asarray(p) for p in r["p"]], axis=0)
-        side = int(round(np.sqrt(len(m))))
-        bbt[r["job_id"]] = m.reshape(side, side)
+    bbt = {job: ss for job, (_, _, ss) in _sum_moments(bcols.mapInPandas(_moments("b"), MOMENTS)).items()}
     svd = {}
     for job, m in bbt.items():
         w, u = np.linalg.eigh(m)
@@ -450,12 +446,13 @@ def randomized_fit_transform(spark: SparkSession, rows: DataFrame, n_units: dict
             out = []
             for job, g in pdf.groupby("job_id", sort=False):
                 ybar, r = f[job]
-                u, sv = s[job]
+                # a job without any direction (empty or identical texts) keeps its units, with one zero coordinate
+                u, sv = s.get(job, (np.zeros((r.shape[1], 0)), np.zeros(0)))
                 yv = np.vstack(g["y"].to_numpy())
                 c = ((yv - ybar) @ r) @ u * sv
                 c = c * fl.get(job, np.ones(c.shape[1]))[: c.shape[1]]
                 gg = g[["job_id", "record_id", "sub_key"]].copy()
-                gg["vector"] = list(c)
+                gg["vector"] = list(c if c.shape[1] else np.zeros((len(gg), 1)))
                 out.append(gg)
             if out:
                 yield pd.concat(out, ignore_index=True)

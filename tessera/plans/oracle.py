@@ -374,6 +374,12 @@ SELECT source AS job_id, CAST(doc_id AS VARCHAR) AS record_id, CAST(len({CHARS.f
 FROM documents"""
 
 SQL["vector_export"] = SQL["vector_upsert"]
+SQL["vector_scan_ordered"] = SQL["vector_upsert"]
+
+SQL["vector_upsert"] = f"""
+SELECT source AS job_id, CAST(doc_id AS VARCHAR) AS record_id,
+       CAST(len({CHARS.format("text || CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'eee' ELSE '' END")}) AS BIGINT) AS vsum
+FROM documents"""
 
 SQL["export_policy"] = "SELECT source AS job_id, count(*) AS n_rows FROM documents GROUP BY source"
 
@@ -523,8 +529,6 @@ SQL["re_embed_stream"] = SQL["re_embed"]
 
 SQL["score_stream"] = SQL["score_texts"]
 
-SQL["vector_scan_ordered"] = SQL["vector_upsert"]
-
 SQL["changes_x_records"] = SQL["order_preserving_lookup"]
 
 SQL["warnings_x_records"] = f"""

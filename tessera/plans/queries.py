@@ -343,6 +343,8 @@ def q_vector_upsert(spark, sf_dir):
     changes = _changes(spark, sf_dir)
     edited = src.job_units(src.edited_documents(spark, sf_dir)).join(
         changes.select("job_id", "record_id"), ["job_id", "record_id"], "left_semi")
+    # the new text has other counts than the old one, so that an upsert that does nothing shows
+    edited = edited.withColumn("text", F.concat("text", F.lit("eee")))
     store.upsert(model.dense(edited).withColumn("project_id", F.col("job_id")))
     return _read_back(store)
 

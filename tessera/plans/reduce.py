@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import count_embed, pca
 from ..operators.model_embed import model_embed
+from ..session import fresh_path
 from ..schema import BOW, DOC_COMPONENTS, TOKEN_BATCH, TOKEN_COMPONENTS
 
 UNIT_KEYS = ["job_id", "record_id", "sub_key"]
@@ -75,6 +76,13 @@ def token_model_embed(tokens: DataFrame, make_fn=None, k: int = TOKEN_COMPONENTS
     ``tokens`` are units (job_id, record_id, sub_key = token_idx, text = token).
     """
     vec = model_embed(token_contexts(tokens), make_fn=make_fn, batch_size=TOKEN_BATCH)
-    vec = vec.filter(F.col("error_class").isNull()).select(*UNIT_KEYS, "vector")
+    # written once and read twice: the model runs once, and fit and transform see the same vectors
+    path = fresh_path(tokens.sparkSession, "token-vectors")
+    vec.write.parquet(path)
+    vec = tokens.sparkSession.read.schema(vec.schema).parquet(path)
+    failed = vec.filter(F.col("error_class").isNotNull()).select("job_id", "error_class").limit(1).collect()
+    if failed:  # a job fails as a whole; a part of its tokens is never reduced
+        raise RuntimeError(f"model failed for job {failed[0]['job_id']}: {failed[0]['error_class']}")
+    vec = vec.select(*UNIT_KEYS, "vector")
     fitted = pca.narrow_fit(vec, k)
     return pca.narrow_transform(vec, fitted, UNIT_KEYS)

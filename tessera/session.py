@@ -9,8 +9,10 @@ pick a fresh folder of our own.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import SparkSession
 
@@ -36,9 +38,17 @@ def build_session(master: str = "local[8]", app: str = "tessera",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     workdir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which need not find it in their working folder."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    place = os.path.join(tempfile.mkdtemp(prefix="tessera-package-"), os.path.basename(package))
+    spark.sparkContext.addPyFile(shutil.make_archive(place, "zip", os.path.dirname(package), os.path.basename(package)))
+
+
 def workdir(spark: SparkSession) -> str:
     """The shared checkpoint folder; set a private one only if none is configured."""
     sc = spark.sparkContext
@@ -46,6 +56,8 @@ def workdir(spark: SparkSession) -> str:
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
         if not d:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             d = tempfile.mkdtemp(prefix="tessera-ckpt-")
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir() or d
@@ -59,11 +71,6 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{base}{sep}{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(p: str) -> str:
-    """Strip a file: scheme for local-file checks (tests only)."""
-    return p[5:] if p.startswith("file:") else p
-
-
 def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
 
@@ -85,10 +92,6 @@ def delete_path(spark: SparkSession, path: str) -> None:
         fs.delete(p, True)
 
 
-def env_flag(name: str, default: str = "") -> str:
-    return os.environ.get(name, default)
-
-
 # Largest row count we broadcast for per-job metadata tables (stats, offsets).
 BROADCAST_MAX_ROWS = 200_000
 
@@ -105,7 +108,7 @@ def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
 
 
 def list_partitions(spark: SparkSession, path: str, column: str) -> list[str]:
-    """Values of a partition column present under ``path`` (directory listing only)."""
+    """Values of a partition column present under ``path`` (directory listing only), decoded."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -113,5 +116,11 @@ def list_partitions(spark: SparkSession, path: str, column: str) -> list[str]:
     if not fs.exists(p):
         return []
     prefix = f"{column}="
-    return [st.getPath().getName()[len(prefix):] for st in fs.listStatus(p)
+    return [unquote(st.getPath().getName()[len(prefix):]) for st in fs.listStatus(p)
             if st.isDirectory() and st.getPath().getName().startswith(prefix)]
+
+
+def partition_path(spark: SparkSession, path: str, column: str, value: str) -> str:
+    """Folder of one partition value, escaped as Spark's writer does."""
+    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    return f"{path}/{column}={escape(value)}"

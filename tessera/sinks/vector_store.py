@@ -5,13 +5,13 @@ Layout under ``root`` (a folder in the shared storage):
   vectors/job_id=<job>/       (project_id, record_id, sub_key, vector array<float>)
   exports/job_id=<job>/       bzip2 CSV, header per part file: record_id, sub_key, vector (JSON)
   collection/job_id=<job>/    L2-normalised vectors (+ optional LSH buckets) for k-NN
-  models/<name>/              fitted model tables
+  models/<name>/<table>/job_id=<job>/   fitted model tables, one partition per job
 
 Writes never overwrite the files they read: deletes and upserts first write the
 new contents of the touched ``job_id`` partitions to a fresh staging folder,
 then replace exactly those partitions from the staging copy with a dynamic
-partition overwrite (atomic per job at commit; a lost executor only retries
-tasks). Untouched jobs are never rewritten.
+partition overwrite (a lost executor only retries tasks; the swap itself is
+one delete and one rename per job, not atomic for readers). Untouched jobs are never rewritten.
 """
 
 from __future__ import annotations
@@ -20,9 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import normalize_df
-from ..session import default_parallelism, delete_path, fresh_path, list_partitions
+from ..schema import BOC, BOW, TFIDF
+from ..session import default_parallelism, delete_path, fresh_path, list_partitions, partition_path
 
 VECTOR_COLS = ["project_id", "job_id", "record_id", "sub_key", "vector"]
+MODEL_NAMES = (BOC, BOW, TFIDF)
+MODEL_TABLES = ("vocab", "stats")
 STORED_SCHEMA = "project_id string, record_id string, sub_key int, vector array<float>, job_id string"
 
 
@@ -77,7 +80,7 @@ class VectorStore:
             self.replace_jobs(self.spark.read.schema(STORED_SCHEMA).parquet(staging).select(*VECTOR_COLS))
         for job in touched_jobs:  # jobs left without any row: drop their partition
             if job not in present:
-                delete_path(self.spark, f"{self.vectors_path}/job_id={job}")
+                self._drop(self.vectors_path, job)
         # the replace has committed; the staged copy is no longer read by anything
         delete_path(self.spark, staging)
 
@@ -162,12 +165,22 @@ class VectorStore:
         return self.spark.read.parquet(self.collection_path)
 
     def drop_collection(self, job_id: str) -> None:
-        delete_path(self.spark, f"{self.collection_path}/job_id={job_id}")
+        self._drop(self.collection_path, job_id)
 
     def delete_job(self, job_id: str, drop_vectors: bool = False) -> None:
         """Remove a job's export, collection and model; vectors stay unless asked."""
-        delete_path(self.spark, f"{self.exports_path}/job_id={job_id}")
+        self._drop(self.exports_path, job_id)
         self.drop_collection(job_id)
-        delete_path(self.spark, self.model_path(job_id))
+        for name in MODEL_NAMES:
+            for table in MODEL_TABLES:
+                self._drop(f"{self.model_path(name)}/{table}", job_id)
         if drop_vectors:
-            delete_path(self.spark, f"{self.vectors_path}/job_id={job_id}")
+            self._drop(self.vectors_path, job_id)
+
+    def model_jobs(self) -> list[tuple[str, str]]:
+        """(model name, job_id) of every saved model."""
+        return [(name, job) for name in MODEL_NAMES
+                for job in list_partitions(self.spark, f"{self.model_path(name)}/{MODEL_TABLES[0]}", "job_id")]
+
+    def _drop(self, path: str, job_id: str) -> None:
+        delete_path(self.spark, partition_path(self.spark, path, "job_id", job_id))
