@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,27 +103,41 @@ def _sum_sorted(keys: list[str], col: str):
     return run
 
 
-def _weighted_by_unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """v * b of joined entries, added up per unit in chunks: a shuffle row per unit and block of positions, not per entry."""
-    def flush(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(parts, ignore_index=True)
-        for job, g in pdf.groupby("job_id", sort=False):
-            _, order, codes = np.unique(g["unit"].to_numpy(), return_index=True, return_inverse=True)
-            y = scatter_add(codes, g["v"].to_numpy(), np.vstack(g["b"].to_numpy()), len(order))
-            out = g.iloc[order][UNIT_KEYS].reset_index(drop=True)
-            out["y"] = list(y)
-            yield out
+def _weighted_by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """v * b of joined entries, added up per unit in chunks: a shuffle row per unit and block of positions, not per entry.
 
-    parts, rows = [], 0
-    for pdf in batches:
-        if len(pdf):
-            parts.append(pdf)
-            rows += len(pdf)
+    Reads the flat values of the list column, without an object per row.
+    """
+    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        jobs = t.column("job_id").combine_chunks().dictionary_encode().indices.to_numpy()
+        unit, v = t.column("unit").to_numpy(), t.column("v").to_numpy()
+        lists = t.column("b").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        begin = lists.offsets.to_numpy()
+        flat = lists.values.to_numpy()
+        for job in np.unique(jobs):  # widths differ between jobs
+            at = np.flatnonzero(jobs == job)
+            width = int(begin[at[0] + 1] - begin[at[0]])
+            b = flat[begin[at][:, None] + np.arange(width)]
+            _, first, code = np.unique(unit[at], return_index=True, return_inverse=True)
+            y = scatter_add(code, v[at], b, len(first))
+            keys = t.select(UNIT_KEYS).take(pa.array(at[first])).combine_chunks()
+            ends = np.arange(len(first) + 1, dtype=np.int32) * width
+            yield pa.RecordBatch.from_arrays([keys.column(k).combine_chunks() for k in UNIT_KEYS]
+                                             + [pa.ListArray.from_arrays(pa.array(ends), pa.array(y.ravel()))],
+                                             names=[*UNIT_KEYS, "y"])
+
+    held, rows = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
         if rows >= CHUNK_ROWS:
-            yield from flush(parts)
-            parts, rows = [], 0
-    if parts:
-        yield from flush(parts)
+            yield from flush(held)
+            held, rows = [], 0
+    if held:
+        yield from flush(held)
 
 
 def power_y(rows: DataFrame, bcols: DataFrame) -> DataFrame:
@@ -135,7 +150,7 @@ def power_y(rows: DataFrame, bcols: DataFrame) -> DataFrame:
         .select(*UNIT_KEYS, F.col("e.positions").cast("long").alias("position"), F.col("e.values").alias("v"))
     unit = F.xxhash64(*UNIT_KEYS, F.col("sub_key").isNull()).alias("unit")
     joined = ent.join(bcols, ["job_id", "position"]).select(*UNIT_KEYS, unit, "v", "b")
-    partial = joined.mapInPandas(_weighted_by_unit, Y_SCHEMA)
+    partial = joined.mapInArrow(_weighted_by_unit, Y_SCHEMA)
     summed = partial.repartition(*[F.col(c) for c in UNIT_KEYS]).sortWithinPartitions(*UNIT_KEYS).mapInPandas(
         _sum_sorted(UNIT_KEYS, "y"), Y_SCHEMA)
     widths = bcols.groupBy("job_id").agg(F.max(F.size("b")).alias("width"))
