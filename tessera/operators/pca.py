@@ -70,36 +70,41 @@ def scatter_add(index: np.ndarray, weights: np.ndarray, rows: np.ndarray, n_out:
     return out
 
 
+def _sum_equal(batch: pa.RecordBatch, keys: list[str], col: str) -> pa.RecordBatch:
+    """One row for each run of equal keys, with the sum of its arrays; widths differ between jobs only."""
+    codes = [batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy() for k in keys]
+    starts = np.ones(batch.num_rows, dtype=bool)
+    starts[1:] = np.any([c[1:] != c[:-1] for c in codes], axis=0)
+    first = np.flatnonzero(starts)
+    lists = batch.column(col)
+    at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    job_starts = np.flatnonzero(np.concatenate([[True], codes[0][1:] != codes[0][:-1]]))
+    sums, widths = [], []
+    for a, b in zip(job_starts, [*job_starts[1:], batch.num_rows]):
+        runs = first[np.searchsorted(first, a):np.searchsorted(first, b)] - a
+        width = int(at[a + 1] - at[a])
+        sums.append(np.add.reduceat(flat[at[a]:at[b]].reshape(b - a, width), runs, axis=0).ravel())
+        widths.append(np.full(len(runs), width))
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(widths))]).astype(np.int32)
+    total = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sums), type=lists.type.value_type), type=lists.type)
+    return pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(first)) for k in keys] + [total], names=[*keys, col])
+
+
 def _sum_sorted(keys: list[str], col: str):
     """Sum the arrays ``col`` of equal keys in rows sorted by the keys (job first); holds one batch and one open key."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple | None = None  # (key, array) of the last key, which may go on in the next batch
-        for pdf in batches:
-            if not len(pdf):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the last key, which may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            done_keys, done = [], []
-            marks = pdf[keys].astype(object).where(pdf[keys].notna(), None)
-            for job, at in pdf.groupby("job_id", sort=False).indices.items():  # widths differ between jobs
-                at = np.sort(at)
-                part = list(map(tuple, marks.iloc[at].itertuples(index=False)))
-                first = np.array([0] + [x for x in range(1, len(part)) if part[x] != part[x - 1]])
-                sums = np.add.reduceat(np.vstack(pdf[col].to_numpy()[at]), first, axis=0)
-                for key, value in zip((part[x] for x in first), sums):
-                    if held is not None and held[0] == key:
-                        held = (key, held[1] + value)
-                        continue
-                    if held is not None:
-                        done_keys.append(held[0])
-                        done.append(held[1])
-                    held = (key, value)
-            if done:
-                out = pd.DataFrame(done_keys, columns=keys)
-                out[col] = done
-                yield out
+            batch = pa.RecordBatch.from_arrays([batch.column(c) for c in [*keys, col]], names=[*keys, col])
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            summed = _sum_equal(batch, keys, col)
+            yield summed.slice(0, summed.num_rows - 1)
+            held = summed.slice(summed.num_rows - 1)
         if held is not None:
-            out = pd.DataFrame([held[0]], columns=keys)
-            out[col] = [held[1]]
-            yield out
+            yield held
     return run
 
 
@@ -151,7 +156,7 @@ def power_y(rows: DataFrame, bcols: DataFrame) -> DataFrame:
     unit = F.xxhash64(*UNIT_KEYS, F.col("sub_key").isNull()).alias("unit")
     joined = ent.join(bcols, ["job_id", "position"]).select(*UNIT_KEYS, unit, "v", "b")
     partial = joined.mapInArrow(_weighted_by_unit, Y_SCHEMA)
-    summed = partial.repartition(*[F.col(c) for c in UNIT_KEYS]).sortWithinPartitions(*UNIT_KEYS).mapInPandas(
+    summed = partial.repartition(*[F.col(c) for c in UNIT_KEYS]).sortWithinPartitions(*UNIT_KEYS).mapInArrow(
         _sum_sorted(UNIT_KEYS, "y"), Y_SCHEMA)
     widths = bcols.groupBy("job_id").agg(F.max(F.size("b")).alias("width"))
     # units without terms, and all units of jobs in which B has no direction
@@ -401,7 +406,7 @@ def randomized_fit_transform(spark: SparkSession, rows: DataFrame, n_units: dict
         bpart = keyed.mapInPandas(b_partials, B_SCHEMA)
         path = _fresh(spark, "pca-b")
         (bpart.repartition("job_id", "position").sortWithinPartitions("job_id", "position")
-         .mapInPandas(_sum_sorted(["job_id", "position"], "b"), B_SCHEMA).write.parquet(path))
+         .mapInArrow(_sum_sorted(["job_id", "position"], "b"), B_SCHEMA).write.parquet(path))
         return spark.read.parquet(path)
 
     bc_holder = {"bc": bc}
