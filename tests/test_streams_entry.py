@@ -44,5 +44,6 @@ def test_entry_and_registry(spark):
     assert df.count() > 0
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
-    missing = set(qs) - set(sql)
+    # queries of the training-data operators have no SQL form; their own tests compare them with brute force
+    missing = set(qs) - set(sql) - set(E._llm()[0])
     assert missing <= {"bow_pca_embed", "token_model_embed"}
