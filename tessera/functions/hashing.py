@@ -23,7 +23,11 @@ def job_seed(name: str) -> int:
 
 def hash_bucket(term: Column, dim: int = HASH_DIM) -> Column:
     """Bucket = first 8 hex digits of md5(term), as an integer, modulo dim."""
-    return F.pmod(F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
+    return bucket_of_hex(F.md5(term), dim)
+
+
+def bucket_of_hex(hexes: Column, dim: int = HASH_DIM) -> Column:
+    return F.pmod(F.conv(F.substring(hexes, 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
 
 
 def hash_sign(term: Column) -> Column:

@@ -34,13 +34,28 @@ def explode_terms(units: DataFrame, kind: str, keys: list[str]) -> DataFrame:
 
 
 def term_counts(units: DataFrame, kind: str, keys: list[str]) -> DataFrame:
-    """(keys, term, n): occurrences of each term per unit.
+    """(keys, term, n): occurrences of each term per unit, one row per distinct term.
 
-    The explode and the partial (map-side) count run in one codegen stage; only
-    distinct (unit, term) pairs cross the shuffle.
+    A unit is one row, so its terms are sorted and counted inside that row: neither
+    the texts nor the term rows cross a shuffle.
     """
-    return (explode_terms(units, kind, keys)
-            .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n")))
+    fn = words if kind == "words" else characters
+    terms = F.col("_terms")
+    by_row = units.select(*keys, F.sort_array(fn(F.col("text"))).alias("_terms"))
+    by_row = by_row.select(*keys, "_terms", run_starts(terms).alias("_starts"))
+    counted = F.transform("_starts", lambda a, i: F.struct(
+        F.get(terms, a).alias("term"), (run_end("_starts", i, terms) - a).cast("long").alias("n")))
+    return by_row.select(*keys, F.inline(counted))
+
+
+def run_starts(values: Column, key=lambda x: x) -> Column:
+    """Indexes at which another ``key`` begins in a sorted array."""
+    return F.array_compact(F.transform(values, lambda x, i: F.when((i == 0) | (key(x) != key(F.get(values, i - 1))), i)))
+
+
+def run_end(starts: str, i: Column, values: Column) -> Column:
+    """Index after the last element of run ``i``."""
+    return F.coalesce(F.get(starts, i + 1), F.size(values))
 
 
 def tokenize(records: DataFrame, attribute: str, key: str = "record_id",

@@ -2,8 +2,7 @@
 
 Fit and transform are separate Spark plans:
 
-* fit: explode terms, count per (unit, term) with map-side partial
-  aggregation, document frequency per (job, term), dense positions by term
+* fit: count terms inside each unit's row, document frequency per (job, term), dense positions by term
   order inside each job (:func:`ordinal_within`, skew-proof), then the fitted
   vocabulary ``(job_id, term, position, df, idf)`` and the per-job stats
   ``(job_id, n_units, width)`` are written as tables. Those tables *are* the
@@ -31,7 +30,7 @@ from ..functions.indexing import ordinal_within
 from ..functions.text import term_counts
 from ..functions.vectors import to_dense
 from ..schema import BOC, BOW, TFIDF
-from ..session import broadcast_if_small, fresh_path
+from ..session import broadcast_if_small, fresh_path, spread
 
 UNIT_KEYS = ["job_id", "record_id", "sub_key"]
 BROADCAST_VOCAB_ROWS = 2_000_000
@@ -83,12 +82,10 @@ class CountModel:
     def transform(self, units: DataFrame) -> DataFrame:
         """Sparse vectors (job_id, record_id, sub_key, position, value) of ``units``.
 
-        Units are hash-partitioned by (job_id, record_id) before the explode, so
-        the texts cross one shuffle and the term count, the broadcast vocabulary
-        join and the per-unit norm window all reuse that partitioning (one
-        exchange in the plan instead of two exchanges of term rows).
+        Terms are counted inside the unit's row. With a broadcast vocabulary counts
+        cross no shuffle; TF-IDF weights cross one, for the norm of their unit.
         """
-        return self.transform_counts(term_counts(by_unit(units), self.kind, UNIT_KEYS))
+        return self.transform_counts(term_counts(spread(units), self.kind, UNIT_KEYS))
 
     def transform_counts(self, tf: DataFrame) -> DataFrame:
         """Vectors from per-unit term counts (job_id, record_id, sub_key, term, n)."""
@@ -105,12 +102,6 @@ class CountModel:
         return dense_vectors(self.transform(units), units, self.stats())
 
 
-def by_unit(units: DataFrame) -> DataFrame:
-    """Units hash-partitioned by record (every list entry of a record lands in the same task)."""
-    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return units.select(*UNIT_KEYS, "text").repartition(n, "job_id", "record_id")
-
-
 def dense_vectors(long_df: DataFrame, units: DataFrame, stats: DataFrame) -> DataFrame:
     """Dense ``array<float>`` of the job width for each unit; units without terms get zeros."""
     widths = broadcast_if_small(stats.select("job_id", "width"))
@@ -132,7 +123,7 @@ def fit(units: DataFrame, model: str, tf: DataFrame | None = None) -> CountModel
     spark = units.sparkSession
     path = fresh_path(spark, f"model-{kind}-{weighting}")
     u = units.select(*UNIT_KEYS, "text")
-    tf = tf if tf is not None else term_counts(u, kind, UNIT_KEYS)
+    tf = tf if tf is not None else term_counts(spread(u), kind, UNIT_KEYS)
     u.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_units")).write.parquet(f"{path}/units")
     n_units = broadcast_if_small(spark.read.parquet(f"{path}/units"))
     df_terms = tf.groupBy("job_id", "term").agg(F.count(F.lit(1)).alias("df"))
@@ -160,7 +151,7 @@ def fit_transform(units: DataFrame, model: str) -> tuple[CountModel, DataFrame]:
     spark = units.sparkSession
     kind, _ = KIND_OF_MODEL[model]
     tf_path = fresh_path(spark, "term-counts")
-    term_counts(by_unit(units), kind, UNIT_KEYS).write.parquet(tf_path)
+    term_counts(spread(units), kind, UNIT_KEYS).write.parquet(tf_path)
     tf = spark.read.parquet(tf_path)
     m = fit(units, model, tf)
     return m, m.transform_counts(tf)

@@ -2,7 +2,7 @@
 
 Bucket and sign of a word come from its md5 (see ``functions.hashing``);
 a unit's vector is the sum of signs per bucket, L2-normalised. Everything is a
-JVM expression plus one per-unit aggregate, so it needs no fitted state.
+JVM expression over the unit's own row, so it needs no fitted state and no shuffle.
 """
 
 from __future__ import annotations
@@ -11,12 +11,12 @@ from collections import Counter
 
 import numpy as np
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_bucket, hash_sign, py_bucket_sign
-from ..functions.text import explode_terms
-from .count_embed import by_unit
+from ..functions.hashing import bucket_of_hex, py_bucket_sign
+from ..functions.text import run_end, run_starts, words
+from ..session import spread
 from ..schema import HASH_DIM, WORD_PATTERN
 
 UNIT_KEYS = ["job_id", "record_id", "sub_key"]
@@ -25,18 +25,36 @@ UNIT_KEYS = ["job_id", "record_id", "sub_key"]
 def hashed_embed(units: DataFrame, dim: int = HASH_DIM) -> DataFrame:
     """Sparse (job_id, record_id, sub_key, position, value) of hashed, normalised word counts.
 
-    Units are partitioned by record first, so the bucket sums and the per-unit
-    norm share one exchange (of the texts).
+    Everything happens inside the unit's row: words become codes (twice the bucket, plus
+    1 for a positive sign), sorted codes are summed by bucket, and the norm is taken
+    over those sums. Nothing is shuffled.
     """
-    occ = explode_terms(by_unit(units), "words", UNIT_KEYS)
-    summed = (occ.select(*UNIT_KEYS, hash_bucket(F.col("term"), dim).alias("position"),
-                         hash_sign(F.col("term")).alias("s"))
-              .groupBy(*UNIT_KEYS, "position").agg(F.sum("s").alias("v")))
-    ss = F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(*UNIT_KEYS))
-    return summed.select(*UNIT_KEYS, "position",
-                         F.when(ss > 0, F.col("v") / F.sqrt(ss)).otherwise(F.lit(0.0)).alias("value"))
+    codes = F.col("_codes")
 
+    def code(hexes):
+        return bucket_of_hex(hexes, dim) * 2 + (F.substring(hexes, 9, 1) < "8").cast("int")
 
+    def bucket(c):
+        return F.shiftright(c, 1)
+
+    def summed(a, i):
+        part = F.slice(codes, a + 1, run_end("_starts", i, codes) - a)
+        total = F.aggregate(part, F.lit(0.0), lambda acc, c: acc + (c.bitwiseAND(F.lit(1)) * 2 - 1))
+        return F.struct(bucket(F.get(codes, a)).alias("position"), total.alias("v"))
+
+    rows = spread(units).select(*UNIT_KEYS, F.sort_array(F.transform(F.transform(words(F.col("text")), F.md5), code)).alias("_codes"))
+    rows = rows.select(*UNIT_KEYS, "_codes", run_starts(codes, bucket).alias("_starts"))
+    rows = rows.select(*UNIT_KEYS, F.transform("_starts", summed).alias("_sums"))
+    norm = F.sqrt(F.aggregate("_sums", F.lit(0.0), lambda acc, e: acc + e["v"] * e["v"]))
+    rows = rows.select(*UNIT_KEYS, "_sums", norm.alias("_norm"))
+    # inline() of an expression, not of a column: for a column the optimizer would infer a filter on its
+    # size and push that, with all the expressions above written out, below the projections
+    value = lambda e: F.when(F.col("_norm") > 0, e["v"] / F.col("_norm")).otherwise(F.lit(0.0))
+    return rows.select(*UNIT_KEYS, F.inline(F.transform("_sums", lambda e: F.struct(
+        e["position"].alias("position"), value(e).alias("value")))))
+
+
+CACHED_WORDS = 1_000_000
 _WORD = regex.compile(WORD_PATTERN)
 
 
@@ -46,7 +64,7 @@ def hashed_model(dim: int = HASH_DIM):
     Same numbers as :func:`hashed_embed`, computed in the Python worker; this is
     the default model of ``model_embed`` when no provider function is given.
     """
-    cache: dict[str, tuple[int, float]] = {}
+    cache: dict[str, tuple[int, float]] = {}     # at most CACHED_WORDS, then started anew
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim), dtype=np.float64)
@@ -56,6 +74,8 @@ def hashed_model(dim: int = HASH_DIM):
             for w, c in Counter(_WORD.findall(t.lower())).items():
                 bs = cache.get(w)
                 if bs is None:
+                    if len(cache) >= CACHED_WORDS:
+                        cache.clear()
                     bs = cache[w] = py_bucket_sign(w, dim)
                 out[i, bs[0]] += bs[1] * c
             n = np.sqrt(np.dot(out[i], out[i]))

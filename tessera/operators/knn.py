@@ -7,12 +7,14 @@ with the query block in numpy and keeps, per query, only its local top-k
 (#tasks × k) candidates per query picks the global top-k. The collection is
 scanned once per query block; when the queries exceed the broadcast bound they
 are split into blocks by a hash of the query id and each block is written to
-the result table in turn (a loop over block numbers, not over data).
+the result table in turn (a loop over block numbers, not over data). Scores are
+computed in pieces of at most ``MAX_SCORE_CELLS``, whatever the sizes of block and batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,6 +26,8 @@ from ..session import fresh_path
 
 # Largest query block broadcast to the executors (bytes of float64 vectors).
 MAX_QUERY_BLOCK_BYTES = 256 << 20
+# Largest number of scores a task holds at a time.
+MAX_SCORE_CELLS = 1 << 22
 
 CAND_SCHEMA = T.StructType([
     T.StructField("query_id", T.StringType()),
@@ -54,66 +58,106 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return m / n
 
 
-def _topk_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per row, the k best by (score desc, id asc), vectorised.
+NEG = np.int64(-(1 << 40))   # below any rounded cosine; marks excluded pairs
 
-    ``scores`` are already rounded to integers (score · 10^places); ids are
-    ranked once per call so one int64 key orders both.
-    """
-    n, m = scores.shape
-    kk = min(k, m)
-    if kk == 0:
-        return np.zeros((n, 0)), np.empty((n, 0), dtype=object)
-    uniq, rank = np.unique(ids.astype(str), return_inverse=True)
-    rank = rank.reshape(ids.shape)
-    key = (-scores) * np.int64(len(uniq) + 1) + rank          # smaller is better
-    part = np.argpartition(key, kk - 1, axis=1)[:, :kk]
-    pk = np.take_along_axis(key, part, axis=1)
-    order = np.take_along_axis(part, np.argsort(pk, axis=1), axis=1)
-    return np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
 
+class Best:
+    """The k best (score, id) of every query so far, in order; ids are compared as strings."""
 
-NEG = np.int64(-(1 << 40))   # below any rounded cosine; marks excluded pairs
+    def __init__(self, queries: int, k: int):
+        self.score = np.full((queries, k), NEG, dtype=np.int64)
+        self.id = np.full((queries, k), "", dtype=object)
+
+    def merge(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Offer ``scores`` of the candidates ``ids`` (sorted, 1-D) to the queries ``rows``."""
+        k = self.score.shape[1]
+        hot = ((scores >= self.score[rows, -1:]) & (scores > NEG)).any(axis=1)
+        rows, scores = rows[hot], scores[hot]
+        if not len(rows):
+            return
+        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]      # stable: ties keep the order of the ids
+        s = np.concatenate([self.score[rows], np.take_along_axis(scores, top, axis=1)], axis=1)
+        i = np.concatenate([self.id[rows], ids[top]], axis=1)
+        _, name = np.unique(i.astype(str), return_inverse=True)
+        order = np.lexsort((name.reshape(i.shape), -s), axis=1)[:, :k]
+        self.score[rows] = np.take_along_axis(s, order, axis=1)
+        self.id[rows] = np.take_along_axis(i, order, axis=1)
+
+
+@dataclass(frozen=True)
+class Probe:
+    """Approximate search: a query meets the candidates whose ``bits`` signs of random projections
+    differ from its own in at most ``flips``. ``flips = bits`` is the exact search."""
 
+    bits: int = 8
+    flips: int = 3
+    seed: int = 7
 
-def _local_topk(q_ids: np.ndarray, q_mat: np.ndarray, k: int, exclude_self: bool, places: int):
+    def codes(self, unit: np.ndarray) -> np.ndarray:
+        planes = np.random.default_rng(self.seed).normal(size=(unit.shape[1], self.bits))
+        return ((unit @ planes) >= 0) @ (1 << np.arange(self.bits, dtype=np.int64))
+
+    def meets(self, query_codes: np.ndarray, code: int) -> np.ndarray:
+        return np.flatnonzero(np.bitwise_count(query_codes ^ code) <= self.flips)
+
+
+def _local_topk(q_ids: np.ndarray, q_mat: np.ndarray, k: int, exclude_self: bool, places: int, cells: int,
+                probe: Probe | None):
     scale = 10 ** places
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_s = np.zeros((len(q_ids), 0), dtype=np.int64)
-        best_i = np.empty((len(q_ids), 0), dtype=object)
+        best = Best(len(q_ids), k)
+        everyone = np.arange(len(q_ids))
+        q_codes = probe.codes(q_mat) if probe and len(q_ids) else None
+
+        def offer(rows: np.ndarray, ids: np.ndarray, mat: np.ndarray) -> None:
+            width = max(1, min(len(ids), cells))
+            height = max(1, cells // width)                       # at most ``cells`` scores at a time
+            for c in range(0, len(ids), width):
+                for a in range(0, len(rows), height):
+                    part = rows[a:a + height]
+                    s = np.rint(np.round(q_mat[part] @ mat[c:c + width].T, places) * scale).astype(np.int64)
+                    if exclude_self:
+                        s[q_ids[part][:, None] == ids[None, c:c + width]] = NEG
+                    best.merge(part, s, ids[c:c + width])
+
         for pdf in batches:
             if len(pdf) == 0 or len(q_ids) == 0:
                 continue
             ids = pdf["id"].to_numpy(dtype=object)
-            mat = _unit_rows(np.vstack(pdf["vector"].to_numpy()).astype(np.float64))
-            s = np.rint(np.round(q_mat @ mat.T, places) * scale).astype(np.int64)
-            if exclude_self:
-                s[q_ids[:, None] == ids[None, :]] = NEG
-            all_s = np.concatenate([best_s, s], axis=1)
-            all_i = np.concatenate([best_i, np.broadcast_to(ids, s.shape)], axis=1)
-            best_s, best_i = _topk_rows(all_s, all_i, k)
-        r, c = np.nonzero(best_s > NEG)
+            order = np.argsort(ids.astype(str), kind="stable")
+            ids, mat = ids[order], _unit_rows(np.vstack(pdf["vector"].to_numpy()[order]).astype(np.float64))
+            if probe is None:
+                offer(everyone, ids, mat)
+                continue
+            codes = probe.codes(mat)
+            for code in np.unique(codes):
+                at = np.flatnonzero(codes == code)
+                offer(probe.meets(q_codes, code), ids[at], mat[at])
+        r, c = np.nonzero(best.score > NEG)
         yield pd.DataFrame({"query_id": q_ids[r] if len(r) else np.array([], dtype=object),
-                            "neighbor_id": best_i[r, c] if len(r) else np.array([], dtype=object),
-                            "score": best_s[r, c] / scale if len(r) else np.array([], dtype=np.float64)})
+                            "neighbor_id": best.id[r, c] if len(r) else np.array([], dtype=object),
+                            "score": best.score[r, c] / scale if len(r) else np.array([], dtype=np.float64)})
     return run
 
 
-def _block(queries_pdf: pd.DataFrame, collection: DataFrame, k: int, exclude_self: bool, places: int) -> DataFrame:
+def _block(queries_pdf: pd.DataFrame, collection: DataFrame, k: int, exclude_self: bool, places: int,
+           probe: Probe | None) -> DataFrame:
     q_ids = queries_pdf["id"].to_numpy(dtype=object)
     q_mat = _unit_rows(np.vstack(queries_pdf["vector"].to_numpy()).astype(np.float64)) if len(q_ids) else \
         np.zeros((0, 0))
     cands = collection.select("id", "vector").mapInPandas(
-        _local_topk(q_ids, q_mat, k, exclude_self, places), CAND_SCHEMA)
+        _local_topk(q_ids, q_mat, k, exclude_self, places, MAX_SCORE_CELLS, probe), CAND_SCHEMA)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("neighbor_id"))
     return cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def knn_topk(queries: DataFrame, collection: DataFrame, k: int = 10, exclude_self: bool = False,
-             places: int = 6) -> DataFrame:
+             places: int = 6, probe: Probe | None = None) -> DataFrame:
     """(query_id, rank, neighbor_id, score) for every query; both inputs have (id string, vector array).
 
+    Exact unless ``probe`` asks for the approximate search (see :class:`Probe`).
+
     Scores are cosine similarities rounded to ``places`` before ranking, so
     ties are resolved by neighbour id identically everywhere.
     """
@@ -125,10 +169,10 @@ def knn_topk(queries: DataFrame, collection: DataFrame, k: int = 10, exclude_sel
     block_rows = max(1, MAX_QUERY_BLOCK_BYTES // per_query)
     coll = collection.select(F.col("id").cast("string"), F.col("vector").cast("array<double>"))
     if n_q <= block_rows:
-        return _block(q.toPandas(), coll, k, exclude_self, places)
+        return _block(q.toPandas(), coll, k, exclude_self, places, probe)
     n_blocks = -(-n_q // block_rows)
     out = fresh_path(spark, "knn")
     for b in range(n_blocks):
         part = q.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).toPandas()
-        _block(part, coll, k, exclude_self, places).write.mode("append").parquet(out)
+        _block(part, coll, k, exclude_self, places, probe).write.mode("append").parquet(out)
     return spark.read.parquet(out)

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.indexing import ordinal_within
-from ..schema import (DOC_BATCH, EXAMPLE_WITH_ID, EXAMPLE_WITH_PK, MSG_AZURE_KEY,
-                      MSG_COHERE_TOKEN, MSG_OPENAI_KEY, MSG_RUNTIME, WARNING_TEMPLATES)
+from ..schema import (DOC_BATCH, DOCUMENT_IS_SPLITTED, EMBEDDING_LIST, EXAMPLE_WITH_ID, EXAMPLE_WITH_PK,
+                      MSG_AZURE_KEY, MSG_COHERE_TOKEN, MSG_OPENAI_KEY, MSG_RUNTIME, TOKEN_MISMATCHING,
+                      WARNING_TEMPLATES)
 
 
 def unit_count(units: DataFrame, group: str = "project_id") -> DataFrame:
@@ -19,10 +20,17 @@ def unit_count(units: DataFrame, group: str = "project_id") -> DataFrame:
     return units.groupBy(group).agg(F.count(F.lit(1)).alias("expected"))
 
 
-def unit_count_arrays(records_list: DataFrame, list_col: str = "texts") -> DataFrame:
-    """Expected units of an array attribute: the sum of list sizes (null lists count 0)."""
-    size = F.when(F.col(list_col).isNull(), F.lit(0)).otherwise(F.size(list_col))
-    return records_list.groupBy("project_id").agg(F.sum(size.cast("long")).alias("expected"))
+def unit_count_by_type(attributes: DataFrame, records: DataFrame, entries: DataFrame) -> DataFrame:
+    """Expected units of each attribute: list entries for a list attribute, records for any other.
+
+    ``attributes(project_id, name, data_type)``, ``records`` and ``entries`` one row per
+    record and per list entry; a project without rows expects 0.
+    """
+    n_records = records.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_records"))
+    n_entries = entries.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_entries"))
+    j = attributes.join(n_records, "project_id", "left").join(n_entries, "project_id", "left")
+    expected = F.when(F.col("data_type") == EMBEDDING_LIST, F.col("n_entries")).otherwise(F.col("n_records"))
+    return j.select("project_id", "name", F.coalesce(expected, F.lit(0)).cast("long").alias("expected"))
 
 
 def vector_count(vectors: DataFrame) -> DataFrame:
@@ -36,6 +44,18 @@ def progress_value(state, n_vectors, expected):
     return F.least(F.lit(0.99), base + part)
 
 
+def progress(states: DataFrame, vectors: DataFrame, expected: DataFrame) -> DataFrame:
+    """Progress of each job from its state, its stored vectors and its expected units.
+
+    ``states(job_id, state)``, ``vectors`` with job_id, ``expected(job_id, expected)``;
+    missing counts are 0.
+    """
+    j = states.join(vector_count(vectors), "job_id", "left").join(expected, "job_id", "left") \
+        .fillna(0, ["n_vectors", "expected"])
+    p = progress_value(F.col("state"), F.col("n_vectors"), F.col("expected"))
+    return j.select("job_id", "state", "n_vectors", "expected", F.round(p, 6).alias("progress"))
+
+
 def progress_by_batch(expected: DataFrame, batch_size: int = DOC_BATCH) -> DataFrame:
     """Progress reported after each batch write of an encoding run.
 
@@ -100,10 +120,16 @@ def failure_report(events: DataFrame) -> DataFrame:
                          F.col("l.ts").alias("failed_at"))
 
 
-def cancel_cut(events: DataFrame) -> DataFrame:
-    """Per job: batch writes (ENCODING events) before the first FAILED event stay, later ones are cut."""
+def cancel_cut(events: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """Per job: batch writes (ENCODING events) before the first FAILED event stay, later ones are cut.
+
+    ``removed(job_id, ts)``: jobs deleted while they were encoding; their removal cuts like a failure.
+    """
     first_failed = events.filter(F.col("state") == "FAILED").groupBy("job_id") \
         .agg(F.min("ts").alias("first_failed"))
+    if removed is not None:
+        first_failed = first_failed.unionByName(removed.select("job_id", F.col("ts").alias("first_failed"))) \
+            .groupBy("job_id").agg(F.min("first_failed").alias("first_failed"))
     writes = events.filter(F.col("state") == "ENCODING").select("job_id", "ts")
     j = writes.join(first_failed, "job_id", "left")
     kept = F.col("first_failed").isNull() | (F.col("ts") < F.col("first_failed"))
@@ -113,6 +139,23 @@ def cancel_cut(events: DataFrame) -> DataFrame:
         F.first("first_failed").alias("first_failed"))
 
 
+def get_warnings(embedded: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """(job_id, record_id, warning_type) of embedded units (the output of ``model_embed``).
+
+    A unit of more than one part was split. With ``tokens(job_id, record_id)``, one row a token,
+    records whose number of vectors differs are mismatching.
+    """
+    split = embedded.filter(F.col("n_parts") > 1).select("job_id", "record_id").distinct() \
+        .withColumn("warning_type", F.lit(DOCUMENT_IS_SPLITTED))
+    if tokens is None:
+        return split
+    have = embedded.filter(F.col("vector").isNotNull()).select(F.col("job_id").alias("project_id"), "record_id")
+    want = tokens.select(F.col("job_id").alias("project_id"), "record_id")
+    other = token_mismatch(want, have).select(F.col("project_id").alias("job_id"), "record_id",
+                                              F.lit(TOKEN_MISMATCHING).alias("warning_type"))
+    return split.unionByName(other)
+
+
 def vector_count_check(changes: DataFrame, new_vectors: DataFrame) -> DataFrame:
     """Per job: number of changes vs number of new vectors; ``ok`` false fails the job."""
     c = changes.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_changes"))
@@ -160,6 +203,7 @@ def warning_report(warnings: DataFrame, records_data: DataFrame, attributes: Dat
     return ex.select("project_id", "warning_type", "record_number", "example_record_id", msg.alias("message"))
 
 
-__all__ = ["unit_count", "unit_count_arrays", "vector_count", "progress_value", "progress_by_batch",
+__all__ = ["unit_count", "unit_count_by_type", "vector_count", "progress", "progress_value", "progress_by_batch",
+           "get_warnings",
            "tokenization_progress", "batch_plan", "job_latest_state", "failure_report", "cancel_cut",
            "vector_count_check", "token_mismatch", "warning_report"]

@@ -203,7 +203,22 @@ GROUP BY project_id"""
 
 SQL["vector_count"] = "SELECT source AS job_id, count(*) AS n_vectors FROM documents GROUP BY source"
 
+SQL["unit_count_by_type"] = """
+SELECT source AS project_id, name, count(*) AS expected
+FROM documents, (VALUES ('doc_id'), ('text'), ('lang')) AS a(name) GROUP BY source, name
+UNION ALL SELECT 'conversations', 'turns', count(*) FROM conversations"""
+
 SQL["progress"] = """
+WITH e AS (SELECT source AS job_id, count(*) AS expected,
+                  count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS n_vectors
+           FROM documents GROUP BY source),
+s AS (SELECT *, CASE WHEN n_vectors * 2 < expected THEN 'INITIALIZING' ELSE 'ENCODING' END AS state FROM e)
+SELECT job_id, state, n_vectors, expected,
+       round(least(CAST(0.99 AS DOUBLE), CASE WHEN state = 'ENCODING' THEN CAST(0.1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
+             + n_vectors / expected * CAST(0.9 AS DOUBLE)), 6) AS progress
+FROM s"""
+
+SQL["progress_by_batch"] = """
 WITH e AS (SELECT source AS job_id, count(*) AS expected FROM documents GROUP BY source),
 b AS (SELECT job_id, expected, unnest(range(-1, CAST(ceil(expected / 128.0) AS BIGINT))) AS batch FROM e),
 n AS (SELECT job_id, expected, batch, least((batch + 1) * 128, expected) AS nv FROM b)
@@ -321,10 +336,15 @@ SQL["record_lookup"] = f"""
 SELECT source AS project_id, CAST(doc_id AS VARCHAR) AS record_id, reverse(text) AS text
 FROM documents WHERE {LABELLED}"""
 
-SQL["order_preserving_lookup"] = f"""
+SQL["changes_x_records"] = f"""
 SELECT source AS job_id, CAST(doc_id AS VARCHAR) AS record_id, reverse(text) AS text
 FROM documents WHERE {LABELLED}"""
 
+SQL["order_preserving_lookup"] = f"""
+SELECT source AS job_id, CAST(doc_id AS VARCHAR) AS record_id, reverse(text) AS text,
+       row_number() OVER (PARTITION BY source ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS position
+FROM documents WHERE {LABELLED}"""
+
 SQL["list_entry_project"] = """
 SELECT record_id, sub_key, text FROM (
   SELECT CAST(conv_id AS VARCHAR) AS record_id, role, text,
@@ -374,7 +394,10 @@ SELECT source AS job_id, CAST(doc_id AS VARCHAR) AS record_id, CAST(len({CHARS.f
 FROM documents"""
 
 SQL["vector_export"] = SQL["vector_upsert"]
-SQL["vector_scan_ordered"] = SQL["vector_upsert"]
+SQL["vector_scan_ordered"] = f"""
+SELECT source AS job_id, CAST(doc_id AS VARCHAR) AS record_id, CAST(len({CHARS.format('text')}) AS BIGINT) AS vsum,
+       row_number() OVER (PARTITION BY source ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS place
+FROM documents"""
 
 SQL["vector_upsert"] = f"""
 SELECT source AS job_id, CAST(doc_id AS VARCHAR) AS record_id,
@@ -529,8 +552,6 @@ SQL["re_embed_stream"] = SQL["re_embed"]
 
 SQL["score_stream"] = SQL["score_texts"]
 
-SQL["changes_x_records"] = SQL["order_preserving_lookup"]
-
 SQL["warnings_x_records"] = f"""
 WITH r AS (SELECT source AS project_id, CAST(doc_id AS VARCHAR) AS record_id, text FROM documents),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY record_id) - 1 AS pos FROM r),

@@ -24,7 +24,7 @@ from ..streaming import jobs as sjobs
 from ..streaming.throttle import throttle_by_key, throttle_stream
 from ..session import fresh_path
 from . import reduce as rplans
-from ..schema import (BOC, BOW, DOCUMENT_IS_SPLITTED, MSG_FINISHED, MSG_INITIALIZING,
+from ..schema import (BOC, BOW, DOCUMENT_IS_SPLITTED, EMBEDDING_LIST, MSG_FINISHED, MSG_INITIALIZING,
                       MSG_STARTED, SPLIT_CHARS, TFIDF, TOKEN_MISMATCHING)
 from ..sources import jobs as jsrc
 from ..sources import records as src
@@ -117,17 +117,42 @@ def q_unit_count(spark, sf_dir):
     return metrics.unit_count(docs.select("project_id").unionByName(conv))
 
 
+def q_unit_count_by_type(spark, sf_dir):
+    docs = src.documents_records(spark, sf_dir).select("project_id")
+    conv = src.load(spark, sf_dir, "conversations").select(
+        F.lit(src.CONVERSATION_PROJECT).alias("project_id"), F.col("conv_id"))
+    lists = conv.select("project_id").limit(1).select(
+        "project_id", F.lit(src.LIST_ATTRIBUTE).alias("name"), F.lit(EMBEDDING_LIST).alias("data_type"))
+    attributes = jsrc.attributes_table(spark, sf_dir).select("project_id", "name", "data_type").unionByName(lists)
+    records = docs.unionByName(conv.distinct().select("project_id"))
+    return metrics.unit_count_by_type(attributes, records, conv)
+
+
 def q_vector_count(spark, sf_dir):
     units = _doc_units(spark, sf_dir)
     vectors = count_embed.fit(units, BOC).dense(units)
     return metrics.vector_count(vectors)
 
 
-def q_progress(spark, sf_dir):
+def q_progress_by_batch(spark, sf_dir):
     expected = metrics.unit_count(_doc_units(spark, sf_dir), "job_id")
     return metrics.progress_by_batch(expected)
 
 
+def q_progress(spark, sf_dir):
+    """Progress of jobs that have not yet stored the labelled documents; one that has stored less than half is INITIALIZING."""
+    units = _doc_units(spark, sf_dir)
+    expected = metrics.unit_count(units, "job_id")
+    labelled = src.load(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("record_id"))
+    store = VectorStore(spark)
+    store.append(model_embed(units.join(labelled, "record_id", "left_anti")).withColumn("project_id", F.col("job_id")))
+    stored = store.vectors()
+    states = expected.join(metrics.vector_count(stored), "job_id", "left").select(
+        "job_id", F.when(F.coalesce("n_vectors", F.lit(0)) * 2 < F.col("expected"), "INITIALIZING")
+        .otherwise("ENCODING").alias("state"))
+    return metrics.progress(states, stored, expected)
+
+
 def q_tokenization_progress(spark, sf_dir):
     docs = src.documents_records(spark, sf_dir)
     return metrics.tokenization_progress(docs, src.tokens_table(docs))
@@ -228,8 +253,10 @@ def q_change_scan(spark, sf_dir):
 
 def q_change_filter(spark, sf_dir):
     changes = _changes(spark, sf_dir)
+    # the same changes also arrive for jobs that do not exist (any more)
+    changes = changes.unionByName(changes.withColumn("job_id", F.concat(F.lit("removed:"), "job_id")))
     jobs = src.documents_records(spark, sf_dir).select(F.col("project_id").alias("job_id")).distinct()
-    return changes.join(jobs, "job_id", "inner")
+    return changes.join(jobs, "job_id", "left_semi")
 
 
 def q_record_lookup(spark, sf_dir):
@@ -238,39 +265,31 @@ def q_record_lookup(spark, sf_dir):
 
 
 def q_order_preserving_lookup(spark, sf_dir):
-    changes = _changes(spark, sf_dir)
+    """Changed records with the position that their request gave them in its job."""
+    changes = ordinal_within(_changes(spark, sf_dir), ["job_id"], ["record_id"], "position")
     recs = src.edited_documents(spark, sf_dir).withColumnRenamed("project_id", "job_id")
     missing = src.require_all_found(changes, recs, ["job_id", "record_id"])
     if missing.limit(1).count() > 0:
         raise KeyError("changed records not found")
-    return changes.join(recs, ["job_id", "record_id"]).select("job_id", "record_id", "text")
-
-
-def _conversation_lists(spark, sf_dir):
-    """records_list(project_id, record_id, texts): turns in order (one record's list)."""
-    conv = src.load(spark, sf_dir, "conversations")
-    return conv.groupBy(F.col("conv_id").cast("string").alias("record_id")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("texts")) \
-        .withColumn("project_id", F.lit(src.CONVERSATION_PROJECT))
+    return changes.join(recs, ["job_id", "record_id"]).select("job_id", "record_id", "position", "text")
 
 
 def q_list_entry_project(spark, sf_dir):
-    """Changed list entries (assistant turns) resolved to their text with ``get(list, sub_key)``."""
+    """Changed list entries (assistant turns) resolved to the text at their sub_key; no list is copied."""
     conv = src.load(spark, sf_dir, "conversations").select(
         F.lit(src.CONVERSATION_PROJECT).alias("project_id"),
         F.col("conv_id").cast("string").alias("record_id"), "turn", "role")
     pos = ordinal_within(conv, ["project_id", "record_id"], ["turn"], "sub_key")
     changed = pos.filter(F.col("role") == "assistant").select("record_id", F.col("sub_key").cast("int"))
-    j = changed.join(_conversation_lists(spark, sf_dir), "record_id")
-    return j.select("record_id", "sub_key",
-                    F.when(F.col("sub_key").isNull(), F.col("texts").cast("string"))
-                    .otherwise(F.get("texts", F.col("sub_key"))).alias("text"))
+    entries = src.list_units_from_rows(spark, sf_dir).select("record_id", "sub_key", "text")
+    return changed.join(entries, ["record_id", "sub_key"])
 
 
 def q_token_scan(spark, sf_dir):
     docs = src.documents_records(spark, sf_dir)
     ids = _changes(spark, sf_dir).select(F.col("job_id").alias("project_id"), "record_id")
-    return src.token_scan(src.tokens_table(docs), "text", ids).select("project_id", "record_id", "token_idx", "token")
+    tokens = src.tokens_table(docs, "text").unionByName(src.tokens_table(docs, "lang"))
+    return src.token_scan(tokens, "text", ids).select("project_id", "record_id", "token_idx", "token")
 
 
 # --- 2.2 sinks, read back ---------------------------------------------------------
@@ -514,15 +533,16 @@ def q_vector_scan_ordered(spark, sf_dir):
     _, vecs = _boc_doc_vectors(spark, sf_dir)
     store = VectorStore(spark)
     store.append(vecs)
-    v = src.vector_scan_ordered(store.vectors())
-    return v.select("job_id", "record_id", _vsum(v).alias("vsum"))
+    v = src.vector_scan_ordered(store.vectors()).withColumn("_turn", F.monotonically_increasing_id())
+    # the place of each vector in the scan of its job, so that the order is part of the result
+    v = ordinal_within(v, ["job_id"], ["_turn"], "place")
+    return v.select("job_id", "record_id", "place", _vsum(v).alias("vsum"))
 
 
 def q_changes_x_records(spark, sf_dir):
-    """Changed records joined to their current contents (semi-join of ids, then an equi join)."""
+    """Changed records joined to their current contents."""
     changes = _changes(spark, sf_dir).select("job_id", "record_id")
-    recs = src.record_lookup(src.edited_documents(spark, sf_dir),
-                             changes.select(F.col("job_id").alias("project_id"), "record_id"))
+    recs = src.edited_documents(spark, sf_dir)
     return changes.join(recs.select(F.col("project_id").alias("job_id"), "record_id", "text"),
                         ["job_id", "record_id"])
 
@@ -618,8 +638,10 @@ QUERIES = {
     "job_resolve": q_job_resolve,
     "model_recommend": q_model_recommend,
     "unit_count": q_unit_count,
+    "unit_count_by_type": q_unit_count_by_type,
     "vector_count": q_vector_count,
     "progress": q_progress,
+    "progress_by_batch": q_progress_by_batch,
     "tokenization_progress": q_tokenization_progress,
     "batch_plan": q_batch_plan,
     "token_mismatch": q_token_mismatch,

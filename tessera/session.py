@@ -75,6 +75,15 @@ def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
 
 
+def spread(df):
+    """``df`` over all task slots where its scan has fewer splits than that (one small file).
+
+    Larger inputs keep the partitions of their scan: their texts are not shuffled.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through the Hadoop file system of the session."""
     jvm = spark.sparkContext._jvm
