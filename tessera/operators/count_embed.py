@@ -38,6 +38,13 @@ BROADCAST_VOCAB_ROWS = 2_000_000
 KIND_OF_MODEL = {BOC: ("chars", "count"), BOW: ("words", "count"), TFIDF: ("words", "tfidf")}
 
 
+def read_model_table(spark: SparkSession, path: str) -> DataFrame:
+    """A model table; its job_id may be a partition column, whose values must stay strings."""
+    raw = spark.read.parquet(path)
+    fields = [f for f in raw.schema.fields if f.name != "job_id"]
+    return spark.read.schema(T.StructType([*fields, T.StructField("job_id", T.StringType())])).parquet(path)
+
+
 @dataclass
 class CountModel:
     """A fitted count embedder, stored as two tables under ``path``."""
@@ -58,11 +65,7 @@ class CountModel:
         return self._table("stats")
 
     def _table(self, name: str) -> DataFrame:
-        """A model table; its job_id may be a partition column, whose values must stay strings."""
-        raw = self.spark.read.parquet(f"{self.path}/{name}")
-        fields = [f for f in raw.schema.fields if f.name != "job_id"]
-        schema = T.StructType([*fields, T.StructField("job_id", T.StringType())])
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        return read_model_table(self.spark, f"{self.path}/{name}")
 
     def save_meta(self) -> None:
         self.spark.createDataFrame(

@@ -233,6 +233,11 @@ def _moments(column: str):
 MOMENTS = "job_id string, i long, j long, v double"
 
 
+def moments(vectors: DataFrame, column: str) -> DataFrame:
+    """(job_id, i, j, v): the sums of products of each job, i <= j; i = -1 the sums, i = -2 the number of rows."""
+    return vectors.select("job_id", column).mapInPandas(_moments(column), MOMENTS).groupBy("job_id", "i", "j").agg(F.sum("v").alias("v"))
+
+
 def _sum_moments(df: DataFrame) -> dict[str, tuple]:
     """job -> (n, sums, sums of products); added up by Spark, so the driver gets one triangle a job."""
     rows = df.groupBy("job_id", "i", "j").agg(F.sum("v").alias("v")).toPandas()

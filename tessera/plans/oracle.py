@@ -562,3 +562,52 @@ w AS (SELECT project_id, record_id, 'DOCUMENT_IS_SPLITTED' AS warning_type, pos
 SELECT project_id, warning_type, arg_max(record_id, pos) AS example_record_id,
        arg_max(record_id, pos) AS pk_values
 FROM w GROUP BY project_id, warning_type"""
+
+SQL["bow_pca_invariants"] = f"""
+WITH occ AS (SELECT doc_id, unnest({WORDS.format('text')}) AS term FROM documents),
+tf AS (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS n FROM occ GROUP BY doc_id, term),
+t AS (SELECT sum(n) AS s, sum(n * n) AS ss FROM tf GROUP BY term)
+SELECT 'corpus' AS job_id, (SELECT count(*) FROM documents) AS n_units, CAST(64 AS BIGINT) AS n_components,
+       CAST(0 AS DOUBLE) AS worst_mean, CAST(0 AS DOUBLE) AS worst_correlation,
+       round(sum(ss - s * s / (SELECT count(*) FROM documents)), 2) AS total, true AS captured_within_total
+FROM t"""
+
+SQL["reduced_model_save_load"] = """
+SELECT CAST(doc_id AS VARCHAR) AS record_id, CAST(64 AS INTEGER) AS n_components FROM documents"""
+
+SQL["token_model_vectors"] = f"""
+WITH l AS (SELECT source AS job_id, CAST(doc_id AS VARCHAR) AS record_id, {WORDS.format('text')} AS toks FROM documents),
+t AS (SELECT job_id, record_id, CAST(generate_subscripts(toks, 1) - 1 AS INTEGER) AS token_idx, unnest(toks) AS token FROM l),
+c AS (SELECT job_id, record_id, token_idx, concat_ws(' ', lag(token) OVER w, token, lead(token) OVER w) AS text
+      FROM t WINDOW w AS (PARTITION BY job_id, record_id ORDER BY token_idx)),
+p AS (SELECT *, length(text) AS total, CAST(ceil(length(text) / 200.0) AS BIGINT) AS n_parts FROM c),
+parts AS (SELECT job_id, record_id, token_idx, total, i, substring(text, CAST(i * 200 + 1 AS BIGINT), 200) AS part
+          FROM (SELECT *, unnest(range(0, n_parts)) AS i FROM p)),
+occ AS (SELECT job_id, record_id, token_idx, total, i, length(part) AS plen, unnest({WORDS.format('part')}) AS term FROM parts),
+h AS (SELECT *, {HASH_POS} AS position, {HASH_SIGN} AS s FROM occ),
+b AS (SELECT job_id, record_id, token_idx, total, i, plen, position, sum(s) AS v FROM h
+      GROUP BY job_id, record_id, token_idx, total, i, plen, position),
+n AS (SELECT *, sum(v * v) OVER (PARTITION BY job_id, record_id, token_idx, i) AS ss FROM b),
+v AS (SELECT job_id, record_id, token_idx, position,
+             sum(plen * CASE WHEN ss > 0 THEN v / sqrt(ss) ELSE 0.0 END) / max(total) AS value
+      FROM n GROUP BY job_id, record_id, token_idx, position)
+SELECT job_id, record_id, token_idx, position, round(value, 6) + 0.0 AS value FROM v WHERE value <> 0"""
+
+SQL["encode_jobs"] = f"""
+WITH p AS (SELECT source, count(*) AS n_docs, CAST(sum(len({WORDS.format('text')})) AS BIGINT) AS n_tokens
+           FROM documents GROUP BY source),
+r(type, platform, model) AS (VALUES ('ON_ATTRIBUTE', 'python', 'bag-of-characters'),
+  ('ON_ATTRIBUTE', 'openai', 'text-embedding-3-small'), ('ON_ATTRIBUTE', 'azure', 'text-embedding-3-small'),
+  ('ON_ATTRIBUTE', 'python', 'word2vec'), ('ON_ATTRIBUTE', 'unknown-platform', 'some-model'),
+  ('ON_TOKEN', 'python', 'bag-of-characters'), ('ON_TOKEN', 'python', 'tf-idf')),
+j AS (SELECT source || ':' || type || ':' || platform || ':' || model AS job_id, *,
+  CASE WHEN model = 'word2vec' THEN 'Error while getting model - Unknown model word2vec'
+       WHEN platform = 'unknown-platform' THEN 'Error while getting model - Unknown platform unknown-platform'
+       WHEN model = 'tf-idf' THEN 'Error while getting model - couldn''t find matching embedder for requested embedding with type '
+                                  || type || ' model ' || model || ' and platform ' || platform
+       WHEN platform = 'azure' THEN {_q(MSG_AZURE_KEY)} END AS failure FROM p, r)
+SELECT job_id, CASE WHEN failure IS NULL THEN 'FINISHED' ELSE 'FAILED' END AS state,
+       CASE WHEN failure IS NOT NULL THEN 0 WHEN type = 'ON_TOKEN' THEN n_tokens ELSE n_docs END AS n_vectors,
+       CASE WHEN failure IS NULL THEN 'SUCCESS' ELSE 'ERROR' END AS level,
+       coalesce(failure, 'Finished encoding text using model ' || model || '.') AS message
+FROM j"""

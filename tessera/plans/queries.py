@@ -19,13 +19,14 @@ from ..operators.hashed import hashed_embed
 from ..operators.model_embed import model_embed
 from ..operators import knn, pca
 from ..sinks.vector_store import VectorStore
+from . import encode
 from . import jobs as plans
 from ..streaming import jobs as sjobs
 from ..streaming.throttle import throttle_by_key, throttle_stream
 from ..session import fresh_path
 from . import reduce as rplans
 from ..schema import (BOC, BOW, DOCUMENT_IS_SPLITTED, EMBEDDING_LIST, MSG_FINISHED, MSG_INITIALIZING,
-                      MSG_STARTED, SPLIT_CHARS, TFIDF, TOKEN_MISMATCHING)
+                      ERR_OPENAI_KEY, MSG_STARTED, REDUCED_BOW, SPLIT_CHARS, TFIDF, TOKEN_BATCH, TOKEN_MISMATCHING)
 from ..sources import jobs as jsrc
 from ..sources import records as src
 
@@ -513,6 +514,91 @@ def q_bow_pca_embed(spark, sf_dir):
     return _long_out(rplans.bow_pca_embed(units, counts))
 
 
+def _corpus_units(spark, sf_dir):
+    """All documents as one job."""
+    return src.documents_records(spark, sf_dir).select(
+        F.lit("corpus").alias("job_id"), "record_id", F.lit(None).cast("int").alias("sub_key"), "text")
+
+
+def q_bow_pca_invariants(spark, sf_dir):
+    """PCA of one job over all documents: units kept, centred, uncorrelated, within the total variance."""
+    units = _corpus_units(spark, sf_dir)
+    model, coords = rplans.fit_reduced(units)
+    m = pca.moments(coords.select("job_id", "vector"), "vector")
+    size = F.when(F.col("i") == F.col("j"), F.col("v"))
+    got = m.groupBy("job_id").agg(
+        F.max(F.when(F.col("i") == -2, F.col("v"))).cast("long").alias("n_units"),
+        F.count(F.when(F.col("i") == -1, F.lit(1))).alias("n_components"),
+        F.max(F.when(F.col("i") == -1, F.abs("v"))).alias("sum"),
+        F.max(F.when((F.col("i") >= 0) & (F.col("i") < F.col("j")), F.abs("v"))).alias("off"),
+        F.max(F.when(F.col("i") >= 0, size)).alias("largest"), F.sum(F.when(F.col("i") >= 0, size)).alias("captured"))
+    per_term = model.counts.transform(units).groupBy("job_id", "position").agg(
+        F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
+    total = per_term.join(model.counts.stats().select("job_id", "n_units"), "job_id").groupBy("job_id").agg(
+        F.sum(F.col("ss") - F.col("s") * F.col("s") / F.col("n_units")).alias("total"))
+    return got.join(total, "job_id").select(
+        "job_id", "n_units", "n_components", r6(F.col("sum") / F.col("n_units")).alias("worst_mean"),
+        r6(F.col("off") / F.col("largest")).alias("worst_correlation"), F.round("total", 2).alias("total"),
+        ((F.col("captured") > 0) & (F.col("captured") <= F.col("total") * (1 + 1e-9))).alias("captured_within_total"))
+
+
+def q_reduced_model_save_load(spark, sf_dir):
+    """A reduced model saved beside a store, loaded again and applied: every unit has all components."""
+    units = _corpus_units(spark, sf_dir)
+    store = VectorStore(spark)
+    plans.save_model(store, REDUCED_BOW, rplans.fit_reduced(units)[0])
+    out = plans.load_model(store, REDUCED_BOW).dense(units)
+    return out.select("record_id", F.size("vector").alias("n_components"))
+
+
+def q_model_pca_embed(spark, sf_dir):
+    """Document-level model vectors of one job over all documents, reduced to 64."""
+    units = _corpus_units(spark, sf_dir)
+    counts = units.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_records"))
+    out = rplans.model_pca_embed(units, counts)
+    return out.select("record_id", F.posexplode("vector").alias("position", "value")).select(
+        "record_id", "position", r6(F.col("value")).alias("value"))
+
+
+def q_token_model_vectors(spark, sf_dir):
+    """Token vectors before their reduction (entries that are not 0)."""
+    vectors, _ = rplans.model_vectors(rplans.token_contexts(_token_units(spark, sf_dir)), batch_size=TOKEN_BATCH)
+    return vectors.select("job_id", "record_id", F.col("sub_key").alias("token_idx"),
+                          F.posexplode("vector").alias("position", "value")).where("value <> 0").select(
+        "job_id", "record_id", "token_idx", "position", r6(F.col("value")).alias("value"))
+
+
+# Kinds of jobs that the registered encode run asks for in every project.
+ENCODE_REQUESTS = [("ON_ATTRIBUTE", "python", BOC), ("ON_ATTRIBUTE", "openai", "text-embedding-3-small"),
+                   ("ON_ATTRIBUTE", "azure", "text-embedding-3-small"), ("ON_ATTRIBUTE", "python", "word2vec"),
+                   ("ON_ATTRIBUTE", "unknown-platform", "some-model"), ("ON_TOKEN", "python", BOC),
+                   ("ON_TOKEN", "python", TFIDF)]
+
+
+def _no_access():
+    """Factory of a model function whose provider refuses the key."""
+    def fn(texts):
+        raise RuntimeError(ERR_OPENAI_KEY)
+    return fn
+
+
+def q_encode_jobs(spark, sf_dir):
+    """Attribute and token jobs of every project through the dispatch; Azure refuses the key, some requests are invalid."""
+    jobs = jsrc.jobs_table(spark, sf_dir)
+    asked = F.lit(False)
+    for t, p, m in ENCODE_REQUESTS:
+        asked = asked | ((F.col("type") == t) & (F.col("platform") == p) & (F.col("model") == m))
+    units = _doc_units(spark, sf_dir).withColumnRenamed("job_id", "project_id")
+    tokens = _token_units(spark, sf_dir).withColumnRenamed("job_id", "project_id")
+    store = VectorStore(spark)
+    encode.encode_jobs(store, jobs.filter(asked), jsrc.project_counts(spark, sf_dir), units, tokens,
+                       lambda platform, model: _no_access if platform == "azure" else None,
+                       export=False, build_collection=False)
+    last = encode.notifications(store).filter(F.col("type").isin("EMBEDDING_CREATION_DONE", "EMBEDDING_CREATION_FAILED"))
+    return (plans.job_states(store).join(metrics.vector_count(store.vectors()), "job_id", "left").fillna(0, ["n_vectors"])
+            .join(last.select("job_id", "level", "message"), "job_id"))
+
+
 def q_token_model_embed(spark, sf_dir):
     out = rplans.token_model_embed(_token_units(spark, sf_dir))
     return out.select("job_id", "record_id", F.col("sub_key").alias("token_idx"),
@@ -592,7 +678,7 @@ def q_throttle_stream(spark, sf_dir):
 def q_job_state_stream(spark, sf_dir):
     out = fresh_path(spark, "job-state")
     sjobs.job_state_stream(spark, jsrc.job_events_from(_events_stream(spark, sf_dir)), out)
-    return spark.read.parquet(out).select("job_id", "state", "ts")
+    return sjobs.current_job_states(spark, out)
 
 
 def q_token_gate_timeout(spark, sf_dir):
@@ -679,6 +765,11 @@ QUERIES = {
     "seeded_projection": q_seeded_projection,
     "bow_pca_embed": q_bow_pca_embed,
     "token_model_embed": q_token_model_embed,
+    "bow_pca_invariants": q_bow_pca_invariants,
+    "reduced_model_save_load": q_reduced_model_save_load,
+    "model_pca_embed": q_model_pca_embed,
+    "token_model_vectors": q_token_model_vectors,
+    "encode_jobs": q_encode_jobs,
     "knn_topk": q_knn_topk,
     "vector_scan_ordered": q_vector_scan_ordered,
     "changes_x_records": q_changes_x_records,

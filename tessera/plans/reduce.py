@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import count_embed, pca
 from ..operators.model_embed import model_embed
-from ..session import fresh_path
-from ..schema import BOW, DOC_COMPONENTS, TOKEN_BATCH, TOKEN_COMPONENTS
+from ..session import broadcast_if_small, fresh_path
+from ..schema import BOW, DOC_BATCH, DOC_COMPONENTS, TOKEN_BATCH, TOKEN_COMPONENTS
 
 UNIT_KEYS = ["job_id", "record_id", "sub_key"]
 
@@ -41,6 +43,91 @@ def seeded_projection(units: DataFrame, width: int = DOC_COMPONENTS + pca.OVERSA
     return pca.sketch(rows, width)
 
 
+@dataclass
+class ReducedCountModel:
+    """A fitted bag of words with its PCA: the count model's tables, components and projected means under ``path``."""
+
+    counts: count_embed.CountModel
+    path: str
+
+    def components(self) -> DataFrame:
+        return count_embed.read_model_table(self.counts.spark, f"{self.path}/components")
+
+    def means(self) -> DataFrame:
+        """(job_id, mean): the mean unit's coordinates, to be taken off."""
+        return count_embed.read_model_table(self.counts.spark, f"{self.path}/means")
+
+    def dense(self, units: DataFrame) -> DataFrame:
+        """(job_id, record_id, sub_key, vector): (x - mean) V of every unit; unseen words drop out."""
+        long_df = self.counts.transform(units)
+        grouped = long_df.groupBy(*UNIT_KEYS).agg(F.collect_list("position").alias("positions"),
+                                                  F.collect_list("value").alias("values"))
+        keys = units.select(*UNIT_KEYS)
+        rows = keys.join(grouped, [keys[c].eqNullSafe(grouped[c]) for c in UNIT_KEYS], "left").select(
+            *[keys[c] for c in UNIT_KEYS],
+            F.coalesce(grouped["positions"].cast("array<int>"), F.array().cast("array<int>")).alias("positions"),
+            F.coalesce(grouped["values"], F.array().cast("array<double>")).alias("values"))
+        path = fresh_path(units.sparkSession, "reduced-rows")
+        rows.write.parquet(path)
+        rows = units.sparkSession.read.parquet(path)
+        y = pca.power_y(rows, self.components().select("job_id", "position", F.col("loadings").alias("b")))
+        centred = F.zip_with("y", "mean", lambda a, m: a - m)
+        return y.join(broadcast_if_small(self.means()), "job_id", "left").select(
+            *UNIT_KEYS, F.when(F.size("y") > 0, centred).otherwise(F.array(F.lit(0.0))).alias("vector"))
+
+    def transform(self, units: DataFrame) -> DataFrame:
+        """The same in long form (job_id, record_id, sub_key, position, value)."""
+        return self.dense(units).select(*UNIT_KEYS, F.posexplode("vector").alias("position", "value"))
+
+
+def fit_reduced(units: DataFrame, k: int = DOC_COMPONENTS) -> tuple[ReducedCountModel, DataFrame]:
+    """Bag of words reduced to ``k`` components for every job of ``units``: the model, and the units' coordinates."""
+    spark = units.sparkSession
+    model, long_df = count_embed.fit_transform(units, BOW)
+    n_units = {r["job_id"]: int(r["n_units"]) for r in model.stats().select("job_id", "n_units").collect()}
+    rows = unit_rows(units, long_df, vocab_with_hex(model, job_seeds(units)))
+    coords, comps = pca.randomized_fit_transform(spark, rows, n_units, k)
+    comps.write.parquet(f"{model.path}/components")
+    reduced = ReducedCountModel(model, model.path)
+    totals = long_df.groupBy("job_id", "position").agg(F.sum("value").alias("total"))
+    parts = reduced.components().join(totals, ["job_id", "position"]).select(
+        "job_id", "total", F.posexplode("loadings").alias("c", "loading"))
+    sums = parts.groupBy("job_id", "c").agg(F.sum(F.col("loading") * F.col("total")).alias("s"))
+    means = sums.join(model.stats().select("job_id", "n_units"), "job_id").groupBy("job_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("c", (F.col("s") / F.col("n_units")).alias("m")))),
+                    lambda e: e["m"]).alias("mean"))
+    means.write.parquet(f"{model.path}/means")
+    return reduced, coords
+
+
+def model_vectors(units: DataFrame, make_fn=None, batch_size: int = DOC_BATCH) -> tuple[DataFrame, DataFrame]:
+    """Model vectors written once: (vectors of the jobs without a failed unit, all embedded rows).
+
+    The model runs once whatever reads its output later; jobs with a failed unit
+    are left out as a whole, never in part.
+    """
+    spark = units.sparkSession
+    out = model_embed(units, make_fn=make_fn, batch_size=batch_size)
+    path = fresh_path(spark, "model-vectors")
+    out.write.parquet(path)
+    out = spark.read.schema(out.schema).parquet(path)
+    failed = out.filter(F.col("error_class").isNotNull()).select("job_id").distinct()
+    return out.join(failed, "job_id", "left_anti").select(*UNIT_KEYS, "vector"), out
+
+
+def model_pca_embed(units: DataFrame, records_per_job: DataFrame, make_fn=None, k: int = DOC_COMPONENTS,
+                    batch_size: int = DOC_BATCH) -> DataFrame:
+    """Document-level model vectors, PCA-reduced to ``k`` for jobs with at least ``k`` records; plain below."""
+    vectors, out = model_vectors(units, make_fn, batch_size)
+    failed = out.filter(F.col("error_class").isNotNull()).select("job_id", "error_class").limit(1).collect()
+    if failed:
+        raise RuntimeError(f"model failed for job {failed[0]['job_id']}: {failed[0]['error_class']}")
+    big = records_per_job.filter(F.col("n_records") >= k).select("job_id")
+    large = vectors.join(big, "job_id", "left_semi")
+    reduced = pca.narrow_transform(large, pca.narrow_fit(large, k), UNIT_KEYS)
+    return vectors.join(big, "job_id", "left_anti").unionByName(reduced)
+
+
 def bow_pca_embed(units: DataFrame, records_per_job: DataFrame, k: int = DOC_COMPONENTS) -> DataFrame:
     """Bag of words, PCA-reduced to ``k`` for jobs with ≥ k records; plain counts below.
 

@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import normalize_df
-from ..schema import BOC, BOW, TFIDF
+from ..schema import BOC, BOW, REDUCED_BOW, TFIDF
 from ..session import default_parallelism, delete_path, fresh_path, list_partitions, partition_path
 
 VECTOR_COLS = ["project_id", "job_id", "record_id", "sub_key", "vector"]
-MODEL_NAMES = (BOC, BOW, TFIDF)
-MODEL_TABLES = ("vocab", "stats")
+MODEL_NAMES = (BOC, BOW, TFIDF, REDUCED_BOW)
+MODEL_TABLES = ("vocab", "stats", "components", "means")
 STORED_SCHEMA = "project_id string, record_id string, sub_key int, vector array<float>, job_id string"
 
 
@@ -72,33 +72,39 @@ class VectorStore:
         (self._shape(vectors).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("job_id").parquet(self.vectors_path))
 
-    def _rewrite(self, new_contents: DataFrame, touched_jobs: list[str]) -> None:
+    def _of_jobs(self, keyed: DataFrame) -> DataFrame:
+        """Stored vectors of the jobs in ``keyed`` (a semi join, which prunes partitions at run time)."""
+        return self.vectors().join(keyed.select("job_id").distinct(), "job_id", "left_semi")
+
+    def _rewrite(self, new_contents: DataFrame, touched: DataFrame) -> None:
         staging = fresh_path(self.spark, "staging")
         self._shape(new_contents).write.partitionBy("job_id").parquet(staging)
         present = set(list_partitions(self.spark, staging, "job_id"))
         if present:
             self.replace_jobs(self.spark.read.schema(STORED_SCHEMA).parquet(staging).select(*VECTOR_COLS))
-        for job in touched_jobs:  # jobs left without any row: drop their partition
-            if job not in present:
-                self._drop(self.vectors_path, job)
+        # jobs left without any row lose their partition: those of the store's folders that were touched
+        stored = [j for j in list_partitions(self.spark, self.vectors_path, "job_id") if j not in present]
+        if stored:
+            gone = self.spark.createDataFrame([(j,) for j in stored], "job_id string").join(
+                touched.select("job_id").distinct(), "job_id", "left_semi")
+            for row in gone.collect():
+                self._drop(self.vectors_path, row["job_id"])
         # the replace has committed; the staged copy is no longer read by anything
         delete_path(self.spark, staging)
 
     def delete_records(self, ids: DataFrame) -> None:
         """Delete every vector of the given (job_id, record_id) pairs."""
         ids = ids.select("job_id", "record_id").distinct()
-        jobs = [r[0] for r in ids.select("job_id").distinct().collect()]
-        kept = self.vectors().filter(F.col("job_id").isin(jobs)).join(ids, ["job_id", "record_id"], "left_anti")
-        self._rewrite(kept, jobs)
+        kept = self._of_jobs(ids).join(ids, ["job_id", "record_id"], "left_anti")
+        self._rewrite(kept, ids)
 
     def delete_subkeys(self, keys: DataFrame) -> None:
         """Delete vectors by (job_id, record_id, sub_key); a null sub_key matches a null sub_key."""
         keys = keys.select("job_id", "record_id", F.col("sub_key").cast("int")).distinct()
-        jobs = [r[0] for r in keys.select("job_id").distinct().collect()]
-        cur = self.vectors().filter(F.col("job_id").isin(jobs))
+        cur = self._of_jobs(keys)
         cond = [cur["job_id"] == keys["job_id"], cur["record_id"] == keys["record_id"],
                 cur["sub_key"].eqNullSafe(keys["sub_key"])]
-        self._rewrite(cur.join(keys, cond, "left_anti"), jobs)
+        self._rewrite(cur.join(keys, cond, "left_anti"), keys)
 
     def upsert(self, new_vectors: DataFrame) -> None:
         """Delete the old vectors of the changed units and add the new ones, as one rewrite.
@@ -107,13 +113,12 @@ class VectorStore:
         ``sub_key`` only that list entry. Duplicate changes collapse to one row.
         """
         new = self._shape(new_vectors).dropDuplicates(["job_id", "record_id", "sub_key"])
-        jobs = [r[0] for r in new.select("job_id").distinct().collect()]
-        cur = self.vectors().filter(F.col("job_id").isin(jobs))
+        cur = self._of_jobs(new)
         whole = new.filter(F.col("sub_key").isNull()).select("job_id", "record_id").distinct()
         entry = new.filter(F.col("sub_key").isNotNull()).select("job_id", "record_id", "sub_key").distinct()
         kept = cur.join(whole, ["job_id", "record_id"], "left_anti") \
                   .join(entry, ["job_id", "record_id", "sub_key"], "left_anti")
-        self._rewrite(kept.unionByName(new), jobs)
+        self._rewrite(kept.unionByName(new), new)
 
     # --- exports -----------------------------------------------------------
     def export(self, job_ids: list[str] | None = None, force: bool = True, compression: str = "bzip2",

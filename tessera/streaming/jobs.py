@@ -17,28 +17,41 @@ from ..session import fresh_path
 from ..sinks.vector_store import VectorStore
 
 
-def run_available(query_builder, checkpoint: str):
-    """Start a stream with availableNow, wait for it, return nothing (sinks are read back)."""
-    q = query_builder.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(query_builder, checkpoint: str, trigger: dict | None = None):
+    """Start a stream and wait for it, return nothing (sinks are read back).
+
+    ``trigger`` holds the arguments of ``trigger()``, availableNow by default. The same
+    ``checkpoint`` given again goes on where the last run stopped.
+    """
+    q = query_builder.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
 
 
-def job_state_stream(spark: SparkSession, events_stream: DataFrame, out_path: str) -> None:
+def job_state_stream(spark: SparkSession, events_stream: DataFrame, out_path: str,
+                     checkpoint: str | None = None, trigger: dict | None = None) -> None:
     """Latest state per job, maintained by a streaming aggregation (state store), written per batch.
 
-    Each micro-batch replaces the table with the complete, current states;
-    rerunning a batch id writes the same content (idempotent).
+    Each micro-batch writes the states of the jobs it changed as version ``batch_id`` below
+    ``out_path`` (rerunning a batch replaces its own version only), so readers never see a
+    table that is being rewritten; :func:`current_job_states` reads the newest of each job.
     """
     latest = events_stream.groupBy("job_id").agg(
         F.max_by("state", F.struct("ts", "event_id")).alias("state"), F.max("ts").alias("ts"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+        (batch.withColumn("version", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(out_path))
+
+    run_available(latest.writeStream.outputMode("update").foreachBatch(write),
+                  checkpoint or fresh_path(spark, "ckpt-job-state"), trigger)
+
 
-    run_available(latest.writeStream.outputMode("complete").foreachBatch(write),
-                  fresh_path(spark, "ckpt-job-state"))
+def current_job_states(spark: SparkSession, out_path: str) -> DataFrame:
+    """(job_id, state, ts) of the newest version of each job."""
+    v = spark.read.parquet(out_path)
+    return v.groupBy("job_id").agg(F.max_by("state", "version").alias("state"), F.max_by("ts", "version").alias("ts"))
 
 
 def token_gate(events: DataFrame, wait_seconds: int = TOKEN_WAIT_SECONDS,
@@ -67,7 +80,7 @@ def token_gate(events: DataFrame, wait_seconds: int = TOKEN_WAIT_SECONDS,
 
 
 def re_embed_stream(spark: SparkSession, store: VectorStore, change_dir: str, records: DataFrame,
-                    model: str) -> None:
+                    model: str, checkpoint: str | None = None, trigger: dict | None = None) -> None:
     """Change sets arriving as JSON text files; each micro-batch is re-embedded and upserted.
 
     The upsert of a batch is idempotent: replaying batch ``b`` deletes and
@@ -84,11 +97,11 @@ def re_embed_stream(spark: SparkSession, store: VectorStore, change_dir: str, re
         batch.write.text(fixed)
         re_embed(store, spark.read.text(fixed), records, model)
 
-    run_available(stream.writeStream.foreachBatch(apply), fresh_path(spark, "ckpt-re-embed"))
+    run_available(stream.writeStream.foreachBatch(apply), checkpoint or fresh_path(spark, "ckpt-re-embed"), trigger)
 
 
 def score_stream(spark: SparkSession, model: count_embed.CountModel, texts_stream: DataFrame, job_id: str,
-                 out_path: str) -> None:
+                 out_path: str, checkpoint: str | None = None, trigger: dict | None = None) -> None:
     """Ad-hoc texts scored as they arrive with a saved model (stream-static, no refit)."""
     def apply(batch: DataFrame, batch_id: int) -> None:
         units = batch.select(F.lit(job_id).alias("job_id"), F.col("item_id").cast("string").alias("record_id"),
@@ -98,4 +111,4 @@ def score_stream(spark: SparkSession, model: count_embed.CountModel, texts_strea
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(out_path))
 
-    run_available(texts_stream.writeStream.foreachBatch(apply), fresh_path(spark, "ckpt-score"))
+    run_available(texts_stream.writeStream.foreachBatch(apply), checkpoint or fresh_path(spark, "ckpt-score"), trigger)
