@@ -46,4 +46,4 @@ def test_entry_and_registry(spark):
     assert set(sql) <= set(qs)
     # queries of the training-data operators have no SQL form; their own tests compare them with brute force
     missing = set(qs) - set(sql) - set(E._llm()[0])
-    assert missing <= {"bow_pca_embed", "token_model_embed"}
+    assert missing <= {"bow_pca_embed", "token_model_embed", "model_pca_embed"}
