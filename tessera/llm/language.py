@@ -7,7 +7,7 @@ kernel of two texts is the number of common grams, normalised by the geometric
 mean of their own numbers (presence, not counts).
 
 A bounded sample of labelled rows is drawn by a hash of the id (at most
-``SAMPLE_PER_LANGUAGE`` a language; documented bound of the fit). Some of them are Nystroem
+``SAMPLE_PER_LANGUAGE`` a language, of the ``LANGUAGES`` most frequent ones; documented bounds of the fit). Some of them are Nystroem
 landmarks: a text's features are its kernels with the landmarks times the
 inverse root of the landmarks' kernel matrix. One-versus-rest ridge regression is
 solved on the features. As presence kernels are inner products of gram vectors, the whole chain
@@ -36,6 +36,7 @@ SYMBOLS = 64
 LETTERS = 62
 OTHER_LETTER, GAP = 62, 63
 SAMPLE_PER_LANGUAGE = 400
+LANGUAGES = 1000
 LANDMARKS = 200
 RIDGE = 1e-2
 SHARPNESS = 6.0
@@ -156,7 +157,7 @@ class Model:
 def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """At most ``per_language`` labelled rows of each language outside the held-out fold, by a hash of the id."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_fold(F.col("doc_id")) != 0))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
     keep = F.lit(False)
     for r in counts:
