@@ -18,8 +18,9 @@ Wide (sparse rows ``(job, unit, positions[], values[], signs_hex[])``):
   3. ``Q = Yc L⁻ᵀ`` with ``LLᵀ = YcᵀYc`` (Cholesky of an ℓ×ℓ matrix);
   4. ``B = QᵀXc`` accumulated per term position in the tasks, summed per
      (job, position) after one shuffle;
-  5. one power step (``POWER_ITERS``): ``Y ← X·B`` by a join of the sparse
-     entries with B's rows on (job, position), then steps 2–4 again;
+  5. ``POWER_ITERS`` power steps ``Y ← X·B``, then steps 2–4 again. Units stand in
+     blocks of about ``BLOCK_ENTRIES`` sparse entries; a block gets each row of B that
+     any of its units needs once, so B's rows are not copied per entry;
   6. ``BBᵀ = ŨS²Ũᵀ`` (ℓ×ℓ) gives components ``V = BᵀŨS⁻¹`` as rows
      ``(job, position, k values)`` and unit coordinates ``QŨS``.
 
@@ -39,10 +40,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import broadcast_if_small
+
 NARROW_MAX = 4096
 OVERSAMPLE = 16
 POWER_ITERS = 2
-CHUNK_ROWS = 50_000
+BLOCK_ENTRIES = 1 << 16
 UNIT_KEYS = ["job_id", "record_id", "sub_key"]
 
 
@@ -59,17 +62,23 @@ def _tick(label: str, t0: list) -> None:
 B_SCHEMA = "job_id string, position long, b array<double>"
 
 
-def scatter_add(index: np.ndarray, weights: np.ndarray, rows: np.ndarray, n_out: int) -> np.ndarray:
-    """out[index[e], :] += weights[e] * rows[e, :] via one ``bincount`` per column.
+def scatter_add(index: np.ndarray, weights: np.ndarray, rows: np.ndarray, take: np.ndarray, n_out: int) -> np.ndarray:
+    """out[index[e], :] += weights[e] * rows[take[e], :] via one ``bincount`` per column.
 
-    Avoids np.add.at (unbuffered) and never builds the full entries × width product at once.
+    Avoids np.add.at (unbuffered) and never builds the full entries × width product.
     """
     out = np.empty((n_out, rows.shape[1]))
-    for j in range(rows.shape[1]):
-        out[:, j] = np.bincount(index, weights=weights * rows[:, j], minlength=n_out)
+    for j, column in enumerate(np.ascontiguousarray(rows.T)):
+        out[:, j] = np.bincount(index, weights=weights * column[take], minlength=n_out)
     return out
 
 
+def _list_array(rows: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as a list column."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(rows.ravel()))
+
+
 def _sum_equal(batch: pa.RecordBatch, keys: list[str], col: str) -> pa.RecordBatch:
     """One row for each run of equal keys, with the sum of its arrays; widths differ between jobs only."""
     codes = [batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy() for k in keys]
@@ -108,64 +117,48 @@ def _sum_sorted(keys: list[str], col: str):
     return run
 
 
-def _weighted_by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """v * b of joined entries, added up per unit in chunks: a shuffle row per unit and block of positions, not per entry.
+def _block_product(units: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """Y = X·B of one block of units, given the rows of B at the block's positions."""
+    units, width = units.drop(columns="width"), int(units["width"].max()) if len(units) else 0
+    y = np.zeros((len(units), width))
+    lens = units["positions"].map(len).to_numpy()
+    if len(b) and lens.sum():
+        order = np.argsort(b["position"].to_numpy())
+        known = b["position"].to_numpy()[order]
+        positions = np.concatenate(units["positions"].to_list())
+        at = np.minimum(np.searchsorted(known, positions), len(known) - 1)
+        values = np.where(known[at] == positions, np.concatenate(units["values"].to_list()), 0.0)
+        y = scatter_add(np.repeat(np.arange(len(units)), lens), values, np.vstack(b["b"].to_numpy()), order[at], len(units))
+    return units.assign(y=list(y))
 
-    Reads the flat values of the list column, without an object per row.
-    """
-    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held).combine_chunks()
-        jobs = t.column("job_id").combine_chunks().dictionary_encode().indices.to_numpy()
-        unit, v = t.column("unit").to_numpy(), t.column("v").to_numpy()
-        lists = t.column("b").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        begin = lists.offsets.to_numpy()
-        flat = lists.values.to_numpy()
-        for job in np.unique(jobs):  # widths differ between jobs
-            at = np.flatnonzero(jobs == job)
-            width = int(begin[at[0] + 1] - begin[at[0]])
-            b = flat[begin[at][:, None] + np.arange(width)]
-            _, first, code = np.unique(unit[at], return_index=True, return_inverse=True)
-            y = scatter_add(code, v[at], b, len(first))
-            keys = t.select(UNIT_KEYS).take(pa.array(at[first])).combine_chunks()
-            ends = np.arange(len(first) + 1, dtype=np.int32) * width
-            yield pa.RecordBatch.from_arrays([keys.column(k).combine_chunks() for k in UNIT_KEYS]
-                                             + [pa.ListArray.from_arrays(pa.array(ends), pa.array(y.ravel()))],
-                                             names=[*UNIT_KEYS, "y"])
-
-    held, rows = [], 0
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            rows += batch.num_rows
-        if rows >= CHUNK_ROWS:
-            yield from flush(held)
-            held, rows = [], 0
-    if held:
-        yield from flush(held)
-
-
-def power_y(rows: DataFrame, bcols: DataFrame) -> DataFrame:
-    """Y = X·B per unit: sparse entries joined to B's rows on (job, position), summed per unit.
-
-    The join is on (job, position); hot positions (frequent words) are split by
-    AQE's skew handling. Units without terms get a zero row.
+
+def with_blocks(rows: DataFrame, sized: DataFrame | None = None) -> DataFrame:
+    """Add ``block``: units of a job in blocks of about BLOCK_ENTRIES sparse entries, by a hash of the unit.
+
+    ``sized`` is a written table with the same jobs and positions (``rows``, if not given).
     """
-    ent = rows.select(*UNIT_KEYS, F.explode(F.arrays_zip("positions", "values")).alias("e")) \
-        .select(*UNIT_KEYS, F.col("e.positions").cast("long").alias("position"), F.col("e.values").alias("v"))
-    unit = F.xxhash64(*UNIT_KEYS, F.col("sub_key").isNull()).alias("unit")
-    joined = ent.join(bcols, ["job_id", "position"]).select(*UNIT_KEYS, unit, "v", "b")
-    partial = joined.mapInArrow(_weighted_by_unit, Y_SCHEMA)
-    summed = partial.repartition(*[F.col(c) for c in UNIT_KEYS]).sortWithinPartitions(*UNIT_KEYS).mapInArrow(
-        _sum_sorted(UNIT_KEYS, "y"), Y_SCHEMA)
-    widths = bcols.groupBy("job_id").agg(F.max(F.size("b")).alias("width"))
-    # units without terms, and all units of jobs in which B has no direction
-    empty = rows.join(widths, "job_id", "left").filter((F.size("positions") == 0) | F.col("width").isNull()).select(
-        *UNIT_KEYS, F.array_repeat(F.lit(0.0), F.coalesce("width", F.lit(0))).alias("y"))
-    return summed.unionByName(empty)
+    entries = F.sum(F.size("positions").cast("long"))
+    blocks = (rows if sized is None else sized).groupBy("job_id").agg(F.ceil((entries + 1) / BLOCK_ENTRIES).alias("blocks"))
+    return rows.join(broadcast_if_small(blocks), "job_id").withColumn(
+        "block", F.pmod(F.xxhash64("record_id", "sub_key"), F.col("blocks"))).drop("blocks")
+
+
+def needed_positions(rows: DataFrame) -> DataFrame:
+    """The distinct (job_id, block, position) of blocked rows."""
+    return rows.select("job_id", "block", F.explode(F.col("positions").cast("array<long>")).alias("position")).distinct()
+
 
+def power_y(rows: DataFrame, needed: DataFrame, bcols: DataFrame) -> DataFrame:
+    """``rows`` (written, with blocks) and y = X·B per unit; units without terms get a zero row.
 
-Y_SCHEMA = "job_id string, record_id string, sub_key int, y array<double>"
+    The join of ``needed`` with B is on (job, position): a frequent word counts once a block, not
+    once a unit, and AQE splits what is still skewed. Units of jobs in which B has no direction get an empty y.
+    """
+    widths = bcols.groupBy("job_id").agg(F.max(F.size("b")).alias("width"))
+    sized = rows.join(broadcast_if_small(widths), "job_id", "left").withColumn("width", F.coalesce("width", F.lit(0)))
+    b = needed.join(bcols.select("job_id", "position", "b"), ["job_id", "position"])
+    return (sized.groupBy("job_id", "block").cogroup(b.groupBy("job_id", "block"))
+            .applyInPandas(_block_product, BLOCK_ROWS_SCHEMA))
 
 
 # --- helpers -----------------------------------------------------------------
@@ -308,30 +301,42 @@ def term_signs_hex(seed_col, term_col):
     return F.md5(F.concat_ws(":", seed_col.cast("string"), term_col))
 
 
-SKETCH_SCHEMA = "job_id string, record_id string, sub_key int, y array<double>"
 SKETCH_ROWS_SCHEMA = ("job_id string, record_id string, sub_key int, positions array<int>, "
                       "values array<double>, y array<double>")
+BLOCK_ROWS_SCHEMA = SKETCH_ROWS_SCHEMA + ", block long"
+
 
+def _slices(lens: np.ndarray) -> Iterator[slice]:
+    """Runs of units with at most BLOCK_ENTRIES entries together (or a single unit)."""
+    ends, a = np.cumsum(lens), 0
+    while a < len(lens):
+        before = ends[a] - lens[a]
+        b = max(a + 1, int(np.searchsorted(ends, before + BLOCK_ENTRIES, side="right")))
+        yield slice(a, b)
+        a = b
 
-def _sketch(width: int, keep_rows: bool = False):
+
+def _sketch(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             lens = pdf["positions"].map(len).to_numpy()
             y = np.zeros((len(pdf), width))
-            if lens.sum() > 0:
-                hexes = np.concatenate([np.asarray(h, dtype=object) for h in pdf["hexes"]])
-                vals = np.concatenate([np.asarray(v, dtype=np.float64) for v in pdf["values"]])
-                owner = np.repeat(np.arange(len(pdf)), lens)
-                y = scatter_add(owner, vals, sign_bits(hexes, width), len(pdf))
-            out = {"job_id": pdf["job_id"], "record_id": pdf["record_id"], "sub_key": pdf["sub_key"]}
-            if keep_rows:
-                out["positions"] = pdf["positions"]
-                out["values"] = pdf["values"]
-            out["y"] = list(y)
-            yield pd.DataFrame(out)
+            for part in _slices(lens):
+                n = int(lens[part].sum())
+                if n:
+                    y[part] = scatter_add(np.repeat(np.arange(part.stop - part.start), lens[part]),
+                                          np.concatenate(pdf["values"].iloc[part].to_list()).astype(np.float64),
+                                          sign_bits(np.concatenate(pdf["hexes"].iloc[part].to_list()), width),
+                                          np.arange(n), part.stop - part.start)
+            yield pdf[[*UNIT_KEYS, "positions", "values"]].assign(y=list(y))
     return run
 
 
+def sketch(rows: DataFrame, width: int) -> DataFrame:
+    """Y = XΩ per unit (not centred)."""
+    return rows.mapInPandas(_sketch(width), SKETCH_ROWS_SCHEMA).select(*UNIT_KEYS, "y")
+
+
 def sparse_rows(long_df: DataFrame, vocab_hex: DataFrame) -> DataFrame:
     """Per unit: positions[], values[], hexes[] (bounded by the unit's own distinct terms)."""
     j = long_df.join(vocab_hex, ["job_id", "position"])
@@ -341,11 +346,6 @@ def sparse_rows(long_df: DataFrame, vocab_hex: DataFrame) -> DataFrame:
         F.collect_list("hex").alias("hexes"))
 
 
-def sketch(rows: DataFrame, width: int) -> DataFrame:
-    """Y = XΩ per unit (not centred)."""
-    return rows.mapInPandas(_sketch(width), SKETCH_SCHEMA)
-
-
 def _orthonormaliser(n: int, s: np.ndarray, ss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(mean, R) with (Y - mean) R orthonormal on the directions above rounding noise."""
     mean = s / max(n, 1)
@@ -369,66 +369,70 @@ def randomized_fit_transform(spark: SparkSession, rows: DataFrame, n_units: dict
     width = k + oversample
     rows_path = _fresh(spark, "pca-rows")
     rows.write.parquet(rows_path)
-    rows = spark.read.parquet(rows_path)
+    sparse = spark.read.parquet(rows_path)
     y_path = _fresh(spark, "pca-y")
-    # the sketch is written next to the sparse rows it came from, so the first
-    # B pass needs no join back to the rows
-    rows.mapInPandas(_sketch(width, keep_rows=True), SKETCH_ROWS_SCHEMA).write.parquet(y_path)
-    rows_y = spark.read.parquet(y_path)
-    y = rows_y.select(*UNIT_KEYS, "y")
+    # the sketch stands next to the sparse rows it came from, so passes over both need no join
+    (with_blocks(sparse.mapInPandas(_sketch(width), SKETCH_ROWS_SCHEMA), sparse)
+     .repartition("job_id", "block").sortWithinPartitions("job_id", "block").write.parquet(y_path))
+    y = spark.read.parquet(y_path)
+    rows = y.drop("y")
+    needed_path = _fresh(spark, "pca-needed")
+    needed_positions(rows).write.parquet(needed_path)
+    needed = spark.read.parquet(needed_path)
     _tick("rows+sketch", t0)
+
     def factorize(y_rows: DataFrame) -> dict:
         sums = _sum_moments(y_rows.mapInPandas(_moments("y"), MOMENTS))
         # n counts the units of the sketch, which holds every unit of the job
         return {job: _orthonormaliser(n, s, ss) for job, (n, s, ss) in sums.items()}
 
-    factors = factorize(y)
-    _tick("gram", t0)
-    bc = spark.sparkContext.broadcast(factors)
-
-    def b_partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = bc_holder["bc"].value
-        for pdf in batches:
-            for job, g in pdf.groupby("job_id", sort=False):
-                ybar, r = f[job]
-                lens = g["positions"].map(len).to_numpy()
-                if lens.sum() == 0 or r.shape[1] == 0:
-                    continue
-                pos = np.concatenate([np.asarray(p, dtype=np.int64) for p in g["positions"]])
-                vals = np.concatenate([np.asarray(v, dtype=np.float64) for v in g["values"]])
-                owner = np.repeat(np.arange(len(g)), lens)
-                q = (np.vstack(g["y"].to_numpy()) - ybar) @ r
-                upos, inv = np.unique(pos, return_inverse=True)
-                yield pd.DataFrame({"job_id": job, "position": upos, "b": list(scatter_add(inv, vals, q[owner], len(upos)))})
-
-    def b_table(y_rows: DataFrame, keyed: DataFrame | None = None) -> DataFrame:
+    def b_partials(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            f = shared.value
+            for batch in batches:
+                jobs = batch.column("job_id").dictionary_encode()
+                codes = jobs.indices.to_numpy()
+                offsets, y_offsets = (batch.column(c).offsets.to_numpy().astype(np.int64) for c in ("positions", "y"))
+                positions, values, y_flat = (batch.column(c).values.to_numpy() for c in ("positions", "values", "y"))
+                value_offsets = batch.column("values").offsets.to_numpy().astype(np.int64)
+                for code, job in enumerate(jobs.dictionary.to_pylist()):
+                    mean, r = f[job]
+                    units = np.flatnonzero(codes == code)
+                    lens = offsets[units + 1] - offsets[units]
+                    if not r.shape[1] or not lens.sum():
+                        continue
+                    q = (y_flat[y_offsets[units][:, None] + np.arange(len(mean))] - mean) @ r
+                    inside = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
+                    found, index = np.unique(positions[np.repeat(offsets[units], lens) + inside], return_inverse=True)
+                    b = scatter_add(index, values[np.repeat(value_offsets[units], lens) + inside], q,
+                                    np.repeat(np.arange(len(units)), lens), len(found))
+                    yield pa.RecordBatch.from_arrays([pa.array([job] * len(found), type=pa.string()),
+                                                      pa.array(found, type=pa.int64()), _list_array(b)],
+                                                     names=["job_id", "position", "b"])
+        return run
+
+    def b_table(y_rows: DataFrame, factors) -> DataFrame:
         """B = QᵀXc as rows (job, position, ℓ values), written to the work folder."""
-        if keyed is None:
-            slim = rows.select(*UNIT_KEYS, "positions", "values")      # the hex strings are not needed here
-            keyed = slim.join(y_rows.select(*[F.col(c).alias(f"y_{c}") for c in UNIT_KEYS], "y"),
-                              [slim[c].eqNullSafe(F.col(f"y_{c}")) for c in UNIT_KEYS]) \
-                .select("job_id", "record_id", "sub_key", "positions", "values", "y")
-        bpart = keyed.mapInPandas(b_partials, B_SCHEMA)
+        bpart = y_rows.select("job_id", "positions", "values", "y").mapInArrow(b_partials(factors), B_SCHEMA)
         path = _fresh(spark, "pca-b")
         (bpart.repartition("job_id", "position").sortWithinPartitions("job_id", "position")
          .mapInArrow(_sum_sorted(["job_id", "position"], "b"), B_SCHEMA).write.parquet(path))
         return spark.read.parquet(path)
 
-    bc_holder = {"bc": bc}
-    bcols = b_table(y, rows_y)
+    bc = spark.sparkContext.broadcast(factorize(y))
+    _tick("gram", t0)
+    bcols = b_table(y, bc)
     _tick("b", t0)
     for it in range(power_iters):
         # power step: Y ← X·B (Xc·B up to the mean, removed again by the factorisation)
         y_path = _fresh(spark, f"pca-y{it}")
-        power_y(rows, bcols).write.parquet(y_path)
+        power_y(rows, needed, bcols).write.parquet(y_path)
         y = spark.read.parquet(y_path)
         _tick("power y", t0)
-        bc_holder["bc"] = spark.sparkContext.broadcast(factorize(y))
+        bc = spark.sparkContext.broadcast(factorize(y))
         _tick("factorize", t0)
-        bcols = b_table(y)
+        bcols = b_table(y, bc)
         _tick("b again", t0)
-    bc = bc_holder["bc"]
-
 
     bbt = {job: ss for job, (_, _, ss) in _sum_moments(bcols.mapInPandas(_moments("b"), MOMENTS)).items()}
     svd = {}
@@ -442,23 +446,21 @@ def randomized_fit_transform(spark: SparkSession, rows: DataFrame, n_units: dict
         svd[job] = (u[:, :kk], sv)
     bsvd = spark.sparkContext.broadcast(svd)
 
-    def components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = bsvd.value
+    def loadings(pdf: pd.DataFrame) -> Iterator[tuple[str, pd.DataFrame, np.ndarray]]:
+        for job, g in pdf.groupby("job_id", sort=False):
+            u, sv = bsvd.value[job]
+            b = np.vstack(g["b"].to_numpy())
+            yield job, g, (b @ u) / sv if len(sv) else np.zeros((len(b), 0))
+
+    def peaks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for job, g in pdf.groupby("job_id", sort=False):
-                u, sv = s[job]
-                b = np.vstack(g["b"].to_numpy())
-                v = (b @ u) / sv if len(sv) else np.zeros((len(b), 0))
-                out.append(pd.DataFrame({"job_id": job, "position": g["position"].to_numpy(),
-                                         "loadings": list(v)}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+            for job, _, v in loadings(pdf):
+                top = v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])]
+                yield pd.DataFrame({"job_id": job, "c": np.arange(v.shape[1]), "v": top})
 
-    comps = bcols.mapInPandas(components, "job_id string, position long, loadings array<double>")
     # sign fix: flip each component so its largest-|loading| entry is positive
-    maxabs = comps.select("job_id", F.posexplode("loadings").alias("c", "v")).groupBy("job_id", "c").agg(
-        F.max_by("v", F.struct(F.abs("v"), F.lit(0))).alias("peak"))
+    maxabs = bcols.mapInPandas(peaks, "job_id string, c int, v double").groupBy("job_id", "c").agg(
+        F.max_by("v", F.abs("v")).alias("peak"))
     flips = {}
     for r in maxabs.toLocalIterator():  # (#jobs × k) rows
         flips.setdefault(r["job_id"], {})[r["c"]] = -1.0 if r["peak"] < 0 else 1.0
@@ -482,17 +484,15 @@ def randomized_fit_transform(spark: SparkSession, rows: DataFrame, n_units: dict
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    coord_df = y.mapInPandas(coords, "job_id string, record_id string, sub_key int, vector array<double>")
+    coord_df = y.select(*UNIT_KEYS, "y").mapInPandas(coords, "job_id string, record_id string, sub_key int, vector array<double>")
 
-    def flip_comps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fl = bflip.value
+    def components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf.copy()
-            pdf["loadings"] = [np.asarray(v) * fl.get(j, np.ones(len(v)))[: len(v)]
-                               for j, v in zip(pdf["job_id"], pdf["loadings"])]
-            yield pdf
+            for job, g, v in loadings(pdf):
+                flip = bflip.value.get(job, np.ones(v.shape[1]))
+                yield pd.DataFrame({"job_id": job, "position": g["position"].to_numpy(), "loadings": list(v * flip)})
 
-    comps = comps.mapInPandas(flip_comps, "job_id string, position long, loadings array<double>")
+    comps = bcols.mapInPandas(components, "job_id string, position long, loadings array<double>")
     return coord_df, comps
 
 

@@ -69,8 +69,9 @@ class ReducedCountModel:
             F.coalesce(grouped["values"], F.array().cast("array<double>")).alias("values"))
         path = fresh_path(units.sparkSession, "reduced-rows")
         rows.write.parquet(path)
-        rows = units.sparkSession.read.parquet(path)
-        y = pca.power_y(rows, self.components().select("job_id", "position", F.col("loadings").alias("b")))
+        # read twice, so that the two sides of the join have their own columns
+        rows, again = (pca.with_blocks(units.sparkSession.read.parquet(path)) for _ in range(2))
+        y = pca.power_y(rows, pca.needed_positions(again), self.components().withColumnRenamed("loadings", "b"))
         centred = F.zip_with("y", "mean", lambda a, m: a - m)
         return y.join(broadcast_if_small(self.means()), "job_id", "left").select(
             *UNIT_KEYS, F.when(F.size("y") > 0, centred).otherwise(F.array(F.lit(0.0))).alias("vector"))
