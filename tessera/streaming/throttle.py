@@ -5,8 +5,8 @@ Rows are taken in (ts, id) order; a row whose ts is not later than the last
 passed ts plus the period is suppressed wherever it arrives (late rows too).
 
 The rule depends on its own output, so no window frame expresses it. Batch form:
-hash-partition by key, sort within partitions, one sequential scan holding one
-timestamp per key (O(1) state). Stream form: ``applyInPandasWithState`` keyed
+hash-partition by key, sort within partitions, one sequential scan holding the
+last passed timestamp of the key it is at (O(1) state). Stream form: ``applyInPandasWithState`` keyed
 by the same key, the state being that one timestamp.
 """
 
@@ -29,13 +29,14 @@ def _to_micros(col: str):
 
 def _scan(key: str, period_us: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict = {}
+        current, last = None, None  # rows come sorted by key: one open key (null keys are one key)
         for pdf in batches:
             keep = np.zeros(len(pdf), dtype=bool)
+            null = pdf[key].isna().to_numpy()
             for i, (k, t) in enumerate(zip(pdf[key].to_numpy(), pdf["_us"].to_numpy())):
-                prev = last.get(k)
-                if prev is None or t - prev > period_us:
-                    last[k] = t
+                k = (null[i], None if null[i] else k)
+                if k != current or t - last > period_us:
+                    current, last = k, t
                     keep[i] = True
             yield pdf[keep]
     return run

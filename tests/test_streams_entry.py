@@ -30,6 +30,14 @@ def test_throttle_batch_equals_python_on_events(spark, sf_small):
     assert got == python_throttle(rows, 3600)
 
 
+def test_null_keys_are_one_key(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(1, None, t), (2, None, t + dt.timedelta(seconds=1)), (3, 0, t), (4, None, t + dt.timedelta(seconds=9)), (5, 0, t)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp")
+    got = sorted(r["event_id"] for r in throttle_by_key(df, "user_id", "ts", "event_id", 5, 1).collect())
+    assert got == python_throttle(rows, 5) == [1, 3, 4]
+
+
 def test_stream_equals_batch(spark, sf_small):
     from tessera.plans.queries import q_throttle_by_key, q_throttle_stream
     a = sorted(r["event_id"] for r in q_throttle_by_key(spark, sf_small).collect())
