@@ -16,8 +16,8 @@ only those bins are divided further by the next bits (down to groups, if needed)
 so the driver holds a bounded table and the result is exactly that of the full
 list of groups.
 
-Cases: null and empty texts are different groups of size 1 a row; repeated rows are
-one group; null ids are placed like others; fewer groups than shards leave shards
+Cases: null and empty texts are one group of size 1 a row (a null counts as an empty
+text); repeated rows are one group; null ids are placed like others; fewer groups than shards leave shards
 empty; an empty table gives no rows.
 """
 
@@ -167,11 +167,11 @@ def _divided(groups: DataFrame, spans: list[Interval], open_: list[int]) -> list
 
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
-    text = F.col(text_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = staged(docs.select(
-        F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
-        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        F.xxhash64(text, text.isNull()).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2")), "sized")
+        F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2")), "sized")
     groups = staged(_grouped(keyed), "groups")
     cuts, _ = cut_keys(groups, shards)
     place = F.lit(0)

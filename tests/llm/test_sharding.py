@@ -61,7 +61,7 @@ def check(rows, docs):
         size[r["shard"]] = size.get(r["shard"], 0) + r["size"]
     groups = {}
     for r in rows:
-        groups.setdefault(docs[r["doc_id"]], set()).add(r["shard"])
+        groups.setdefault(docs[r["doc_id"]] or "", set()).add(r["shard"])
     assert all(len(s) == 1 for s in groups.values())
     for s in size:
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
