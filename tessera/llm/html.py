@@ -8,6 +8,12 @@ collapses white space outside ``pre``, puts a blank line around paragraphs, head
 tables and a line break around other blocks, marks and indents list items, and pads table
 cells so that columns line up.
 
+A head ends at the first start tag or text that does not belong in one. Elements below ``svg``
+and ``math`` end at once when self-closing (also after an unquoted value, where a browser takes the
+slash into the value), and a paragraph or the like ends them; of an svg, what its ``text``
+and ``foreignObject`` elements hold is shown (copies by ``use`` are not). An input shows its value
+unless its type shows none as text (checkbox, radio, file, image, password, range, color, hidden).
+
 Cases: null html gives a null text, empty html an empty one; malformed and unclosed tags are
 closed at their parent's end; nothing recurses, so depth is not limited; repeated rows
 repeat; an empty table gives no rows.
@@ -25,7 +31,7 @@ from pyspark.sql import types as T
 
 # Element names by their role in the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title iframe object svg canvas audio video datalist".split())
+UNSEEN = frozenset("head script style template noscript title iframe object canvas audio video datalist".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl table pre figure form fieldset".split())
 BLOCK = SPACED | frozenset("""html body div section article aside nav header footer main address li dt dd tr caption
 thead tbody tfoot figcaption details summary dialog hgroup legend option optgroup center menu""".split())
@@ -39,7 +45,14 @@ ENDS = {
     "option": ({"option"}, {"select", "optgroup"}), "optgroup": ({"option", "optgroup"}, {"select"}), "body": ({"head"}, {"html"}),
 }
 CLOSES_P = BLOCK - {"html", "body", "option", "optgroup", "tr", "thead", "tbody", "tfoot", "caption", "legend"} | {"hr"}
-SCOPE = frozenset("html body table td th caption button object".split())
+SCOPE = frozenset("html body table td th caption button object foreignobject".split())
+HEAD = frozenset("head base basefont bgsound link meta title noscript noframes style script template".split())
+# Start tags that end an open svg or math element; elements of these whose own content is HTML again; svg content that is not drawn.
+LEAVES_FOREIGN = frozenset("""b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu
+meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var""".split())
+HTML_INSIDE = {"svg": frozenset("foreignobject desc title".split()), "math": frozenset("mi mo mn ms mtext".split())}
+NOT_DRAWN = frozenset("""defs symbol clippath mask pattern marker lineargradient radialgradient filter metadata desc""".split())
+NO_TEXT_INPUTS = frozenset("hidden checkbox radio file image password range color".split())
 
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _NONE = re.compile(r"display\s*:\s*none", re.I)
@@ -47,10 +60,12 @@ _VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "space", "inner")
 
-    def __init__(self, tag: str, attrs: dict):
+    def __init__(self, tag: str, attrs: dict, space: str = ""):
         self.tag, self.attrs, self.children = tag, attrs, []
+        self.space = tag if tag in HTML_INSIDE else space  # "svg", "math" or "" (HTML): of the element, and of what it holds
+        self.inner = "" if tag in HTML_INSIDE.get(space, ()) else self.space
 
 
 class TreeBuilder(HTMLParser):
@@ -64,7 +79,7 @@ class TreeBuilder(HTMLParser):
     def _end_implied(self, names: set, scope: set) -> None:
         for i in range(len(self.open) - 1, 0, -1):
             tag = self.open[i].tag
-            if tag in scope:
+            if tag in scope or tag == "foreignobject":
                 return
             if tag in names:
                 below = [k for k in range(i - 1, 0, -1) if self.open[k].tag in names | scope]
@@ -72,14 +87,23 @@ class TreeBuilder(HTMLParser):
                 if not below or self.open[below[0]].tag in scope:
                     return
 
+    def _end_head(self) -> None:
+        while self.open[-1].tag == "head":
+            self.open.pop()
+
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD:
+            self._end_head()
+        if tag in LEAVES_FOREIGN or tag == "font" and any(k in ("color", "face", "size") for k, _ in attrs):
+            while self.open[-1].inner:
+                self.open.pop()
         if tag in ENDS:
             self._end_implied(*ENDS[tag])
         if tag in CLOSES_P:
             self._end_implied({"p"}, SCOPE)
-        node = Node(tag, {k: v or "" for k, v in attrs})
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.open[-1].inner)
         self.open[-1].children.append(node)
-        if tag not in VOID:
+        if tag not in VOID and not (node.space and self.get_starttag_text().endswith("/>")):
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
@@ -94,10 +118,22 @@ class TreeBuilder(HTMLParser):
                 return
             if self.open[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
                 return
+            if self.open[i].tag == "foreignobject" and tag != "svg":
+                return
+
+    def set_cdata_mode(self, elem, **kind):
+        if not (self.open[-1].tag == elem and self.open[-1].space):  # svg styles and titles are ordinary markup
+            super().set_cdata_mode(elem, **kind)
 
     def handle_data(self, data):
+        if data.strip(" \t\n\r\f"):
+            self._end_head()
         self.open[-1].children.append(data)
 
+    def unknown_decl(self, data):
+        if self.open[-1].inner and data.startswith("CDATA["):
+            self.handle_data(data[6:])
+
 
 def parse(html: str) -> Node:
     builder = TreeBuilder()
@@ -111,6 +147,8 @@ def _shown(node: Node, visible: bool) -> tuple[bool, bool]:
     a = node.attrs
     if node.tag in UNSEEN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
         return False, False
+    if node.space == "svg" and node.tag in NOT_DRAWN:
+        return False, False
     if node.tag == "dialog" and "open" not in a:
         return False, False
     style = a.get("style")
@@ -202,8 +240,8 @@ def render(root: Node) -> str:
     page = Page()
     pages: list[Page] = [page]
     tables: list[list[list[tuple[str, int]]]] = []
-    # work: ("open", node, visible, pre) or ("close", function)
-    work: list[tuple] = [("open", root, True, False)]
+    # work: ("open", node, visible, pre, drawn) or ("close", function); drawn: not text that stands loose in an svg
+    work: list[tuple] = [("open", root, True, False, True)]
     counters: list[list] = []
 
     def closing(f):
@@ -214,10 +252,10 @@ def render(root: Node) -> str:
         if step[0] == "close":
             step[1]()
             continue
-        _, node, visible, pre = step
+        _, node, visible, pre, drawn = step
         page = pages[-1]
         if isinstance(node, str):
-            if visible and node:
+            if visible and drawn and node:
                 page.lines(node) if pre else page.text(node)
             continue
         shown, visible = _shown(node, visible)
@@ -225,11 +263,20 @@ def render(root: Node) -> str:
             continue
         tag = node.tag
         children = node.children
+        if node.space == "svg":
+            if tag == "svg":
+                drawn = False
+            elif tag in ("text", "foreignobject"):
+                drawn = True
+                page.text(" ")  # each has a place of its own
+                closing(lambda page=page: page.text(" "))
+            elif tag == "switch":  # the first that suits
+                children = [c for c in children if isinstance(c, Node)][:1]
         if tag == "br":
             page.newline()
             continue
         if tag == "input":
-            if node.attrs.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "") and node.attrs.get("value") and visible:
+            if node.attrs.get("type", "text").lower() not in NO_TEXT_INPUTS and node.attrs.get("value") and visible and drawn:
                 page.text(node.attrs["value"])
             continue
         if tag == "details" and "open" not in node.attrs:
@@ -284,7 +331,7 @@ def render(root: Node) -> str:
                 page.lead = ""
             closing(end_item)
         for child in reversed(children):
-            work.append(("open", child, visible, pre or tag in ("pre", "textarea")))
+            work.append(("open", child, visible, pre or tag in ("pre", "textarea"), drawn))
     return pages[0].result()
 
 

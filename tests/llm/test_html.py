@@ -43,6 +43,39 @@ def test_visibility():
     assert t("<input type=hidden value=no><input type=submit value=Go><template>no</template>") == "Go"
 
 
+def test_self_closing_svg_and_math_hide_nothing_after_them():
+    t = X.visible_text
+    for icon in ("<svg class='icon'/>", "<svg class=icon/>", "<svg />", "<math/>", "<svg><path d='M0 0'/><g/></svg>", "<svg><style/><title/></svg>"):
+        assert t(f"<body><div>{icon}a<p>b</p></div>c</body>") == "a\n\nb\n\nc", icon
+    assert t("<div><svg><path d='M0 0'>loose<p>b</div>c") == "b\n\nc"
+    assert t("<svg><title>Icon</svg>c") == "c"
+    assert t("<div/>a") == "a"
+
+
+def test_a_head_without_end_tags():
+    t = X.visible_text
+    assert t("<html><head><title>t</title><p>text") == "text"
+    assert t("<html><head><title>t</title><meta charset=utf-8>\n text <b>more</b>") == "text more"
+    assert t("<head><script>no</script><style>no</style><noscript><p>no</p></noscript><link href=x><svg/>text") == "text"
+    assert t("<head><head><title>t</title>text") == "text"
+    assert t("<html><head><title>t</title></head><body>text") == t("<html><head><title>t</title><body>text") == "text"
+
+
+def test_svg_text_is_shown():
+    t = X.visible_text
+    assert t("a<svg>no<g><text>one <tspan>two</tspan></text><text><![CDATA[three]]></text></g><defs><text>no</text></defs></svg>b") == "a one two three b"
+    assert t("<p>a<svg><title>no</title><desc>no</desc><foreignObject><div>x</div><p>y</foreignObject>no</svg>b") == "a\nx\n\ny\n\nb"
+    assert t("<svg hidden><text>no</text></svg><svg><text visibility=x style='display:none'>no</text></svg>") == ""
+    assert t("<svg><switch><foreignObject><b>x</b></foreignObject><text>not supported</text></switch></svg>") == "x"
+
+
+def test_values_of_inputs():
+    for kind in ("text", "email", "tel", "url", "number", "date", "month", "week", "time", "datetime-local", "search", "submit", "reset", "button", "EMAIL", "unknown"):
+        assert X.visible_text(f"<input type={kind} value=v1>") == "v1", kind
+    for kind in ("hidden", "password", "checkbox", "radio", "file", "image", "range", "color"):
+        assert X.visible_text(f"<input type={kind} value=v1>") == "", kind
+
+
 def test_edges(spark):
     deep = "<div>" * 20000 + "x" + "</b></div>" * 100
     rows = [(1, "u", None, "old"), (2, "u", "", "old"), (3, "u", "<", "old"), (4, "u", deep, "old"), (5, "u", "plain", None), (5, "u", "plain", None),
