@@ -59,6 +59,59 @@ def test_edges_blocks_and_short_items(spark, doc_rows):
     assert kept.count() == sum(not r[-1] for r in want)
 
 
+def test_equal_texts_and_templates(spark):
+    """A third of the items are one text, a third share a template; a third of the documents hold either."""
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen "
+    items = ([(f"e{i}", "this very text stands in a third of all of the items") for i in range(300)]
+             + [(f"t{i}", base + f"tail{i} and more of it") for i in range(300)] + [(f"x{i}", f"w{i} " * 12 + "end") for i in range(300)])
+    docs = [(i, ["so this very text stands in a third of all of the items here", "x " + base + "tail7 and", f"w{i} " * 11 + base, "clean " * 20][i % 4]) for i in range(60)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(docs, items)
+    for block_bytes in (D.BLOCK_BYTES, 4000):
+        assert sorted((tuple(r) for r in D.digest(frame, bench, block_bytes=block_bytes).collect()), key=str) == want
+        kept = D.decontaminate(frame.withColumn("n_hit", F.lit(7)), bench, block_bytes=block_bytes)
+        assert sorted(tuple(r) for r in kept.collect()) == sorted((d, t, 7) for d, t in docs if d % 4 == 3)
+
+
+def test_a_run_of_one_word_lists_no_pairs(spark, doc_rows):
+    """40000 x 30000 pairs of equal words."""
+    bench = spark.createDataFrame([(1, "word " * 40000), (2, "word " * 12 + "end")], "item_id long, text string")
+    ids = hashlib.sha256(b"1,2").hexdigest()
+    assert [tuple(r) for r in D.digest(doc_rows, bench).where("contaminated").collect()] == [(9, 30000, 30000, 2, ids, True)]
+    m = D.matches(doc_rows, bench).where("doc_id = 9").first()["decontamination"]["matches"]
+    assert [x["n_words"] for x in m if x["item_id"] == "1"] == [30000]
+    assert {x["n_words"] for x in m if x["item_id"] == "2"} == {12}
+
+
+def test_longest_matches_equal_brute_force(spark):
+    import random
+    rnd = random.Random(3)
+    items = [(str(i), " ".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 30)))) for i in range(20)]
+    docs = [(i, " ".join(rnd.choice("abcd") for _ in range(60))) for i in range(20)]
+    got = D.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), window=3)
+    for row in got.collect():
+        d, want = row["text"].split(), set()
+        for item, text in items:
+            t, last = text.split(), 0
+            need = min(3, len(t))
+            for p in range(len(d)):
+                best = 0
+                for q in range(len(t) - need + 1):
+                    n = 0
+                    while p + n < len(d) and q + n < len(t) and d[p + n] == t[q + n]:
+                        n += 1
+                    best = max(best, n if n >= need else 0)
+                if best and best != last - 1:
+                    want.add((item, p, best))
+                last = best
+        found = [(m["item_id"], m["doc_word"], m["n_words"]) for m in row["decontamination"]["matches"]]
+        assert len(found) == len(set(found)) and set(found) == want
+        for m in row["decontamination"]["matches"]:
+            t = dict(items)[m["item_id"]].split()
+            assert t[m["item_word"]:m["item_word"] + m["n_words"]] == d[m["doc_word"]:m["doc_word"] + m["n_words"]]
+
+
 def test_longest_match_and_location(spark):
     docs = spark.createDataFrame([(1, "x a b c d e y b c d z", "old")], "doc_id long, text string, decontamination string")
     bench = spark.createDataFrame([("q", "a b c d e f"), ("r", "b c d")], "item_id string, text string")
