@@ -249,8 +249,29 @@ def identify(docs: DataFrame) -> DataFrame:
         "doc_id", (crc_fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Documents whose text has a letter."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        low = letters()
+        for batch in batches:
+            for lo, hi, buf, bounds in text_slices(batch.column(at), SLICE_BYTES):
+                points, cut = code_points(buf, bounds)
+                lettered = np.concatenate([[0], np.cumsum(low[points] >= 0)])
+                yield batch.slice(lo, hi - lo).filter(pa.array(lettered[cut[1:]] > lettered[cut[:-1]]))
+
+    return docs.mapInArrow(run, nullable(docs.schema))
+
+
 def keep_identified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """Documents whose language was identified with at least ``min_score``, with the columns they came with."""
+    """Documents whose language was identified with at least ``min_score``, with the columns they came with.
+
+    Where no row has a usable label there is no prediction to go by: all documents with letters stay.
+    """
+    model = fit(docs.select("doc_id", "text", "lang"))
+    if model is None:
+        return with_letters(docs)
     pred, score = "_language_of_the_row", "_score_of_the_row"
-    found = predict(docs, fit(docs.select("doc_id", "text", "lang")), pred=pred, score=score)
+    found = predict(docs, model, pred=pred, score=score)
     return found.where((F.col(pred) != UNKNOWN) & (F.col(score) >= min_score)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -49,3 +49,13 @@ def test_edges(spark, doc_rows):
     assert L.identify(doc_rows.limit(0)).count() == 0
     unlabelled = doc_rows.selectExpr("doc_id", "text", "cast(null as string) lang")
     assert {r["lang_pred"] for r in L.identify(unlabelled).collect()} == {"und"}
+
+
+def test_without_labels_documents_with_letters_stay(spark, doc_rows):
+    held_out = next(i for i in range(100) if __import__("zlib").crc32(str(i).encode()) % 5 == 0)
+    for frame in (doc_rows.selectExpr("doc_id", "text", "cast(null as string) lang", "source"),
+                  doc_rows.selectExpr(f"cast({held_out} as long) doc_id", "text", "lang", "source")):
+        kept = L.keep_identified(frame)
+        assert kept.columns == frame.columns
+        got = sorted((r["text"] for r in kept.collect()))
+        assert got == sorted(r["text"] for r in doc_rows.collect() if r["text"] and any(c.isalpha() for c in r["text"]))
