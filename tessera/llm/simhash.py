@@ -143,12 +143,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id) of every distinct fingerprint; ``prints`` holds doc_id and fp."""
+    """(fp, root, component_id) of every distinct fingerprint; ``prints`` holds doc_id and fp, root is a fingerprint."""
     distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least_doc")), "fingerprints")
     rooted = distinct.join(components(links(distinct, radius)), distinct["fp"] == F.col("node"), "left").select(
         "fp", "least_doc", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    return rooted.join(named, "root").select("fp", "component_id")
+    return rooted.join(named, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -169,8 +169,8 @@ def keep_representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int =
     marked = staged(with_fingerprint(docs, out=mark, shingle=shingle), "prints")
     prints = marked.select("doc_id", F.col(mark).alias("fp"))
     chosen = groups(prints, radius).join(prints, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # one row of the component: its smallest fingerprint, if several rows share that id
-    chosen = chosen.groupBy("component_id").agg(F.min("fp").alias("fp")).where("component_id IS NOT NULL").unionByName(
+    # one row of the component: its smallest fingerprint, if several rows share that id; other components may have the same id
+    chosen = chosen.where("component_id IS NOT NULL").groupBy("root", "component_id").agg(F.min("fp").alias("fp")).select("component_id", "fp").unionByName(
         chosen.where("component_id IS NULL").select("component_id", "fp").distinct())
     kept = marked.join(chosen.select(F.col("component_id").alias("_kept_id"), F.col("fp").alias("_kept_fp")),
                        marked["doc_id"].eqNullSafe(F.col("_kept_id")) & (marked[mark] == F.col("_kept_fp")), "left_semi")

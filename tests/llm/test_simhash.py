@@ -56,6 +56,14 @@ def test_edges(spark, doc_rows):
     assert S.keep_representatives(doc_rows.limit(0)).count() == 0
 
 
+def test_components_with_one_smallest_id_both_stay(spark):
+    texts = ["an apple a day keeps the doctor away they say", "completely different words about trains and rivers in winter"]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[0]), (3, texts[1]), (1, texts[0])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in S.keep_representatives(frame).collect()) == [(1, texts[0]), (1, texts[1])]
+    assert sorted((tuple(r) for r in S.near_duplicates(frame).collect()), key=str) == brute(rows)
+
+
 def test_chains_and_covering(spark):
     assert all(any((m >> i | m >> j) & 1 == 0 for m in S.covering_masks(2)) for i in range(64) for j in range(64))
     chain = [0]
