@@ -11,9 +11,10 @@ instead of triples:
    below v makes both positions sampled. Every sample is named by its first
    200 - v + 1 bytes; names are sorted and adjacent ones compared.
 2. *Recurse on names.* Samples with a repeated name are named anew by
-   the pair (name, block): the block reaches v - 1 bytes to the left and 200 to the right.
+   their block, which reaches v - 1 bytes to the left and 200 to the right of the sample.
    If a block repeats, every string that starts in the v positions up to the
-   sample repeats, and is decided. Samples whose name class has nothing
+   sample repeats, and is decided. Then each pack sends its distinct names of round 1 with
+   flags (several blocks, something undecided). Samples whose name class has nothing
    undecided are finished; a class with undecided samples goes on, each of its
    distinct blocks by one sample.
 3. *Merge the remaining suffixes.* Strings that start in the v positions up
@@ -24,8 +25,9 @@ instead of triples:
 Documents are laid into packs of about ``PACK_BYTES`` (compressed), one row
 each, and cross the network once; all rounds reuse that exchange. A round sends a
 pack's distinct names, sorted, dealt by their leading bits; a name that a pack holds
-thousands of times is sent once, so no hot name gathers in one task. Names
-travel as 32 bits beside their bucket in round 1 (a filter: rounds 2 and 3 use
+thousands of times is sent once, so no hot name gathers in one task: blocks are dealt by their own
+names, not by those of round 1, which come once a pack with their flags. Names
+travel as 32 bits beside their bucket in round 1 and with the flags (filters: blocks and strings use
 63 and 64 bits, and equal hashes count as equal bytes there).
 
 Cases: null texts read as empty (0 bytes, nothing removed); texts shorter than
@@ -36,6 +38,7 @@ document is held whole in memory (about 40 bytes a byte); empty tables give no r
 from __future__ import annotations
 
 import hashlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -141,7 +144,7 @@ class Pack:
             self.hash(self.pos, self.pos + self.core), return_inverse=True, return_counts=True)
 
     def blocks(self, answer: np.ndarray) -> None:
-        """Round 2: distinct (core, block) names of the samples whose core repeats, sorted by core."""
+        """Round 2: distinct block names of the samples whose core repeats, sorted."""
         repeated = self.core_count > 1
         repeated[answer] = True
         keep = repeated[self.core_of]
@@ -152,23 +155,29 @@ class Pack:
         self.lo, self.hi = left, np.minimum(self.pos, end - self.w) + 1  # starts of the strings up to the sample
         block = self.hash(left, right) ^ ((self.pos - left).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         block &= ~np.uint64(1)
-        order = np.lexsort((block, self.core_of))
-        core, block = self.core_of[order], block[order]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (core[1:] != core[:-1]) | (block[1:] != block[:-1])
-        number = np.cumsum(new) - 1
-        self.block_of = np.empty(len(order), dtype=np.int64)
-        self.block_of[order] = number
-        count = np.bincount(number, minlength=int(new.sum()))
-        self.block_core = self.cores_1[core[new]]
-        self.block_many = count > 1
-        self.block_name = block[new] | self.block_many.astype(np.uint64)  # the last bit tells that this pack has several
-        self.block_example = order[new]
-
-    def strings(self, answer: np.ndarray) -> None:
-        """Round 3: distinct names of the whole strings that are still open, sorted. ``answer`` has a status for each block."""
-        self.decided = np.isin(answer, (DECIDED, STANDS_IN))[self.block_of]
-        go = np.concatenate([np.flatnonzero((answer == OPEN)[self.block_of]), self.block_example[answer == STANDS_IN]])
+        names, self.block_example, self.block_of, count = np.unique(block, return_index=True, return_inverse=True, return_counts=True)
+        self.block_core = self.core_of[self.block_example]  # a block holds its core
+        self.block_name = names | (count > 1).astype(np.uint64)  # the last bit tells that this pack has several
+
+    def flags(self, at: np.ndarray, said: np.ndarray) -> None:
+        """Round 2, cores: distinct cores, sorted, and what this pack knows of each. ``said``: REPEATED or FIRST, of the blocks ``at``."""
+        self.repeated, self.first = np.zeros(len(self.block_name), dtype=bool), np.zeros(len(self.block_name), dtype=bool)
+        self.repeated[at], self.first[at] = True, said == FIRST
+        core, self.flag_of, count = np.unique(self.block_core, return_inverse=True, return_counts=True)
+        self.flag_name, self.several = self.cores_1[core], count > 1
+        self.undecided, first = (np.bincount(self.flag_of, weights=x, minlength=len(core)) > 0 for x in (~self.repeated, self.first))
+        self.flag = (self.undecided * UNDECIDED | (self.undecided & ~self.several) * ASKS_SEVERAL
+                     | (first & ~self.undecided) * ASKS_UNDECIDED).astype(np.uint8)
+
+    def strings(self, at: np.ndarray, said: np.ndarray) -> None:
+        """Round 3: distinct names of the whole strings that are still open, sorted. ``said``: what was asked, of the cores ``at``."""
+        several, undecided = self.several.copy(), self.undecided.copy()
+        several[at] |= said & SEVERAL > 0
+        undecided[at] |= said & UNDECIDED > 0
+        open_ = ~self.repeated & several[self.flag_of]
+        stands_in = self.first & undecided[self.flag_of]
+        self.decided = self.repeated[self.block_of]
+        go = np.concatenate([np.flatnonzero(open_[self.block_of]), self.block_example[stands_in]])
         lo, hi = self.lo[go], np.maximum(self.hi[go], self.lo[go])
         self.open = np.flatnonzero(covered(lo, hi, len(self.buf)))
         self.names_3, self.name_of, count = np.unique(self.hash(self.open, self.open + self.w),
@@ -186,7 +195,8 @@ class Pack:
         return covered(lo[ok], hi[ok], len(self.buf))
 
 
-FINISHED, OPEN, DECIDED, STANDS_IN = 0, 1, 2, 3
+REPEATED, FIRST = 1, 2  # a block that repeats; its first entry
+SEVERAL, UNDECIDED, ASKS_SEVERAL, ASKS_UNDECIDED = 1, 2, 4, 8  # of a core
 
 
 def _parts(names: np.ndarray, buckets: int) -> np.ndarray:
@@ -207,37 +217,34 @@ def _sent(pack: int, names: np.ndarray, buckets: int, width: np.dtype, more: np.
         names=SENT.fieldNames())
 
 
-def _compare(names: np.ndarray) -> np.ndarray:
+def _compare(names: np.ndarray, _) -> np.ndarray:
     """Which names also stand elsewhere: sort, compare adjacent ones."""
     order = np.argsort(names, kind="stable")
     same = names[order[1:]] == names[order[:-1]]
-    repeated = np.zeros(len(names), dtype=bool)
+    repeated = np.zeros(len(names), dtype=np.uint8)
     repeated[order[1:]] = same
     repeated[order[:-1]] |= same
     return repeated
 
 
-def _compare_pairs(core: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """Status of each (core, block): see the module's text."""
-    many, block = (block & np.uint64(1)).astype(bool), block >> np.uint64(1)
-    order = np.lexsort((block, core))
-    c, b = core[order], block[order]
-    new_core = np.ones(len(c), dtype=bool)
-    new_core[1:] = c[1:] != c[:-1]
-    new_block = new_core.copy()
-    new_block[1:] |= b[1:] != b[:-1]
-    block_at, core_at = np.cumsum(new_block) - 1, np.cumsum(new_core) - 1
-    repeated = (np.bincount(block_at) > 1) | (np.bincount(block_at, weights=many[order]) > 0)
-    undecided = np.bincount(core_at, weights=~repeated[block_at]) > 0
-    alone = np.bincount(core_at) < 2
-    status = np.where(repeated[block_at], DECIDED, np.where(alone[core_at], FINISHED, OPEN))
-    status[new_block & repeated[block_at] & undecided[core_at]] = STANDS_IN
-    out = np.empty(len(c), dtype=np.uint8)
-    out[order] = status
+def _compare_blocks(names: np.ndarray, _) -> np.ndarray:
+    """REPEATED for each entry of a block that repeats, FIRST for one of them."""
+    _, first, number, count = np.unique(names >> np.uint64(1), return_index=True, return_inverse=True, return_counts=True)
+    repeated = (count > 1) | (np.bincount(number, weights=names & np.uint64(1)) > 0)
+    out = repeated[number].astype(np.uint8) * np.uint8(REPEATED)
+    out[first[repeated]] = FIRST
     return out
 
 
-def _round(packs: DataFrame, tasks: int, make, width: str, pairs: bool) -> DataFrame:
+def _compare_cores(names: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """What each entry asked: whether its core stands in another pack too, whether something is undecided there."""
+    _, number, count = np.unique(names, return_inverse=True, return_counts=True)
+    undecided = np.bincount(number, weights=flags & UNDECIDED) > 0
+    return (((flags & ASKS_SEVERAL > 0) & (count > 1)[number]) * SEVERAL
+            | ((flags & ASKS_UNDECIDED > 0) & undecided[number]) * UNDECIDED).astype(np.uint8)
+
+
+def _round(packs: DataFrame, tasks: int, make, width: str, compare=_compare) -> DataFrame:
     """Deal the names of all packs by their leading bits, compare, and bring each pack its answers."""
     buckets = max(LEAST_BUCKETS, tasks * BUCKETS_PER_TASK)
     dtype = np.dtype(width)
@@ -250,33 +257,23 @@ def _round(packs: DataFrame, tasks: int, make, width: str, pairs: bool) -> DataF
                     yield _sent(row["pack"], names, buckets, dtype, more)
 
     def answer(batches):
-        rows = [r for b in batches for r in b.to_pylist()]  # a task's share of the names, bounded by the number of tasks
-        rows.sort(key=lambda r: r["bucket"])
-        lo = 0
-        while lo < len(rows):
-            hi = lo
-            while hi < len(rows) and rows[hi]["bucket"] == rows[lo]["bucket"]:
-                hi += 1
-            group = rows[lo:hi]
+        rows = (r for b in batches for r in b.to_pylist())
+        for _, same in groupby(rows, key=lambda r: r["bucket"]):  # one bucket in memory
+            group = list(same)
             names = np.concatenate([np.frombuffer(r["names"], dtype=dtype) for r in group])
             cut = np.concatenate([[0], np.cumsum([len(r["names"]) // dtype.itemsize for r in group])])
-            if pairs:
-                blocks = np.concatenate([np.frombuffer(r["more"], dtype=np.uint64) for r in group])
-                said = _compare_pairs(names, blocks)
-            else:
-                said = _compare(names)
+            said = compare(names, np.concatenate([np.frombuffer(r["more"] or b"", dtype=np.uint8) for r in group]))
             packs_, answers = [], []
             for k, r in enumerate(group):
                 part = said[cut[k]:cut[k + 1]]
                 at = np.flatnonzero(part)
                 if len(at):
                     packs_.append(r["pack"])
-                    answers.append(((at + r["first"]) * 4 + (part[at] if pairs else 1)).astype(np.int64).tobytes())
+                    answers.append(((at + r["first"]) * 4 + part[at]).astype(np.int64).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(packs_, type=pa.int64()), pa.array(answers, type=pa.binary())],
                                              names=REPLY.fieldNames())
-            lo = hi
 
-    sent = packs.mapInArrow(send, SENT).repartition(tasks, "bucket")
+    sent = packs.mapInArrow(send, SENT).repartition(tasks, "bucket").sortWithinPartitions("bucket")
     replies = sent.mapInArrow(answer, REPLY).repartition(tasks, "pack")
     return replies.groupBy("pack").agg(F.collect_list("answer").alias("answers"))
 
@@ -293,10 +290,9 @@ def _state(row: dict, min_bytes: int) -> Pack:
     if "r1" in row:
         pack.blocks(_indexes(row["r1"])[0])
     if "r2" in row:
-        at, status = _indexes(row["r2"])
-        every = np.zeros(len(pack.block_name), dtype=np.uint8)
-        every[at] = status
-        pack.strings(every)
+        pack.flags(*_indexes(row["r2"]))
+    if "r2_cores" in row:
+        pack.strings(*_indexes(row["r2_cores"]))
     return pack
 
 
@@ -307,16 +303,20 @@ def mark_repeats(docs: DataFrame, finish, schema: T.StructType, *, text_col: str
     tasks = max(shuffle_width(spark), -(-text_bytes(docs, text_col) // TASK_BYTES))
     packs = lay_packs(docs, text_col).repartition(tasks, "pack")
     with_1 = packs.join(
-        _round(packs, tasks, lambda row: (_state(row, min_bytes).cores_1, None), "uint32", False)
+        _round(packs, tasks, lambda row: (_state(row, min_bytes).cores_1, None), "uint32")
         .withColumnRenamed("answers", "r1"), "pack", "left")
+    with_2 = with_1.join(
+        _round(with_1, tasks, lambda row: (_state(row, min_bytes).block_name, None), "uint64", _compare_blocks)
+        .withColumnRenamed("answers", "r2"), "pack", "left")
 
-    def blocks(row):
+    def flags(row):
         p = _state(row, min_bytes)
-        return p.block_core, p.block_name
+        return p.flag_name, p.flag
 
-    with_2 = with_1.join(_round(with_1, tasks, blocks, "uint64", True).withColumnRenamed("answers", "r2"), "pack", "left")
-    with_3 = with_2.join(
-        _round(with_2, tasks, lambda row: (_state(row, min_bytes).names_3, None), "uint64", False)
+    with_flags = with_2.join(
+        _round(with_2, tasks, flags, "uint32", _compare_cores).withColumnRenamed("answers", "r2_cores"), "pack", "left")
+    with_3 = with_flags.join(
+        _round(with_flags, tasks, lambda row: (_state(row, min_bytes).names_3, None), "uint64")
         .withColumnRenamed("answers", "r3"), "pack", "left")
 
     def last(batches):

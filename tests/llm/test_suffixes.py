@@ -53,6 +53,35 @@ def test_edges_and_cut(spark, doc_rows):
     assert S.digest(doc_rows.limit(0)).count() == 0
 
 
+def test_a_passage_in_many_packs_gathers_in_no_bucket(spark, monkeypatch):
+    """A passage of 70 bytes with another neighbourhood in each document: its blocks spread, its name comes once a pack."""
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = noise(70)
+    rows = [(i, "".join(noise(100) + passage for _ in range(100))) for i in range(60)]
+    rows += [(100 + i, rows[i][1][200:900]) for i in range(5)]
+    monkeypatch.setattr(S, "PACK_BYTES", 1 << 14)
+    sent, own = [], S._round
+
+    def seen(packs, tasks, make, width, *how):
+        def count(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    names, more = make(row)
+                    if len(names):
+                        yield S._sent(row["pack"], names, S.LEAST_BUCKETS, S.np.dtype(width), more)
+        sent.append(packs.mapInArrow(count, S.SENT).groupBy("bucket").agg(S.F.sum(S.F.length("names")).alias("n")).cache())
+        sent[-1].count()
+        return own(packs, tasks, make, width, *how)
+
+    monkeypatch.setattr(S, "_round", seen)
+    got = S.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    for frame in sent[1:]:
+        sizes = [r["n"] for r in frame.collect()]
+        assert max(sizes) < sum(sizes) / 8 or sum(sizes) < 4096, (max(sizes), sum(sizes))
+
+
 def test_difference_covers():
     for v in [1, 2, 3, 7, 13, 66, 133]:
         d = S.difference_cover(v)
