@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, language, packing, sharding, simhash, suffixes, tokencount, topk, toxicity
+from . import alignment, decontaminate, fingerprints, html, language, packing, sharding, simhash, spelling, suffixes, tokencount, \
+    topk, toxicity
 from .frames import table
 
 
@@ -52,9 +53,24 @@ def op10_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return spelling.groups(spelling.vocabulary(docs))
+
+
+def op12_document_fingerprints(spark, sf_dir):
+    return fingerprints.with_successors(table(spark, sf_dir, "documents"))
+
+
+def op13_tokenizer_alignment(spark, sf_dir):
+    return alignment.digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                            tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_token_counts, op3_benchmark_decontamination, op4_suffix_array_dedup,
     op5_html_text, op6_packing, op7_toxicity, op8_exact_top_k, op9_simhash_near_dedup, op10_sharding,
+    op11_spelling_variants, op12_document_fingerprints, op13_tokenizer_alignment,
 )}
 
 # DuckDB SQL by query name, where SQL can express the operator over whole tables.
