@@ -2,12 +2,17 @@
 
 Every text is tokenized whole by both tokenizers. Byte offsets where a token of each
 ends are *shared ends*; they cut the two id sequences into groups. A shared end right
-before a token that carries its leading space in both tokenizers is an *anchor*: the byte
-lengths of both sequences up to there are compared, so it is verified and not guessed.
+before a token that carries its leading space in both tokenizers is an *anchor*, taken only where the
+bytes of both sequences agree up to there, so it is verified and not guessed.
 Anchors cut a document into windows of (ids of A, ids of B), mostly one word each, and a
 window's groups and links follow from its ids alone. Windows recur, so each is
 aligned once per worker and looked up by its id tuples afterwards.
 
+Neither tokenizer has a token across a single space between other characters (checked on the
+vocabulary), so the ids of a text are those of its parts between such spaces, one after the
+other. Parts recur too: the libraries encode a batch's new ones together, and a
+part met again brings its ids' windows along.
+
 ``aligned`` gives the documents' groups and their links (pairs of ids that end together, with
 counts inside the document). ``pair_counts`` adds the links up over the corpus. Two
 tokens that end together are suffixes one of the other, so the number of
@@ -17,13 +22,13 @@ pair table within that bound is broadcast.
 Cases: null and empty texts, and texts whose tokens of A or B do not give back a space
 and the text byte for byte, have no tokens (zeros, no groups); repeated rows count as
 often as they occur; columns other than the id and the text are not read; an empty
-table gives no rows. Very long texts are tokenized in parts, cut before single spaces between
-other characters, where neither tokenizer's tokens can span (checked on the vocabulary).
+table gives no rows. Very long texts are read whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections import Counter
@@ -39,9 +44,12 @@ from ..session import fresh_path
 from .tokencount import _byte_letters
 
 KEPT_WINDOWS = 300_000   # aligned windows kept per worker; older ones are aligned again when met again
-PART_CHARS = 1 << 18     # texts beyond this many characters are tokenized in parts
+KEPT_PARTS = 300_000     # parts of texts whose ids are kept per worker
+KEPT_LENGTH = 64         # longer parts and windows are not kept
 BATCH_CHARS = 1 << 20    # texts handed to the libraries at once
 _FAR = re.compile("[^\\x00-\u052f]")
+_UNEVEN = re.compile(r"^\s|\s\s|[^\S ]|\s$")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 SPACE_MARK = "▁"    # fixed value: the space of sentencepiece vocabularies
 
 
@@ -58,26 +66,34 @@ class ByteLevel:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = True
+        self.path, self.library = path, None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         letters = _byte_letters()
-        added = {i for i in self.tokenizer.get_added_tokens_decoder()}
-        self.bytes_of = [b""] * self.tokenizer.get_vocab_size()
-        for token, i in self.tokenizer.get_vocab().items():
+        added = {t["id"]: t["content"] for t in spec["added_tokens"]}
+        vocabulary = {i: t for t, i in spec["model"]["vocab"].items()} | added
+        self.bytes_of = [b""] * (max(vocabulary) + 1)
+        for i, token in vocabulary.items():
             self.bytes_of[i] = token.encode() if i in added else bytes(letters[c] for c in token)
         ranks = {t: i for i, t in enumerate(self.bytes_of) if i not in added}
         self.fast = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.cuttable = not _spans_space(t for i, t in enumerate(self.bytes_of) if i not in added)
 
+    def slow(self, text: str) -> list[int]:
+        """Ids by the tokenizers library, which is loaded when first needed."""
+        if self.library is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core
+            from tokenizers import Tokenizer
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
+            self.library.encode_special_tokens = True
+        return self.library.encode(text, add_special_tokens=False).ids
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [self.tokenizer.encode(t, add_special_tokens=False).ids if _FAR.search(t) else self.fast.encode_ordinary(t)
-                for t in texts]
+        return [self.slow(t) if _FAR.search(t) else self.fast.encode_ordinary(t) for t in texts]
 
 
 class Pieces:
@@ -105,18 +121,11 @@ def most_pairs(a: list[bytes], b: list[bytes]) -> int:
     return sum(n * in_b[t] for t, n in in_a.items()) + suffixes(a, in_b) + suffixes(b, in_a)
 
 
-def parts(text: str, limit: int = PART_CHARS) -> list[str]:
-    """Pieces of about ``limit`` characters; every cut is before a single space between other characters."""
-    out, start = [], 0
-    while len(text) - start > limit:
-        cut = text.find(" ", start + limit)
-        while cut > 0 and (cut + 1 >= len(text) or text[cut - 1].isspace() or text[cut + 1].isspace()):
-            cut = text.find(" ", cut + 1)
-        if cut < 0:
-            break
-        out.append(text[start:cut])
-        start = cut + 1  # that space is the one each tokenizer's piece begins with
-    return out + [text[start:]]
+def parts(text: str) -> list[str]:
+    """The text cut at its single spaces between other characters; each space belongs to the part after it, which leaves it out."""
+    if not _UNEVEN.search(text):
+        return text.split(" ")
+    return _CUT.split(text)
 
 
 def align_window(a: tuple, b: tuple, length_a: list[int], length_b: list[int], text: list[str]) -> tuple[str, tuple]:
@@ -151,23 +160,21 @@ class Aligner:
         self.id_text = list(map(str, range(max(map(len, self.lengths)))))
         self.cuttable = self.a.cuttable and self.b.cuttable
         self.windows: dict[tuple, tuple[str, tuple]] = {}
+        self.parts: dict[str, tuple | None] = {}
+        self.pairs: dict[int, int] = {}  # one object per linked pair
 
     def window(self, key: tuple) -> tuple[str, tuple]:
         """Groups and links of a window, aligned when first met."""
         w = self.windows.get(key)
         if w is None:
             w = align_window(*key, self.length_a, self.length_b, self.id_text)
-            if len(key[0]) <= 64:
-                if len(self.windows) >= KEPT_WINDOWS:
-                    for old in list(self.windows)[:KEPT_WINDOWS // 2]:
-                        del self.windows[old]
+            if len(key[0]) <= KEPT_LENGTH:
+                _make_room(self.windows, KEPT_WINDOWS)
                 self.windows[key] = w
         return w
 
-    def split(self, ids_a: list[int], ids_b: list[int]) -> list[tuple]:
-        """Windows between anchors. ``ids_a`` and ``ids_b`` cover the same bytes."""
-        if not ids_a:
-            return []
+    def split(self, ids_a: list[int], ids_b: list[int]) -> tuple:
+        """Windows between anchors. ``ids_a`` and ``ids_b`` cover the same bytes, beginning with a space."""
         begins, places = [], []
         for ids, length, spaced in zip((ids_a, ids_b), self.lengths, self.spaced):
             ids = np.array(ids)
@@ -180,31 +187,44 @@ class Aligner:
         cuts_a = [0, *places[0][in_a + 1].tolist(), len(ids_a)]
         cuts_b = [0, *places[1][in_b[in_a]].tolist(), len(ids_b)]
         a, b = tuple(ids_a), tuple(ids_b)
-        return [(a[i:k], b[j:m]) for i, k, j, m in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:])]
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both tokenizers per text; empty where they do not give the text back."""
-        pieces, owner = [], []
-        for k, text in enumerate(texts):
-            for part in parts(text) if self.cuttable and text else [text] if text else []:
-                pieces.append(part)
-                owner.append(k)
-        out: list[tuple[list[int], list[int]]] = [([], []) for _ in texts]
-        lost = set()
-        for k, part, a, b in zip(owner, pieces, self.a.encode([" " + p for p in pieces]), self.b.encode(pieces)):
-            want = (" " + part).encode()
-            if b"".join(map(self.a.bytes_of.__getitem__, a)) != want or b"".join(map(self.b.bytes_of.__getitem__, b)) != want:
-                lost.add(k)
-            out[k][0].extend(a)
-            out[k][1].extend(b)
-        for k in lost:
-            out[k] = ([], [])
+        return tuple((a[i:k], b[j:m]) for i, k, j, m in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:]))
+
+    def part(self, part: str, ids_a: list[int], ids_b: list[int]) -> tuple | None:
+        """(n_a, n_b, groups, links) of a part's windows; None where a tokenizer does not give the part back."""
+        whole = (" " + part).encode()
+        if not b"".join([self.a.bytes_of[x] for x in ids_a]) == whole == b"".join([self.b.bytes_of[x] for x in ids_b]):
+            return None
+        # without another space, its one space-marked token comes first
+        keys = self.split(ids_a, ids_b) if " " in part else ((tuple(ids_a), tuple(ids_b)),)
+        seen = [self.window(k) for k in keys]
+        one = self.pairs.setdefault
+        return len(ids_a), len(ids_b), ";".join([w[0] for w in seen]), tuple([one(x, x) for w in seen for x in w[1]])
+
+    def __call__(self, texts: list[str]) -> list[tuple[int, int, str, Counter]]:
+        """Per text: n_a, n_b, groups as text, and links (a << 32 | b) with their counts; a link a group."""
+        cut = [(parts(t) if self.cuttable else [t]) if t else [] for t in texts]
+        _make_room(self.parts, KEPT_PARTS)
+        new = [p for p in set(chain.from_iterable(cut)) if p not in self.parts]
+        for p, a, b in zip(new, self.a.encode([" " + p for p in new]), self.b.encode(new)):
+            self.parts[p] = self.part(p, a, b)
+        out = []
+        for text in cut:
+            found = list(map(self.parts.__getitem__, text))
+            if None in found:
+                found = []
+            out.append((sum([f[0] for f in found]), sum([f[1] for f in found]), ";".join([f[2] for f in found]),
+                        Counter(chain.from_iterable([f[3] for f in found]))))
+        for p in new:
+            if len(p) > KEPT_LENGTH:
+                del self.parts[p]
         return out
 
-    def align(self, ids_a: list[int], ids_b: list[int]) -> tuple[str, Counter]:
-        """Groups as text, and the links (a << 32 | b) with their counts; a link a group."""
-        seen = list(map(self.window, self.split(ids_a, ids_b)))
-        return ";".join([w[0] for w in seen]), Counter(chain.from_iterable([w[1] for w in seen]))
+
+def _make_room(kept: dict, most: int) -> None:
+    """Forget the older half of a full cache."""
+    if len(kept) >= most:
+        for old in list(kept)[:most // 2]:
+            del kept[old]
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -254,10 +274,9 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, *, id_col: str = "doc_id"
             for ids, texts in _small_batches(batch):
                 cols: dict[str, list] = {f: [] for f in schema.fieldNames()[1:6]}
                 every, kept = [], []
-                for a, b in al.encode(texts):
-                    groups, links = al.align(a, b)
+                for n_a, n_b, groups, links in al(texts):
                     n = sum(links.values())
-                    for name, value in zip(cols, (len(a), len(b), n, n, hashlib.sha256(groups.encode()).hexdigest() if a else "")):
+                    for name, value in zip(cols, (n_a, n_b, n, n, hashlib.sha256(groups.encode()).hexdigest() if n_a else "")):
                         cols[name].append(value)
                     every.append(links)
                     if keep_groups:

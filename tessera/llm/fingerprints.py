@@ -59,6 +59,11 @@ def _term_hashes(terms: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(t) for t in terms], dtype=np.uint64)
 
 
+def _logarithm(c: np.ndarray) -> np.ndarray:
+    """Logarithm of single-precision numbers, rounded from double precision."""
+    return np.log(c, dtype=np.float64).astype(np.float32)
+
+
 class Sampler:
     """Signatures of weighted term sets; keeps the draws of the terms it has met."""
 
@@ -80,10 +85,10 @@ class Sampler:
         h = self.hash[at] = _term_hashes(terms)
         with np.errstate(over="ignore"):
             x, y = (_mix(h[:, None] + s).view("<u2") for s in self.seeds)
-        u = _EXPONENTIAL[x.reshape(len(terms), self.samples, 4)]  # r and c of a sample come from 64 bits, b from 16 more
+        x = x.reshape(len(terms), self.samples, 4)  # r and c of a sample come from 64 bits, b from 16 more
         b = y[:, :self.samples].astype(np.float32) / np.float32(1 << 16)
-        r = u[..., 0] + u[..., 1]
-        base = np.log((u[..., 2] + u[..., 3]).astype(np.float64)).astype(np.float32) - r
+        r = _EXPONENTIAL.take(x[..., 0]) + _EXPONENTIAL.take(x[..., 1])
+        base = _logarithm(_EXPONENTIAL.take(x[..., 2]) + _EXPONENTIAL.take(x[..., 3])) - r
         self.r[at], self.b[at], self.base[at] = r, b, base
         self.once[at] = base + r * b
         self.rows.update(zip(terms, range(at.start, at.stop)))
@@ -98,15 +103,15 @@ class Sampler:
         weight = np.array([n for _, n in weights])
         order = np.argsort(weight == 1, kind="stable")  # heavier terms first
         row, weight = row[order], weight[order]
-        a = self.once[row]
+        a = self.once.take(row, axis=0)
         t = np.zeros((0, self.samples), dtype=np.float32)
         many = int((weight > 1).sum())
         if many:
             heavy = row[:many]
             ln_w = np.log(weight[:many]).astype(np.float32)[:, None]
-            r, b = self.r[heavy], self.b[heavy]
+            r, b = self.r.take(heavy, axis=0), self.b.take(heavy, axis=0)
             t = np.floor(ln_w / r + b)
-            a[:many] = self.base[heavy] - r * (t - b)
+            a[:many] = self.base.take(heavy, axis=0) - r * (t - b)
         best = a.argmin(axis=0)
         k = np.arange(self.samples)
         level = np.zeros(self.samples, dtype=np.uint64)
@@ -117,7 +122,7 @@ class Sampler:
 
     def __call__(self, weights: dict[bytes, int]) -> np.ndarray:
         """16 bits per sample; zeros without terms."""
-        items = sorted(weights.items())  # a fixed order settles ties of a
+        items = list(weights.items())  # in the order of the text, which settles ties of a
         if not items:
             return np.zeros(self.samples, dtype=np.uint16)
         least, kind = self._part(items[:self.kept])

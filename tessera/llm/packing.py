@@ -14,9 +14,10 @@ lengths are powers of two, so nothing is padded at all.
 sequences never span partitions.
 
 Token ids: texts of plain characters (below U+0180, no control characters, no
-"<|") are split by the tokenizer's own rules and every distinct piece is
-encoded once by the library and kept; any other text goes through the library
-whole. Each document ends with id ``end_id``.
+"<|") are cut at white space, which no token spans; the ids of each distinct run
+are kept by the worker process. New runs are split by the tokenizer's own rules, and the
+new pieces of a slice of texts are encoded by the library together. Any other text goes
+through the library whole. Each document ends with id ``end_id``.
 
 Cases: null and empty texts are that one id; ties keep the order of the rows;
 repeated rows are packed like others; an empty table gives no rows.
@@ -28,6 +29,7 @@ import heapq
 import re
 import unicodedata
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,9 @@ from pyspark.sql import types as T
 CAPACITY = 2048
 END_ID = 1
 BLOCK_TOKENS = 1 << 20
-KEPT_WORDS = 400_000
+KEPT_WORDS = 400_000     # runs, and pieces, that a worker keeps
+KEPT_LENGTH = 64         # of at most so many characters
+SLICE_CHARS = 1 << 20    # texts encoded together
 LINEAR, QUADRATIC = 1.0, 1.0 / CAPACITY
 
 
@@ -52,20 +56,24 @@ _ODD = re.compile("[^\t\n\v\f\r -~\xa0-ſ]|<\\|")
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_plain('L')}]+|[{_plain('N')}]|[^{_SPACE}{_plain('L')}{_plain('N')}]+")
 
 
-class WordIds(dict):
-    """Bytes of the ids of one split piece; encoded by the library when first seen."""
+def plain(text: str) -> bool:
+    """Whether the text holds plain characters only."""
+    if "<|" in text:
+        return False
+    if text.replace("\n", " ").isprintable():
+        try:
+            text.encode("latin-1")
+            return True
+        except UnicodeEncodeError:
+            pass
+    return not _ODD.search(text)
 
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(piece) < 64:
-            self[piece] = ids
-        return ids
+def make_room(kept: dict) -> None:
+    """Forget the older half of a full cache."""
+    if len(kept) >= KEPT_WORDS:
+        for old in list(kept)[:len(kept) // 2]:
+            del kept[old]
 
 
 class Tokens:
@@ -76,12 +84,69 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words = WordIds(self.tokenizer)
-
-    def __call__(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join(map(self.words.__getitem__, _PIECE.findall(text.lower())))
+        # the last id of every piece, and only that, carries the mark of a word's end
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.runs: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def learn(self, runs: list[str]) -> None:
+        """Keep the ids of runs not met before."""
+        split = [_PIECE.findall(r) for r in runs]
+        new = [p for p in set(chain.from_iterable(split)) if p not in self.pieces]
+        if new:
+            ids = self.library(" ".join(new))
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) != len(new) or stops[-1] != len(ids):
+                raise ValueError("a piece does not end with a word's end")
+            raw = ids.tobytes()
+            self.pieces.update(zip(new, [raw[4 * i:4 * k] for i, k in zip([0, *stops], stops)]))
+        piece = self.pieces.__getitem__
+        self.runs.update(zip(runs, [b"".join(map(piece, p)) for p in split]))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        make_room(self.runs)
+        make_room(self.pieces)
+        cut = [t.lower().split() if plain(t) else None for t in texts]
+        new = [r for r in set(chain.from_iterable(c for c in cut if c)) if r not in self.runs]
+        self.learn(new)
+        run = self.runs.__getitem__
+        out = [self.library(t).tobytes() if c is None else b"".join(map(run, c)) for t, c in zip(texts, cut)]
+        for r in new:
+            if len(r) > KEPT_LENGTH:
+                for p in _PIECE.findall(r):
+                    if len(p) > KEPT_LENGTH:
+                        self.pieces.pop(p, None)
+                del self.runs[r]
+        return out
+
+
+_tokens: dict[str, Tokens] = {}
+
+
+def tokens_of(path: str) -> Tokens:
+    """This process's encoder of a tokenizer file."""
+    if path not in _tokens:
+        _tokens[path] = Tokens(path)
+    return _tokens[path]
+
+
+def slices(batch: pa.RecordBatch):
+    """(ids, texts) of consecutive rows of at most ``SLICE_CHARS`` characters (one row at least)."""
+    ids, texts, size = [], [], 0
+    for row, text in zip(batch.column(0), batch.column(1)):
+        text = text.as_py() or ""
+        if texts and size + len(text) > SLICE_CHARS:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+        ids.append(row.as_py())
+        texts.append(text)
+        size += len(text)
+    if texts:
+        yield ids, texts
 
 
 class Piece:
@@ -146,7 +211,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
     source = docs.select(id_col, text_col)
 
     def run(batches):
-        tokens = Tokens(tokenizer_path)
+        tokens = tokens_of(tokenizer_path)
         base, number = TaskContext.get().partitionId() << 33, 0
         id_type_arrow = None
         pool: list[Piece] = []
@@ -177,21 +242,22 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
 
         for batch in batches:
             id_type_arrow = batch.schema.field(0).type
-            for row, text in zip(batch.column(0), batch.column(1)):
-                ids = tokens(text.as_py() or "") + end
-                total = len(ids) // 4
-                whole = total - total % capacity
-                for start in range(0, whole, capacity):
-                    done.append([Piece(row.as_py(), start, capacity, ids[4 * start:4 * (start + capacity)], total)])
-                if whole < total:
-                    pool.append(Piece(row.as_py(), whole, total - whole, ids[4 * whole:], total))
-                    pooled += total - whole
-                if pooled >= block_tokens:
-                    filled, pool = assign(pool, [capacity] * (pooled // capacity))
-                    done += filled
-                    pooled = sum(p.n for p in pool)
-                if len(done) >= 2048:
-                    yield rows()
+            for rows_of, texts in slices(batch):
+                for row, ids in zip(rows_of, tokens(texts)):
+                    ids += end
+                    total = len(ids) // 4
+                    whole = total - total % capacity
+                    for start in range(0, whole, capacity):
+                        done.append([Piece(row, start, capacity, ids[4 * start:4 * (start + capacity)], total)])
+                    if whole < total:
+                        pool.append(Piece(row, whole, total - whole, ids[4 * whole:], total))
+                        pooled += total - whole
+                    if pooled >= block_tokens:
+                        filled, pool = assign(pool, [capacity] * (pooled // capacity))
+                        done += filled
+                        pooled = sum(p.n for p in pool)
+                    if len(done) >= 2048:
+                        yield rows()
         filled, pool = assign(pool, [capacity] * (pooled // capacity))
         done += filled
         done += assign(pool, _powers(sum(p.n for p in pool)))[0]

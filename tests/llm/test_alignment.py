@@ -81,16 +81,27 @@ def test_kept_groups_and_pairs(spark, doc_rows):
 def test_both_libraries_agree_below_0530(al):
     for c in map(chr, range(0x530)):
         text = f" a{c}b {c}{c} 1{c}'s  {c}"
-        assert al.a.fast.encode_ordinary(text) == al.a.tokenizer.encode(text, add_special_tokens=False).ids
+        assert al.a.fast.encode_ordinary(text) == al.a.slow(text)
 
 
-def test_parts_give_the_same_tokens(al, monkeypatch):
+def test_parts_give_the_same_tokens(al):
     rng = random.Random(2)
     texts = ["".join(rng.choice("ab é1. \n") for _ in range(300)) for _ in range(50)] + ["x" * 200, " " * 200, "a b " * 50]
-    whole = al.encode(texts)
-    monkeypatch.setattr(A, "PART_CHARS", 20)
-    monkeypatch.setattr(A.parts, "__defaults__", (20,))
-    assert al.cuttable and al.encode(texts) == whole
+    assert al.cuttable
+    for text, (n_a, n_b, groups, _) in zip(texts, al(texts)):
+        sides = [g.split("|") for g in groups.split(";")]
+        a, b = ([int(x) for g in sides for x in g[k].split(",")] for k in (0, 1))
+        assert (a, b) == (al.a.slow(" " + text), al.b.encode([text])[0]) and (n_a, n_b) == (len(a), len(b))
+
+
+def test_forgotten_windows_and_parts_are_aligned_again(al, monkeypatch):
+    texts = [f"some words {i} and {i * 7} more " * 3 for i in range(40)]
+    whole = al(texts)
+    monkeypatch.setattr(A, "KEPT_WINDOWS", 10)
+    monkeypatch.setattr(A, "KEPT_PARTS", 10)
+    small = A.Aligner(*PATHS)
+    assert [small([t])[0] for t in texts] == whole
+    assert len(small.parts) <= 20 and len(small.windows) <= 10
 
 
 def test_pairs_are_bounded_by_the_vocabularies(al):

@@ -66,11 +66,47 @@ def test_plain_characters_agree_with_the_library():
     chars = [chr(c) for c in range(9, 0x180)]
     for _ in range(400):
         text = "".join(rng.choice(chars) for _ in range(60))
-        assert np.frombuffer(own(text), dtype="<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own([text])[0], dtype="<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
-def test_lowest_cost_first():
-    pieces = [P.Piece(i, 0, n, b"\0" * 4 * n, n) for i, n in enumerate([50, 60, 40, 30, 20])]
-    full, rest = P.assign(pieces, [100, 100])
-    assert sorted(sorted(p.n for p in s) for s in full) == [[40, 60], [20, 30, 50]] or sum(p.n for s in full for p in s) == 200
-    assert not rest and all(sum(p.n for p in s) == 100 for s in full)
+def test_forgotten_words_and_slices(monkeypatch):
+    t, rng = Tokenizer.from_file(PATH), random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcé'1.-") for _ in range(rng.choice([1, 3, 6, 90]))) for _ in range(40)) for _ in range(30)]
+    monkeypatch.setattr(P, "KEPT_WORDS", 50)
+    own = P.Tokens(PATH)
+    for lo in range(0, 30, 4):
+        for text, ids in zip(texts[lo:lo + 4], own(texts[lo:lo + 4])):
+            assert np.frombuffer(ids, dtype="<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert max(map(len, own.runs)) <= P.KEPT_LENGTH and len(own.runs) < 300
+
+
+def brute_assign(sizes, capacities):
+    """Largest piece first, to the sequence of lowest cost with room; one that fits nowhere is cut to the largest room."""
+    pieces = [(n, i, i, 0) for i, n in enumerate(sizes)]  # size, turn, document, start
+    room, load, out, turn = list(capacities), [0.0] * len(capacities), [[] for _ in capacities], len(sizes)
+    while pieces and any(room):
+        piece = min(pieces, key=lambda p: (-p[0], p[1]))
+        pieces.remove(piece)
+        n, _, doc, start = piece
+        fitting = [k for k in range(len(room)) if room[k] >= n]
+        if fitting:
+            k = min(fitting, key=lambda k: (load[k], k))
+        else:
+            k = max(range(len(room)), key=lambda k: (room[k], -k))
+            pieces.append((n - room[k], turn, doc, start + room[k]))
+            turn, n = turn + 1, room[k]
+        out[k].append((doc, start, n))
+        room[k] -= n
+        load[k] += P.cost(n)
+    return out, sorted((d, s, n) for n, _, d, s in pieces)
+
+
+def test_assignment_equals_brute_force():
+    rng = random.Random(6)
+    for _ in range(60):
+        sizes = [rng.choice([1, 2, 7, 30, 60, 100, rng.randrange(1, 128)]) for _ in range(rng.randrange(1, 40))]
+        capacities = [128] * (sum(sizes) // 128) or [1 << b for b in range(7, -1, -1) if sum(sizes) >> b & 1]
+        full, rest = P.assign([P.Piece(i, 0, n, bytes(4 * n), n) for i, n in enumerate(sizes)], capacities)
+        got = [[(p.row, p.start, p.n) for p in s] for s in full], sorted((p.row, p.start, p.n) for p in rest)
+        assert got == brute_assign(sizes, capacities)
+        assert [sum(p.n for p in s) for s in full] == capacities
