@@ -44,7 +44,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class SpanHasher:
-    """64-bit hashes of byte spans [start, end) of one buffer; equal bytes hash alike in every buffer."""
+    """64-bit hashes of byte spans [start, end) of one buffer; equal bytes hash alike in every buffer.
+
+    Unequal spans can hash alike (a polynomial modulo 2**64 has such pairs whatever its base): compare the
+    bytes (``same_spans``) where it matters.
+    """
 
     def __init__(self, buf: np.ndarray, values: np.ndarray = _BYTE_VALUE):
         n = len(buf)
@@ -116,6 +120,26 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return SpanHasher(buf, _BYTE_VALUE[LOWER])(starts, ends)
 
 
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position of a buffer on, as one number."""
+    padded = np.concatenate([buf, np.zeros(8, dtype=np.uint8)])
+    return np.ndarray(len(buf) + 1, dtype="<u8", buffer=padded.data, strides=(1,))
+
+
+def same_spans(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the ``length`` bytes from ``at_a`` in ``a`` equal those from ``at_b`` in ``b``."""
+    eights_a = _eights(a)
+    eights_b = eights_a if b is a else _eights(b)
+    same, rest, k = np.ones(len(length), dtype=bool), np.arange(len(length)), 0
+    while len(rest):
+        left = length[rest] - k
+        mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> (8 * (8 - np.minimum(left, 8))).astype(np.uint64)
+        differs = (eights_a[at_a[rest] + k] ^ eights_b[at_b[rest] + k]) & mask
+        same[rest[(differs != 0) & (left > 0)]] = False
+        rest, k = rest[left > 8], k + 8
+    return same
+
+
 def repeat_ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All integers of the ranges [lo, hi), and which range each came from."""
     size = np.maximum(hi - lo, 0)

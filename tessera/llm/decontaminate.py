@@ -23,7 +23,8 @@ written and the broadcast released before the next (documents are written once t
 or empty texts have no words (n_words 0, clean); an item without words matches nothing; items with
 equal texts are all reported; items with a null id mark words but have no id to report; repeated
 document rows give repeated results; empty tables give no rows (documents) or clean rows
-(benchmark). Words, windows, lists and texts are compared by 64-bit hashes.
+(benchmark). Words are found by 64-bit hashes and compared byte by byte; benchmark texts and sets of them
+are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytesops import _power_table, covered, mix, repeat_ranges, text_slices, word_hashes, word_spans
+from .bytesops import LOWER, _power_table, covered, mix, repeat_ranges, same_spans, text_slices, word_hashes, word_spans
 from .frames import staged
 
 WINDOW = 10
@@ -62,7 +63,14 @@ class TestSuffixes:
         starts, ends, first = word_spans(buf, bounds)
         hashes = word_hashes(buf, starts, ends)
         self.entries = np.array(entries, dtype=np.int64)
-        self.vocab, word = np.unique(hashes, return_inverse=True)
+        self.vocab, model, word = np.unique(hashes, return_index=True, return_inverse=True)
+        # a word's number is its hash's place; words that hash like another get numbers of their own
+        self.bytes, self.at_byte, self.length = LOWER[buf], starts[model], (ends - starts)[model]
+        self.alike: dict[bytes, int] = {}
+        for k in self._unlike(word, self.bytes, starts, ends):
+            spelled = self.bytes[starts[k]:ends[k]].tobytes()
+            word[k] = self.alike.setdefault(spelled, len(self.vocab) + len(self.alike))
+        self.n_words = len(self.vocab) + len(self.alike)
         count = np.diff(first)
         # every item's words are followed by one 0, which equals no word
         self.item_at = first[:-1] + np.arange(len(raw))
@@ -73,7 +81,7 @@ class TestSuffixes:
         need = np.minimum(count, window)[item_of_word]
         left = (first[1:][item_of_word] - np.arange(len(word)))
         ok = left >= need
-        self.bits = max(1, int(len(self.vocab)).bit_length())
+        self.bits = max(1, self.n_words.bit_length())
         self.per_key = max(1, 63 // self.bits)
         # distinct windows: one suffix each, and the texts they occur in
         self.at, item = at[ok], item_of_word[ok]
@@ -86,6 +94,24 @@ class TestSuffixes:
         np.add.at(lists, self.pair_window, mix(self.entries[self.pair_item].astype(np.uint64) + np.uint64(1)))
         self.list_of = mix(lists).astype(np.int64)
 
+    def _unlike(self, number: np.ndarray, lowered: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[int]:
+        """Which words [start, end) differ from the word whose number their hash gave them."""
+        length = ends - starts
+        same = same_spans(lowered, starts, self.bytes, self.at_byte[number], length) & (length == self.length[number])
+        return np.flatnonzero(~same).tolist()
+
+    def numbers(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Number (from 1) of each word of a buffer, 0 for words of no item."""
+        hashes = word_hashes(buf, starts, ends)
+        slot = np.minimum(np.searchsorted(self.vocab, hashes), len(self.vocab) - 1)
+        out = np.where(self.vocab[slot] == hashes, slot + 1, 0)
+        known = np.flatnonzero(out)
+        lowered = LOWER[buf]
+        for k in self._unlike(out[known] - 1, lowered, starts[known], ends[known]):
+            spelled = lowered[starts[known[k]]:ends[known[k]]].tobytes()
+            out[known[k]] = self.alike.get(spelled, -1) + 1
+        return out
+
     def __bool__(self) -> bool:
         return len(self.at) > 0
 
@@ -231,10 +257,8 @@ class Shard:
         self.begin = first[:-1] + np.arange(docs)
         self.ids = np.zeros(len(starts) + docs, dtype=np.int64)
         if tests and len(starts):
-            hashes = word_hashes(buf, starts, ends)
-            slot = np.minimum(np.searchsorted(tests.vocab, hashes), len(tests.vocab) - 1)
             at = np.arange(len(starts)) + np.repeat(np.arange(docs), self.counts)  # one 0 after each document
-            self.ids[at] = np.where(tests.vocab[slot] == hashes, slot + 1, 0)
+            self.ids[at] = tests.numbers(buf, starts, ends)
         self.pos, self.window = search(tests, self.ids) if self.ids.any() else (np.zeros(0, dtype=np.int64),) * 2
         self.doc = np.searchsorted(self.begin, self.pos, side="right") - 1
         self.hit = covered(self.pos, self.pos + tests.need[self.window], len(self.ids))

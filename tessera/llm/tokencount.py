@@ -15,8 +15,8 @@ Two deterministic transducers in series give the counts of a byte-level BPE:
 
 A special string inside a text counts as one token, as the library does by default.
 Cases: null and empty texts have 0 bytes and 0 tokens; other columns are not read;
-repeated rows repeat; an empty table gives no rows. Within a slice, words are told apart by
-64-bit hashes.
+repeated rows repeat; an empty table gives no rows. Within a slice, words are grouped by 64-bit
+hashes and each is compared with its group's first; one that differs is counted by itself.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytesops import SpanHasher, text_slices
+from .bytesops import SpanHasher, same_spans, text_slices
 
 LIMIT = 1024
 SLICE_BYTES = 2 << 20
@@ -265,11 +265,25 @@ class Counter:
         _, first, which = np.unique(SpanHasher(buf)(lo, hi), return_index=True, return_inverse=True)
         tokens = self.words.tokens
         each = np.array([tokens(text[a:b]) for a, b in zip(lo[first].tolist(), hi[first].tolist())], dtype=np.int64)
-        doc = np.searchsorted(bounds, lo, side="right") - 1
-        np.add.at(counts, doc, each[which])
+        n = each[which]
+        length = hi - lo
+        model = first[which]
+        for k in np.flatnonzero((length != length[model]) | ~same_spans(buf, lo, buf, lo[model], length)).tolist():
+            n[k] = tokens(text[lo[k]:hi[k]])
+        np.add.at(counts, np.searchsorted(bounds, lo, side="right") - 1, n)
         return counts
 
 
+_counters: dict[str, Counter] = {}
+
+
+def counter_of(path: str) -> Counter:
+    """This process's compiled transducers of a tokenizer file."""
+    if path not in _counters:
+        _counters[path] = Counter(path)
+    return _counters[path]
+
+
 def bounds_at(at: np.ndarray, doc_of: np.ndarray, docs: int, n: int) -> np.ndarray:
     """Positions of the END after each text."""
     chars = np.bincount(doc_of, minlength=docs)
@@ -283,7 +297,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text"
                            T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def run(batches):
-        counter = Counter(tokenizer_path)
+        counter = counter_of(tokenizer_path)
         for batch in batches:
             for lo, hi, buf, bounds in text_slices(batch.column(1), SLICE_BYTES):
                 n = counter(buf, bounds)

@@ -7,8 +7,12 @@ term. A query's bound in a block is the sum over its terms of the larger of its
 either. A query visits blocks in descending bound and stops when the bound is
 below its k-th score so far; blocks equal to it are still visited, for the ties.
 
+Scores are exact integers: where a block's could reach 2**53, they are summed in 64-bit integers instead of
+doubles. Scores beyond 2**62, which a long may not hold, are refused with an error, never rounded.
+
 Queries are taken in blocks of at most ``QUERY_BLOCK`` vectors, broadcast one after
-another; each task returns at most k rows for a query, and a window over those merges them.
+another; each task returns at most k rows for a query, which are written before the next block's
+broadcast, and a window over all of them merges them.
 
 Cases: vectors that are null, or hold null or non-finite components, take no part;
 rows without an id neither; a shorter vector's missing terms are 0; rows with a query's
@@ -23,11 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import fresh_path
+
 K = 20
 BLOCK = 256
 RANGE = 1 << 14
 QUERY_BLOCK = 1 << 13
 SCALE = 64
+EXACT, LARGEST = 2.0 ** 53, 2.0 ** 62
+FOUND = "query_id long, vec_id long, score long"
 NONE = np.iinfo(np.int64).min
 
 
@@ -73,12 +81,24 @@ class Best:
         self.id[rows] = np.take_along_axis(i, order, axis=1)
 
 
+def _scores(q: np.ndarray, v: np.ndarray, reach: float) -> np.ndarray:
+    """Exact inner products of integer rows."""
+    about = q @ v.T
+    if reach < EXACT:
+        return about.astype(np.int64)
+    if max(np.abs(about).max(), np.abs(q).max(), np.abs(v).max()) >= LARGEST:
+        raise ValueError("a score or a component is beyond 2**62: a long does not hold such scores")
+    return q.astype(np.int64) @ v.astype(np.int64).T  # wraps on the way at most, not in the end
+
+
 def search_range(best: Best, q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, ids: np.ndarray) -> int:
     """Let all queries visit the blocks of one range; returns the number of (query, block) visits."""
     cuts = range(0, len(v), BLOCK)
     high = np.stack([v[a:a + BLOCK].max(axis=0) for a in cuts])
     low = np.stack([v[a:a + BLOCK].min(axis=0) for a in cuts])
+    reach = np.abs(q) @ np.maximum(np.abs(high), np.abs(low)).T  # no sum of a block's terms is larger, in any order
     bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+    bound = np.where(reach < EXACT, bound, bound + reach * (q.shape[1] + 2) * 2.0 ** -52)  # doubles round there
     order = np.argsort(-bound, axis=1, kind="stable")
     live = np.arange(len(q))
     visits = 0
@@ -92,7 +112,7 @@ def search_range(best: Best, q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, id
         for b in np.unique(block):
             rows = live[block == b]
             a = int(b) * BLOCK
-            scores = np.rint(q[rows] @ v[a:a + BLOCK].T).astype(np.int64)
+            scores = _scores(q[rows], v[a:a + BLOCK], float(reach[rows, b].max()))
             scores[q_ids[rows][:, None] == ids[None, a:a + BLOCK]] = NONE
             best.merge(rows, scores, ids[a:a + BLOCK])
     return visits
@@ -115,12 +135,13 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = K, *, id_col: str = "vec
     spark = vectors.sparkSession
     usable = _usable(vectors, id_col, vec_col)
     queries = usable.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("v").alias("v"))
-    out = None
+    path = fresh_path(spark, "top-k")
+    spark.createDataFrame([], FOUND).write.parquet(path)
     for q_ids, q in _query_blocks(queries, query_block):
-        part = _one_block(usable, spark.sparkContext.broadcast((q_ids, q)), k)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, vec_id long, score long")
+        shared = spark.sparkContext.broadcast((q_ids, q))
+        _one_block(usable, shared, k).write.mode("append").parquet(path)
+        shared.destroy()
+    out = spark.read.schema(FOUND).parquet(path)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -137,4 +158,4 @@ def _one_block(usable: DataFrame, shared, k: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, found.sum(axis=1))), pa.array(best.id[found]),
                                           pa.array(best.score[found])], names=["query_id", "vec_id", "score"])
 
-    return usable.mapInArrow(run, "query_id long, vec_id long, score long")
+    return usable.mapInArrow(run, FOUND)

@@ -124,3 +124,11 @@ def test_empty_tables(spark, doc_rows):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert D.decontaminate(doc_rows, bench).count() == doc_rows.count()
     assert D.digest(doc_rows.limit(0), bench).count() == 0
+
+
+def test_words_that_hash_alike_are_no_hits(spark):
+    one, two = ("".join("ba"[(bin(i).count("1") + k) % 2] for i in range(1024)) for k in (0, 1))
+    docs = spark.createDataFrame([(1, one), (2, two), (3, f"x {two.upper()} y {one}")], "doc_id long, text string")
+    for items, want in (([("p", one)], {1: 1, 2: 0, 3: 1}), ([("q", two)], {1: 0, 2: 1, 3: 1}), ([("p", one), ("q", two)], {1: 1, 2: 1, 3: 2})):
+        bench = spark.createDataFrame(items, "item_id string, text string")
+        assert {r["doc_id"]: r["n_hit"] for r in D.digest(docs, bench).collect()} == want

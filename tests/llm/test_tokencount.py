@@ -54,3 +54,15 @@ def test_edges(spark, doc_rows):
     assert (rows[3]["n_bytes"], rows[3]["n_tokens"]) == (0, 0) and rows[4]["n_tokens"] == 0
     assert rows[9]["over_limit"] and not rows[10]["over_limit"]
     assert C.count_tokens(doc_rows.limit(0), PATH).count() == 0
+
+
+def thue_morse(a, b, n=1024):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_words_that_hash_alike_are_counted_apart():
+    t, counter = Tokenizer.from_file(PATH), C.Counter(PATH)
+    for a, b in ("ab", "at", "an", "er", "in"):
+        for n in (1024, 4096):
+            texts = [thue_morse(a, b, n), thue_morse(b, a, n), thue_morse(a, b, n)]
+            assert counts(counter, texts) == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]

@@ -1,6 +1,8 @@
 import math
+import random
 
 import numpy as np
+import pytest
 
 from tessera.llm import topk as K
 from tessera.llm.queries import QUERIES
@@ -48,3 +50,19 @@ def test_pruning_visits_fewer_blocks():
     scores = (q @ v.T).astype(np.int64)
     scores[np.arange(len(q)), ids[::K.BLOCK]] = K.NONE
     assert (best.score == np.sort(scores, axis=1)[:, ::-1][:, :20]).all()
+
+
+def test_large_components_are_exact(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.uniform(-2e6, 2e6) for _ in range(64)]) for i in range(300)]
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    got = K.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50, k=5).collect()
+    for q in range(0, 300, 50):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:5]
+        assert [(-r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == best
+
+
+def test_scores_beyond_a_long_are_refused(spark):
+    rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1e200, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="a long does not hold"):
+        K.top_k(rows).collect()
