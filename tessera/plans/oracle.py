@@ -73,7 +73,7 @@ WHERE n_parts > 0"""
 # --- shared pieces -----------------------------------------------------------
 
 from ..schema import (ERROR_CLASSES, MODEL_CATALOG, MSG_AZURE_KEY, MSG_COHERE_TOKEN,  # noqa: E402
-                      MSG_FINISHED, MSG_INITIALIZING, MSG_OPENAI_KEY, MSG_RUNTIME, MSG_STARTED,
+                      MSG_FINISHED, MSG_INITIALIZING, MSG_OPENAI_KEY, MSG_RUNTIME, MSG_STARTED, MSG_TOKEN_TIMEOUT,
                       PLATFORMS, WARNING_TEMPLATES)
 from ..sources.jobs import EXTRA_REQUESTS  # noqa: E402
 
@@ -548,6 +548,24 @@ SELECT job_id, t0, ready_at,
                            ELSE epoch_us(t0) + 40 * 30000000 END) AS decided_at
 FROM j"""
 
+SQL["token_gate_stream"] = f"""
+WITH g AS ({SQL["token_gate_timeout"]})
+SELECT job_id, t0, CASE WHEN outcome = 'ENCODING' THEN ready_at END AS ready_at, outcome, checks, decided_at,
+       CASE WHEN outcome = 'FAILED' THEN {_q(MSG_TOKEN_TIMEOUT)} END AS message
+FROM g"""
+
+SQL["encode_jobs_gated"] = f"""
+WITH p AS (SELECT source, CAST(sum(length(text)) AS BIGINT) AS chars,
+                  CAST(sum(len({WORDS.format('text')})) AS BIGINT) AS n_tokens FROM documents GROUP BY source),
+t AS (SELECT CAST(sum(chars) AS BIGINT) AS total, count(*) AS n FROM p),
+g AS (SELECT source || ':ON_TOKEN:python:bag-of-characters' AS job_id, n_tokens,
+             ceil((1200 * n * chars // total) / 30.0) < 40 AS ready FROM p, t)
+SELECT job_id, CASE WHEN ready THEN '0 INITIALIZING, 1 WAITING, 2 ENCODING, 3 FINISHED'
+                    ELSE '0 INITIALIZING, 1 WAITING, 3 FAILED' END AS states,
+       CASE WHEN ready THEN n_tokens ELSE 0 END AS n_vectors,
+       CASE WHEN ready THEN 'Finished encoding text using model bag-of-characters.' ELSE {_q(MSG_TOKEN_TIMEOUT)} END AS message
+FROM g"""
+
 SQL["re_embed_stream"] = SQL["re_embed"]
 
 SQL["score_stream"] = SQL["score_texts"]

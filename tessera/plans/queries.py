@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.indexing import ordinal_within
 from ..functions.text import split_parts
+from ..functions.time import from_micros, micros
 from ..functions.vectors import r6
 from ..operators import count_embed, dispatch, metrics
 from ..operators.hashed import hashed_embed
@@ -21,12 +22,14 @@ from ..operators import knn, pca
 from ..sinks.vector_store import VectorStore
 from . import encode
 from . import jobs as plans
+from ..streaming import gate
 from ..streaming import jobs as sjobs
 from ..streaming.throttle import throttle_by_key, throttle_stream
 from ..session import fresh_path
 from . import reduce as rplans
 from ..schema import (BOC, BOW, DOCUMENT_IS_SPLITTED, EMBEDDING_LIST, MSG_FINISHED, MSG_INITIALIZING,
-                      ERR_OPENAI_KEY, MSG_STARTED, REDUCED_BOW, SPLIT_CHARS, TFIDF, TOKEN_BATCH, TOKEN_MISMATCHING)
+                      ERR_OPENAI_KEY, MSG_STARTED, NOTE_DONE, NOTE_FAILED, REDUCED_BOW, SPLIT_CHARS, TFIDF,
+                      TOKEN_BATCH, TOKEN_MISMATCHING, TOKEN_WAIT_CHECKS, TOKEN_WAIT_SECONDS)
 from ..sources import jobs as jsrc
 from ..sources import records as src
 
@@ -685,6 +688,49 @@ def q_token_gate_timeout(spark, sf_dir):
     return sjobs.token_gate(jsrc.job_events(spark, sf_dir))
 
 
+def q_token_gate_stream(spark, sf_dir):
+    """The gate as a stream with event-time timers: two halves of the events, then the end of time, each run resumed."""
+    events = jsrc.job_events(spark, sf_dir).select("job_id", "ts", "state")
+    middle, end = events.agg(F.percentile_approx(micros("ts"), 0.5), F.max(micros("ts"))).first()
+    incoming, out, checkpoint = (fresh_path(spark, t) for t in ("gate-events", "gate-out", "ckpt-gate"))
+    runs = [events.where(micros("ts") <= middle), events.where(micros("ts") > middle)]
+    if end is not None:  # a row of no job, a day later, moves the watermark past every timer
+        runs.append(spark.range(1).select(F.lit(None).cast("string").alias("job_id"),
+                                          from_micros(F.lit(end + 86_400_000_000)).alias("ts"), F.lit("NONE").alias("state")))
+    for rows in runs:
+        rows.write.mode("append").parquet(incoming)
+        decided = gate.token_gate_stream(spark.readStream.schema(events.schema).parquet(incoming), clock="event")
+        sjobs.run_available(decided.writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint)
+    return gate.decisions(spark, out)
+
+
+def _tokenization_events(spark, sf_dir, jobs):
+    """Events of token jobs behind one tokenizer: a project with the mean of characters is ready at the last check."""
+    sizes = src.documents_records(spark, sf_dir).groupBy("project_id").agg(F.sum(F.length("text")).alias("chars"))
+    total, n = sizes.agg(F.sum("chars"), F.count(F.lit(1))).first()
+    seconds = F.expr(f"{TOKEN_WAIT_CHECKS * TOKEN_WAIT_SECONDS * n} * chars div {max(1, total or 0)}")
+    start = F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'")
+    waits = jobs.join(sizes, "project_id").select(
+        "job_id", F.explode(F.array(F.struct(F.lit("WAITING").alias("state"), F.lit(0).cast("long").alias("s")),
+                                    F.struct(F.lit("ENCODING").alias("state"), seconds.alias("s")))).alias("e"))
+    return waits.select("job_id", F.timestamp_add("SECOND", F.col("e.s").cast("int"), start).alias("ts"), "e.state")
+
+
+def q_encode_jobs_gated(spark, sf_dir):
+    """Token jobs that wait for tokenisation: encoded where it is ready in time, else failed with a message."""
+    jobs = jsrc.jobs_table(spark, sf_dir).filter("type = 'ON_TOKEN' AND platform = 'python'").filter(F.col("model") == BOC)
+    units = _doc_units(spark, sf_dir).withColumnRenamed("job_id", "project_id")
+    tokens = _token_units(spark, sf_dir).withColumnRenamed("job_id", "project_id")
+    store = VectorStore(spark)
+    encode.encode_jobs(store, jobs, jsrc.project_counts(spark, sf_dir), units, tokens, export=False, build_collection=False,
+                       gate=sjobs.token_gate(_tokenization_events(spark, sf_dir, jobs)))
+    states = spark.read.parquet(f"{store.root}/job_events").groupBy("job_id").agg(
+        F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", "seq", "state"))), ", ").alias("states"))
+    last = encode.notifications(store).filter(F.col("type").isin(NOTE_DONE, NOTE_FAILED))
+    return (states.join(metrics.vector_count(store.vectors()), "job_id", "left").fillna(0, ["n_vectors"])
+            .join(last.select("job_id", "message"), "job_id"))
+
+
 def q_re_embed_stream(spark, sf_dir):
     units = _doc_units(spark, sf_dir)
     store = VectorStore(spark)
@@ -778,6 +824,8 @@ QUERIES = {
     "throttle_stream": q_throttle_stream,
     "job_state_stream": q_job_state_stream,
     "token_gate_timeout": q_token_gate_timeout,
+    "token_gate_stream": q_token_gate_stream,
+    "encode_jobs_gated": q_encode_jobs_gated,
     "re_embed_stream": q_re_embed_stream,
     "score_stream": q_score_stream,
 }
