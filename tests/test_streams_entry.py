@@ -1,6 +1,9 @@
 import datetime as dt
+import random
 
-from tessera.streaming.throttle import throttle_by_key
+import numpy as np
+
+from tessera.streaming.throttle import segments, throttle_by_key, walk, walk_ends
 
 
 def python_throttle(rows, period):
@@ -30,6 +33,26 @@ def test_throttle_batch_equals_python_on_events(spark, sf_small):
     assert got == python_throttle(rows, 3600)
 
 
+def test_hot_key_is_split(spark):
+    """A key with most rows lies in many ranges, dense or with gaps, and passes what one scan passes."""
+    rng, t = random.Random(2), dt.datetime(2024, 1, 1)
+    for span, period in ((2000, 5), (2000, 300), (2000, 5000), (10 ** 6, 40)):
+        rows = [(i, rng.choice([7, 7, None, rng.randrange(30)]), t + dt.timedelta(seconds=rng.randrange(span))) for i in range(3000)]
+        df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz")
+        placed = segments(df, "user_id", "ts", "event_id", 12)
+        assert placed.where("user_id = 7").select("_segment").distinct().count() > 3
+        assert placed.groupBy("_segment").count().agg({"count": "max"}).first()[0] < 600
+        got = throttle_by_key(df, "user_id", "ts", "event_id", period, 12)
+        assert got.columns == df.columns
+        assert sorted(r["event_id"] for r in got.collect()) == python_throttle(rows, period)
+
+
+def test_walk_ends():
+    us = np.array([0, 1, 5, 6, 11, 12, 40])
+    assert [walk(us, i, 5)[-1] for i in range(7)] == [6, 6, 6, 6, 6, 6, 6]
+    assert walk(us, 0, 5).tolist() == [0, 3, 5, 6] and walk_ends(us[:6], 5).tolist() == [12, 11, 11, 12, 11, 12]
+
+
 def test_null_keys_are_one_key(spark):
     t = dt.datetime(2024, 1, 1)
     rows = [(1, None, t), (2, None, t + dt.timedelta(seconds=1)), (3, 0, t), (4, None, t + dt.timedelta(seconds=9)), (5, 0, t)]
