@@ -8,14 +8,15 @@ The rule depends on its own output, so no window frame expresses it. It is a wal
 one *successor*, the first row of its key more than a period later, and the rows that pass are those
 the walk from the key's first row meets.
 
-Batch form: rows are range-partitioned by (key, ts, id), so a key with many rows lies in many
-partitions, as *segments*. Keys of one segment are walked where they are. For a key of several
-segments, the walk can enter a segment only within a period after its first row: each such
+Batch form: keys are dealt by hash and walked where they are, but for *hot* keys, those with more than
+a partition's even share of all rows (and than ``SPLIT_ROWS``). Rows of hot keys are
+range-partitioned by (key, ts, id), so each lies in many partitions, as *segments*. The walk
+of a hot key can enter a segment only within a period after its first row: each such
 entry is followed through its segment (all segments at once), which leads to an entry of a
 later one. These links are doubled until they end (as often as the number
 of segments has binary digits), which tells each segment where the walk enters it;
-then all segments are walked at once, too. Only the list of segments, at most
-two a partition, is known to every task.
+then all segments are walked at once, too. Only the list of segments, a few
+a partition, is known to every task.
 
 Stream form: ``applyInPandasWithState`` keyed by the same key, the state being the last passed
 timestamp. Late rows of a later micro-batch are measured against it like any other.
@@ -35,6 +36,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.time import micros
 from ..session import fresh_path
 
+SPLIT_ROWS = 1_000_000  # a key of fewer rows is never split
+
 
 def _to_micros(col: str):
     return micros(col)
@@ -135,48 +138,59 @@ def _met(links: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def throttle_by_key(df: DataFrame, key: str, ts: str, id_col: str, period_seconds: int,
-                    num_partitions: int | None = None) -> DataFrame:
+                    num_partitions: int | None = None, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Rows of ``df`` that pass the throttle (same columns)."""
-    spark = df.sparkSession
     period_us = int(period_seconds) * 1_000_000
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(F.col(key).alias("_key")).count()
+    total, most = counts.agg(F.sum("count"), F.max("count")).first()
+    least = max(split_rows, (total or 0) // n)
+    scan = _scan(key, period_us)
+
+    def walked(rows: DataFrame) -> DataFrame:
+        placed = rows.withColumn("_us", _to_micros(ts)).repartition(n, key).sortWithinPartitions(key, "_us", id_col)
+        return placed.mapInPandas(scan, placed.schema).drop("_us")
+
+    if (most or 0) <= least:
+        return walked(df)
+    hot = _staged(counts.where(F.col("count") > least).select("_key"), "throttle-keys")  # fewer than n keys
+    is_hot = df[key].eqNullSafe(hot["_key"])
+    return walked(df.join(F.broadcast(hot), is_hot, "left_anti")).unionByName(
+        _walked_in_segments(df.join(F.broadcast(hot), is_hot, "left_semi"), key, ts, id_col, period_us, n))
+
+
+def _walked_in_segments(df: DataFrame, key: str, ts: str, id_col: str, period_us: int, n: int) -> DataFrame:
+    """The rows of few keys with many rows that pass."""
+    spark = df.sparkSession
     rows = segments(df, key, ts, id_col, n)
     spans = rows.groupBy(key, "_segment").agg(F.min("_us").alias("first"), F.max("_us").alias("last"))
-    # a range holds whole keys but for its first and its last: at most n - 1 keys lie in several, in 2 n segments at most
-    several = spans.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("n"), F.collect_list(
-        F.struct("_segment", "first", "last")).alias("spans")).where("n > 1").collect()
-    listed = [sorted(map(tuple, r["spans"])) for r in several]
+    found = spans.groupBy(F.col(key).alias("_key")).agg(
+        F.collect_list(F.struct("_segment", "first", "last")).alias("spans")).collect()  # 2 n segments at most
+    listed = [sorted(map(tuple, r["spans"])) for r in found]
     numbers = spark.createDataFrame(
-        [(r["_key"], i, s[0]) for i, (r, spans) in enumerate(zip(several, listed)) for s in spans],
+        [(r["_key"], i, s[0]) for i, (r, spans) in enumerate(zip(found, listed)) for s in spans],
         T.StructType([T.StructField("_key", df.schema[key].dataType), T.StructField("_number", T.IntegerType()),
                       T.StructField("_of", T.IntegerType())]))
-    is_split = [rows[key].eqNullSafe(numbers["_key"]), rows["_segment"] == numbers["_of"]]
-    scan, schema = _scan(key, period_us), df.withColumn("_us", _to_micros(ts)).schema
-    whole = rows.join(F.broadcast(numbers), is_split, "left_anti") \
-        .repartition(n, "_segment").sortWithinPartitions(key, "_us", id_col).drop("_segment")
-    passed = whole.mapInPandas(scan, schema)
-    if listed:
-        bounds = spark.sparkContext.broadcast([(np.array([s[0] for s in spans]), np.array([s[2] for s in spans])) for spans in listed])
-        split = _staged(rows.join(F.broadcast(numbers), is_split).drop("_key", "_of"), "throttle-split")
-        entries = _staged(split.select("_number", "_segment", "_us").groupBy("_number", "_segment").applyInPandas(
-            _entries(bounds, period_us), "number int, segment int, entry long, next int, bound long"), "throttle-entries")
-        links = entries.where("next >= 0").groupBy("number", "next").cogroup(entries.groupBy("number", "segment")).applyInPandas(
-            _links, "number int, segment int, entry long, to_segment int, to_entry long")
-        starts = spark.createDataFrame([(i, spans[0][0], spans[0][1]) for i, spans in enumerate(listed)],
-                                       "number int, segment int, entry long")
-        met = _met(_staged(links, "throttle-links"), starts)
-
-        def follow(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            left = left.sort_values(["_us", id_col], kind="stable")
-            us = left["_us"].to_numpy()
-            if not len(right):
-                return left.iloc[:0][schema.fieldNames()]
-            met_at = walk(us, int(np.searchsorted(us, right["entry"].iloc[0], side="left")), period_us)
-            return left.iloc[met_at][schema.fieldNames()]
-
-        passed = passed.unionByName(split.groupBy("_number", "_segment").cogroup(met.groupBy("number", "segment"))
-                                    .applyInPandas(follow, schema))
-    return passed.drop("_us")
+    here = [rows[key].eqNullSafe(numbers["_key"]), rows["_segment"] == numbers["_of"]]
+    split = _staged(rows.join(F.broadcast(numbers), here).drop("_key", "_of"), "throttle-split")
+    bounds = spark.sparkContext.broadcast([(np.array([s[0] for s in spans]), np.array([s[2] for s in spans])) for spans in listed])
+    entries = _staged(split.select("_number", "_segment", "_us").groupBy("_number", "_segment").applyInPandas(
+        _entries(bounds, period_us), "number int, segment int, entry long, next int, bound long"), "throttle-entries")
+    links = entries.where("next >= 0").groupBy("number", "next").cogroup(entries.groupBy("number", "segment")).applyInPandas(
+        _links, "number int, segment int, entry long, to_segment int, to_entry long")
+    starts = spark.createDataFrame([(i, spans[0][0], spans[0][1]) for i, spans in enumerate(listed)],
+                                   "number int, segment int, entry long")
+    met = _met(_staged(links, "throttle-links"), starts)
+    names = df.columns
+
+    def follow(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values(["_us", id_col], kind="stable")
+        us = left["_us"].to_numpy()
+        if not len(right):
+            return left.iloc[:0][names]
+        return left.iloc[walk(us, int(np.searchsorted(us, right["entry"].iloc[0], side="left")), period_us)][names]
+
+    return split.groupBy("_number", "_segment").cogroup(met.groupBy("number", "segment")).applyInPandas(follow, df.schema)
 
 
 def throttle_stream(stream: DataFrame, key: str, ts: str, id_col: str, period_seconds: int) -> DataFrame:

@@ -42,7 +42,7 @@ def test_hot_key_is_split(spark):
         placed = segments(df, "user_id", "ts", "event_id", 12)
         assert placed.where("user_id = 7").select("_segment").distinct().count() > 3
         assert placed.groupBy("_segment").count().agg({"count": "max"}).first()[0] < 600
-        got = throttle_by_key(df, "user_id", "ts", "event_id", period, 12)
+        got = throttle_by_key(df, "user_id", "ts", "event_id", period, 12, split_rows=100)
         assert got.columns == df.columns
         assert sorted(r["event_id"] for r in got.collect()) == python_throttle(rows, period)
 
