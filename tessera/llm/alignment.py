@@ -43,8 +43,8 @@ from pyspark.sql import types as T
 from ..session import fresh_path
 from .tokencount import _byte_letters
 
-KEPT_WINDOWS = 300_000   # aligned windows kept per worker; older ones are aligned again when met again
-KEPT_PARTS = 300_000     # parts of texts whose ids are kept per worker
+KEPT_WINDOWS = 100_000   # aligned windows kept per worker; older ones are aligned again when met again
+KEPT_PARTS = 500_000     # parts of texts whose ids are kept per worker
 KEPT_LENGTH = 64         # longer parts and windows are not kept
 BATCH_CHARS = 1 << 20    # texts handed to the libraries at once
 _FAR = re.compile("[^\\x00-\u052f]")
@@ -93,7 +93,7 @@ class ByteLevel:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [self.slow(t) if _FAR.search(t) else self.fast.encode_ordinary(t) for t in texts]
+        return [self.fast.encode_ordinary(t) if t.isascii() or not _FAR.search(t) else self.slow(t) for t in texts]
 
 
 class Pieces:
@@ -167,7 +167,9 @@ class Aligner:
         """Groups and links of a window, aligned when first met."""
         w = self.windows.get(key)
         if w is None:
-            w = align_window(*key, self.length_a, self.length_b, self.id_text)
+            groups, links = align_window(*key, self.length_a, self.length_b, self.id_text)
+            one = self.pairs.setdefault
+            w = groups, tuple([one(x, x) for x in links])
             if len(key[0]) <= KEPT_LENGTH:
                 _make_room(self.windows, KEPT_WINDOWS)
                 self.windows[key] = w
@@ -192,13 +194,13 @@ class Aligner:
     def part(self, part: str, ids_a: list[int], ids_b: list[int]) -> tuple | None:
         """(n_a, n_b, groups, links) of a part's windows; None where a tokenizer does not give the part back."""
         whole = (" " + part).encode()
-        if not b"".join([self.a.bytes_of[x] for x in ids_a]) == whole == b"".join([self.b.bytes_of[x] for x in ids_b]):
+        of_a, of_b = self.a.bytes_of, self.b.bytes_of
+        if not b"".join([of_a[x] for x in ids_a]) == whole == b"".join([of_b[x] for x in ids_b]):
             return None
-        # without another space, its one space-marked token comes first
-        keys = self.split(ids_a, ids_b) if " " in part else ((tuple(ids_a), tuple(ids_b)),)
-        seen = [self.window(k) for k in keys]
-        one = self.pairs.setdefault
-        return len(ids_a), len(ids_b), ";".join([w[0] for w in seen]), tuple([one(x, x) for w in seen for x in w[1]])
+        if " " not in part:  # its one space-marked token comes first: one window
+            return len(ids_a), len(ids_b), *self.window((tuple(ids_a), tuple(ids_b)))
+        seen = [self.window(k) for k in self.split(ids_a, ids_b)]
+        return len(ids_a), len(ids_b), ";".join([w[0] for w in seen]), tuple([x for w in seen for x in w[1]])
 
     def __call__(self, texts: list[str]) -> list[tuple[int, int, str, Counter]]:
         """Per text: n_a, n_b, groups as text, and links (a << 32 | b) with their counts; a link a group."""
