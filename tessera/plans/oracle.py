@@ -404,6 +404,12 @@ SELECT source AS job_id, CAST(doc_id AS VARCHAR) AS record_id,
        CAST(len({CHARS.format("text || CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'eee' ELSE '' END")}) AS BIGINT) AS vsum
 FROM documents"""
 
+SQL["vector_snapshot"] = f"""
+SELECT source AS job_id, CAST(doc_id AS VARCHAR) AS record_id, CAST(len({CHARS.format("text")}) AS BIGINT) AS vsum_before,
+       CAST(len({CHARS.format("text || CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'eee' ELSE '' END")}) AS BIGINT)
+           AS vsum_after
+FROM documents"""
+
 SQL["export_policy"] = "SELECT source AS job_id, count(*) AS n_rows FROM documents GROUP BY source"
 
 SQL["search_collection_build"] = f"""

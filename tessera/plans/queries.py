@@ -359,7 +359,8 @@ def q_vector_delete_subkeys(spark, sf_dir):
     return _read_back(store, with_sub=True)
 
 
-def q_vector_upsert(spark, sf_dir):
+def _upserted(spark, sf_dir):
+    """A store after an upsert, and a scan of it that was planned before."""
     model, vecs = _boc_doc_vectors(spark, sf_dir)
     store = VectorStore(spark)
     store.append(vecs)
@@ -368,10 +369,25 @@ def q_vector_upsert(spark, sf_dir):
         changes.select("job_id", "record_id"), ["job_id", "record_id"], "left_semi")
     # the new text has other counts than the old one, so that an upsert that does nothing shows
     edited = edited.withColumn("text", F.concat("text", F.lit("eee")))
+    before = store.vectors()
     store.upsert(model.dense(edited).withColumn("project_id", F.col("job_id")))
+    return store, before
+
+
+def q_vector_upsert(spark, sf_dir):
+    store, _ = _upserted(spark, sf_dir)
     return _read_back(store)
 
 
+def q_vector_snapshot(spark, sf_dir):
+    """What a scan planned before an upsert reads after it, beside the new state of an opened-again store."""
+    store, before = _upserted(spark, sf_dir)
+    store.vacuum(keep=2)
+    old = before.select("job_id", "record_id", _vsum(before).alias("vsum_before"))
+    return old.join(_read_back(VectorStore(spark, store.root)), ["job_id", "record_id"], "full") \
+        .withColumnRenamed("vsum", "vsum_after")
+
+
 def q_vector_export(spark, sf_dir):
     _, vecs = _boc_doc_vectors(spark, sf_dir)
     store = VectorStore(spark)
@@ -795,6 +811,7 @@ QUERIES = {
     "vector_delete_records": q_vector_delete_records,
     "vector_delete_subkeys": q_vector_delete_subkeys,
     "vector_upsert": q_vector_upsert,
+    "vector_snapshot": q_vector_snapshot,
     "vector_export": q_vector_export,
     "export_policy": q_export_policy,
     "search_collection_build": q_search_collection_build,

@@ -129,6 +129,19 @@ def list_partitions(spark: SparkSession, path: str, column: str) -> list[str]:
             if st.isDirectory() and st.getPath().getName().startswith(prefix)]
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in ``path`` (none if it does not exist)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def create_marker(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; False if it exists already."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).createNewFile(p)
+
+
 def partition_path(spark: SparkSession, path: str, column: str, value: str) -> str:
     """Folder of one partition value, escaped as Spark's writer does."""
     escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName

@@ -72,3 +72,70 @@ def test_collection_is_normalised_and_drop_job(spark):
     s.delete_job("j2")
     assert {r["job_id"] for r in s.collection().collect()} == {"j1"}
     assert s.vectors().filter(F.col("job_id") == "j2").count() == 3       # vectors are kept
+
+
+def test_a_reader_sees_the_state_before_or_after_a_rewrite(spark, monkeypatch):
+    s = make(spark)
+    before, old_keys = s.vectors(), keys(s)
+    seen = []
+    commit = VectorStore._commit
+
+    def watched(self, live):
+        seen.append(keys(VectorStore(spark, s.root)))          # all files are written, the state is not
+        commit(self, live)
+    monkeypatch.setattr(VectorStore, "_commit", watched)
+    s.upsert(spark.createDataFrame([("p", "j1", "r1", None, [7.0, 7.0]), ("p", "j1", "r3", None, [8.0, 8.0])], SCHEMA))
+    assert seen == [old_keys]
+    got = {(r["job_id"], r["record_id"]): list(r["vector"]) for r in before.collect() if r["job_id"] == "j1"}
+    assert got == {("j1", "r1"): [1.0, 0.0], ("j1", "r2"): [0.0, 2.0]}   # a scan begun before reads on
+    assert sorted(old_keys + [("j1", "r3", None)], key=str) == sorted(keys(s), key=str)
+    s.vacuum()
+    assert sorted(old_keys + [("j1", "r3", None)], key=str) == sorted(keys(s), key=str)
+
+
+def test_a_failed_write_leaves_the_store(spark, monkeypatch):
+    s = make(spark)
+    old = keys(s)
+
+    def lost(*_):
+        raise RuntimeError("driver lost")
+    monkeypatch.setattr("tessera.sinks.vector_store.create_marker", lost)
+    try:
+        s.delete_records(spark.createDataFrame([("j2", "r1")], "job_id string, record_id string"))
+        raise AssertionError("must fail")
+    except RuntimeError:
+        pass
+    monkeypatch.undo()
+    assert keys(VectorStore(spark, s.root)) == old
+    s.delete_records(spark.createDataFrame([("j2", "r1")], "job_id string, record_id string"))
+    s.vacuum()
+    assert keys(s) == [("j1", "r1", None), ("j1", "r2", None), ("j2", "r2", 0)]
+
+
+def test_a_change_rewrites_its_buckets_only(spark):
+    s = VectorStore(spark, buckets=8)
+    rows = [("p", job, f"r{i}", None, [float(i), 1.0]) for job in ("j1", "j2:[a]*%") for i in range(200)]
+    s.append(spark.createDataFrame(rows, SCHEMA))
+    first = s.slices()
+    assert len(first) == 16
+    s.upsert(spark.createDataFrame([("p", "j2:[a]*%", "r7", None, [5.0, 5.0])], SCHEMA))
+    gone = first - s.slices()
+    assert len(gone) == 1 and {job for job, _, _ in gone} == {"j2:[a]*%"}
+    assert s.vectors().count() == 400
+    assert [list(r["vector"]) for r in s.vectors("j2:[a]*%").filter("record_id = 'r7'").collect()] == [[5.0, 5.0]]
+    # a store that is opened again keeps its number of buckets; its plan opens the named job's files only
+    again = VectorStore(spark, s.root)
+    assert again.buckets == 8
+    assert all("job_id=j1" in f for f in again.vectors("j1").inputFiles())
+    n_files = len(s.vectors().inputFiles())
+    s.upsert(spark.createDataFrame([], SCHEMA))
+    s.delete_records(spark.createDataFrame([("no job", "r1")], "job_id string, record_id string"))
+    assert len(s.vectors().inputFiles()) == n_files
+
+
+def test_null_ids_are_stored_and_read_back(spark):
+    s = make(spark)
+    s.append(spark.createDataFrame([(None, None, None, None, [1.0])], SCHEMA))
+    assert s.vectors().filter("job_id is null and record_id is null").count() == 1
+    s.delete_records(spark.createDataFrame([("j2", "r1"), (None, None)], "job_id string, record_id string"))
+    assert s.vectors().count() == 4 and s.vectors().filter("job_id is null").count() == 1   # null equals nothing
