@@ -1,13 +1,20 @@
 """Text expressions: words, characters, tokens and long-text parts.
 
-All of these are JVM-side column expressions (no Python UDF), so they stay
-inside whole-stage code generation and run per row on the executors.
+These are JVM-side column expressions, evaluated per row on the executors (the lambdas of
+``transform`` are interpreted, the rest is generated code), except the character counts: those
+count the code points of an Arrow batch with numpy, as a sorted array of one-character strings
+takes several times as long.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import SPLIT_CHARS, WORD_PATTERN
 
@@ -17,37 +24,65 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), 0)
 
 
-def characters(text: Column) -> Column:
-    """Every code point of the lower-cased text, in text order.
-
-    ``split(s, '')`` yields whole code points (2.4x faster than a regex
-    extract); an empty text gives an empty array, not [''].
-    """
-    low = F.lower(text)
-    return F.when(F.length(low) > 0, F.split(low, "")).otherwise(F.array().cast("array<string>"))
-
-
-def explode_terms(units: DataFrame, kind: str, keys: list[str]) -> DataFrame:
-    """One row per term occurrence: keys + term. ``kind`` is 'words' or 'chars'."""
-    fn = words if kind == "words" else characters
-    return units.select(*keys, F.explode(fn(F.col("text"))).alias("term"))
-
-
 def term_counts(units: DataFrame, kind: str, keys: list[str]) -> DataFrame:
     """(keys, term, n): occurrences of each term per unit, one row per distinct term.
 
     A unit is one row, so its terms are sorted and counted inside that row: neither
     the texts nor the term rows cross a shuffle.
     """
-    fn = words if kind == "words" else characters
+    if kind != "words":
+        return char_counts(units, keys)
     terms = F.col("_terms")
-    by_row = units.select(*keys, F.sort_array(fn(F.col("text"))).alias("_terms"))
+    by_row = units.select(*keys, F.sort_array(words(F.col("text"))).alias("_terms"))
     by_row = by_row.select(*keys, "_terms", run_starts(terms).alias("_starts"))
     counted = F.transform("_starts", lambda a, i: F.struct(
         F.get(terms, a).alias("term"), (run_end("_starts", i, terms) - a).cast("long").alias("n")))
     return by_row.select(*keys, F.inline(counted))
 
 
+COUNT_PIECE_BYTES = 1 << 22   # longer texts are counted in pieces, which bounds the memory of a count
+
+
+def _code_points(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct code points of a UTF-8 text, ascending, and how often each occurs."""
+    found, counts, at = [], [], 0
+    while at < len(text):
+        end = min(at + COUNT_PIECE_BYTES, len(text))
+        while end < len(text) and end > at + 1 and text[end] & 0xC0 == 0x80:
+            end -= 1                                    # a piece ends between characters
+        points = np.frombuffer(text[at:end].decode("utf-8", "replace").encode("utf-32-le"), dtype="<u4")
+        one, n = np.unique(points, return_counts=True)
+        found.append(one)
+        counts.append(n)
+        at = end
+    if len(found) <= 1:
+        return (found[0], counts[0]) if found else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+    points, place = np.unique(np.concatenate(found), return_inverse=True)
+    return points, np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
+
+
+def char_counts(units: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, term, n) of the characters of each lower-cased text; null and empty texts give no row."""
+    schema = T.StructType([T.StructField(k, units.schema[k].dataType) for k in keys]
+                          + [T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(len(keys))
+            per_row = [_code_points(t.as_buffer().to_pybytes()) if t.is_valid else _code_points(b"") for t in texts]
+            if not per_row:
+                continue
+            rows = pa.array(np.repeat(np.arange(len(per_row)), [len(p) for p, _ in per_row]))
+            points, place = np.unique(np.concatenate([p for p, _ in per_row]), return_inverse=True)
+            terms = pa.array([chr(c) for c in points], pa.string()).take(pa.array(place))
+            n = pa.array(np.concatenate([c for _, c in per_row]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(len(keys))), terms, n],
+                                             names=[*keys, "term", "n"])
+
+    text = F.lower(F.col("text")).cast("binary")
+    return units.select(*keys, text.alias("_text")).mapInArrow(count, schema)
+
+
 def run_starts(values: Column, key=lambda x: x) -> Column:
     """Indexes at which another ``key`` begins in a sorted array."""
     return F.array_compact(F.transform(values, lambda x, i: F.when((i == 0) | (key(x) != key(F.get(values, i - 1))), i)))

@@ -129,8 +129,9 @@ def fit(units: DataFrame, model: str, tf: DataFrame | None = None) -> CountModel
     tf = tf if tf is not None else term_counts(spread(u), kind, UNIT_KEYS)
     u.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_units")).write.parquet(f"{path}/units")
     n_units = broadcast_if_small(spark.read.parquet(f"{path}/units"))
-    df_terms = tf.groupBy("job_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    ranked = ordinal_within(df_terms, ["job_id"], ["term"], "position")
+    # written first: the ordering below samples its input for range bounds, which would count every text again
+    tf.groupBy("job_id", "term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{path}/frequencies")
+    ranked = ordinal_within(spark.read.parquet(f"{path}/frequencies"), ["job_id"], ["term"], "position")
     vocab = (ranked.join(n_units, "job_id")
              .withColumn("idf", F.log((F.lit(1.0) + F.col("n_units")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
              .select("job_id", "term", "position", "df", "idf"))

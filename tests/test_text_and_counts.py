@@ -71,3 +71,21 @@ def test_repartitioning_changes_nothing(spark):
     a = sorted(map(tuple, m.transform(u).collect()), key=repr)
     b = sorted(map(tuple, m.transform(u.repartition(5)).collect()), key=repr)
     assert a == b
+
+
+def test_character_counts_of_any_text(spark, monkeypatch):
+    from collections import Counter
+
+    from tessera.functions import text
+    monkeypatch.setattr(text, "COUNT_PIECE_BYTES", 5)      # pieces end inside characters
+    texts = [None, "", "a", "Aa b\n\n", "\u00c4\u00e4\u20ac\U0001f600\U0001f600", "x\x00y" * 7, "\u20ac" * 1000 + "ab", "\u03a3\u0130"]
+    rows = [(t and t.lower(), Counter(t.lower() if t else "")) for t in texts]
+    for t, counts in rows:
+        points, n = text._code_points((t or "").encode())
+        assert dict(zip(map(chr, points), n.tolist())) == counts
+    df = spark.createDataFrame(list(enumerate(texts)), "record_id int, text string")
+    got = {}
+    for r in text.term_counts(df, "chars", ["record_id"]).collect():
+        got.setdefault(r["record_id"], {})[r["term"]] = r["n"]
+    assert got == {i: dict(c) for i, (_, c) in enumerate(rows) if c}
+    assert text.term_counts(df.limit(0), "chars", ["record_id"]).count() == 0
