@@ -224,6 +224,8 @@ def _moments(column: str):
 
 
 MOMENTS = "job_id string, i long, j long, v double"
+FACTORS = "job_id string, position long, loadings array<double>"
+MEAN = -1   # position of the factor row that holds the mean's coordinates
 
 
 def moments(vectors: DataFrame, column: str) -> DataFrame:
@@ -231,20 +233,40 @@ def moments(vectors: DataFrame, column: str) -> DataFrame:
     return vectors.select("job_id", column).mapInPandas(_moments(column), MOMENTS).groupBy("job_id", "i", "j").agg(F.sum("v").alias("v"))
 
 
+def _triangle(g: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """(n, sums, sums of products) of one job's rows of ``moments``."""
+    i, j, v = g["i"].to_numpy(), g["j"].to_numpy(), g["v"].to_numpy()
+    s = np.zeros(int((i == -1).sum()))
+    s[j[i == -1]] = v[i == -1]
+    ss = np.zeros((len(s), len(s)))
+    part = i >= 0
+    ss[i[part], j[part]] = v[part]
+    ss[j[part], i[part]] = v[part]
+    return int(v[i == -2][0]), s, ss
+
+
 def _sum_moments(df: DataFrame) -> dict[str, tuple]:
     """job -> (n, sums, sums of products); added up by Spark, so the driver gets one triangle a job."""
     rows = df.groupBy("job_id", "i", "j").agg(F.sum("v").alias("v")).toPandas()
-    out = {}
-    for job, g in rows.groupby("job_id", sort=False):
-        i, j, v = g["i"].to_numpy(), g["j"].to_numpy(), g["v"].to_numpy()
-        s = np.zeros(int((i == -1).sum()))
-        s[j[i == -1]] = v[i == -1]
-        ss = np.zeros((len(s), len(s)))
-        part = i >= 0
-        ss[i[part], j[part]] = v[part]
-        ss[j[part], i[part]] = v[part]
-        out[job] = (int(v[i == -2][0]), s, ss)
-    return out
+    return {job: _triangle(g) for job, g in rows.groupby("job_id", sort=False)}
+
+
+def _decompose(n: int, s: np.ndarray, ss: np.ndarray, k: int) -> dict:
+    d = len(s)
+    mean = s / max(n, 1)
+    cov = (ss - n * np.outer(mean, mean)) / max(n - 1, 1)
+    w, v = np.linalg.eigh(cov)
+    order = np.argsort(w)[::-1]
+    w, v = w[order], v[:, order]
+    rank = int(np.sum(w > max(w[0], 0) * 1e-10)) if d else 0
+    kk = max(0, min(k, rank, n - 1 if n > 1 else 0))
+    return {"n": n, "mean": mean, "cov": cov, "components": fix_signs(v[:, :kk]), "explained": w[:kk]}
+
+
+def _check_width(vectors: DataFrame) -> None:
+    widest = vectors.agg(F.max(F.size("vector"))).first()[0] or 0
+    if widest > NARROW_MAX:  # before any d x d table is built
+        raise ValueError(f"width {widest} over the narrow PCA limit {NARROW_MAX}")
 
 
 def narrow_fit(vectors: DataFrame, k: int) -> dict[str, dict]:
@@ -253,23 +275,50 @@ def narrow_fit(vectors: DataFrame, k: int) -> dict[str, dict]:
     ``vectors(job_id, vector array)`` of width ≤ NARROW_MAX. The result per job
     is O(d²), bounded by the width limit.
     """
-    widest = vectors.agg(F.max(F.size("vector"))).first()[0] or 0
-    if widest > NARROW_MAX:  # before any d x d table is built
-        raise ValueError(f"width {widest} over the narrow PCA limit {NARROW_MAX}")
+    _check_width(vectors)
     vectors = vectors.select("job_id", F.col("vector").cast("array<double>"))
-    out = {}
-    for job, (n, s, ss) in _sum_moments(vectors.mapInPandas(_moments("vector"), MOMENTS)).items():
-        d = len(s)
-        mean = s / max(n, 1)
-        cov = (ss - n * np.outer(mean, mean)) / max(n - 1, 1)
-        w, v = np.linalg.eigh(cov)
-        order = np.argsort(w)[::-1]
-        w, v = w[order], v[:, order]
-        rank = int(np.sum(w > max(w[0], 0) * 1e-10)) if len(w) else 0
-        kk = max(0, min(k, rank, n - 1 if n > 1 else 0))
-        out[job] = {"n": n, "mean": mean, "cov": cov, "components": fix_signs(v[:, :kk]),
-                            "explained": w[:kk]}
-    return out
+    return {job: _decompose(n, s, ss, k)
+            for job, (n, s, ss) in _sum_moments(vectors.mapInPandas(_moments("vector"), MOMENTS)).items()}
+
+
+def narrow_factors(vectors: DataFrame, k: int) -> DataFrame:
+    """(job_id, position, loadings): the components of :func:`narrow_fit` as a table, one row a position.
+
+    The row of position ``MEAN`` holds the coordinates of the mean vector. Each job's d x d is
+    decomposed in a task of its own; no factor passes the driver, whatever the number of jobs.
+    """
+    _check_width(vectors)
+
+    def factors(pdf: pd.DataFrame) -> pd.DataFrame:
+        f = _decompose(*_triangle(pdf), k)
+        rows = np.vstack([f["mean"] @ f["components"], f["components"]])
+        return pd.DataFrame({"job_id": pdf["job_id"].iloc[0], "position": np.arange(MEAN, len(rows) - 1), "loadings": list(rows)})
+    return moments(vectors.select("job_id", F.col("vector").cast("array<double>").alias("vector")), "vector") \
+        .groupBy("job_id").applyInPandas(factors, FACTORS)
+
+
+def dense_rows(vectors: DataFrame) -> DataFrame:
+    """Dense vectors as the sparse rows (job_id, record_id, sub_key, positions, values) that :func:`project` takes."""
+    return vectors.select(*UNIT_KEYS, F.transform("vector", lambda _, i: i).alias("positions"),
+                          F.col("vector").cast("array<double>").alias("values"))
+
+
+def project(rows: DataFrame, components: DataFrame, means: DataFrame) -> DataFrame:
+    """(job_id, record_id, sub_key, vector): (x - mean) V of sparse ``rows`` (positions, values) by saved factors.
+
+    ``components(job_id, position, loadings)`` has a row for each position, ``means(job_id, mean)`` the mean's
+    coordinates. A block of units gets each row of V that it needs once. Positions without a row
+    count as 0; units of a job without a direction (all its fitted rows alike) get ``[0.0]``.
+    """
+    spark = rows.sparkSession
+    path = _fresh(spark, "rows-to-project")
+    rows.select(*UNIT_KEYS, "positions", "values").write.parquet(path)
+    # read twice, so that the two sides of the join have their own columns
+    rows, again = (with_blocks(spark.read.parquet(path)) for _ in range(2))
+    y = power_y(rows, needed_positions(again), components.withColumnRenamed("loadings", "b"))
+    centred = F.zip_with("y", "mean", lambda a, m: a - m)
+    return y.join(broadcast_if_small(means), "job_id", "left").select(
+        *UNIT_KEYS, F.when(F.size("y") > 0, centred).otherwise(F.array(F.lit(0.0))).alias("vector"))
 
 
 def narrow_transform(vectors: DataFrame, fitted: dict[str, dict], keys: list[str]) -> DataFrame:

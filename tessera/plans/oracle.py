@@ -477,6 +477,39 @@ hits AS (SELECT occ.job_id, occ.record_id, count(*) AS n FROM occ JOIN vocab USI
 SELECT cur.job_id, cur.record_id, CAST(coalesce(hits.n, 0) AS BIGINT) AS vsum
 FROM cur LEFT JOIN hits USING (job_id, record_id)"""
 
+SQL["re_embed_saved"] = f"""
+WITH {DOCS_LAB},
+r AS (SELECT record_id, text, lab, row_number() OVER (PARTITION BY lab ORDER BY record_id) - 1 AS n FROM d),
+c AS (SELECT count(*) AS total FROM d WHERE NOT lab),
+cur AS (SELECT record_id, text, lab FROM r WHERE NOT lab
+        UNION ALL SELECT a.record_id, b.text, a.lab FROM r a, c JOIN r b ON NOT b.lab WHERE a.lab AND b.n = a.n % c.total),
+w AS (SELECT lab, {WORDS.format('text')} AS toks FROM cur),
+whole AS (SELECT count(*) AS n_vectors, CAST(count(*) FILTER (WHERE lab) AS BIGINT) AS n_changed FROM cur),
+tok AS (SELECT CAST(sum(len(toks)) AS BIGINT) AS n_vectors,
+               CAST(coalesce(sum(len(toks)) FILTER (WHERE lab), 0) AS BIGINT) AS n_changed FROM w),
+old_words AS (SELECT unnest({WORDS.format('text')}) AS term FROM d),
+widths(job_id, width) AS (
+  SELECT 'characters', (SELECT count(DISTINCT ch) FROM (SELECT unnest({CHARS.format('text')}) AS ch FROM d))
+  UNION ALL SELECT 'tf-idf', (SELECT count(DISTINCT term) FROM old_words)
+  UNION ALL SELECT 'reduced-words', 64 UNION ALL SELECT 'reduced-model', 64
+  UNION ALL SELECT 'tokens', (SELECT count(DISTINCT ch) FROM (SELECT unnest({CHARS.format('term')}) AS ch FROM old_words)))
+SELECT job_id, n_vectors, n_changed, n_changed AS n_like_twin, n_vectors - n_changed AS n_kept, width
+FROM widths JOIN whole ON job_id <> 'tokens'
+UNION ALL SELECT job_id, n_vectors, n_changed, n_changed, n_vectors - n_changed, width FROM widths JOIN tok ON job_id = 'tokens'"""
+
+SQL["score_saved"] = SQL["score_texts"]
+
+SQL["encode_cancelled"] = f"""
+WITH l AS (SELECT source, CAST(doc_id AS VARCHAR) AS record_id, {WORDS.format('text')} AS toks FROM documents),
+t AS (SELECT source, record_id, generate_subscripts(toks, 1) AS token_idx, unnest(toks) AS token FROM l),
+b AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY record_id, token_idx) - 1) // 32 AS batch FROM t),
+k AS (SELECT *, batch * 4 // (max(batch) OVER (PARTITION BY source) + 1) AS number FROM b),
+s AS (SELECT source, (row_number() OVER (ORDER BY source) - 1) % 2 = 1 AS cut FROM (SELECT DISTINCT source FROM documents))
+SELECT source || ':ON_TOKEN:python:bag-of-characters' AS job_id, count(*) AS n_vectors,
+       CAST(sum(len({CHARS.format('token')})) AS BIGINT) AS n_chars,
+       CASE WHEN cut THEN 'FAILED' ELSE 'FINISHED' END AS state, CASE WHEN cut THEN 'FAILED' ELSE 'FINISHED' END AS last_state
+FROM k JOIN s USING (source) WHERE NOT cut OR number < 2 GROUP BY source, cut"""
+
 # --- PCA, sketch, k-NN ----------------------------------------------------------------
 
 EMB = """e AS (SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS i,
@@ -574,6 +607,17 @@ FROM g"""
 
 SQL["re_embed_stream"] = SQL["re_embed"]
 
+SQL["re_embed_stream_lists"] = f"""
+WITH e AS (SELECT 'conversations' AS job_id, CAST(conv_id AS VARCHAR) AS record_id, role, text,
+                  CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS sub_key FROM conversations),
+vocab AS (SELECT DISTINCT unnest({WORDS.format('text')}) AS term FROM e),
+cur AS (SELECT job_id, record_id, sub_key, CASE WHEN role = 'assistant' THEN reverse(text) ELSE text END AS text FROM e),
+occ AS (SELECT record_id, sub_key, unnest({WORDS.format('text')}) AS term FROM cur),
+hits AS (SELECT record_id, sub_key, count(*) AS n FROM occ JOIN vocab USING (term) GROUP BY record_id, sub_key)
+SELECT cur.job_id, cur.record_id, cur.sub_key, CAST(coalesce(hits.n, 0) AS BIGINT) AS vsum,
+       (SELECT count(*) FROM e WHERE role = 'assistant') AS n_changes
+FROM cur LEFT JOIN hits USING (record_id, sub_key)"""
+
 SQL["score_stream"] = SQL["score_texts"]
 
 SQL["warnings_x_records"] = f"""

@@ -497,6 +497,95 @@ def q_re_embed(spark, sf_dir):
     return _read_back(store)
 
 
+# Attribute and token jobs over all documents, one of each way of saving an embedder.
+SAVED_EMBEDDERS = [("characters", "ON_ATTRIBUTE", "python", BOC), ("tf-idf", "ON_ATTRIBUTE", "python", TFIDF),
+                   ("reduced-words", "ON_ATTRIBUTE", "python", BOW), ("reduced-model", "ON_ATTRIBUTE", "huggingface", "built-in"),
+                   ("tokens", "ON_TOKEN", "python", BOC)]
+
+
+def _twins(spark, sf_dir):
+    """(record_id, text, is_new): the documents, where the n-th labelled one now has the text of the n-th other one."""
+    docs = src.documents_records(spark, sf_dir).select("record_id", "text")
+    labelled = src.edited_documents(spark, sf_dir).select("record_id", F.lit(1).alias("is_new"))
+    docs = docs.join(labelled, "record_id", "left").fillna(0, ["is_new"])
+    ranked = ordinal_within(docs, ["is_new"], ["record_id"], "n")
+    others = ranked.filter("is_new = 0").select(F.col("n").alias("m"), F.col("record_id").alias("twin"), F.col("text").alias("new_text"))
+    total = others.count()
+    edited = ranked.filter("is_new = 1").select("record_id", "is_new", (F.col("n") % max(total, 1)).alias("m")).join(others, "m")
+    return docs.filter("is_new = 0").select("record_id", "text", "is_new", F.col("record_id").alias("twin")).unionByName(
+        edited.select("record_id", F.col("new_text").alias("text"), "is_new", "twin"))
+
+
+def _alike(a, b):
+    """Whether two stored vectors agree up to rounding."""
+    apart = F.zip_with(a, b, lambda x, y: F.abs(x - y) > 1e-4 * (1 + F.abs(x)))
+    return (F.size(a) == F.size(b)) & ~F.exists(apart, lambda x: F.coalesce(x, F.lit(True)))
+
+
+def q_re_embed_saved(spark, sf_dir):
+    """One change set over five kinds of jobs, each with its saved embedder: a changed record takes the text of another,
+    so its vectors must become that record's; the others keep theirs."""
+    docs = src.documents_records(spark, sf_dir).select(F.lit("corpus").alias("project_id"), "record_id", "text")
+    tokens = lambda d: src.tokens_table(d).select("project_id", "record_id", F.col("token_idx").alias("sub_key"),
+                                                  F.col("token").alias("text"))
+    jobs = spark.createDataFrame([(j, "corpus", "text", t, p, m) for j, t, p, m in SAVED_EMBEDDERS],
+                                 "job_id string, project_id string, attribute_id string, type string, platform string, model string")
+    store = VectorStore(spark)
+    counts = docs.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_records"))
+    encode.encode_jobs(store, jobs, counts, docs.withColumn("sub_key", F.lit(None).cast("int")), tokens(docs),
+                       export=False, build_collection=False)
+    before = store.vectors()          # the state before goes on being readable
+    path = fresh_path(spark, "twins")
+    _twins(spark, sf_dir).write.parquet(path)
+    twins = spark.read.parquet(path)
+    entry = F.array(F.struct("record_id", F.lit(src.TEXT_ATTRIBUTE).alias("attribute_name")))
+    changes = twins.filter("is_new = 1").select(F.explode(F.array(*[F.lit(j[0]) for j in SAVED_EMBEDDERS])).alias("j"), "record_id") \
+        .select(F.to_json(F.create_map("j", entry)).alias("value"))
+    current = twins.select(F.lit("corpus").alias("project_id"), "record_id", "text")
+    plans.re_embed(store, changes, current, tokens=tokens(current), export=False)
+    after = store.vectors().join(twins.select("record_id", "is_new", "twin"), "record_id")
+    old = before.select(F.col("job_id").alias("j"), F.col("record_id").alias("r"), F.col("sub_key").alias("s"), F.col("vector").alias("was"))
+    same = (F.col("job_id") == F.col("j")) & (F.col("twin") == F.col("r")) & F.col("sub_key").eqNullSafe(F.col("s"))
+    equal = _alike("vector", "was")
+    return after.join(old, same, "left").groupBy("job_id").agg(
+        F.count(F.lit(1)).alias("n_vectors"), F.sum("is_new").cast("long").alias("n_changed"),
+        F.count(F.when(equal & (F.col("is_new") == 1), 1)).alias("n_like_twin"),
+        F.count(F.when((F.col("vector") == F.col("was")) & (F.col("is_new") == 0), 1)).alias("n_kept"),
+        F.max(F.size("vector")).cast("long").alias("width"))
+
+
+def q_score_saved(spark, sf_dir):
+    """Benchmark texts scored with the embedder that the registry names for the job."""
+    units = _corpus_units(spark, sf_dir)
+    store = VectorStore(spark)
+    plans.encode_job(store, units, TFIDF, build_collection=False, export=False)
+    out = plans.score_with_job(store, src.load(spark, sf_dir, "benchmark"), "corpus")
+    return out.select("record_id", F.posexplode("vector").alias("position", "value")).where("value <> 0").select(
+        "record_id", F.col("position").cast("long").alias("position"), r6(F.col("value")).alias("value"))
+
+
+ENCODE_COMMITS, CANCELLED_BEFORE = 4, 2
+
+
+def q_encode_cancelled(spark, sf_dir):
+    """Token jobs written in four commits; every second project is cancelled before the third and keeps its earlier batches."""
+    jobs = jsrc.jobs_table(spark, sf_dir).filter("type = 'ON_TOKEN' AND platform = 'python'").filter(F.col("model") == BOC)
+    names = src.documents_records(spark, sf_dir).select("project_id").distinct()
+    chosen = ordinal_within(names.withColumn("all", F.lit(0)), ["all"], ["project_id"], "n").filter("n % 2 = 1")
+    cancel = jobs.join(chosen.select("project_id"), "project_id", "left_semi")
+    units = _doc_units(spark, sf_dir).withColumnRenamed("job_id", "project_id")
+    tokens = _token_units(spark, sf_dir).withColumnRenamed("job_id", "project_id")
+    store = VectorStore(spark)
+
+    def user(number):
+        if number == CANCELLED_BEFORE:
+            plans.append_events(store, plans.state_rows(cancel, "FAILED"))
+    states = encode.encode_jobs(store, jobs, jsrc.project_counts(spark, sf_dir), units, tokens, export=False, build_collection=False,
+                                commits=ENCODE_COMMITS, before_commit=user)
+    kept = store.vectors().groupBy("job_id").agg(F.count(F.lit(1)).alias("n_vectors"), F.sum(_vsum(None)).alias("n_chars"))
+    return kept.join(states, "job_id").join(plans.job_states(store).withColumnRenamed("state", "last_state"), "job_id")
+
+
 # --- PCA, sketches, k-NN ----------------------------------------------------------------
 
 def _embeddings(spark, sf_dir):
@@ -761,6 +850,31 @@ def q_re_embed_stream(spark, sf_dir):
     return _read_back(store)
 
 
+def q_re_embed_stream_lists(spark, sf_dir):
+    """List entries (assistant turns, now reversed) arriving as changes in two runs; then the first batch comes again with
+    other contents, and nothing may change."""
+    units = _conversation_units(spark, sf_dir)
+    store = VectorStore(spark)
+    plans.encode_job(store, units, BOW, build_collection=False, export=False)
+    changed = q_list_entry_project(spark, sf_dir).select("record_id", "sub_key", F.lit(True).alias("is_new"))
+    entries = units.select(F.col("job_id").alias("project_id"), "record_id", "sub_key", "text")
+    current = entries.join(changed, ["record_id", "sub_key"], "left").withColumn(
+        "text", F.when(F.col("is_new"), F.reverse("text")).otherwise(F.col("text"))).drop("is_new")
+    entry = F.array(F.struct("record_id", F.lit(src.TEXT_ATTRIBUTE).alias("attribute_name"),
+                             F.col("sub_key").cast("string").alias("sub_key")))
+    change_dir, checkpoint = fresh_path(spark, "incoming-changes"), fresh_path(spark, "ckpt-lists")
+    whole = _doc_units(spark, sf_dir).select(F.col("job_id").alias("project_id"), "record_id", "text")
+    for late in (False, True):
+        arriving = changed.filter((F.col("sub_key") >= 2) == late)
+        arriving.select(F.to_json(F.create_map(F.lit(src.CONVERSATION_PROJECT), entry)).alias("value")) \
+            .write.mode("append").text(change_dir)
+        sjobs.re_embed_stream(spark, store, change_dir, whole, checkpoint=checkpoint, list_records=current, export=False)
+    again = sjobs.re_embed_batch(spark, store, checkpoint, whole, list_records=entries, export=False)
+    again(spark.read.text(change_dir), 0)
+    checked = sjobs.re_embed_checks(store).groupBy("job_id").agg(F.sum("n_changes").alias("n_changes"))
+    return _read_back(store, with_sub=True).join(checked, "job_id")
+
+
 def q_score_stream(spark, sf_dir):
     docs = src.documents_records(spark, sf_dir)
     units = docs.select(F.lit("corpus").alias("job_id"), "record_id", F.lit(None).cast("int").alias("sub_key"),
@@ -823,6 +937,9 @@ QUERIES = {
     "fit_transform": q_fit_transform,
     "encode_job": q_encode_job,
     "re_embed": q_re_embed,
+    "re_embed_saved": q_re_embed_saved,
+    "score_saved": q_score_saved,
+    "encode_cancelled": q_encode_cancelled,
     "pca_fit": q_pca_fit,
     "pca_transform": q_pca_transform,
     "seeded_projection": q_seeded_projection,
@@ -844,5 +961,6 @@ QUERIES = {
     "token_gate_stream": q_token_gate_stream,
     "encode_jobs_gated": q_encode_jobs_gated,
     "re_embed_stream": q_re_embed_stream,
+    "re_embed_stream_lists": q_re_embed_stream_lists,
     "score_stream": q_score_stream,
 }

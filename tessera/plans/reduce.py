@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import count_embed, pca
 from ..operators.model_embed import model_embed
-from ..session import broadcast_if_small, fresh_path
+from ..session import fresh_path
 from ..schema import BOW, DOC_BATCH, DOC_COMPONENTS, TOKEN_BATCH, TOKEN_COMPONENTS
 
 UNIT_KEYS = ["job_id", "record_id", "sub_key"]
@@ -67,14 +67,7 @@ class ReducedCountModel:
             *[keys[c] for c in UNIT_KEYS],
             F.coalesce(grouped["positions"].cast("array<int>"), F.array().cast("array<int>")).alias("positions"),
             F.coalesce(grouped["values"], F.array().cast("array<double>")).alias("values"))
-        path = fresh_path(units.sparkSession, "reduced-rows")
-        rows.write.parquet(path)
-        # read twice, so that the two sides of the join have their own columns
-        rows, again = (pca.with_blocks(units.sparkSession.read.parquet(path)) for _ in range(2))
-        y = pca.power_y(rows, pca.needed_positions(again), self.components().withColumnRenamed("loadings", "b"))
-        centred = F.zip_with("y", "mean", lambda a, m: a - m)
-        return y.join(broadcast_if_small(self.means()), "job_id", "left").select(
-            *UNIT_KEYS, F.when(F.size("y") > 0, centred).otherwise(F.array(F.lit(0.0))).alias("vector"))
+        return pca.project(rows, self.components(), self.means())
 
     def transform(self, units: DataFrame) -> DataFrame:
         """The same in long form (job_id, record_id, sub_key, position, value)."""

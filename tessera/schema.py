@@ -23,6 +23,7 @@ BOC = "bag-of-characters"
 BOW = "bag-of-words"
 TFIDF = "tf-idf"
 REDUCED_BOW = "bag-of-words-pca"   # name under which a reduced bag of words is stored
+MODEL_PCA = "model-pca"            # name under which the components of a model's vectors are stored
 
 # Dispatch constants: batch sizes, PCA widths, the PCA record threshold.
 DOC_BATCH = 128

@@ -8,6 +8,7 @@ Layout under ``root`` (a folder in the shared storage):
   exports/job_id=<job>/       bzip2 CSV, header per part file: record_id, sub_key, vector (JSON)
   collection/job_id=<job>/    L2-normalised vectors (+ optional LSH buckets) for k-NN
   models/<name>/<table>/job_id=<job>/   fitted model tables, one partition per job
+  embedders/                  which of these made the vectors of each job (registry.py)
 
 A record's bucket is a hash of its id, so that a change rewrites only the buckets it falls
 into. Every write goes to a version folder of its own; its state is written next, and the
@@ -29,12 +30,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import normalize_df
-from ..schema import BOC, BOW, REDUCED_BOW, TFIDF
+from ..schema import BOC, BOW, MODEL_PCA, REDUCED_BOW, TFIDF
 from ..session import (create_marker, default_parallelism, delete_path, fresh_path, list_names, list_partitions,
                        partition_path)
+from . import registry
 
 VECTOR_COLS = ["project_id", "job_id", "record_id", "sub_key", "vector"]
-MODEL_NAMES = (BOC, BOW, TFIDF, REDUCED_BOW)
+MODEL_NAMES = (BOC, BOW, TFIDF, REDUCED_BOW, MODEL_PCA)
 MODEL_TABLES = ("vocab", "stats", "components", "means")
 SLICE_SCHEMA = "job_id string, bucket int, version string"
 STORED_SCHEMA = f"project_id string, record_id string, sub_key int, vector array<float>, {SLICE_SCHEMA}"
@@ -198,15 +200,19 @@ class VectorStore:
         self._rewrite(touched, cur.join(keys, cond, "left_anti"))
         delete_path(self.spark, staging)
 
-    def upsert(self, new_vectors: DataFrame) -> None:
+    def upsert(self, new_vectors: DataFrame, changes: DataFrame | None = None) -> None:
         """Delete the old vectors of the changed units and add the new ones, as one new state.
 
         A change without ``sub_key`` replaces every vector of its record; with a
         ``sub_key`` only that list entry. Duplicate changes collapse to one row.
         The new rows are computed and written once; their keys are read back from there.
+        ``changes`` (job_id, record_id, sub_key; written) are further units whose old vectors go, such as
+        whole records that now have fewer tokens.
         """
         new = self._write(self._shape(new_vectors).dropDuplicates(["job_id", "record_id", "sub_key"]))
         keys = self._read(new).select("job_id", "record_id", "sub_key")
+        if changes is not None:
+            keys = keys.unionByName(changes.select("job_id", "record_id", F.col("sub_key").cast("int"))).distinct()
         touched = self._touched(keys)
         whole = keys.filter(F.col("sub_key").isNull()).select("job_id", "record_id")
         entry = keys.filter(F.col("sub_key").isNotNull())
@@ -269,13 +275,14 @@ class VectorStore:
         for name in MODEL_NAMES:
             for table in MODEL_TABLES:
                 self._drop(f"{self.model_path(name)}/{table}", job_id)
+        registry.unregister(self.spark, self.root, job_id)
         if drop_vectors:
             self._commit({part for part in self.slices() if part[0] != job_id})
 
     def model_jobs(self) -> list[tuple[str, str]]:
         """(model name, job_id) of every saved model."""
         return [(name, job) for name in MODEL_NAMES
-                for job in list_partitions(self.spark, f"{self.model_path(name)}/{MODEL_TABLES[0]}", "job_id")]
+                for job in list_partitions(self.spark, f"{self.model_path(name)}/{'means' if name == MODEL_PCA else 'vocab'}", "job_id")]
 
     def _drop(self, path: str, job_id: str) -> None:
         delete_path(self.spark, partition_path(self.spark, path, "job_id", job_id))

@@ -7,13 +7,15 @@ result can be compared with the batch operator on the same input.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.time import from_micros, micros
 from ..operators import count_embed
 from ..schema import TOKEN_WAIT_CHECKS, TOKEN_WAIT_SECONDS
-from ..session import fresh_path
+from ..session import create_marker, fresh_path, path_exists
 from ..sinks.vector_store import VectorStore
 
 
@@ -80,24 +82,53 @@ def token_gate(events: DataFrame, wait_seconds: int = TOKEN_WAIT_SECONDS,
 
 
 def re_embed_stream(spark: SparkSession, store: VectorStore, change_dir: str, records: DataFrame,
-                    model: str, checkpoint: str | None = None, trigger: dict | None = None) -> None:
-    """Change sets arriving as JSON text files; each micro-batch is re-embedded and upserted.
-
-    The upsert of a batch is idempotent: replaying batch ``b`` deletes and
-    re-inserts the same units with the same vectors.
+                    model: str | None = None, checkpoint: str | None = None, trigger: dict | None = None,
+                    list_records: DataFrame | None = None, tokens: DataFrame | None = None, provider=None,
+                    export: bool = True) -> None:
+    """Change sets arriving as JSON text files; each micro-batch is re-embedded and upserted, exactly once.
+
+    ``model``, ``list_records``, ``tokens``, ``provider`` and ``export`` are those of ``plans.jobs.re_embed``.
+    A batch that is finished is noted in the store's ledger, under its checkpoint and number; Spark may hand it in
+    again after a crash, and then nothing is read or written. A batch that broke off before is run
+    again: its vectors, exports and checks replace what it left. The checks of each batch lie below
+    ``re_embed_checks`` (see :func:`re_embed_checks`).
     """
-    from ..plans.jobs import re_embed
-
+    checkpoint = checkpoint or fresh_path(spark, "ckpt-re-embed")
     stream = spark.readStream.format("text").load(change_dir)
+    run = re_embed_batch(spark, store, checkpoint, records, model, list_records, tokens, provider, export)
+    run_available(stream.writeStream.foreachBatch(run), checkpoint, trigger)
+
+
+def re_embed_batch(spark: SparkSession, store: VectorStore, checkpoint: str, records: DataFrame, model: str | None = None,
+                   list_records: DataFrame | None = None, tokens: DataFrame | None = None, provider=None,
+                   export: bool = True):
+    """The function of (batch, batch_id) that :func:`re_embed_stream` runs for each micro-batch."""
+    from ..plans.jobs import built_in, re_embed
+
+    stream_id = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        if batch.limit(1).count() == 0:
+        done = f"{store.root}/ledger/{stream_id}/{batch_id}"
+        if path_exists(spark, done):
             return
-        fixed = fresh_path(spark, f"changes-batch-{batch_id}")
-        batch.write.text(fixed)
-        re_embed(store, spark.read.text(fixed), records, model)
-
-    run_available(stream.writeStream.foreachBatch(apply), checkpoint or fresh_path(spark, "ckpt-re-embed"), trigger)
+        if batch.limit(1).count():
+            fixed = fresh_path(spark, f"changes-batch-{batch_id}")
+            batch.write.text(fixed)
+            check = re_embed(store, spark.read.text(fixed), records, model, list_records, tokens, provider or built_in, export)
+            (check.select("job_id", "n_changes", "n_vectors", "ok").write.mode("overwrite")
+             .parquet(f"{store.root}/re_embed_checks/stream={stream_id}/batch={batch_id}"))
+        create_marker(spark, done)
+
+    return apply
+
+
+def re_embed_checks(store: VectorStore) -> DataFrame:
+    """(stream, batch, job_id, n_changes, n_vectors, ok) of every finished batch."""
+    schema = "job_id string, n_changes long, n_vectors long, ok boolean, stream string, batch long"
+    path = f"{store.root}/re_embed_checks"
+    if not path_exists(store.spark, path):
+        return store.spark.createDataFrame([], schema)
+    return store.spark.read.schema(schema).parquet(path)
 
 
 def score_stream(spark: SparkSession, model: count_embed.CountModel, texts_stream: DataFrame, job_id: str,
