@@ -549,8 +549,8 @@ def q_re_embed_saved(spark, sf_dir):
     equal = _alike("vector", "was")
     return after.join(old, same, "left").groupBy("job_id").agg(
         F.count(F.lit(1)).alias("n_vectors"), F.sum("is_new").cast("long").alias("n_changed"),
-        F.count(F.when(equal & (F.col("is_new") == 1), 1)).alias("n_like_twin"),
-        F.count(F.when((F.col("vector") == F.col("was")) & (F.col("is_new") == 0), 1)).alias("n_kept"),
+        F.count(F.when((F.col("is_new") == 1) & equal, 1)).alias("n_like_twin"),
+        F.count(F.when((F.col("is_new") == 0) & (F.col("vector") == F.col("was")), 1)).alias("n_kept"),
         F.max(F.size("vector")).cast("long").alias("width"))
 
 
@@ -560,8 +560,7 @@ def q_score_saved(spark, sf_dir):
     store = VectorStore(spark)
     plans.encode_job(store, units, TFIDF, build_collection=False, export=False)
     out = plans.score_with_job(store, src.load(spark, sf_dir, "benchmark"), "corpus")
-    return out.select("record_id", F.posexplode("vector").alias("position", "value")).where("value <> 0").select(
-        "record_id", F.col("position").cast("long").alias("position"), r6(F.col("value")).alias("value"))
+    return out.select("record_id", "position", r6(F.col("value")).alias("value"))
 
 
 ENCODE_COMMITS, CANCELLED_BEFORE = 4, 2
