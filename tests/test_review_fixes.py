@@ -96,7 +96,7 @@ def test_models_belong_to_jobs(spark):
 def test_state_can_go_back(spark):
     s = VectorStore(spark)
     plans.encode_job(s, units(spark, {"j": ["a b"]}), BOW, build_collection=False)
-    plans.append_events(s, plans._events(spark, spark.createDataFrame([("j",)], "job_id string"), "ENCODING"))
+    plans.append_events(s, plans.state_rows(spark.createDataFrame([("j",)], "job_id string"), "ENCODING"))
     assert plans.job_states(s).first()["state"] == "ENCODING"
 
 
