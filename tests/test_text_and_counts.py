@@ -89,3 +89,17 @@ def test_character_counts_of_any_text(spark, monkeypatch):
         got.setdefault(r["record_id"], {})[r["term"]] = r["n"]
     assert got == {i: dict(c) for i, (_, c) in enumerate(rows) if c}
     assert text.term_counts(df.limit(0), "chars", ["record_id"]).count() == 0
+
+
+def test_counts_of_a_batch_equal_counts_of_its_texts():
+    import numpy as np
+
+    from tessera.functions import text
+    texts = ["", "añb\U0001f600a", "x" * 50, "zz"] * 30
+    for some in ([t.encode() for t in texts], [b"ok", b"\xe2\x82", b"\xac a", b""], [b"", b""], [b"aab"]):
+        ends = np.concatenate([[0], np.cumsum([len(t) for t in some])]).astype(np.int64)
+        got = zip(*text._count_piece(np.frombuffer(b"".join(some), dtype=np.uint8), ends))
+        assert [tuple(map(int, g)) for g in got] == [
+            (i, int(p), int(n)) for i, t in enumerate(some) for p, n in zip(*text._code_points(t))]
+    assert list(text._pieces(np.array([0, 3, 3, 3 + text.COUNT_PIECE_BYTES * 2, 4 + text.COUNT_PIECE_BYTES * 2]))) == \
+        [slice(0, 2), slice(2, 3), slice(3, 4)]
