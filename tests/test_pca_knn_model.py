@@ -104,3 +104,48 @@ def test_token_model_embed_reduces_to_16_centred(spark):
     y = np.vstack([np.asarray(r["vector"]) for r in out])
     assert 0 < y.shape[1] <= 16
     assert np.allclose(y.mean(axis=0), 0, atol=1e-9)
+
+
+def test_compact_model_vectors_equal_dense_ones_whatever_the_batch(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions.vectors import dense_of
+    from tessera.operators import model_embed as me
+    from tessera.operators import pca
+
+    def largest():
+        sizes = []
+
+        def fn(texts):
+            sizes.append(len(texts))
+            if any(t == "bad" for t in texts):
+                raise RuntimeError("no")
+            return np.array([[len(t) * (i == 3) + i * (len(t) > 40) for i in range(8)] for t in texts], dtype=float)
+        return fn
+
+    rows = [("j", str(i), i, "t" * (i % 50)) for i in range(3000)] + [("k", "x", None, None), ("k", "y", 0, "bad")]
+    units = spark.createDataFrame(rows, "job_id string, record_id string, sub_key int, text string").coalesce(1)
+    dense = me.model_embed(units.where("job_id = 'j'"), largest, 16, dim=8)
+    few = me.model_embed(units.where("job_id = 'j'"), largest, 16, dim=8, compact=True)
+    want = {r["record_id"]: r["vector"] for r in dense.collect()}
+    assert want == {r["record_id"]: r["v"] for r in few.select("record_id", dense_of(of="double").alias("v")).collect()}
+    assert few.where("positions is not null and size(vector) <= 1").count() > 2000
+    assert few.where("positions is null and size(vector) = 8").count() > 100
+    failed = {r["record_id"]: r for r in me.model_embed(units.where("job_id = 'k'"), largest, 1, dim=8, compact=True).collect()}
+    assert failed["y"]["error_class"] == "general" and failed["y"]["vector"] is None and failed["x"]["error_class"] is None
+    a, b = pca.narrow_fit(dense, 2)["j"], pca.narrow_fit(few, 2)["j"]
+    assert a["n"] == b["n"] == 3000 and np.allclose(a["cov"], b["cov"])
+    keys = ["job_id", "record_id", "sub_key"]
+    out = [{r["record_id"]: r["vector"] for r in pca.narrow_transform(v, {"j": a}, keys).collect()} for v in (dense, few)]
+    assert out[0].keys() == out[1].keys() and all(np.allclose(out[0][i], out[1][i]) for i in out[0])
+
+
+def test_pieces_bound_what_a_worker_embeds_at_once():
+    import pyarrow as pa
+
+    from tessera.operators import model_embed as me
+    n = 5 * me.PIECE_ROWS
+    batch = pa.RecordBatch.from_arrays([pa.array(["j"] * n), pa.array(["r"] * n), pa.array([0] * n, pa.int32()), pa.array(["t"] * n)],
+                                       names=["job_id", "record_id", "sub_key", "text"])
+    run = me._embed_partition(lambda: lambda texts: np.ones((len(texts), 4)), 32, 100, 4, False)
+    assert [b.num_rows for b in run(iter([batch]))] == [me.PIECE_ROWS] * 5

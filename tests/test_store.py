@@ -139,3 +139,50 @@ def test_null_ids_are_stored_and_read_back(spark):
     assert s.vectors().filter("job_id is null and record_id is null").count() == 1
     s.delete_records(spark.createDataFrame([("j2", "r1"), (None, None)], "job_id string, record_id string"))
     assert s.vectors().count() == 4 and s.vectors().filter("job_id is null").count() == 1   # null equals nothing
+
+
+def wide_units(spark, n=40, words=300):
+    """Units of their own words each: vectors ``n * words`` wide with ``words`` entries; the last two are empty."""
+    rows = [("j", str(i), None, " ".join(f"w{i}x{k}" for k in range(words))) for i in range(n)]
+    return spark.createDataFrame(rows + [("j", "e", None, ""), ("j", "f", None, None)],
+                                 "job_id string, record_id string, sub_key int, text string")
+
+
+def test_wide_count_vectors_are_kept_compact(spark):
+    import os
+
+    from tessera.operators import count_embed
+    from tessera.schema import BOW
+    units = wide_units(spark)
+    model = count_embed.fit(units, BOW)
+    vocab = {r["position"]: r["term"] for r in model.vocab().collect()}
+    s = VectorStore(spark)
+    s.append(model.compact(units).withColumn("project_id", F.lit("p")))
+    kept = {r["record_id"]: r for r in s.rows().collect()}
+    assert len(kept["3"]["vector"]) == len(kept["3"]["positions"]) == 300 and kept["3"]["width"] == 12000
+    assert kept["e"]["positions"] == [] and kept["f"]["width"] == 12000
+    s.export()
+    s.build_collection(lsh_buckets=3)
+    size = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(s.exports_path) for f in names)
+    assert size < 42 * 12000            # lists of all values would have 4 characters each, compressed or not
+    dense = {r["record_id"]: list(r["vector"]) for r in model.dense(units).collect()}
+    for frame in (s.vectors(), s.read_export()):
+        assert {r["record_id"]: list(r["vector"]) for r in frame.collect()} == dense
+    for r, v in dense.items():
+        assert len(v) == 12000 and {vocab[i] for i, x in enumerate(v) if x} == ({f"w{r}x{k}" for k in range(300)} if r not in "ef" else set())
+    found = {r["record_id"]: r for r in s.collection().collect()}
+    assert abs(sum(x * x for x in found["3"]["unit"]) - 1) < 1e-9 and len(found["3"]["unit"]) == 12000
+    from tessera.operators.knn import hyperplane_signature
+    again = s.collection().withColumn("b", hyperplane_signature(F.col("unit"), 3, 7))
+    assert again.where("b <> bucket").count() == 0
+    s.delete_records(spark.createDataFrame([("j", "3")], "job_id string, record_id string"))
+    assert s.rows().count() == 41 and len(s.vectors().where("record_id = '4'").first()["vector"]) == 12000
+
+
+def test_compact_rows_of_a_repeated_unit(spark):
+    from tessera.operators import count_embed
+    from tessera.schema import BOC
+    units = spark.createDataFrame([("j", "a", None, "xyz"), ("j", "a", None, "xyz"), ("j", "b", 1, "z" * 9 + "abcdefgh")],
+                                  "job_id string, record_id string, sub_key int, text string")
+    got = sorted((r["record_id"], list(r["vector"])) for r in count_embed.fit(units, BOC).dense(units).collect())
+    assert got == [("a", [0.0] * 8 + [1.0, 1.0, 1.0])] * 2 + [("b", [1.0] * 8 + [0.0, 0.0, 9.0])]
