@@ -135,6 +135,10 @@ def test_compact_model_vectors_equal_dense_ones_whatever_the_batch(spark):
     assert failed["y"]["error_class"] == "general" and failed["y"]["vector"] is None and failed["x"]["error_class"] is None
     a, b = pca.narrow_fit(dense, 2)["j"], pca.narrow_fit(few, 2)["j"]
     assert a["n"] == b["n"] == 3000 and np.allclose(a["cov"], b["cov"])
+    c = pca.narrow_components(few, 2)["j"]
+    assert np.allclose(c["mean"], a["mean"]) and np.allclose(c["components"], a["components"])
+    same = pca.narrow_components(few.where("record_id = '5'"), 2)["j"]   # one row has no direction
+    assert same["components"].shape == (8, 0)
     keys = ["job_id", "record_id", "sub_key"]
     out = [{r["record_id"]: r["vector"] for r in pca.narrow_transform(v, {"j": a}, keys).collect()} for v in (dense, few)]
     assert out[0].keys() == out[1].keys() and all(np.allclose(out[0][i], out[1][i]) for i in out[0])
@@ -149,3 +153,15 @@ def test_pieces_bound_what_a_worker_embeds_at_once():
                                        names=["job_id", "record_id", "sub_key", "text"])
     run = me._embed_partition(lambda: lambda texts: np.ones((len(texts), 4)), 32, 100, 4, False)
     assert [b.num_rows for b in run(iter([batch]))] == [me.PIECE_ROWS] * 5
+
+
+def test_token_contexts_shuffle_records_not_tokens(spark, sf_small):
+    from tessera.plans import queries as q
+    from tessera.plans import reduce as rplans
+    from tessera.session import spread
+    contexts = rplans.token_contexts(q._token_units(spark, sf_small, by_record=True))
+    plan = contexts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")   # the shuffle lies below the tokens
+    assert spread(contexts) is contexts
+    want = rplans.token_contexts(q._token_units(spark, sf_small))
+    assert contexts.exceptAll(want).count() == 0 and contexts.count() == want.count()
