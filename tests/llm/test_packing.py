@@ -80,6 +80,22 @@ def test_forgotten_words_and_slices(monkeypatch):
     assert max(map(len, own.runs)) <= P.KEPT_LENGTH and len(own.runs) < 300
 
 
+def test_words_kept_twice_and_calls_of_the_library(monkeypatch):
+    """Words met again cost no merge, words of letters are kept once, and no plain text is encoded by the whole library."""
+    own, rng = P.Tokens(PATH), random.Random(5)
+    words = ["".join(rng.choice("abcdefé") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(50)]
+    want = [own.library(t).tobytes() for t in texts]
+    merged = []
+    merge = own.merge
+    own.merge = lambda word: merged.append(word) or merge(word)
+    monkeypatch.setattr(own, "library", lambda text: 1 / 0)
+    assert own(texts) == want and own(texts) == want
+    assert len(merged) == len(set(merged)) == len(set(" ".join(texts).split()))
+    assert len(own.runs) == len(merged) and not own.pieces
+    assert own([]) == [] and own([""]) == [b""] and own([" ", "\xa0a"])[0] == b""
+
+
 def brute_assign(sizes, capacities):
     """Largest piece first, to the sequence of lowest cost with room; one that fits nowhere is cut to the largest room."""
     pieces = [(n, i, i, 0) for i, n in enumerate(sizes)]  # size, turn, document, start
