@@ -40,7 +40,7 @@ def term_counts(units: DataFrame, kind: str, keys: list[str]) -> DataFrame:
     return by_row.select(*keys, F.inline(counted))
 
 
-COUNT_PIECE_BYTES = 1 << 22   # longer texts are counted in pieces, which bounds the memory of a count
+COUNT_PIECE_BYTES = 1 << 18   # texts are counted in pieces of so many bytes: a count takes about 50 times its piece
 
 
 def _code_points(text: bytes) -> tuple[np.ndarray, np.ndarray]:
