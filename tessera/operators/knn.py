@@ -8,7 +8,8 @@ with the query block in numpy and keeps, per query, only its local top-k
 scanned once per query block; when the queries exceed the broadcast bound they
 are split into blocks by a hash of the query id and each block is written to
 the result table in turn (a loop over block numbers, not over data). Scores are
-computed in pieces of at most ``MAX_SCORE_CELLS``, whatever the sizes of block and batch.
+computed in pieces of at most ``MAX_SCORE_CELLS``, whatever the sizes of block and batch: all
+in float32 first, then those that can be among the best in float64.
 """
 
 from __future__ import annotations
@@ -89,6 +90,19 @@ class Best:
         self.score[rows] = np.take_along_axis(s, order, axis=1)
         self.id[rows] = np.take_along_axis(i, order, axis=1)
 
+    def merge_pairs(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Offer the candidate ``ids[i]`` with ``scores[i]`` to the query ``rows[i]`` (all 1-D, any order)."""
+        k = self.score.shape[1]
+        hot = np.unique(rows)
+        r = np.concatenate([np.repeat(hot, k), rows])
+        s = np.concatenate([self.score[hot].ravel(), scores])
+        i = np.concatenate([self.id[hot].ravel(), ids])
+        _, name = np.unique(i.astype(str), return_inverse=True)
+        order = np.lexsort((name, -s, r))
+        starts = np.searchsorted(r[order], hot)
+        top = order[starts[:, None] + np.arange(k)]                  # a query has its k entries of before at least
+        self.score[hot], self.id[hot] = s[top], i[top]
+
 
 @dataclass(frozen=True)
 class Probe:
@@ -107,25 +121,71 @@ class Probe:
         return np.flatnonzero(np.bitwise_count(query_codes ^ code) <= self.flips)
 
 
+# Pairs whose exact score a task computes at a time.
+EXACT_PAIRS = 1 << 16
+
+
+def _same_ids(q_ids: np.ndarray, q_order: np.ndarray, q_sorted: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query row, column) of the pairs with equal ids; ``q_sorted`` are the query ids as strings, in ``q_order``."""
+    text = ids.astype(str)
+    first, end = np.searchsorted(q_sorted, text), np.searchsorted(q_sorted, text, side="right")
+    n = end - first
+    rows = q_order[np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    columns = np.repeat(np.arange(len(ids)), n)
+    same = q_ids[rows] == ids[columns]                               # a null id is no "None"
+    return rows[same], columns[same]
+
+
 def _local_topk(q_ids: np.ndarray, q_mat: np.ndarray, k: int, exclude_self: bool, places: int, cells: int,
                 probe: Probe | None):
+    """The best ``k`` of a task's candidates for each query.
+
+    Scores are first computed in float32, whose error has a bound: a pair that even with it stays below the
+    query's k-th score so far, or below the k-th of the piece, can't be among the best. Only the rest, some ``k``
+    a query, are computed in float64, rounded and ranked.
+    """
     scale = 10 ** places
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = Best(len(q_ids), k)
         everyone = np.arange(len(q_ids))
         q_codes = probe.codes(q_mat) if probe and len(q_ids) else None
+        q_short = q_mat.astype(np.float32)
+        slack = (q_mat.shape[1] + 8) * 2.0 ** -23                    # twice the bound for unit vectors
+        q_order = np.argsort(q_ids.astype(str), kind="stable")
+        q_sorted = q_ids.astype(str)[q_order]
 
         def offer(rows: np.ndarray, ids: np.ndarray, mat: np.ndarray) -> None:
             width = max(1, min(len(ids), cells))
             height = max(1, cells // width)                       # at most ``cells`` scores at a time
+            short = mat.astype(np.float32)
+            own = _same_ids(q_ids, q_order, q_sorted, ids) if exclude_self else (everyone[:0], everyone[:0])
             for c in range(0, len(ids), width):
+                here = (own[1] >= c) & (own[1] < c + width)
+                own_rows, own_columns = own[0][here], own[1][here] - c
                 for a in range(0, len(rows), height):
                     part = rows[a:a + height]
-                    s = np.rint(np.round(q_mat[part] @ mat[c:c + width].T, places) * scale).astype(np.int64)
-                    if exclude_self:
-                        s[q_ids[part][:, None] == ids[None, c:c + width]] = NEG
-                    best.merge(part, s, ids[c:c + width])
+                    at = np.minimum(np.searchsorted(part, own_rows), len(part) - 1)
+                    inside = part[at] == own_rows
+                    excluded = at[inside], own_columns[inside]
+                    rough = q_short[part] @ short[c:c + width].T
+                    rough[excluded] = -np.inf
+                    kth = best.score[part, -1]
+                    limit = (kth - 0.75) / scale - slack
+                    new = np.flatnonzero(kth == NEG)
+                    if len(new) and rough.shape[1] > k:
+                        here_kth = np.partition(rough[new], rough.shape[1] - k, axis=1)[:, rough.shape[1] - k]
+                        limit[new] = here_kth.astype(np.float64) - 2 * slack - 1.5 / scale
+                    r, col = np.nonzero((rough >= limit[:, None].astype(np.float32)) & (rough > -np.inf))
+                    if len(r) * 8 > rough.size and len(r) > EXACT_PAIRS:   # many equal scores
+                        s = np.rint(np.round(q_mat[part] @ mat[c:c + width].T, places) * scale).astype(np.int64)
+                        s[excluded] = NEG
+                        best.merge(part, s, ids[c:c + width])
+                        continue
+                    for p in range(0, len(r), EXACT_PAIRS):
+                        x, y = part[r[p:p + EXACT_PAIRS]], c + col[p:p + EXACT_PAIRS]
+                        s = np.rint(np.round(np.einsum("ij,ij->i", q_mat[x], mat[y]), places) * scale).astype(np.int64)
+                        best.merge_pairs(x, s, ids[y])
 
         for pdf in batches:
             if len(pdf) == 0 or len(q_ids) == 0:
@@ -133,6 +193,9 @@ def _local_topk(q_ids: np.ndarray, q_mat: np.ndarray, k: int, exclude_self: bool
             ids = pdf["id"].to_numpy(dtype=object)
             order = np.argsort(ids.astype(str), kind="stable")
             ids, mat = ids[order], _unit_rows(np.vstack(pdf["vector"].to_numpy()[order]).astype(np.float64))
+            finite = np.isfinite(mat).all(axis=1)
+            if not finite.all():                                     # such a vector has no score
+                ids, mat = ids[finite], mat[finite]
             if probe is None:
                 offer(everyone, ids, mat)
                 continue

@@ -165,3 +165,22 @@ def test_token_contexts_shuffle_records_not_tokens(spark, sf_small):
     assert spread(contexts) is contexts
     want = rplans.token_contexts(q._token_units(spark, sf_small))
     assert contexts.exceptAll(want).count() == 0 and contexts.count() == want.count()
+
+
+def test_knn_ranks_only_pairs_that_can_be_among_the_best(monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(600, 16))
+    x[100:140] = x[99] * 2                                                  # many equal scores
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.array([str(i) for i in range(600)], dtype=object)
+    batches = [pd.DataFrame({"id": ids[a:a + 150], "vector": list(x[a:a + 150])}) for a in range(0, 600, 150)]
+    seen = []
+    offer = knn.Best.merge_pairs
+    monkeypatch.setattr(knn.Best, "merge_pairs", lambda self, r, s, i: (seen.append(len(r)), offer(self, r, s, i)))
+    monkeypatch.setattr(knn.Best, "merge", None)                            # ranks whole pieces
+    got, = knn._local_topk(ids, unit, 5, True, 6, 1 << 14, None)(iter(batches))
+    s = np.round(unit @ unit.T, 6)
+    want = {(str(i), str(j)) for i in range(600)
+            for j in sorted((j for j in range(600) if j != i), key=lambda j: (-s[i, j], str(j)))[:5]}
+    assert set(zip(got["query_id"], got["neighbor_id"])) == want
+    assert sum(seen) < 0.1 * s.size
