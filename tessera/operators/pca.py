@@ -10,9 +10,9 @@ per job and the d×d covariance is decomposed on the driver (d is bounded by
 ``NARROW_MAX``, the proof of the size). Transform is (x − μ)V in the workers
 with the per-job (μ, V) broadcast.
 
-Wide (sparse rows ``(job, unit, positions[], values[], signs_hex[])``):
+Wide (sparse rows ``(job, unit, positions[], values[])``):
   1. sketch ``Y = XΩ`` per unit, Ω's row for a term being ℓ ±1 signs read from
-     the bits of ``md5(seed:term)`` (never stored, never broadcast);
+     the bits of ``md5(seed:term)`` (never stored, joined or broadcast: made where the unit's terms are counted);
   2. per-job ``ΣY`` and ``ΣYᵀY`` (ℓ×ℓ) summed from per-task partials; centring
      is algebraic (``Yc = Y − ȳ``), the matrix is never densified;
   3. ``Q = Yc L⁻ᵀ`` with ``LLᵀ = YcᵀYc`` (Cholesky of an ℓ×ℓ matrix);
@@ -36,11 +36,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, delete_path
 
 NARROW_MAX = 4096
 OVERSAMPLE = 16
@@ -132,13 +132,10 @@ def _block_product(units: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     return units.assign(y=list(y))
 
 
-def with_blocks(rows: DataFrame, sized: DataFrame | None = None) -> DataFrame:
-    """Add ``block``: units of a job in blocks of about BLOCK_ENTRIES sparse entries, by a hash of the unit.
-
-    ``sized`` is a written table with the same jobs and positions (``rows``, if not given).
-    """
+def with_blocks(rows: DataFrame) -> DataFrame:
+    """Add ``block``: units of a job in blocks of about BLOCK_ENTRIES sparse entries, by a hash of the unit; ``rows`` are written."""
     entries = F.sum(F.size("positions").cast("long"))
-    blocks = (rows if sized is None else sized).groupBy("job_id").agg(F.ceil((entries + 1) / BLOCK_ENTRIES).alias("blocks"))
+    blocks = rows.groupBy("job_id").agg(F.ceil((entries + 1) / BLOCK_ENTRIES).alias("blocks"))
     return rows.join(broadcast_if_small(blocks), "job_id").withColumn(
         "block", F.pmod(F.xxhash64("record_id", "sub_key"), F.col("blocks"))).drop("blocks")
 
@@ -405,9 +402,9 @@ def term_signs_hex(seed_col, term_col):
     return F.md5(F.concat_ws(":", seed_col.cast("string"), term_col))
 
 
-SKETCH_ROWS_SCHEMA = ("job_id string, record_id string, sub_key int, positions array<int>, "
-                      "values array<double>, y array<double>")
-BLOCK_ROWS_SCHEMA = SKETCH_ROWS_SCHEMA + ", block long"
+SKETCH_SCHEMA = "job_id string, record_id string, sub_key int, y array<double>"
+BLOCK_ROWS_SCHEMA = ("job_id string, record_id string, sub_key int, positions array<int>, "
+                     "values array<double>, y array<double>, block long")
 
 
 def _slices(lens: np.ndarray) -> Iterator[slice]:
@@ -423,7 +420,7 @@ def _slices(lens: np.ndarray) -> Iterator[slice]:
 def _sketch(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            lens = pdf["positions"].map(len).to_numpy()
+            lens = pdf["values"].map(len).to_numpy()
             y = np.zeros((len(pdf), width))
             for part in _slices(lens):
                 n = int(lens[part].sum())
@@ -432,22 +429,38 @@ def _sketch(width: int):
                                           np.concatenate(pdf["values"].iloc[part].to_list()).astype(np.float64),
                                           sign_bits(np.concatenate(pdf["hexes"].iloc[part].to_list()), width),
                                           np.arange(n), part.stop - part.start)
-            yield pdf[[*UNIT_KEYS, "positions", "values"]].assign(y=list(y))
+            yield pdf[UNIT_KEYS].assign(y=list(y))
     return run
 
 
 def sketch(rows: DataFrame, width: int) -> DataFrame:
-    """Y = XΩ per unit (not centred)."""
-    return rows.mapInPandas(_sketch(width), SKETCH_ROWS_SCHEMA).select(*UNIT_KEYS, "y")
+    """(job_id, record_id, sub_key, y): Y = XΩ per row (not centred) of rows (job_id, record_id, sub_key, values, hexes)."""
+    return rows.select(*UNIT_KEYS, "values", "hexes").mapInPandas(_sketch(width), SKETCH_SCHEMA)
+
+
+def sketch_counts(counts: DataFrame, seed: Column, width: int) -> DataFrame:
+    """Y = XΩ per unit from rows (job_id, record_id, sub_key, counts array of (term, n)), before any vocabulary.
+
+    A term's row of Ω depends on the job's ``seed`` and the term alone, so a unit is projected inside its row.
+    A unit that comes several times gets as many rows, each with the sum over all of them; one without terms or
+    without a job gets zeros.
+    """
+    terms = F.when(F.col("job_id").isNull() | F.col("counts").isNull(), F.array().cast(counts.schema["counts"].dataType)) \
+        .otherwise(F.col("counts"))
+    rows = counts.select(*UNIT_KEYS, seed.alias("_seed"), terms.alias("_counts")).select(
+        *UNIT_KEYS, F.col("_counts.n").cast("array<double>").alias("values"),
+        F.transform("_counts", lambda c: term_signs_hex(F.col("_seed"), c["term"])).alias("hexes"))
+    units = sketch(rows, width).groupBy(*UNIT_KEYS).agg(F.collect_list("y").alias("_all"))
+    total = F.when(F.size("_all") == 1, F.get("_all", F.lit(0))).otherwise(F.aggregate(
+        "_all", F.array_repeat(F.lit(0.0), width), lambda a, y: F.zip_with(a, y, lambda x, v: x + v)))
+    return units.select(*UNIT_KEYS, total.alias("y"), F.explode(F.array_repeat(F.lit(0), F.size("_all"))).alias("_copy")) \
+        .drop("_copy")
 
 
-def sparse_rows(long_df: DataFrame, vocab_hex: DataFrame) -> DataFrame:
-    """Per unit: positions[], values[], hexes[] (bounded by the unit's own distinct terms)."""
-    j = long_df.join(vocab_hex, ["job_id", "position"])
-    return j.groupBy("job_id", "record_id", "sub_key").agg(
-        F.collect_list("position").alias("positions"),
-        F.collect_list("value").alias("values"),
-        F.collect_list("hex").alias("hexes"))
+def sparse_rows(long_df: DataFrame) -> DataFrame:
+    """Per unit: positions[], values[] (bounded by the unit's own distinct terms)."""
+    return long_df.groupBy(*UNIT_KEYS).agg(F.collect_list(F.col("position").cast("int")).alias("positions"),
+                                           F.collect_list("value").alias("values"))
 
 
 def _orthonormaliser(n: int, s: np.ndarray, ss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -458,26 +471,24 @@ def _orthonormaliser(n: int, s: np.ndarray, ss: np.ndarray) -> tuple[np.ndarray,
     return mean, v[:, keep] / np.sqrt(w[keep])
 
 
-def randomized_fit_transform(spark: SparkSession, rows: DataFrame, n_units: dict[str, int], k: int,
-                             oversample: int = OVERSAMPLE, power_iters: int = POWER_ITERS
+def randomized_fit_transform(spark: SparkSession, rows: DataFrame, k: int, power_iters: int = POWER_ITERS
                              ) -> tuple[DataFrame, DataFrame]:
     """Wide PCA per job. Returns (unit coordinates, component rows).
 
-    ``rows``: sparse unit rows from :func:`sparse_rows`; ``n_units``: units per
-    job including units without terms (they are zero rows of X). Coordinates:
+    ``rows``: sparse unit rows (job_id, record_id, sub_key, positions, values) with their sketch ``y`` of
+    ``k + oversample`` values (:func:`sketch_counts`), those without terms included (they are zero rows of X). Coordinates:
     (job_id, record_id, sub_key, vector array<double> of k values). Components:
     (job_id, position, loadings array<double>).
     """
     import time
     t0 = [time.time()]
-    width = k + oversample
     rows_path = _fresh(spark, "pca-rows")
-    rows.write.parquet(rows_path)
-    sparse = spark.read.parquet(rows_path)
+    rows.select(*UNIT_KEYS, "positions", "values", "y").write.parquet(rows_path)
     y_path = _fresh(spark, "pca-y")
-    # the sketch stands next to the sparse rows it came from, so passes over both need no join
-    (with_blocks(sparse.mapInPandas(_sketch(width), SKETCH_ROWS_SCHEMA), sparse)
+    # the sketch stands next to its sparse rows, so passes over both need no join
+    (with_blocks(spark.read.parquet(rows_path))
      .repartition("job_id", "block").sortWithinPartitions("job_id", "block").write.parquet(y_path))
+    delete_path(spark, rows_path)
     y = spark.read.parquet(y_path)
     rows = y.drop("y")
     needed_path = _fresh(spark, "pca-needed")
@@ -519,19 +530,24 @@ def randomized_fit_transform(spark: SparkSession, rows: DataFrame, n_units: dict
         """B = QᵀXc as rows (job, position, ℓ values), written to the work folder."""
         bpart = y_rows.select("job_id", "positions", "values", "y").mapInArrow(b_partials(factors), B_SCHEMA)
         path = _fresh(spark, "pca-b")
+        b_paths.append(path)
         (bpart.repartition("job_id", "position").sortWithinPartitions("job_id", "position")
          .mapInArrow(_sum_sorted(["job_id", "position"], "b"), B_SCHEMA).write.parquet(path))
         return spark.read.parquet(path)
 
+    b_paths: list[str] = []
     bc = spark.sparkContext.broadcast(factorize(y))
     _tick("gram", t0)
     bcols = b_table(y, bc)
     _tick("b", t0)
     for it in range(power_iters):
         # power step: Y ← X·B (Xc·B up to the mean, removed again by the factorisation)
-        y_path = _fresh(spark, f"pca-y{it}")
+        before, y_path = y_path, _fresh(spark, f"pca-y{it}")
         power_y(rows, needed, bcols).write.parquet(y_path)
         y = spark.read.parquet(y_path)
+        delete_path(spark, b_paths.pop())                     # this step has read it, and nothing else will
+        if it:                                                # the sparse rows of every step are those of the first
+            delete_path(spark, before)
         _tick("power y", t0)
         bc = spark.sparkContext.broadcast(factorize(y))
         _tick("factorize", t0)

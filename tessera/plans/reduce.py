@@ -7,41 +7,32 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import word_counts
 from ..functions.vectors import dense_of
 from ..operators import count_embed, pca
 from ..operators.model_embed import model_embed
-from ..session import broadcast_if_small, fresh_path
+from ..session import broadcast_if_small, fresh_path, spread
 from ..schema import BOW, DOC_BATCH, DOC_COMPONENTS, TOKEN_BATCH, TOKEN_COMPONENTS
 
 UNIT_KEYS = ["job_id", "record_id", "sub_key"]
 
 
-def job_seeds(units: DataFrame) -> DataFrame:
-    """(job_id, seed) with seed = adler32(job name); the job name is the job id here."""
-    return units.select("job_id").distinct().withColumn("seed", pca.adler32_expr(F.col("job_id")))
-
+def seeded_projection(units: DataFrame, width: int = DOC_COMPONENTS + pca.OVERSAMPLE) -> DataFrame:
+    """The random-projection step of wide PCA on bag-of-words counts: (job, unit, Y = XΩ).
 
-def vocab_with_hex(model: count_embed.CountModel, seeds: DataFrame) -> DataFrame:
-    v = model.vocab().join(seeds, "job_id")
-    return v.select("job_id", "position", pca.term_signs_hex(F.col("seed"), F.col("term")).alias("hex"))
+    The seed is adler32(job name); the job name is the job id here. Ω has a row for each term, whatever its
+    position, so the counts are projected before a vocabulary is fitted.
+    """
+    return pca.sketch_counts(word_counts(spread(units), UNIT_KEYS), pca.adler32_expr(F.col("job_id")), width)
 
 
-def unit_rows(units: DataFrame, long_df: DataFrame, vocab_hex: DataFrame) -> DataFrame:
-    """Sparse rows for every unit (units without terms get empty arrays)."""
-    sparse = pca.sparse_rows(long_df, vocab_hex)
-    keys = units.select(*UNIT_KEYS)
-    j = keys.join(sparse, [keys[k].eqNullSafe(sparse[k]) for k in UNIT_KEYS], "left")
-    return j.select(*[keys[k] for k in UNIT_KEYS],
+def unit_rows(units: DataFrame, long_df: DataFrame, k: int) -> DataFrame:
+    """Sparse rows and sketch of every unit (units without terms get empty arrays)."""
+    sparse, y = pca.sparse_rows(long_df), seeded_projection(units, k + pca.OVERSAMPLE)
+    j = y.join(sparse, [y[c].eqNullSafe(sparse[c]) for c in UNIT_KEYS], "left")
+    return j.select(*[y[c] for c in UNIT_KEYS],
                     F.coalesce(sparse["positions"], F.array().cast("array<int>")).alias("positions"),
-                    F.coalesce(sparse["values"], F.array().cast("array<double>")).alias("values"),
-                    F.coalesce(sparse["hexes"], F.array().cast("array<string>")).alias("hexes"))
-
-
-def seeded_projection(units: DataFrame, width: int = DOC_COMPONENTS + pca.OVERSAMPLE) -> DataFrame:
-    """The random-projection step of wide PCA on bag-of-words counts: (job, unit, Y = XΩ)."""
-    model, long_df = count_embed.fit_transform(units, BOW)
-    rows = unit_rows(units, long_df, vocab_with_hex(model, job_seeds(units)))
-    return pca.sketch(rows, width)
+                    F.coalesce(sparse["values"], F.array().cast("array<double>")).alias("values"), y["y"])
 
 
 @dataclass
@@ -81,9 +72,7 @@ def fit_reduced(units: DataFrame, k: int = DOC_COMPONENTS) -> tuple[ReducedCount
     """Bag of words reduced to ``k`` components for every job of ``units``: the model, and the units' coordinates."""
     spark = units.sparkSession
     model, long_df = count_embed.fit_transform(units, BOW)
-    n_units = {r["job_id"]: int(r["n_units"]) for r in model.stats().select("job_id", "n_units").collect()}
-    rows = unit_rows(units, long_df, vocab_with_hex(model, job_seeds(units)))
-    coords, comps = pca.randomized_fit_transform(spark, rows, n_units, k)
+    coords, comps = pca.randomized_fit_transform(spark, unit_rows(units, long_df, k), k)
     comps.write.parquet(f"{model.path}/components")
     reduced = ReducedCountModel(model, model.path)
     totals = long_df.groupBy("job_id", "position").agg(F.sum("value").alias("total"))
@@ -143,11 +132,8 @@ def bow_pca_embed(units: DataFrame, records_per_job: DataFrame, k: int = DOC_COM
     if not big_jobs:
         return small
     big_units = units.filter(F.col("job_id").isin(big_jobs))
-    n_units = {r[0]: int(r[1]) for r in model.stats().filter(F.col("job_id").isin(big_jobs)).select(
-        "job_id", "n_units").collect()}
-    rows = unit_rows(big_units, long_df.filter(F.col("job_id").isin(big_jobs)),
-                     vocab_with_hex(model, job_seeds(big_units)))
-    coords, _ = pca.randomized_fit_transform(spark, rows, n_units, k)
+    rows = unit_rows(big_units, long_df.filter(F.col("job_id").isin(big_jobs)), k)
+    coords, _ = pca.randomized_fit_transform(spark, rows, k)
     reduced = coords.select(*UNIT_KEYS, F.posexplode("vector").alias("position", "value"))
     return small.unionByName(reduced.withColumn("position", F.col("position").cast("long")))
 

@@ -134,3 +134,29 @@ def test_probing_recall_and_full_probe_is_exact(spark, sf_small):
     exact = pairs(None)
     assert pairs(knn.Probe(bits=8, flips=8)) == exact
     assert len(pairs(knn.Probe(bits=8, flips=4)) & exact) >= 0.8 * len(exact)
+
+
+def test_units_are_projected_where_their_words_are_counted(spark):
+    import hashlib
+    import zlib
+
+    import numpy as np
+
+    from tessera.plans import reduce
+    texts = [("a", "1", "Red red fox"), ("a", "2", ""), ("a", "3", None), ("b", "1", "red fox fox"), (None, "9", "fox"),
+             ("b", "2", "one two"), ("b", "2", "two three")]               # b 2 comes twice: each row has the sum of both
+    units = spark.createDataFrame([(j, r, None, t) for j, r, t in texts],
+                                  "job_id string, record_id string, sub_key int, text string")
+    out = reduce.seeded_projection(units, width=150)
+    got = sorted((str(r["job_id"]), r["record_id"], list(r["y"])) for r in out.collect())
+
+    def signs(job, word):
+        h = hashlib.md5(f"{zlib.adler32(job.encode())}:{word}".encode())
+        both = h.digest() + hashlib.md5(h.hexdigest().encode()).digest()
+        return 1.0 - 2.0 * np.unpackbits(np.frombuffer(both, dtype=np.uint8))[:150].astype(float)
+    want = []
+    for j, r, _ in texts:
+        mine = " ".join(t or "" for x, y, t in texts if (x, y) == (j, r)).lower().split()
+        want.append((str(j), r, list(sum((signs(j, w) for w in mine if j), np.zeros(150)))))
+    assert got == sorted(want)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()   # no vocabulary is looked up
