@@ -32,16 +32,24 @@ def term_counts(units: DataFrame, kind: str, keys: list[str]) -> DataFrame:
     """
     if kind != "words":
         return char_counts(units, keys)
-    return word_counts(units, keys).select(*keys, F.inline("counts"))
+    by_row, counted = _counted(units, keys)
+    # the generator takes the expression itself: of a column made before it Spark would evaluate parts once an entry
+    return by_row.select(*keys, F.inline(counted))
 
 
-def word_counts(units: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, counts): one row a unit with its distinct words and their numbers, an array of (term, n); null for a null text."""
+def _counted(units: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
+    """Rows with the sorted words of their text, and the column that counts them: an array of (term, n)."""
     terms = F.col("_terms")
     by_row = units.select(*keys, F.sort_array(words(F.col("text"))).alias("_terms"))
     by_row = by_row.select(*keys, "_terms", run_starts(terms).alias("_starts"))
-    return by_row.select(*keys, F.transform("_starts", lambda a, i: F.struct(
-        F.get(terms, a).alias("term"), (run_end("_starts", i, terms) - a).cast("long").alias("n"))).alias("counts"))
+    return by_row, F.transform("_starts", lambda a, i: F.struct(
+        F.get(terms, a).alias("term"), (run_end("_starts", i, terms) - a).cast("long").alias("n")))
+
+
+def word_counts(units: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, counts): one row a unit with its distinct words and their numbers, an array of (term, n); null for a null text."""
+    by_row, counted = _counted(units, keys)
+    return by_row.select(*keys, counted.alias("counts"))
 
 
 COUNT_PIECE_BYTES = 1 << 18   # texts are counted in pieces of so many bytes: a count takes about 50 times its piece
