@@ -69,10 +69,16 @@ def compact(long_df: DataFrame, units: DataFrame, keys: list[str], widths: DataF
                                 F.count(F.when(F.col("_e").isNull(), 1)).cast("int").alias("_n"))
     last = lambda e, i: ~F.get(F.col("_all.position"), i + 1).eqNullSafe(e["position"])
     # only a unit that comes several times can have a position twice
-    g = g.select(*keys, "_n", F.when(F.col("_n") == 1, F.col("_all")).otherwise(F.filter("_all", last)).alias("_e"))
-    g = g.select(*keys, "_n", F.col("_e.position").alias("_p"), F.col("_e.value").alias("_v")).join(widths, keys[0])
+    g = g.select(*keys, F.when(F.col("_n") == 1, F.col("_all")).otherwise(F.filter("_all", last)).alias("entries"),
+                 F.explode(F.array_repeat(F.lit(0), F.col("_n"))).alias("_copy"))
+    return shaped(g, keys, widths)
+
+
+def shaped(rows: DataFrame, keys: list[str], widths: DataFrame) -> DataFrame:
+    """The rows of :func:`compact` from (keys, entries), arrays of (position, value) by ascending, distinct positions."""
+    g = rows.select(*keys, F.col("entries.position").cast("array<int>").alias("_p"),
+                    F.col("entries.value").cast("array<float>").alias("_v")).join(widths, keys[0])
     sparse = F.size("_p") * 3 < F.col("width")
     width = F.col("width").cast("int")
     return g.select(*keys, F.when(sparse, F.col("_v")).otherwise(densify(F.col("_v"), F.col("_p"), width)).alias("vector"),
-                    F.when(sparse, F.col("_p")).alias("positions"), width.alias("width"),
-                    F.explode(F.array_repeat(F.lit(0), F.col("_n"))).alias("_copy")).drop("_copy")
+                    F.when(sparse, F.col("_p")).alias("positions"), width.alias("width"))

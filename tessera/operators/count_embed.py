@@ -2,15 +2,14 @@
 
 Fit and transform are separate Spark plans:
 
-* fit: count terms inside each unit's row, document frequency per (job, term), dense positions by term
-  order inside each job (:func:`ordinal_within`, skew-proof), then the fitted
+* fit: count terms inside each unit's row (characters) or block (words, see ``word_blocks``), document frequency per
+  (job, term), dense positions by term order inside each job (:func:`ordinal_within`, skew-proof), then the fitted
   vocabulary ``(job_id, term, position, df, idf)`` and the per-job stats
   ``(job_id, n_units, width)`` are written as tables. Those tables *are* the
   saved model: reloading them gives the same transform.
-* transform: per-unit term counts joined to the vocabulary (unseen terms drop
-  out in the inner join). The vocabulary is broadcast only when the fit counted
-  it below ``BROADCAST_VOCAB_ROWS``; otherwise it is a shuffled join on
-  (job_id, term), where AQE splits hot terms.
+* transform: characters join the vocabulary by unit (unseen ones drop out in the inner join); it is broadcast only
+  when the fit counted it below ``BROADCAST_VOCAB_ROWS``. Words join it once a block of units, so that what is
+  shuffled by term is each block's distinct words, not each unit's.
 
 Vectors are sparse long rows ``(job_id, record_id, sub_key, position, value)``;
 ``CountModel.compact`` gathers them into one row a unit and ``CountModel.dense`` into
@@ -23,15 +22,16 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.indexing import ordinal_within
 from ..functions.text import term_counts
-from ..functions.vectors import compact, dense_of
+from ..functions.vectors import compact, dense_of, shaped
 from ..schema import BOC, BOW, TFIDF
-from ..session import broadcast_if_small, fresh_path, spread
+from ..session import BROADCAST_MAX_ROWS, broadcast_if_small, fresh_path, spread
+from . import word_blocks
 
 UNIT_KEYS = ["job_id", "record_id", "sub_key"]
 BROADCAST_VOCAB_ROWS = 2_000_000
@@ -81,50 +81,69 @@ class CountModel:
 
     def _vocab_side(self) -> DataFrame:
         v = self.vocab().select("job_id", "term", "position", "idf")
-        return F.broadcast(v) if self.vocab_rows <= BROADCAST_VOCAB_ROWS else v
+        most = BROADCAST_VOCAB_ROWS if self.kind == "chars" else BROADCAST_MAX_ROWS
+        return F.broadcast(v) if self.vocab_rows <= most else v
 
     def transform(self, units: DataFrame) -> DataFrame:
         """Sparse vectors (job_id, record_id, sub_key, position, value) of ``units``.
 
-        Terms are counted inside the unit's row. With a broadcast vocabulary counts
-        cross no shuffle; TF-IDF weights cross one, for the norm of their unit.
+        Words are counted and written at once, in blocks; characters inside the unit's row.
         """
+        if self.kind == "words":
+            return self.transform_blocks(word_blocks.write(units, UNIT_KEYS))
         return self.transform_counts(term_counts(spread(units), self.kind, UNIT_KEYS))
 
     def transform_counts(self, tf: DataFrame) -> DataFrame:
-        """Vectors from per-unit term counts (job_id, record_id, sub_key, term, n)."""
+        """Vectors from per-unit character counts (job_id, record_id, sub_key, term, n)."""
         joined = tf.join(self._vocab_side(), ["job_id", "term"])
-        if self.weighting == "count":
-            return joined.select(*UNIT_KEYS, "position", F.col("n").cast("double").alias("value"))
-        w = joined.select(*UNIT_KEYS, "position", (F.col("n") * F.col("idf")).alias("w"))
-        unit = Window.partitionBy(*UNIT_KEYS)
-        return w.select(*UNIT_KEYS, "position",
-                        (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(unit))).alias("value"))
-
-    def compact(self, units: DataFrame) -> DataFrame:
-        """(job_id, record_id, sub_key, vector, positions, width) for every unit, as the store keeps them."""
+        return joined.select(*UNIT_KEYS, "position", F.col("n").cast("double").alias("value"))
+
+    def transform_blocks(self, blocks: DataFrame) -> DataFrame:
+        """Vectors from ``word_blocks.write``."""
+        return self._placed(blocks, False).select(*UNIT_KEYS, F.inline("entries"))
+
+    def _placed(self, blocks: DataFrame, whole: bool) -> DataFrame:
+        return word_blocks.place(blocks, self._vocab_side(), UNIT_KEYS, self.weighting == "tfidf", whole)
+
+    def compact(self, units: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+        """(job_id, record_id, sub_key, vector, positions, width) for every unit, as the store keeps them.
+
+        ``blocks`` may pass the written word blocks of ``units`` (see :func:`blocks_of`).
+        """
         widths = broadcast_if_small(self.stats().select("job_id", "width"))
-        return compact(self.transform(units), units, UNIT_KEYS, widths)
+        if self.kind != "words":
+            return compact(self.transform(units), units, UNIT_KEYS, widths)
+        blocks = blocks if blocks is not None else word_blocks.write(units, UNIT_KEYS)
+        return shaped(self._placed(blocks, True), UNIT_KEYS, widths)
 
     def dense(self, units: DataFrame) -> DataFrame:
         """Dense vectors (job_id, record_id, sub_key, vector) for every unit, zeros included."""
         return self.compact(units).select(*UNIT_KEYS, dense_of().alias("vector"))
 
 
-def fit(units: DataFrame, model: str, tf: DataFrame | None = None) -> CountModel:
+def blocks_of(units: DataFrame, model: str) -> DataFrame | None:
+    """The written word blocks of ``units``, for a fit and a transform that share them; None for characters."""
+    return word_blocks.write(units, UNIT_KEYS) if KIND_OF_MODEL[model][0] == "words" else None
+
+
+def fit(units: DataFrame, model: str, tf: DataFrame | None = None, blocks: DataFrame | None = None) -> CountModel:
     """Fit the vocabulary of ``model`` ('bag-of-characters' | 'bag-of-words' | 'tf-idf') per job.
 
-    ``tf`` may pass already counted terms of ``units`` (see :func:`fit_transform`).
+    ``tf`` may pass already counted characters of ``units`` (see :func:`fit_transform`), ``blocks`` their word blocks.
     """
     kind, weighting = KIND_OF_MODEL[model]
     spark = units.sparkSession
     path = fresh_path(spark, f"model-{kind}-{weighting}")
     u = units.select(*UNIT_KEYS, "text")
-    tf = tf if tf is not None else term_counts(spread(u), kind, UNIT_KEYS)
     u.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_units")).write.parquet(f"{path}/units")
     n_units = broadcast_if_small(spark.read.parquet(f"{path}/units"))
     # written first: the ordering below samples its input for range bounds, which would count every text again
-    tf.groupBy("job_id", "term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{path}/frequencies")
+    if kind == "words":
+        df = word_blocks.frequencies(blocks if blocks is not None else word_blocks.write(u, UNIT_KEYS), "job_id")
+    else:
+        tf = tf if tf is not None else term_counts(spread(u), kind, UNIT_KEYS)
+        df = tf.groupBy("job_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    df.write.parquet(f"{path}/frequencies")
     ranked = ordinal_within(spark.read.parquet(f"{path}/frequencies"), ["job_id"], ["term"], "position")
     vocab = (ranked.join(n_units, "job_id")
              .withColumn("idf", F.log((F.lit(1.0) + F.col("n_units")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
@@ -148,6 +167,10 @@ def fit_transform(units: DataFrame, model: str) -> tuple[CountModel, DataFrame]:
     """
     spark = units.sparkSession
     kind, _ = KIND_OF_MODEL[model]
+    if kind == "words":
+        blocks = blocks_of(units, model)
+        m = fit(units, model, blocks=blocks)
+        return m, m.transform_blocks(blocks)
     tf_path = fresh_path(spark, "term-counts")
     term_counts(spread(units), kind, UNIT_KEYS).write.parquet(tf_path)
     tf = spark.read.parquet(tf_path)
